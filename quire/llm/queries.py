@@ -4,16 +4,37 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import fingerprints, mixing, quality
+from quire.llm import fingerprints, lm, mixing, neardup, quality, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _fold(n: int) -> Column:
+    """crc32 of the doc_id's text modulo n."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % n
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    labels = _table(spark, sf_dir, "labels").where(_fold(5) != 0).select("doc_id", F.col("toxic").alias("label"))
+    return toxicity.score(docs, toxicity.train(docs, labels), _fold(5) == 0)
+
+
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neardup.near_duplicates(_table(spark, sf_dir, "documents"), width=2, percent=80)
+    return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def op4_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fold = F.when(_fold(7) == 2, lm.TEST).when(_fold(7) == 3, lm.HELD_OUT).otherwise(lm.TRAIN)
+    return lm.score(_table(spark, sf_dir, "documents"), fold)
+
+
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_report(_table(spark, sf_dir, "documents"))
 
@@ -29,6 +50,9 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
+    "op3_near_duplicates": op3_near_duplicates,
+    "op4_language_model": op4_language_model,
     "op7_fingerprints": op7_fingerprints,
     "op8_quality": op8_quality,
     "op10_mix": op10_mix,
