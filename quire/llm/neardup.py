@@ -8,8 +8,9 @@ the full sets, so a reported link is exact.
 Documents of one set form a class, and only classes are compared. Within a bucket no more pairs are looked at than are needed
 to tell which classes hang together:
 
-1. every member is compared with the bucket's first member (its pivot), and with the middle one;
-2. members of buckets that still hold several components are compared across components, never within one. In a bucket of
+1. every member is compared with the bucket's first member and with its last;
+2. in buckets that still hold several components, every member outside the largest is compared with PIVOTS of that one;
+3. members of buckets that hold several components even then are compared across components, never within one. In a bucket of
    more than `small` members the two must agree on a second band as well, which splits members that share one passage only.
 """
 
@@ -31,6 +32,7 @@ BANDS, ROWS = 64, 8
 SKETCH_WORDS = 8  # the odd sketch has 64 bits a word
 PERCENT = 80
 SMALL = 48
+PIVOTS = 16
 #: How far below the wanted similarity an estimate may lie. The estimate's standard deviation is about 0.03 there.
 MARGIN = 0.18
 
@@ -159,6 +161,32 @@ def _ordered(x: str, y: str) -> list:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
+def _open(shared: DataFrame, parts: DataFrame) -> DataFrame:
+    """(v, key, n, part) of the buckets whose members are not all of one component yet."""
+    bucket = Window.partitionBy("key")
+    named = shared.select("v", "key", "n").join(parts.withColumnRenamed("id", "v"), "v", "left").select("v", "key", "n", F.coalesce("component", "v").alias("part"))
+    return materialize(named.select("*", F.min("part").over(bucket).alias("p0"), F.max("part").over(bucket).alias("p1")).where("p0 <> p1 and n > 2").select("v", "key", "n", "part"))
+
+
+def _to_pivots(still: DataFrame, pivots: int = PIVOTS) -> DataFrame:
+    """Pairs of each bucket's largest component, of which `pivots` members stand for it, with the bucket's other members."""
+    own, bucket = Window.partitionBy("key", "part"), Window.partitionBy("key")
+    ranked = still.select("v", "key", "part", F.count(F.lit(1)).over(own).alias("size"), F.row_number().over(own.orderBy(F.xxhash64("v", "key"))).alias("rank"))
+    ranked = ranked.select("v", "key", "rank", (F.struct("size", "part") == F.max(F.struct("size", "part")).over(bucket)).alias("largest"))
+    chosen = ranked.where(F.col("largest") & (F.col("rank") <= pivots)).select(F.col("v").alias("pivot"), "key")
+    return materialize(ranked.where(~F.col("largest")).select("v", "key").join(chosen, "key").select(*_ordered("v", "pivot")).distinct())
+
+
+def _across(still: DataFrame, classes: DataFrame, small: int) -> DataFrame:
+    """Pairs of different components that share a bucket, and a second band if the bucket is large."""
+    big = still.where(F.col("n") > small)
+    again = big.select("v", "key", "part").join(classes.select("v", "bands"), "v")
+    again = again.select("v", "part", "key", F.explode("bands").alias("second")).where("second <> key").select("v", "part", F.xxhash64(F.least("key", "second"), F.greatest("key", "second")).alias("key"))
+    members = still.where(F.col("n") <= small).select("v", "part", "key").union(again.distinct())
+    x, y = members.select(F.col("v").alias("x"), F.col("part").alias("px"), "key"), members.select(F.col("v").alias("y"), F.col("part").alias("py"), "key")
+    return x.join(y, "key").where("x < y and px <> py").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT, small: int = SMALL) -> DataFrame:
     """(doc_id, n_shingles, component_id), one row per row of docs (doc_id, text; other columns are not looked at).
 
@@ -180,16 +208,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT, sma
     star = shared.where("v <> pivot").select(*_ordered("v", "pivot")).union(shared.where("v <> other").select(*_ordered("v", "other"))).distinct()
     links = materialize(_links(star, classes, sets, percent))
     parts = connected_components(links, "a", "b")
-    part = shared.join(parts.withColumnRenamed("id", "v"), "v", "left").select("v", "key", "n", F.coalesce("component", "v").alias("part"))
-    still = part.select("*", F.min("part").over(bucket).alias("p0"), F.max("part").over(bucket).alias("p1")).where("p0 <> p1 and n > 2").select("v", "key", "n", "part")
-    still = materialize(still)
-    big = still.where(F.col("n") > small)
-    again = big.select("v", "key", "part").join(classes.select("v", "bands"), "v")
-    again = again.select("v", "part", "key", F.explode("bands").alias("second")).where("second <> key").select("v", "part", F.xxhash64(F.least("key", "second"), F.greatest("key", "second")).alias("key"))
-    members = still.where(F.col("n") <= small).select("v", "part", "key").union(again.distinct())
-    x, y = members.select(F.col("v").alias("x"), F.col("part").alias("px"), "key"), members.select(F.col("v").alias("y"), F.col("part").alias("py"), "key")
-    across = x.join(y, "key").where("x < y and px <> py").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
-    across = across.join(star, ["a", "b"], "left_anti")
+    still = _open(shared, parts)
+    pivots = _to_pivots(still).join(star, ["a", "b"], "left_anti")
+    links = links.union(materialize(_links(pivots, classes, sets, percent)))
+    parts = connected_components(links, "a", "b")
+    across = _across(_open(still, parts), classes, small).join(star.union(pivots), ["a", "b"], "left_anti")
     more = materialize(_links(across, classes, sets, percent))
     if more.limit(1).count():
         parts = connected_components(links.union(more), "a", "b")

@@ -40,32 +40,34 @@ RULES = (
 )
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """doc_id and the counts the rules are built on, one row per row of docs (doc_id, text); null texts have no words.
+def measured(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The counts the rules are built on, one row per row of docs (text), beside the columns to carry; null texts have no words.
 
     n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words (all long) and n_stop_words. A word is repeated if it
     lies in a window of three words that occurs twice or more in the text. Windows are told apart by a 64-bit hash of their
     words; sorting (hash, place) puts equal windows side by side, in n log n steps however long the text is.
     """
+    # what is carried goes into one struct, so no name of docs can clash with a column made here
+    whole = F.struct(*[F.col(c) for c in carry]).alias("carried")
     text = F.coalesce("text", F.lit(""))
-    first = docs.select("doc_id", text.alias("text"), F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("words"))
+    first = docs.select(whole, text.alias("text"), F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("words"))
     step = first.select(
-        "doc_id", "text", "words", F.size("words").alias("n"),
+        "carried", "text", "words", F.size("words").alias("n"),
         F.when(F.size("words") > 2, F.transform(F.slice("words", 1, F.size("words") - 2), lambda w, i: F.xxhash64(w, F.get("words", i + 1), F.get("words", i + 2)))).alias("windows"),
     )
     step = step.select(
-        "doc_id", "text", "words", "n",
+        "carried", "text", "words", "n",
         F.when(F.size(F.array_distinct("windows")) < F.size("windows"), F.sort_array(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))).alias("sorted"),
     )
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
     step = step.select(
-        "doc_id", "text", "words", "n", lines.alias("lines"),
+        "carried", "text", "words", "n", lines.alias("lines"),
         F.filter(F.transform("sorted", lambda w, i: F.when((w["h"] == F.get("sorted", i + 1)["h"]) | ((i > 0) & (w["h"] == F.get("sorted", F.greatest(i - 1, F.lit(0)))["h"])), w["i"])), lambda x: x.isNotNull()).alias("again"),
     )
     covered = F.size(F.array_distinct(F.flatten(F.transform("again", lambda i: F.array(i, i + 1, i + 2)))))
     long = lambda c: c.cast("long")
     return step.select(
-        "doc_id",
+        "carried.*",
         long(F.col("n")).alias("n_words"),
         long(F.coalesce(F.aggregate("words", F.lit(0), lambda a, w: a + F.length(w)), F.lit(0))).alias("word_chars"),
         long(F.length("text") - F.length(F.regexp_replace("text", SYMBOLS, ""))).alias("n_symbols"),
@@ -106,6 +108,6 @@ def base_failed() -> Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-def judged(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def judged(docs: DataFrame, rules: tuple[Rule, ...] = RULES, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """`measured` with base_failed, failed (rule names) and kept: neither fails."""
-    return measured(docs).withColumns({"base_failed": base_failed(), "failed": failed(rules)}).withColumn("kept", ~F.col("base_failed") & (F.size("failed") == 0))
+    return measured(docs, carry).withColumns({"base_failed": base_failed(), "failed": failed(rules)}).withColumn("kept", ~F.col("base_failed") & (F.size("failed") == 0))

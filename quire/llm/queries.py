@@ -4,10 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import fingerprints, lm, mixing, neardup, quality, toxicity
+from quire.llm import attribution, bpe, chat, fingerprints, lm, mixing, neardup, pseudonyms, quality, toxicity
+
+
+#: Tokenizer files; public_tokenizers gives their place on each node.
+RANKS, WORD_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("word_bpe_49k.json")
+#: The key of the pseudonyms here; whoever runs the operator on real data passes a secret one.
+PSEUDONYM_KEY = b"a key for tests only"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +32,13 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, labels), _fold(5) == 0)
 
 
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    return chat.round_trip(turns, RANKS, public_tokenizers.PATTERN)
+
+
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = neardup.near_duplicates(_table(spark, sf_dir, "documents"), width=2, percent=80)
     return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
@@ -35,6 +49,15 @@ def op4_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(_table(spark, sf_dir, "documents"), fold)
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attribution.section_counts(_table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
+
+
+def op6_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pseudonyms.pseudonymize(docs, PSEUDONYM_KEY)
+
+
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_report(_table(spark, sf_dir, "documents"))
 
@@ -45,15 +68,23 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(_table(spark, sf_dir, "documents"), WORD_BPE, digests=True)
+
+
 def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_chat": op2_chat,
     "op3_near_duplicates": op3_near_duplicates,
     "op4_language_model": op4_language_model,
+    "op5_token_counts": op5_token_counts,
+    "op6_pseudonyms": op6_pseudonyms,
     "op7_fingerprints": op7_fingerprints,
     "op8_quality": op8_quality,
+    "op9_bpe": op9_bpe,
     "op10_mix": op10_mix,
 }

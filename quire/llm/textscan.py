@@ -49,8 +49,11 @@ def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mix(a * np.uint64(_PRIME) + (b ^ (b >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93))
 
 
-def _hashes(data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of data, and where each starts; begins: where texts start (a word never spans two texts)."""
+def _hashes(data: np.ndarray, begins: np.ndarray, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of data, and where each starts; begins: where texts start (a word never spans two texts).
+
+    With prefixes, the hashes have a row for each of those lengths in bytes, of the words' prefixes, after the words' own.
+    """
     inside = ~_SEPARATOR[data]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
@@ -61,10 +64,14 @@ def _hashes(data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarra
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE[data] * _power(_PRIME, len(data)), out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * _power(_INVERSE, len(data) + 1)[starts]), starts
+    scale = _power(_INVERSE, len(data) + 1)[starts]
+    if not prefixes:
+        return mix((sums[ends] - sums[starts]) * scale), starts
+    cuts = [ends, *(np.minimum(starts + k, ends) for k in prefixes)]
+    return np.stack([mix((sums[e] - sums[starts]) * scale) for e in cuts]), starts
 
 
-def _long_text(data: np.ndarray) -> np.ndarray:
+def _long_text(data: np.ndarray, prefixes: tuple[int, ...]) -> np.ndarray:
     """Hashes of the words of one long text, in pieces."""
     parts, at = [], 0
     while at < len(data):
@@ -72,9 +79,9 @@ def _long_text(data: np.ndarray) -> np.ndarray:
         while to < len(data) and not _SEPARATOR[data[to]]:
             ahead = np.flatnonzero(_SEPARATOR[data[to : to + GROUP_BYTES]])
             to = to + int(ahead[0]) if len(ahead) else min(to + GROUP_BYTES, len(data))
-        parts.append(_hashes(data[at:to], np.zeros(1, np.int64))[0])
+        parts.append(_hashes(data[at:to], np.zeros(1, np.int64), prefixes)[0])
         at = to
-    return np.concatenate(parts)
+    return np.concatenate(parts, axis=-1)
 
 
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -97,24 +104,21 @@ def groups_of(offsets: np.ndarray, limit: int = GROUP_BYTES) -> Iterator[tuple[i
         lo = hi
 
 
-def hashed(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, word hashes, bounds): the words of row first + i are hashes[bounds[i]:bounds[i + 1]]."""
+def hashed(texts: pa.Array, prefixes: tuple[int, ...] = ()) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, word hashes, bounds): the words of row first + i are hashes[bounds[i]:bounds[i + 1]].
+
+    With prefixes, hashes is a matrix: the words, then the words' prefixes of each length in bytes.
+    """
     offsets, data = buffers(texts)
     for lo, hi in groups_of(offsets):
         a, b = int(offsets[lo]), int(offsets[hi])
         if hi == lo + 1 and b - a > GROUP_BYTES:
-            words = _long_text(data[a:b])
-            yield lo, hi, words, np.array([0, len(words)])
+            words = _long_text(data[a:b], prefixes)
+            yield lo, hi, words, np.array([0, words.shape[-1]])
         elif a == b:
-            yield lo, hi, np.zeros(0, np.uint64), np.zeros(hi - lo + 1, np.int64)
+            yield lo, hi, np.zeros((1 + len(prefixes), 0) if prefixes else 0, np.uint64), np.zeros(hi - lo + 1, np.int64)
         else:
             at = offsets[lo : hi + 1] - a
-            words, starts = _hashes(data[a:b], at[:-1])
+            words, starts = _hashes(data[a:b], at[:-1], prefixes)
             yield lo, hi, words, np.searchsorted(starts, at)
 
-
-def crc32_text(values: pa.Array) -> np.ndarray:
-    """crc32 of each value written as text; null counts as the empty text."""
-    import zlib
-
-    return np.fromiter((zlib.crc32(b"" if v is None else str(v).encode()) for v in values.to_pylist()), np.int64, len(values))

@@ -1,6 +1,7 @@
 """Toxicity: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-A text's features are its distinct words, pairs of neighbouring words and pairs with one word left out, hashed to `BITS` bits.
+A text's features are its distinct words, their stems (prefixes of PREFIXES bytes, which also join a word's forms and drop the
+punctuation after it), pairs of neighbouring words and pairs with one word left out, hashed to `BITS` bits.
 Training sees a bounded sample of labelled documents (`sample`, a documented parameter) in one task; per-coordinate rates let
 rare features learn fast and the L1 term keeps all but a few weights at zero, so that the model is a short list of (feature,
 weight) rows that is broadcast to score any number of documents.
@@ -19,26 +20,27 @@ from quire.llm.lookup import KeyTable
 from quire.llm.textscan import hashed, mix, pair_hash
 
 BITS = 28
+PREFIXES = (4, 5, 6, 7, 8)
 SAMPLE = 8000
-EPOCHS = 6
-ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.5, 0.1
+EPOCHS = 4
+ALPHA, BETA, L1, L2 = 0.3, 1.0, 3.0, 1.0
 _SKIP = np.uint64(0x736B6970)
 
 
-def features(words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hashed features, text of each), repeats included."""
+def features(stems: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hashed features, text of each), repeats included. stems: word hashes, then a row of prefix hashes for each of PREFIXES."""
+    words = stems[0]
     text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    two = text[:-1] == text[1:]
-    three = text[:-2] == text[2:]
-    found = [mix(words), pair_hash(words[:-1], words[1:])[two], pair_hash(words[:-2] ^ _SKIP, words[2:])[three]] if len(words) > 2 else [mix(words), pair_hash(words[:-1], words[1:])[two]]
-    at = [text, text[:-1][two], text[:-2][three]][: len(found)]
+    near, far = text[:-1] == text[1:], text[:-2] == text[2:]
+    found = [mix(stems).ravel(), pair_hash(words[:-1], words[1:])[near], pair_hash(words[:-2] ^ _SKIP, words[2:])[far]]
+    at = [np.tile(text, len(stems)), text[:-1][near], text[:-2][far]]
     return np.concatenate(found) >> np.uint64(64 - BITS), np.concatenate(at)
 
 
 def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for lo, hi, words, bounds in hashed(batch.column("text")):
-            found, text = features(words, bounds)
+        for lo, hi, stems, bounds in hashed(batch.column("text"), PREFIXES):
+            found, text = features(stems, bounds)
             key = np.unique(found | text.astype(np.uint64) << np.uint64(32))
             ends = np.searchsorted(key >> np.uint64(32), np.arange(hi - lo + 1)).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array((key & np.uint64(0xFFFFFFFF)).astype(np.int32)))
@@ -109,8 +111,8 @@ def _score(table: KeyTable, weights: np.ndarray, bias: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for lo, hi, words, bounds in hashed(batch.column("text")):
-                found, text = features(words, bounds)
+            for lo, hi, stems, bounds in hashed(batch.column("text"), PREFIXES):
+                found, text = features(stems, bounds)
                 k = table.get(found + np.uint64(1))
                 hit = k >= 0
                 pair = np.unique(text[hit] * np.int64(len(weights) + 1) + k[hit])  # a feature counts once a text
