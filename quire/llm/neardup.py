@@ -10,8 +10,10 @@ to tell which classes hang together:
 
 1. every member is compared with the bucket's first member and with its last;
 2. in buckets that still hold several components, every member outside the largest is compared with PIVOTS of that one;
-3. members of buckets that hold several components even then are compared across components, never within one. In a bucket of
-   more than `small` members the two must agree on a second band as well, which splits members that share one passage only.
+3. in buckets that hold several components even then, members are compared with all of a component of `small` or more classes in
+   blocks inside tasks, which report a member's first link only; members of small components are compared in pairs across
+   components, never within one. In a bucket of more than `small` members the two must agree on a second band as well,
+   which splits members that share one passage only.
 """
 
 from __future__ import annotations
@@ -33,6 +35,7 @@ SKETCH_WORDS = 8  # the odd sketch has 64 bits a word
 PERCENT = 80
 SMALL = 48
 PIVOTS = 16
+BLOCK = 256
 #: How far below the wanted similarity an estimate may lie. The estimate's standard deviation is about 0.03 there.
 MARGIN = 0.18
 
@@ -125,15 +128,29 @@ def _with_sets(width: int):
     return run
 
 
+def _common(x: np.ndarray, y: np.ndarray) -> int:
+    """How many elements two sorted sets share."""
+    both = np.concatenate((x, y))
+    both.sort(kind="stable")
+    return int(np.count_nonzero(both[1:] == both[:-1]))
+
+
+def _most_bits(percent: int) -> float:
+    """How many odd bits two sketches of linked sets may differ in: their expectation MARGIN below the wanted similarity.
+
+    A similarity s is estimated as 1 + n / (4 k) ln(1 - 2 d / n) from d odd bits among n, of k samples.
+    """
+    bits = 64 * SKETCH_WORDS
+    return float(bits / 2 * (1 - np.exp(-4 * BANDS * ROWS / bits * (1 - percent / 100 + MARGIN))))
+
+
 def _confirmed(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.concatenate((x, y))
-                both.sort(kind="stable")
-                common = int(np.count_nonzero(both[1:] == both[:-1]))
+                common = _common(x, y)
                 keep.append(100 * common >= percent * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(keep)), batch.column("b").filter(pa.array(keep))], names=["a", "b"])
 
@@ -141,13 +158,11 @@ def _confirmed(percent: int):
 
 
 def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) that sizes and odd sketches allow to be linked. The estimate is 1 + n / (4 k) ln(1 - 2 d / n) for d odd bits among n, of k samples."""
+    """Pairs (a, b) that sizes and odd sketches allow to be linked."""
     side = lambda end: classes.select(F.col("v").alias(end), F.col("n_shingles").alias(f"n_{end}"), F.col("odd").alias(f"odd_{end}"))
-    bits = 64 * SKETCH_WORDS
-    most = bits / 2 * (1 - np.exp(-4 * BANDS * ROWS / bits * (1 - percent / 100 + MARGIN)))
     odd = sum((F.bit_count(F.get("odd_a", F.lit(i)).bitwiseXOR(F.get("odd_b", F.lit(i)))) for i in range(SKETCH_WORDS)), start=F.lit(0))
     sizes = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-    return pairs.join(side("a"), "a").join(side("b"), "b").where(sizes & (odd <= float(most))).select("a", "b")
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(sizes & (odd <= _most_bits(percent))).select("a", "b")
 
 
 def _links(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -177,8 +192,54 @@ def _to_pivots(still: DataFrame, pivots: int = PIVOTS) -> DataFrame:
     return materialize(ranked.where(~F.col("largest")).select("v", "key").join(chosen, "key").select(*_ordered("v", "pivot")).distinct())
 
 
-def _across(still: DataFrame, classes: DataFrame, small: int) -> DataFrame:
-    """Pairs of different components that share a bucket, and a second band if the bucket is large."""
+def _first_links(percent: int):
+    """Of a group of members of one component and queries: each query with the first member that it is linked to, the likeliest tried first."""
+
+    def run(group: pa.Table) -> pa.Table:
+        ids, own = group.column("v").to_numpy(), group.column("query").to_numpy(zero_copy_only=False)
+        n = group.column("n_shingles").to_numpy()
+        odd = group.column("odd").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(ids), SKETCH_WORDS)
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("shingles")]
+        members, a, b = np.flatnonzero(~own), [], []
+        for x in np.flatnonzero(own).tolist():
+            bits = np.bitwise_count(odd[members] ^ odd[x]).sum(1)
+            fits = (bits <= _most_bits(percent)) & (100 * np.minimum(n[members], n[x]) >= percent * np.maximum(n[members], n[x]))
+            order = np.argsort(bits[fits], kind="stable")
+            for y in members[fits][order].tolist():
+                common = _common(sets[x], sets[y])
+                if 100 * common >= percent * (n[x] + n[y] - common):
+                    a.append(min(ids[x], ids[y]))
+                    b.append(max(ids[x], ids[y]))
+                    break
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
+def _to_components(still: DataFrame, parts: DataFrame, large: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (one a query and block) between members of buckets and the large components that share a bucket with them.
+
+    All of a component's members are compared, in blocks of at most about BLOCK queries and BLOCK members, so no group grows with the
+    component, and no pair leaves a task unless it is a link.
+    """
+    sizes = large.select(F.col("component").alias("into"), F.col("size"))
+    here = still.select("key", F.col("part").alias("into")).join(sizes, "into").select("key", "into", "size").distinct()
+    asks = still.select("v", "key", "part").join(here, "key").where("part <> into").select("v", "part", "into", "size").distinct()
+    other = large.select(F.col("component").alias("part"), F.lit(True).alias("also"))
+    asks = materialize(asks.join(other, "part", "left").where("also is null or part < into").select("v", "into", "size"))
+    slots = lambda n: F.ceil(n / BLOCK).cast("int")
+    place = lambda n: F.pmod(F.xxhash64("v"), n).cast("int")
+    asked = asks.groupBy("into").agg(F.count(F.lit(1)).alias("asks"), F.first("size").alias("size")).select("into", slots(F.col("asks")).alias("rows"), slots(F.col("size")).alias("columns"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    queries = asks.select("v", "into").join(asked, "into").select("v", "into", F.lit(True).alias("query"), place(F.col("rows")).alias("i"), every("columns").alias("j"))
+    members = parts.select(F.col("id").alias("v"), F.col("component").alias("into")).join(asked, "into").select("v", "into", F.lit(False).alias("query"), every("rows").alias("i"), place(F.col("columns")).alias("j"))
+    both = queries.unionByName(members).join(classes.select("v", "n_shingles", "odd"), "v").join(sets, "v")
+    return both.groupBy("into", "i", "j").applyInArrow(_first_links(percent), "a long, b long")
+
+
+def _across(still: DataFrame, large: DataFrame, classes: DataFrame, small: int) -> DataFrame:
+    """Pairs of different components, none of them large, that share a bucket, and a second band if the bucket is large."""
+    still = still.join(large.select(F.col("component").alias("part")), "part", "left_anti").select("v", "key", "n", "part")
     big = still.where(F.col("n") > small)
     again = big.select("v", "key", "part").join(classes.select("v", "bands"), "v")
     again = again.select("v", "part", "key", F.explode("bands").alias("second")).where("second <> key").select("v", "part", F.xxhash64(F.least("key", "second"), F.greatest("key", "second")).alias("key"))
@@ -212,8 +273,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT, sma
     pivots = _to_pivots(still).join(star, ["a", "b"], "left_anti")
     links = links.union(materialize(_links(pivots, classes, sets, percent)))
     parts = connected_components(links, "a", "b")
-    across = _across(_open(still, parts), classes, small).join(star.union(pivots), ["a", "b"], "left_anti")
-    more = materialize(_links(across, classes, sets, percent))
+    still = _open(still, parts)
+    large = materialize(parts.groupBy("component").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= small))
+    blocks = _to_components(still, parts, large, classes, sets, percent)
+    across = _across(still, large, classes, small).join(star.union(pivots), ["a", "b"], "left_anti")
+    more = materialize(blocks.union(_links(across, classes, sets, percent)))
     if more.limit(1).count():
         parts = connected_components(links.union(more), "a", "b")
     named = by_set.join(parts.withColumnRenamed("id", "v"), "v", "left").select("digest", "least_id", F.coalesce("component", "v").alias("part"))
