@@ -1,10 +1,328 @@
-"""Queries over the driver's tables, with the SQL that gives the same rows."""
+"""Queries over the driver's tables, each with the SQL that gives the same rows."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from quire.functions import periods, text
+from quire.operators import audits, postings, research
+from quire.sources import tables as t
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
+
+PHRASE = "all about the small widget and Brand#12"
+
+
+def query(views: str = "", sql: str | None = None) -> Callable[[Query], Query]:
+    """Registers a query under its function's name, with its SQL over these views."""
+
+    def put(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE[f.__name__] = t.with_views(views, sql) if views else sql
+        return f
+
+    return put
+
+
+_PADDED = "concat(' ', lower(label), ' ')"
+_FOUND = f"found as (select distinct book, page from postings where subject in (select id from subjects where contains(' {PHRASE.lower().replace('#', ' ')} ', {_PADDED}) or contains(' {PHRASE.lower().replace('#', ' ')} ', concat(' ', replace(lower(alias), '#', ' '), ' '))))"
+
+
+@query("subjects", f"""select id, label, case when contains(' {PHRASE.lower().replace('#', ' ')} ', {_PADDED}) then 'label' else 'alias' end as method from subjects
+    where contains(' {PHRASE.lower().replace('#', ' ')} ', {_PADDED}) or contains(' {PHRASE.lower().replace('#', ' ')} ', concat(' ', replace(lower(alias), '#', ' '), ' '))""")
+def subject_lookup(spark, sf):
+    return research.subject_lookup(t.subjects(spark, sf), PHRASE)
+
+
+def _labels(spark):
+    rows = [("year", "1997", None), ("date", "31 febbraio 1996", "1996"), ("year", "1650", None)]
+    return spark.createDataFrame(rows, "kind string, label string, fallback string")
+
+
+_WANTED = "wanted as (select * from (values ('year', '1997', null), ('date', '31 febbraio 1996', '1996'), ('year', '1650', null)) w(kind, label, fallback))"
+_TIMED = """direct as (select w.label, r.book, r.page, false as fell_back from wanted w join time_refs r using (kind, label)),
+    back as (select w.label, r.book, r.page, true as fell_back from wanted w join time_refs r on r.kind = 'year' and r.label = w.fallback
+    where not exists (select 1 from time_refs x where x.kind = w.kind and x.label = w.label)), timed as (select * from direct union all select * from back)"""
+
+
+@query("time_refs", f"select * from (with {_WANTED}, {_TIMED} select * from timed)")
+def time_lookup_fallback(spark, sf):
+    return research.time_pages(_labels(spark), t.time_refs(spark, sf))
+
+
+_WIDE = """top1 as (select book from found group by book order by count(distinct page) desc, book limit 5), kept as (select * from found where book in (select book from top1)),
+    inch as (select k.book, k.page, first(c.start_page order by c.ord) as s, first(c.end_page order by c.ord) as e from kept k join chapters c on k.book = c.book and k.page between c.start_page and c.end_page group by k.book, k.page),
+    wide as (select book, page, max(hit) as hit from (select book, page, 1 as hit from kept union all select book, unnest(range(s, e + 1))::int, 0 from inch where e - s + 1 < 6) group by book, page)"""
+
+
+@query("subjects postings chapter_starts chapters time_refs", f"""select * from (with {_FOUND}, {_WIDE}, {_WANTED}, {_TIMED},
+    trimmed as (select book, page from (select *, row_number() over (partition by book order by hit desc, page) as r from wide) where r <= 8),
+    everything as (select book, page from trimmed union select book, page from timed union select book, page from kept),
+    top2 as (select book from everything group by book order by count(*) desc, book limit 5)
+    select book, page from (select *, row_number() over (partition by book order by page) as r from everything where book in (select book from top2)) where r <= 8)""")
+def research_candidates(spark, sf):
+    chapters = research.chapter_bounds(t.chapter_starts(spark, sf))
+    return research.candidates(t.subjects(spark, sf), t.postings(spark, sf), chapters, t.time_refs(spark, sf), PHRASE, _labels(spark))
+
+
+@query("postings", "select subject, book, string_agg(cast(page as varchar), ',' order by page) as pages from postings group by subject, book")
+def posting_merge(spark, sf):
+    return postings.merged(t.postings(spark, sf)).select("subject", "book", postings.joined(F.col("pages")).alias("pages"))
+
+
+@query("postings", "select book, count(distinct page) as n_pages from postings group by book order by n_pages desc, book limit 5")
+def book_budget(spark, sf):
+    return postings.book_budget(t.postings(spark, sf), 5)
+
+
+@query("postings", "select book, count(distinct page) as n_pages from postings group by book")
+def pages_per_book(spark, sf):
+    return t.postings(spark, sf).groupBy("book").agg(F.count_distinct("page").alias("n_pages"))
+
+
+@query("postings", """select book, count(*) as n_added from (select distinct book, page from postings where subject % 3 = 0 except select distinct book, page from postings where subject % 31 = 1) group by book""")
+def pages_added(spark, sf):
+    p = t.postings(spark, sf)
+    return postings.pages_added(p.where("subject % 31 = 1"), p.where("subject % 3 = 0"))
+
+
+@query("postings", "select distinct book, page from postings where subject % 5 = 0 union select distinct book, page from postings where subject % 7 = 0")
+def page_map_union(spark, sf):
+    p = t.postings(spark, sf)
+    return postings.page_map(p.where("subject % 5 = 0"), p.where("subject % 7 = 0"))
+
+
+@query("postings", "select subject, count(distinct book) as n_books, count(*) as n_pages from postings group by subject having count(distinct book) >= 2")
+def multibook_subjects(spark, sf):
+    return postings.multibook(t.postings(spark, sf), 2)
+
+
+@query("postings", "select book, page from (select book, page, row_number() over (partition by book order by page) as r from (select distinct book, page from postings where subject % 5 = 0)) where r <= 8")
+def page_budget_low(spark, sf):
+    return postings.page_budget(postings.page_map(t.postings(spark, sf).where("subject % 5 = 0")), 8)
+
+
+@query("subjects postings chapter_starts chapters", f"select * from (with {_FOUND}, {_WIDE} select book, page from (select *, row_number() over (partition by book order by hit desc, page) as r from wide) where r <= 8)")
+def page_budget_hits(spark, sf):
+    return postings.page_budget(_expanded(spark, sf), 8, hits_first=True)
+
+
+def _expanded(spark, sf):
+    found = t.postings(spark, sf).join(research.subject_lookup(t.subjects(spark, sf), PHRASE).select(F.col("id").alias("subject")), "subject", "left_semi")
+    top = postings.book_budget(found, 5).select("book")
+    kept = postings.page_map(found).join(top, "book", "left_semi")
+    return research.expand_chapters(kept, research.chapter_bounds(t.chapter_starts(spark, sf)))
+
+
+@query("subjects postings chapter_starts chapters", f"select * from (with {_FOUND}, {_WIDE} select book, page, hit = 1 as is_hit from wide)")
+def chapter_expand(spark, sf):
+    return _expanded(spark, sf)
+
+
+@query("chapter_starts chapters", "select * from chapters")
+def chapter_bounds(spark, sf):
+    return research.chapter_bounds(t.chapter_starts(spark, sf))
+
+
+@query("postings chapter_starts chapters", """select p.book, p.page, first(c.start_page order by c.ord) as start_page, first(c.end_page order by c.ord) as end_page
+    from (select distinct book, page from postings) p join chapters c on p.book = c.book and p.page between c.start_page and c.end_page group by p.book, p.page""")
+def page_to_chapter(spark, sf):
+    return research.page_chapters(t.postings(spark, sf), research.chapter_bounds(t.chapter_starts(spark, sf)))
+
+
+@query("book_pages", "select book, page as original, cast(row_number() over (partition by book order by page) as int) as aligned from book_pages where page % 7 <> 3")
+def page_renumber(spark, sf):
+    p = t.pages(spark, sf).select("book", "page")
+    return postings.renumbered(p, p.where("page % 7 = 3"))
+
+
+@query("", """select p_partkey as id, string_agg(distinct cast(x as varchar), ',' order by cast(x as varchar)) as pages from (
+    select p_partkey, unnest(list_concat([p_partkey % 90 + 1], range(p_partkey % 50 + 3, p_partkey % 50 + p_size % 9 + 4))) as x from part) group by p_partkey""")
+def page_list_expand(spark, sf):
+    p = t.table(spark, sf, "part")
+    a, low = F.col("p_partkey") % 90 + 1, F.col("p_partkey") % 50 + 3
+    line = F.concat(a.cast("string"), F.lit(", "), (low + F.col("p_size") % 9).cast("string"), F.lit("-"), low.cast("string"), F.lit(", x9"))
+    found = text.expand_page_list(line)
+    return p.select(F.col("p_partkey").alias("id"), F.array_join(F.array_sort(F.transform(found, lambda v: v.cast("string"))), ",").alias("pages"))
+
+
+@query("time_refs", """select kind, label, book, count(*) as n_pages, min(page) as first_page, max(page) as last_page from time_refs group by kind, label, book""")
+def time_index_build(spark, sf):
+    return t.time_refs(spark, sf).groupBy("kind", "label", "book").agg(F.count(F.lit(1)).alias("n_pages"), F.min("page").alias("first_page"), F.max("page").alias("last_page"))
+
+
+@query("time_refs", "select kind, book, count(distinct label) as n_labels from time_refs group by kind, book")
+def time_labels_per_book(spark, sf):
+    return t.time_refs(spark, sf).groupBy("kind", "book").agg(F.count_distinct("label").alias("n_labels"))
+
+
+_YEAR_LABEL = "case when o_orderkey % 5 = 0 then concat(cast(o_orderkey % 700 + 1 as varchar), ' a.C.') when o_orderkey % 11 = 0 then 'Quattrocento' else cast(o_orderkey % 2000 + 1 as varchar) end"
+
+
+@query("", f"""select label, row_number() over (order by case when label like '% a.C.' then 0 when label = 'Quattrocento' then 2 else 1 end,
+    case when label like '% a.C.' then -cast(split_part(label, ' ', 1) as int) when label = 'Quattrocento' then 0 else cast(label as int) end, label) as place
+    from (select distinct {_YEAR_LABEL} as label from orders)""")
+def year_order(spark, sf):
+    k = F.col("o_orderkey")
+    label = F.when(k % 5 == 0, F.concat((k % 700 + 1).cast("string"), F.lit(" a.C."))).when(k % 11 == 0, "Quattrocento").otherwise((k % 2000 + 1).cast("string"))
+    labels = t.table(spark, sf, "orders").select(label.alias("label")).distinct()
+    return labels.select("label", F.row_number().over(Window.orderBy(periods.year_order(F.col("label")), "label")).cast("long").alias("place"))
+
+
+@query("", """select o_orderkey as id, year(o_orderdate) as year, cast(o_orderkey % 900 + 100 as varchar) || '–' || cast(year(o_orderdate) as varchar) as period from orders""")
+def period_range_extract(spark, sf):
+    o = t.table(spark, sf, "orders")
+    line = F.concat(F.lit("Dal "), (F.col("o_orderkey") % 900 + 100).cast("string"), F.lit(" - "), F.year("o_orderdate").cast("string"), F.lit(" circa"))
+    return o.select(F.col("o_orderkey").alias("id"), F.year("o_orderdate").cast("long").alias("year"), F.element_at(periods.ranges_in(line), 1).alias("period"))
+
+
+@query("", """select o_orderkey as id, case when o_orderkey % 10 = 9 then '' else cast(o_orderkey % 1900 + 100 as varchar) || ',' end || '' as years from orders where false
+    union all select o_orderkey, array_to_string(list_sort(list_distinct(case when o_orderkey % 10 = 9 then [year(o_orderdate)] else [o_orderkey % 1900 + 100, year(o_orderdate)] end)), ',') from orders""")
+def year_extract(spark, sf):
+    o = t.table(spark, sf, "orders")
+    first = F.when(F.col("o_orderkey") % 10 == 9, F.lit("p. 345 ")).otherwise(F.concat(F.lit("nel "), (F.col("o_orderkey") % 1900 + 100).cast("string"), F.lit(" ")))
+    line = F.concat(first, F.lit("e poi 12.345, 99 e 2345 volte: "), F.year("o_orderdate").cast("string"))
+    return o.select(F.col("o_orderkey").alias("id"), F.array_join(F.transform(periods.years_in(line), lambda y: y.cast("string")), ",").alias("years"))
+
+
+@query("", """select o_orderkey as id, case when o_orderkey % 3 = 0 then '-' || lpad(cast(o_orderkey % 800 + 1 as varchar), 4, '0') else lpad(cast(least(o_orderkey % 800 + 1, year(o_orderdate)) as varchar), 4, '0') end || '/01/01' as b,
+    lpad(cast(year(o_orderdate) as varchar), 4, '0') || '/01/01' as e from orders""")
+def time_range_bounds(spark, sf):
+    o = t.table(spark, sf, "orders")
+    line = F.concat(F.lit("ca. "), (F.col("o_orderkey") % 800 + 1).cast("string"), F.when(F.col("o_orderkey") % 3 == 0, " a.C.").otherwise(""), F.lit(" / "), F.year("o_orderdate").cast("string"))
+    b, e = periods.range_bounds(line)
+    return o.select(F.col("o_orderkey").alias("id"), b.alias("b"), e.alias("e"))
+
+
+@query("", """select p_partkey as id, strip_accents(lower(p_name)) as label, replace(strip_accents(lower(p_name)), ' ', '-') as slug from part""")
+def label_normalize(spark, sf):
+    raw = F.concat(F.lit("  "), F.regexp_replace("p_name", " ", " \t "), F.lit(".,; "))
+    raw = F.translate(F.upper(raw), "AE", "ÀÉ")
+    return t.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), text.normalize_label(F.regexp_replace(raw, "\\s+$", "")).alias("label"), text.slugify(raw).alias("slug"))
+
+
+@query("", """select p_partkey as id, sha256(regexp_replace(lower(p_brand), '[^a-z0-9]', '', 'g') || regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g') || cast(1500 + p_size as varchar)) as cid from part""")
+def citation_ids(spark, sf):
+    year = F.concat(F.lit("ed. "), (1500 + F.col("p_size")).cast("string"), F.lit(", ristampa"))
+    return t.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), text.citation_id(F.col("p_brand"), F.col("p_name"), year).alias("cid"))
+
+
+@query("subjects", """select x.id, min(y.id) as canonical from (select id, lower(label) as k from subjects union select id, lower(alias) from subjects) x
+    join (select id, lower(label) as k from subjects union select id, lower(alias) from subjects) y using (k) group by x.id""")
+def exact_alias_match(spark, sf):
+    s = t.subjects(spark, sf)
+    keys = s.select("id", F.explode(F.array(text.normalize_label(F.col("label")), text.normalize_label(F.col("alias")))).alias("k"))
+    first = keys.groupBy("k").agg(F.min("id").alias("canonical"))  # the first subject of a key wins: one row a key, however many share it
+    return keys.join(first, "k").groupBy("id").agg(F.min("canonical").alias("canonical"))
+
+
+@query("subjects", """select id, label, score from (select id, label, case when starts_with(lower(label), 'small') then 100 else 0 end + case when contains(lower(label), 'small') then 50 else 0 end
+    + case when contains(lower(label) || ' ' || lower(alias), 'small') then 10 else 0 end as score from subjects) where score > 0 order by score desc, lower(label), id limit 20""")
+def catalog_search(spark, sf):
+    return research.catalog_search(t.subjects(spark, sf), "Small")
+
+
+@query("", "select distinct doc_id from (select doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) as w from documents where lang = 'en') where w in ('idiot', 'license', 'token')")
+def page_relevance(spark, sf):
+    d = t.table(spark, sf, "documents").where("lang = 'en'")
+    return research.relevant_pages(d, spark.createDataFrame([("Idiot",), ("license",), ("token",), ("a",)], "term string"))
+
+
+@query("articles", "select doc_id as id from documents where doc_id not in (select id from articles where not no_material)")
+def missing_articles(spark, sf):
+    return audits.missing_articles(t.table(spark, sf, "documents").select(F.col("doc_id").alias("id")), t.articles(spark, sf))
+
+
+@query("articles", "select doc_id as id, doc_id in (select id from articles where not no_material) as completed from documents")
+def partition_targets(spark, sf):
+    return audits.partitioned(t.table(spark, sf, "documents").select(F.col("doc_id").alias("id")), t.articles(spark, sf))
+
+
+_HTML = "left(html, cast(100 + (page_id * 37) % 900 as int))"
+
+
+def _files(spark, sf):
+    html = F.substring(F.col("html"), F.lit(1), (100 + (F.col("page_id") * 37) % 900).cast("int"))
+    return t.table(spark, sf, "pages").select(F.col("page_id").alias("id"), html.alias("html"))
+
+
+_DAMAGE = f"case when length(trim({_HTML})) < 200 then 'too_short' when not contains(lower({_HTML}), '<html') then 'no_html' when not contains(lower({_HTML}), '<body') then 'no_body' end"
+
+
+@query("", f"select page_id as id, {_DAMAGE} as damage from pages")
+def html_damage(spark, sf):
+    return _files(spark, sf).select("id", text.html_damage(F.col("html")).alias("damage"))
+
+
+_ISSUES = f"""f as (select page_id as id, {_DAMAGE} as damage from pages), s as (select doc_id as id from documents where doc_id % 4 <> 1),
+    j as (select coalesce(s.id, a.id, f.id) as id, s.id is not null as known, a.id is not null as listed, coalesce(a.no_material, false) as nm, f.id is not null as filed, f.damage
+    from s full join articles a on s.id = a.id full join f on f.id = coalesce(s.id, a.id)),
+    issues as (select id, 'unknown_subject' as issue from j where listed and not known union all select id, 'no_material' from j where listed and nm union all select id, 'orphan_catalog' from j where listed and not filed
+    union all select id, 'orphan_file' from j where filed and not listed union all select id, 'damaged_' || damage from j where damage is not null)"""
+
+
+def _issues(spark, sf):
+    known = t.table(spark, sf, "documents").where("doc_id % 4 <> 1").select(F.col("doc_id").alias("id"))
+    return audits.health_issues(known, t.articles(spark, sf), _files(spark, sf))
+
+
+@query("articles", f"select * from (with {_ISSUES} select * from issues)")
+def article_health(spark, sf):
+    return _issues(spark, sf)
+
+
+@query("articles", f"select * from (with {_ISSUES} select issue, count(*) as n, count(distinct id) as n_ids from issues group by issue)")
+def issue_summary(spark, sf):
+    return _issues(spark, sf).groupBy("issue").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("n_ids"))
+
+
+_STAGES = """gaps as (select s.stage, p.book, p.page from book_pages p cross join (values ('ocr'), ('vision'), ('editor')) s(stage)
+    where not (case s.stage when 'ocr' then p.doc_id % 11 <> 0 when 'vision' then p.doc_id % 7 <> 0 else p.doc_id % 5 <> 0 and p.book % 3 <> 0 end))"""
+
+
+def _gaps(spark, sf):
+    p = t.pages(spark, sf).select("doc_id", "book", "page")
+    done = p.where("doc_id % 11 <> 0").withColumn("stage", F.lit("ocr")).unionByName(p.where("doc_id % 7 <> 0").withColumn("stage", F.lit("vision"))).unionByName(p.where("doc_id % 5 <> 0 and book % 3 <> 0").withColumn("stage", F.lit("editor")))
+    return audits.stage_gaps(p, done, ("ocr", "vision", "editor"))
+
+
+@query("book_pages", f"select * from (with {_STAGES} select * from gaps)")
+def stage_audit(spark, sf):
+    return _gaps(spark, sf)
+
+
+@query("book_pages", f"""select * from (with {_STAGES}, b as (select book, count(distinct page) as n from gaps where stage = 'editor' group by book), k as (select distinct book from book_pages)
+    select count(*) as n_books, count(n) as n_with_gaps, count(*) - count(n) as n_complete, cast(coalesce(sum(n), 0) as bigint) as n_gap_pages from k left join b using (book))""")
+def audit_summary(spark, sf):
+    return audits.audit_summary(_gaps(spark, sf).where("stage = 'editor'"), t.pages(spark, sf))
+
+
+@query("", """select o_orderkey as request, o_orderstatus as status, c_name as title from (select * from orders order by o_orderdate desc, o_orderkey limit 200) o
+    left join (select * from customer where c_custkey % 10 <> 0) c on o.o_custkey = c.c_custkey""")
+def run_list(spark, sf):
+    runs = t.table(spark, sf, "orders").orderBy(F.desc("o_orderdate"), "o_orderkey").limit(200)
+    books = t.table(spark, sf, "customer").where("c_custkey % 10 <> 0")
+    return runs.join(books, runs["o_custkey"] == books["c_custkey"], "left").select(F.col("o_orderkey").alias("request"), F.col("o_orderstatus").alias("status"), F.col("c_name").alias("title"))
+
+
+@query("job_events", """select job, first(src order by rank desc) as src from (select o_custkey as job, 'pipeline' as src, 1 as rank from orders union all select c_custkey, 'research', 2 from customer where c_custkey % 3 = 0
+    union all select job, 'live', 3 from job_events) group by job""")
+def history_union(spark, sf):
+    a = t.table(spark, sf, "orders").select(F.col("o_custkey").alias("job"), F.lit("pipeline").alias("src"), F.lit(1).alias("rank"))
+    b = t.table(spark, sf, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("job"), F.lit("research").alias("src"), F.lit(2).alias("rank"))
+    c = t.job_events(spark, sf).select("job", F.lit("live").alias("src"), F.lit(3).alias("rank"))
+    return a.unionByName(b).unionByName(c).groupBy("job").agg(F.max_by("src", "rank").alias("src"))
+
+
+def _more() -> None:
+    """The other modules register their queries as they are imported."""
+    from quire.plans import corpus, links  # noqa: F401
+
+
+_more()
