@@ -19,6 +19,7 @@ import uuid
 from collections import Counter
 from collections.abc import Iterator
 from functools import cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -75,6 +76,8 @@ class Rules:
         """The word's tokens: its characters, the pair of the lowest rank merged, the leftmost first, until none is left."""
         parts = [self.characters[b] for b in word]
         parts[-1] += END
+        if len(parts) > 48:
+            return self._merge_long(parts)
         while len(parts) > 1:
             best, at = None, -1
             for k, pair in enumerate(zip(parts, parts[1:], strict=False)):
@@ -94,6 +97,25 @@ class Rules:
             parts = merged
         return parts
 
+    def _merge_long(self, parts: list[str]) -> list[str]:
+        """The same for a long word: a heap of the pairs there are, so that a merge costs log n rather than n steps."""
+        after, before = [*range(1, len(parts)), -1], list(range(-1, len(parts) - 1))
+        waiting = [(r, k) for k, pair in enumerate(zip(parts, parts[1:], strict=False)) if (r := self.ranks.get(pair)) is not None]
+        heapify(waiting)
+        while waiting:
+            rank, k = heappop(waiting)
+            other = after[k]
+            if not parts[k] or other < 0 or self.ranks.get((parts[k], parts[other])) != rank:
+                continue  # one of the two has been merged since
+            parts[k], parts[other] = parts[k] + parts[other], ""
+            after[k] = after[other]
+            if after[k] >= 0:
+                before[after[k]] = k
+            for left in (before[k], k):
+                if left >= 0 and after[left] >= 0 and (r := self.ranks.get((parts[left], parts[after[left]]))) is not None:
+                    heappush(waiting, (r, left))
+        return [p for p in parts if p]
+
 
 @cache
 def rules(path: str) -> Rules:
