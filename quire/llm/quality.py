@@ -40,6 +40,11 @@ RULES = (
 )
 
 
+def _once(c: Column) -> Column:
+    """c, evaluated where it stands: a filter above isn't pushed through it, which would evaluate the whole expression once per array element."""
+    return F.when(F.spark_partition_id() >= 0, c)
+
+
 def measured(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The counts the rules are built on, one row per row of docs (text), beside the columns to carry; null texts have no words.
 
@@ -50,22 +55,22 @@ def measured(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame
     # what is carried goes into one struct, so no name of docs can clash with a column made here
     whole = F.struct(*[F.col(c) for c in carry]).alias("carried")
     text = F.coalesce("text", F.lit(""))
-    first = docs.select(whole, text.alias("text"), F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("words"))
+    first = docs.select(whole, text.alias("text"), _once(F.regexp_extract_all(text, F.lit(WORD), F.lit(0))).alias("words"))
     step = first.select(
         "carried", "text", "words", F.size("words").alias("n"),
-        F.when(F.size("words") > 2, F.transform(F.slice("words", 1, F.size("words") - 2), lambda w, i: F.xxhash64(w, F.get("words", i + 1), F.get("words", i + 2)))).alias("windows"),
+        _once(F.when(F.size("words") > 2, F.transform(F.slice("words", 1, F.size("words") - 2), lambda w, i: F.xxhash64(w, F.get("words", i + 1), F.get("words", i + 2))))).alias("windows"),
     )
     step = step.select(
         "carried", "text", "words", "n",
-        F.when(F.size(F.array_distinct("windows")) < F.size("windows"), F.sort_array(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))).alias("sorted"),
+        _once(F.when(F.size(F.array_distinct("windows")) < F.size("windows"), F.sort_array(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))).alias("sorted"),
     )
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
     step = step.select(
-        "carried", "text", "words", "n", lines.alias("lines"),
-        F.filter(F.transform("sorted", lambda w, i: F.when((w["h"] == F.get("sorted", i + 1)["h"]) | ((i > 0) & (w["h"] == F.get("sorted", F.greatest(i - 1, F.lit(0)))["h"])), w["i"])), lambda x: x.isNotNull()).alias("again"),
+        "carried", "text", "words", "n", _once(lines).alias("lines"),
+        _once(F.filter(F.transform("sorted", lambda w, i: F.when((w["h"] == F.get("sorted", i + 1)["h"]) | ((i > 0) & (w["h"] == F.get("sorted", F.greatest(i - 1, F.lit(0)))["h"])), w["i"])), lambda x: x.isNotNull())).alias("again"),
     )
     covered = F.size(F.array_distinct(F.flatten(F.transform("again", lambda i: F.array(i, i + 1, i + 2)))))
-    long = lambda c: c.cast("long")
+    long = lambda c: _once(c.cast("long"))
     return step.select(
         "carried.*",
         long(F.col("n")).alias("n_words"),
