@@ -1,8 +1,68 @@
-"""DuckDB SQL with the rows of this subpackage's queries, where SQL can express them."""
+"""DuckDB SQL with the rows of this subpackage's queries, where SQL can express them.
+
+Scores of trained models, hashed fingerprints, keyed permutations and tokenizers have no SQL form; their tests hold the queries
+against brute force, exact round trips or held-out accuracy.
+"""
 
 from __future__ import annotations
 
+from quire.llm.quality import STOP_WORDS
+
 _WORD = r"[^\x20\x09-\x0D]+"
+_STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
+
+#: The base columns by contract; the verdict by the production table of thresholds.
+OP8 = rf"""
+with w as (
+  select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '{_WORD}') as words,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines
+  from documents
+), m as (
+  select doc_id, words, cast(len(words) as bigint) as n_words, cast(coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) as bigint) as word_chars,
+    cast(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) as bigint) as n_symbols, len(lines) as n_lines,
+    cast(len(lines) - len(list_distinct(lines)) as bigint) as n_dup_lines, len(list_filter(words, lambda x: lower(x) in ({_STOP}))) as n_stop
+  from w
+), g as (
+  select doc_id, unnest(range(1, len(words) - 1)) as i, unnest(list_transform(range(1, len(words) - 1), lambda i: concat(words[i], ' ', words[i + 1], ' ', words[i + 2]))) as gram
+  from w where len(words) > 2
+), again as (
+  select doc_id, i from (select *, count(*) over (partition by doc_id, gram) as n from g) where n > 1
+), covered as (
+  select doc_id, count(*) as n from (select doc_id, i from again union select doc_id, i + 1 from again union select doc_id, i + 2 from again) group by doc_id
+), b as (
+  select m.*, cast(coalesce(c.n, 0) as bigint) as n_repeat_words, n_words < 50 or 100 * coalesce(c.n, 0) > 50 * n_words as base_failed, greatest(n_words, 1) as d
+  from m left join covered c using (doc_id)
+)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  not base_failed and word_chars / d between 2 and 12 and n_symbols / d <= 0.1 and n_stop / d >= 0.02 and n_dup_lines / greatest(n_lines, 1) <= 0.5 and n_repeat_words / d <= 0.5 as kept
+from b
+"""
 
+#: The shuffle key is an md5 of the id, which both engines have; the rest is windows over all rows.
+OP10 = rf"""
+with d as (
+  select doc_id, source, md5('mix:' || coalesce(cast(doc_id as varchar), 'null')) as key, cast(coalesce(len(regexp_extract_all(text, '{_WORD}')), 0) as bigint) as size from documents
+), s as (
+  select source, cast(sum(size) as bigint) as source_size, 1 + (row_number() over (order by source is null, source) - 1) % 3 as weight from d group by source
+), c as (
+  select *, 3 * source_size as cap, sum(source_size) over () as total, coalesce(sum(3 * source_size) over (order by 3 * source_size / weight, source rows between unbounded preceding and 1 preceding), 0) as before,
+    sum(weight) over (order by 3 * source_size / weight, source rows between current row and unbounded following) as rest from s
+), l as (
+  select *, (total - before) / rest as share from c
+), z as (
+  select *, (select first(share order by cap / weight, source) from l where cap / weight >= share) as level from l
+), t as (
+  select source, source_size, total, least(cast(cap as double), coalesce(level * weight, cap)) as target from z
+), r as (
+  select d.*, t.source_size, t.target, t.total, row_number() over (order by d.source, key, size) as id,
+    sum(size) over (partition by d.source order by key, size rows unbounded preceding) as sent from d join t on d.source is not distinct from t.source
+), e as (
+  select id, size, total, sum(size) over (order by (k * source_size + sent) / target, source is null desc, source, key, size, k rows unbounded preceding) as running
+  from r, (values (0), (1), (2)) v(k) where size > 0 and target > 0
+), x as (
+  select id, sum(size) as taken from e where running <= total group by id
+)
+select doc_id, size, source_size, target, cast(coalesce(taken, 0) as bigint) as taken from r left join x using (id)
+"""
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op8_quality": OP8, "op10_mix": OP10}
