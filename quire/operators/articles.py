@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LINK = "\\[([^\\]]*)\\]\\((source|subject):([^)\\s]+)\\)"
+#: Fixed value: the note that stands in for a link to a page that does not exist.
 UNVERIFIED = "*[[fonte non verificabile]]*"
 
 
