@@ -74,3 +74,19 @@ def repeated_blocks(original: Column, merged: Column, lines: int = 3) -> Column:
     rows = F.split(original, "\n")
     blocks = F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(rows) - lines + 1)), lambda i: F.array_join(F.slice(rows, i, F.lit(lines)), "\n")), lambda b: F.contains(merged, b))
     return F.when(F.size(rows) >= lines, F.size(blocks) * lines / F.size(F.split(merged, "\n"))).otherwise(0.0)
+
+
+def lint(articles: DataFrame, checked: DataFrame, available: DataFrame) -> DataFrame:
+    """(id, code), a row per kind of finding: "unresolved_link", "dangling_citation" (a cited page that isn't available), "no_links", "html"."""
+    bad = checked.where("not valid").select("id", F.lit("unresolved_link").alias("code"))
+    cited = cited_pages(checked)
+    dangling = cited.join(available.select("book", "page").distinct(), ["book", "page"], "left_anti").select("id", F.lit("dangling_citation").alias("code"))
+    none = articles.join(checked.select("id").distinct(), "id", "left_anti").select("id", F.lit("no_links").alias("code"))
+    html = articles.where(F.col("text").rlike("<[a-zA-Z/][^>]*>")).select("id", F.lit("html").alias("code"))
+    return bad.union(dangling).union(none).union(html).distinct()
+
+
+def exportable(articles: DataFrame, findings: DataFrame) -> DataFrame:
+    """(id, codes): null codes for articles without findings; the others are blocked."""
+    codes = findings.groupBy("id").agg(F.array_join(F.array_sort(F.collect_set("code")), ",").alias("codes"))
+    return articles.select("id").distinct().join(codes, "id", "left")

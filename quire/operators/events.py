@@ -52,3 +52,21 @@ def first_in_window(requests: DataFrame, seconds: int) -> DataFrame:
     w = Window.partitionBy("key").orderBy("ts", "event_id")
     gap = F.col("ts").cast("timestamp").cast("long") - F.lag("ts").over(w).cast("timestamp").cast("long")
     return requests.withColumn("gap", gap).where(F.col("gap").isNull() | (F.col("gap") > seconds)).select("key", "ts", "event_id")
+
+
+def history(runs: DataFrame, book: str = "", job: str = "", date: str = "", limit: int = 200) -> DataFrame:
+    """Runs (job, book, started_at, ...) whose book and job hold the given texts (case apart) and whose start begins with the date; newest first, at most `limit` (500 at most)."""
+    for column, wanted in (("book", book), ("job", job)):
+        if wanted:
+            runs = runs.where(F.contains(F.lower(F.col(column).cast("string")), F.lit(wanted.lower())))
+    if date:
+        runs = runs.where(F.startswith(F.col("started_at").cast("string"), F.lit(date)))
+    return runs.orderBy(F.desc("started_at"), "job").limit(min(limit, 500))
+
+
+def job_list(events: DataFrame, limit: int = 50, finished: bool = True) -> DataFrame:
+    """(job, status, updated): jobs by last event, running ones first, then the latest updated."""
+    at = F.struct("ts", "event_id")
+    jobs = events.groupBy("job").agg(F.max_by("status", at).alias("status"), F.max("ts").alias("updated"))
+    done = F.col("status").isin(*TERMINAL)
+    return (jobs if finished else jobs.where(~done)).orderBy(done, F.desc("updated"), "job").limit(limit)

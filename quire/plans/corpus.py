@@ -225,3 +225,14 @@ def snippets(spark, sf):
 @query("", "select doc_id, generate_subscripts(p, 1) - 1 as pos, unnest(p) as paragraph from (select doc_id, string_split(text, chr(10)) as p from documents)")
 def paragraphs(spark, sf):
     return t.table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("p", "paragraph")).select("doc_id", F.col("p").cast("long").alias("pos"), "paragraph")
+
+
+@query("", "select o_orderkey as job, o_orderpriority as book, strftime(o_orderdate, '%Y-%m-%d') as started_at from orders where lower(o_orderpriority) like '%urgent%' and cast(o_orderkey as varchar) like '%1%' and strftime(o_orderdate, '%Y-%m-%d') like '199%' order by started_at desc, o_orderkey limit 50")
+def job_history(spark, sf):
+    runs = t.table(spark, sf, "orders").select(F.col("o_orderkey").alias("job"), F.col("o_orderpriority").alias("book"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("started_at"))
+    return events.history(runs, book="Urgent", job="1", date="199", limit=50)
+
+
+@query("job_events", "select job, last(status order by ts, event_id) as status, strftime(max(ts), '%Y-%m-%d %H:%M:%S') as updated from job_events group by job order by last(status order by ts, event_id) in ('completed', 'failed'), max(ts) desc, job limit 20")
+def job_list(spark, sf):
+    return events.job_list(t.job_events(spark, sf), 20).select("job", "status", F.date_format("updated", "yyyy-MM-dd HH:mm:ss").alias("updated"))

@@ -108,3 +108,23 @@ def repeated_blocks(spark, sf):
     a = F.concat(F.lit("a\nb\n"), "p_name")
     b = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("x\n"), a)).otherwise(F.concat(F.lit("a\nc\nb\n"), "p_name"))
     return t.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), articles.repeated_blocks(a, b).alias("ratio"))
+
+
+_LINT = _CHECKED + """, f as (select id, 'unresolved_link' as code from c where not valid union select id, 'dangling_citation' from c where kind = 'source' and target not in (select cast(book as varchar) || '/' || cast(page as varchar) from book_pages where page % 2 = 0)
+    union select o_orderkey, 'html' from orders where o_orderkey % 13 = 0)"""
+
+
+def _findings(spark, sf):
+    a = _articles(spark, sf)
+    a = a.select("id", F.when(F.col("id") % 13 == 0, F.concat("text", F.lit(" <br/>"))).otherwise(F.col("text")).alias("text"))
+    return a, articles.lint(a, _checked(spark, sf), t.pages(spark, sf).where("page % 2 = 0"))
+
+
+@query("subjects book_pages", f"select * from (with {_LINT} select * from f)")
+def article_lint(spark, sf):
+    return _findings(spark, sf)[1]
+
+
+@query("subjects book_pages", f"select * from (with {_LINT} select o_orderkey as id, (select string_agg(code, ',' order by code) from f where f.id = o_orderkey) as codes from orders)")
+def export_gate(spark, sf):
+    return articles.exportable(*_findings(spark, sf))
