@@ -12,8 +12,8 @@ to tell which classes hang together:
 2. in buckets that still hold several components, every member outside the largest is compared with PIVOTS of that one;
 3. in buckets that hold several components even then, members are compared with all of a component of `small` or more classes in
    blocks inside tasks, which report a member's first link only; members of small components are compared in pairs across
-   components, never within one. In a bucket of more than `small` members the two must agree on a second band as well,
-   which splits members that share one passage only.
+   components, never within one. In a bucket with more than `small` of these members the two must agree on a second band as
+   well, which splits members that share one passage only.
 """
 
 from __future__ import annotations
@@ -238,8 +238,10 @@ def _to_components(still: DataFrame, parts: DataFrame, large: DataFrame, classes
 
 
 def _across(still: DataFrame, large: DataFrame, classes: DataFrame, small: int) -> DataFrame:
-    """Pairs of different components, none of them large, that share a bucket, and a second band if the bucket is large."""
-    still = still.join(large.select(F.col("component").alias("part")), "part", "left_anti").select("v", "key", "n", "part")
+    """Pairs of different components, none of them large, that share a bucket, and a second band if it holds more than `small` of such members."""
+    rest, bucket = still.join(large.select(F.col("component").alias("part")), "part", "left_anti"), Window.partitionBy("key")
+    rest = rest.select("v", "key", "part", F.count(F.lit(1)).over(bucket).alias("n"), F.min("part").over(bucket).alias("p0"), F.max("part").over(bucket).alias("p1"))
+    still = materialize(rest.where("p0 <> p1").select("v", "key", "n", "part"))
     big = still.where(F.col("n") > small)
     again = big.select("v", "key", "part").join(classes.select("v", "bands"), "v")
     again = again.select("v", "part", "key", F.explode("bands").alias("second")).where("second <> key").select("v", "part", F.xxhash64(F.least("key", "second"), F.greatest("key", "second")).alias("key"))
