@@ -267,19 +267,22 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT, sma
     shared = materialize(shared.where("n > 1"))
     wanted = shared.select("v").distinct()
     lookup = classes.select("v", "doc_id", "digest").join(wanted, "v")
-    sets = materialize(docs.select("doc_id", "text").join(lookup, docs["doc_id"].eqNullSafe(lookup["doc_id"])).select("text", "digest", "v").mapInArrow(_with_sets(width), "v long, shingles binary").dropDuplicates(["v"]))
+    sets = docs.select("doc_id", "text").join(lookup, docs["doc_id"].eqNullSafe(lookup["doc_id"])).select("text", "digest", "v").mapInArrow(_with_sets(width), "v long, shingles binary")
+    repeated = sketch.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
+    sets = materialize(sets.dropDuplicates(["v"]) if repeated else sets)  # only a repeated id can give a class its set twice
     star = shared.where("v <> pivot").select(*_ordered("v", "pivot")).union(shared.where("v <> other").select(*_ordered("v", "other"))).distinct()
     links = materialize(_links(star, classes, sets, percent))
     parts = connected_components(links, "a", "b")
     still = _open(shared, parts)
+    undecided = materialize(sets.join(materialize(still.select("v").distinct()), "v", "left_semi"))
     pivots = _to_pivots(still).join(star, ["a", "b"], "left_anti")
-    links = links.union(materialize(_links(pivots, classes, sets, percent)))
+    links = links.union(materialize(_links(pivots, classes, undecided, percent)))
     parts = connected_components(links, "a", "b")
     still = _open(still, parts)
     large = materialize(parts.groupBy("component").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= small))
     blocks = _to_components(still, parts, large, classes, sets, percent)
     across = _across(still, large, classes, small).join(star.union(pivots), ["a", "b"], "left_anti")
-    more = materialize(blocks.union(_links(across, classes, sets, percent)))
+    more = materialize(blocks.union(_links(across, classes, undecided, percent)))
     if more.limit(1).count():
         parts = connected_components(links.union(more), "a", "b")
     named = by_set.join(parts.withColumnRenamed("id", "v"), "v", "left").select("digest", "least_id", F.coalesce("component", "v").alias("part"))
