@@ -21,10 +21,10 @@ def _columns(docs: DataFrame) -> DataFrame:
     return docs.select(*COLUMNS)
 
 
-def _one_of_each(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents of these ids; of several with one id, one of the longest (then greatest) text."""
+def _one_of_each(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The documents of other ids than these; of several with one id, one of the longest (then greatest) text. No null ids."""
     several = materialize(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"))
-    kept = docs.join(ids, "doc_id", "left_semi")
+    kept = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti")
     if several.limit(1).count() == 0:
         return kept
     some = kept.join(several, "doc_id", "left_semi").groupBy("doc_id").agg(F.max(F.struct("n_chars", "text", "lang", "source")).alias("d"))
@@ -41,8 +41,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """The document of the smallest id of each group of near duplicates (five-word shingles, similarity 0.8)."""
     docs = _columns(docs)
     found = neardup.near_duplicates(docs, width=5, percent=80)
-    first = materialize(found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct())
-    return _one_of_each(docs, first).select(*COLUMNS)
+    first = F.bool_or(F.col("doc_id") == F.col("component_id"))
+    gone = materialize(found.where("doc_id is not null").groupBy("doc_id").agg(first.alias("first")).where("not first").select("doc_id"))
+    return _one_of_each(docs, gone).select(*COLUMNS)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
