@@ -4,11 +4,12 @@ The estimates are maximum-likelihood frequencies counted over all training docum
 the context was seen (a bucket per octave), and each bucket's weights are learned by expectation-maximisation on counts held
 out from the estimates (a seventh of the documents).
 
-Unigram counts are exact for every word. Bigrams are counted over word classes: each of the `CLASSES - 2` most frequent words
-is a class of its own, so is the end of a text (which is also the context of a first word), and all rarer words are one class,
-within which a word is as likely as its own count says. The bigram table therefore has at most CLASSES ** 2 entries however
-large the corpus, and it is this bound that lets it be broadcast. Unigram counts have no bound: the most frequent words, at most
-HEAD of them, are broadcast, and occurrences of all others are joined with the table of counts.
+Unigram and bigram counts are exact for every word; the end of a text is a word as well, and the context of a first word. Neither
+table has a bound. The counts of the most frequent words, at most HEAD of them, are broadcast, and so are those of the pairs of
+the BLOCK most frequent ones. Occurrences of all other pairs are joined with the table of pairs. Each of these has a word outside
+the block, so no more than one in BLOCK tokens is of one pair and the join needs no salt.
+
+A pair is named by the places of its two words among the most frequent, or, if one is not there, by a hash (with HASHED set).
 """
 
 from __future__ import annotations
@@ -21,13 +22,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.lookup import KeyTable, Tally, most_frequent
-from quire.llm.textscan import hashed, mix
+from quire.llm.textscan import hashed, mix, pair_hash
 from quire.session import materialize
 
-CLASSES = 2048
+BLOCK = 2048
 HEAD = 1 << 19
-RARE, END = 0, 1
+HASHED = np.uint64(1 << 62)
 BUCKETS = 48
+PAIRS_AT_ONCE = 1_000_000
 END_HASH = mix(np.array([0x454E44], np.uint64))[0]
 TRAIN, HELD_OUT, TEST = 0, 1, 2
 
@@ -48,64 +50,120 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch
             yield batch, lo, hi, *_tokens(words, bounds), fold[lo:hi]
 
 
-def _counted(keys_of):
-    """Counts of keys in training and in held-out texts; keys_of: tokens -> keys."""
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of tokens in training and in held-out texts."""
+    tally = Tally(), Tally()
+
+    def rows() -> Iterator[pa.RecordBatch]:
+        for k in (TRAIN, HELD_OUT):
+            keys, n = tally[k].take()
+            zero = np.zeros(len(n), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(zero if k else n), pa.array(n if k else zero)], names=["key", "train", "held"])
+
+    for _, _, _, tokens, starts, fold in _batches(batches):
+        each = np.repeat(fold, np.diff(np.append(starts, len(tokens))))
+        for k in (TRAIN, HELD_OUT):
+            tally[k].add(tokens[each == k])
+        if tally[0].full or tally[1].full:
+            yield from rows()
+    yield from rows()
+
+
+def _named(table: KeyTable, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(pair, context, place of the context, place of the token) of each token; a place is -1 for words not in the table."""
+    before = np.empty_like(tokens)
+    before[0], before[1:] = END_HASH, tokens[:-1]
+    to = table.get(tokens)
+    context = np.empty_like(to)
+    context[0], context[1:] = table.get(END_HASH[None])[0], to[:-1]
+    pair = (context.astype(np.uint64) << np.uint64(32)) | to.astype(np.uint64)
+    away = np.flatnonzero((context < 0) | (to < 0))
+    pair[away] = (pair_hash(before[away], tokens[away]) | HASHED) & np.uint64((1 << 63) - 1)
+    return pair, before, context, to
+
+
+def _pair_counts(words):
+    """Counts of pairs in training and held-out texts, 0 for those of others. Of hashed pairs also the words that have no place (v, w)
+    and the place of the one that has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally = Tally(), Tally()
+        table = KeyTable(words.value[0], np.arange(len(words.value[0]), dtype=np.int32))
+        parts, hashes, n = [], [], 0
 
         def rows() -> Iterator[pa.RecordBatch]:
-            for k in (TRAIN, HELD_OUT):
-                keys, n = tally[k].take()
-                zero = np.zeros(len(n), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(zero if k else n), pa.array(n if k else zero)], names=["key", "train", "held"])
+            pair, fold = (np.concatenate(x) for x in zip(*parts, strict=True))
+            parts.clear()
+            order = np.argsort(pair)
+            pair, fold = pair[order], fold[order]
+            del order
+            first = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
+            keys = pair[first]
+            count = [pa.array(np.add.reduceat(fold == k, first, dtype=np.int64)) for k in (TRAIN, HELD_OUT)]
+            v, w, place = np.zeros(len(keys), np.uint64), np.zeros(len(keys), np.uint64), np.full(len(keys), -1, np.int32)
+            if hashes:
+                pair, *values = (np.concatenate(x) for x in zip(*hashes, strict=True))
+                hashes.clear()
+                _, at = np.unique(pair, return_index=True)
+                for column, x in zip((v, w, place), values, strict=True):
+                    column[keys >= HASHED] = x[at]
+            column = lambda x: pa.array(x.view(np.int64), mask=x == 0)
+            out = pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), column(v), column(w), pa.array(place), *count], names=["pair", "v", "w", "place", "train", "held"])
+            for lo in range(0, len(keys), 1 << 16):
+                yield out.slice(lo, 1 << 16)
 
         for _, _, _, tokens, starts, fold in _batches(batches):
-            keys = keys_of(tokens)
-            each = np.repeat(fold, np.diff(np.append(starts, len(tokens))))
-            for k in (TRAIN, HELD_OUT):
-                tally[k].add(keys[each == k])
-            if tally[0].full or tally[1].full:
+            pair, before, context, to = _named(table, tokens)
+            parts.append((pair, np.repeat(fold.astype(np.int8), np.diff(np.append(starts, len(tokens))))))
+            away = np.flatnonzero(pair >= HASHED)
+            if len(away):  # word hash 0 stands for a word with a place
+                context, to = context[away], to[away]
+                hashes.append((pair[away], np.where(context < 0, before[away], 0), np.where(to < 0, tokens[away], 0), np.maximum(context, to)))
+            n += len(tokens)
+            if n >= PAIRS_AT_ONCE:
                 yield from rows()
-        yield from rows()
+                n = 0
+        if parts:
+            yield from rows()
 
     return run
 
 
-def _pairs(classes: KeyTable):
-    def keys_of(tokens: np.ndarray) -> np.ndarray:
-        to = np.maximum(classes.get(tokens), RARE).astype(np.uint64)
-        before = np.empty_like(to)
-        before[0], before[1:] = END, to[:-1]
-        return before * np.uint64(CLASSES) + to
+PAIRS = "pair long, v long, w long, place int, train long, held long"
 
-    return keys_of
 
+def _counts_of(words, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(count of context, of it in training, count of word, of it in training) of each pair."""
+    _, n_of, train_of = words.value
+    pair = batch.column("pair").to_numpy()
+    out = [batch.column(c).fill_null(0).to_numpy(zero_copy_only=False).astype(float) for c in ("v_n", "v_train", "w_n", "w_train")]
+    is_hashed, place = pair >= int(HASHED), batch.column("place").to_numpy()
+    has = [~is_hashed | batch.column(c).is_null().to_numpy(zero_copy_only=False) for c in ("v", "w")]
+    at = [np.where(is_hashed, place, pair >> 32), np.where(is_hashed, place, pair & 0xFFFFFFFF)]
+    for k in (0, 1):
+        out[2 * k][has[k]], out[2 * k + 1][has[k]] = n_of[at[k][has[k]]], train_of[at[k][has[k]]]
+    return tuple(out)
 
-def _learned(pairs: np.ndarray, train: np.ndarray, held: np.ndarray, bucket: np.ndarray, rare: list[tuple[float, float]], n: float, vocabulary: int, rounds: int = 25) -> np.ndarray:
-    """Weights (uniform, unigram, bigram) of each context bucket.
 
-    rare: (training count, held-out occurrences) of the rare words, which share out each bucket's held-out rare tokens.
-    """
-    to, context = pairs % CLASSES, pairs // CLASSES
-    of_context = np.bincount(context, train, CLASSES)
-    of_class = np.bincount(to, train, CLASSES)
-    seen = held > 0
-    to, context, train, weight = to[seen], context[seen], train[seen], held[seen].astype(float)
-    bigram = train / np.maximum(of_context[context], 1)
-    unigram = of_class[to] / max(n, 1)
-    b = bucket[context]
-    own = to != RARE
-    rare_weight = np.bincount(b[~own], weight[~own], BUCKETS)
-    rare_bigram = np.bincount(b[~own], weight[~own] * bigram[~own], BUCKETS) / np.maximum(rare_weight, 1)
-    share = np.array([k for k, _ in rare]) / max(of_class[RARE], 1)
-    part = np.array([m for _, m in rare], float)
-    part /= max(part.sum(), 1)
-    # per bucket and rare level: one row more
-    b = np.concatenate((b[own], np.repeat(np.arange(BUCKETS), len(share))))
-    bigram = np.concatenate((bigram[own], (rare_bigram[:, None] * share).ravel()))
-    unigram = np.concatenate((unigram[own], np.tile(of_class[RARE] / max(n, 1) * share, BUCKETS)))
-    weight = np.concatenate((weight[own], (rare_weight[:, None] * part).ravel()))
+def _bucket(n: np.ndarray) -> np.ndarray:
+    return np.minimum(np.log2(np.maximum(n, 1)).astype(int), BUCKETS - 1)
+
+
+def _levels(words, total: int):
+    """Of pairs that were held out: bucket, level of the bigram and the unigram estimate, weight, and weighted estimates."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        level = lambda x: np.where(x > 0, np.floor(np.log2(np.where(x > 0, x, 1)) * 16), -9999).astype(np.int32)
+        for batch in batches:
+            n, train, _, w_train = _counts_of(words, batch)
+            weight = batch.column("held").to_numpy().astype(float)
+            bigram, unigram = batch.column("train").to_numpy() / np.maximum(train, 1), w_train / max(total, 1)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (_bucket(n).astype(np.int32), level(bigram), level(unigram), weight, weight * bigram, weight * unigram)], names=["b", "x", "y", "weight", "bigram", "unigram"])
+
+    return run
+
+
+def _learned(b: np.ndarray, weight: np.ndarray, bigram: np.ndarray, unigram: np.ndarray, vocabulary: int, rounds: int = 25) -> np.ndarray:
+    """Weights (uniform, unigram, bigram) of each context bucket, from held-out tokens' estimates."""
     parts = np.stack([np.full(len(b), 1 / (vocabulary + 1)), unigram, bigram])
     mixed = np.tile(np.array([[0.1], [0.3], [0.6]]), BUCKETS)
     for _ in range(rounds):
@@ -116,57 +174,68 @@ def _learned(pairs: np.ndarray, train: np.ndarray, held: np.ndarray, bucket: np.
     return mixed
 
 
-def _scorer(words, classes, pairs, of_context, bucket, weights, n: int, vocabulary: int, rare_total: int, complete: bool):
-    """Rows of texts (key null) with what is known of them in the task, and of tokens whose count has to be joined (key set)."""
+def _probability(weights: np.ndarray, context: np.ndarray, word: np.ndarray, pair: np.ndarray, n: int, vocabulary: int) -> np.ndarray:
+    """p of tokens, from the counts of the context, the word and the pair."""
+    uniform, unigram, bigram = weights[:, _bucket(context)]
+    return uniform / (vocabulary + 1) + unigram * word / max(n, 1) + bigram * pair / np.maximum(context, 1)
+
+
+def _pair_scores(words, weights: np.ndarray, n: int, vocabulary: int):
+    """Each pair's log10 probability, and for words without a place whether they are known and their base score."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            context, _, word, _ = _counts_of(words, batch)
+            seen = batch.column("train").to_numpy() + batch.column("held").to_numpy()
+            placed = batch.column("w").is_null().to_numpy(zero_copy_only=False)
+            known, base = (word > 0).astype(np.int64), np.log10((word + 1) / (n + vocabulary + 1))
+            p = _probability(weights, context, word, seen, n, vocabulary)
+            yield pa.RecordBatch.from_arrays([batch.column("pair"), pa.array(np.log10(p)), pa.array(known, mask=placed), pa.array(base, mask=placed)], names=["pair", "log_p", "more_known", "more_base"])
+
+    return run
+
+
+def _scorer(words, block, weights: np.ndarray, n: int, vocabulary: int):
+    """Rows of tokens to be joined (pair >= 0), and three rows a text (pair < 0) of what is known of it in the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        word_table, class_table = KeyTable(*words.value), KeyTable(*classes.value)
-        bigrams = np.zeros((CLASSES, CLASSES), np.int32)
-        bigrams.reshape(-1)[pairs.value[0]] = pairs.value[1]
-        total, base_total = max(n, 1), n + vocabulary + 1
-        mixed = weights[:, bucket]
-        uniform = mixed[0] / (vocabulary + 1)
-        slope = mixed[2] / np.maximum(of_context, 1)
-        row = TaskContext.get().partitionId() << 40
+        keys, n_of, _ = words.value
+        table = KeyTable(keys, np.arange(len(keys), dtype=np.int32))
+        bigrams = np.zeros((BLOCK, BLOCK), np.int64)
+        bigrams[block.value[0] >> 32, block.value[0] & 0xFFFFFFFF] = block.value[1]
+        n_of = np.append(n_of, 0).astype(float)  # place -1
+        row = TaskContext.get().partitionId() << 32
         for batch, lo, hi, tokens, starts, fold in _batches(batches):
-            count = word_table.get(tokens)
-            to = np.maximum(class_table.get(tokens), RARE)
-            before = np.empty_like(to)
-            before[0], before[1:] = END, to[:-1]
-            if complete:
-                count = np.maximum(count, 0)
-            known = count >= 0
-            c = np.where(known, count, 0).astype(float)
-            joint = slope[before] * bigrams[before, to]
-            within = np.where(to == RARE, c / max(rare_total, 1), 1.0)
-            flat = np.where(to == RARE, rare_total, c) * (mixed[1][before] / total)
-            p = uniform[before] + (flat + joint) * within
-            texts = np.repeat(np.arange(hi - lo), np.diff(np.append(starts, len(tokens))))
-            away = np.flatnonzero(~known)
-            log_p, log_base = np.log10(p), np.log10((c + 1) / base_total)
-            log_p[away] = log_base[away] = 0
+            pair, _, context, to = _named(table, tokens)
+            here = (context >= 0) & (context < BLOCK) & (to >= 0) & (to < BLOCK)
+            log_p, log_base = np.zeros(len(tokens)), np.zeros(len(tokens))
+            log_p[here] = np.log10(_probability(weights, n_of[context[here]], n_of[to[here]], bigrams[context[here], to[here]], n, vocabulary))
+            placed = to >= 0
+            log_base[placed] = np.log10((n_of[to[placed]] + 1) / (n + vocabulary + 1))
+            length = np.diff(np.append(starts, len(tokens)))
             add = lambda x: np.add.reduceat(x, starts)
             rows = np.arange(row, row + hi - lo)
             row += hi - lo
-            none = pa.nulls(hi - lo, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id")[lo:hi], pa.array(rows), pa.array(fold == TEST), none, pa.nulls(hi - lo, pa.int32()), pa.array(np.diff(np.append(starts, len(tokens)))), pa.array(add((c > 0).astype(np.int64))), pa.array(add(log_base)), pa.array(add(log_p))],
-                names=NAMES,
-            )
-            if len(away):
-                m = len(away)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.nulls(m, pa.int64()), pa.array(rows[texts[away]]), pa.nulls(m, pa.bool_()), pa.array(tokens[away].view(np.int64)), pa.array(before[away].astype(np.int32)), *[pa.nulls(m, t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64())]],
-                    names=NAMES,
-                )
+            known = add(placed.astype(np.int64)) * 2 + (fold == TEST)
+            ids = batch.column("doc_id")[lo:hi]
+            for kind, a, b in ((0, ids, add(log_p)), (1, pa.array(length), add(log_base)), (2, pa.array(known), np.zeros(hi - lo))):
+                yield pa.RecordBatch.from_arrays([pa.array(-1 - (rows * 4 + kind)), pa.array(rows), a, pa.array(b)], names=["pair", "row", "a", "b"])
+            left = np.flatnonzero(~here)
+            if len(left):
+                at = np.repeat(rows, length)[left]
+                yield pa.RecordBatch.from_arrays([pa.array(pair[left].view(np.int64)), pa.array(at), pa.nulls(len(left), pa.int64()), pa.nulls(len(left), pa.float64())], names=["pair", "row", "a", "b"])
 
     return run
 
 
-NAMES = ["doc_id", "row", "held_out", "key", "context", "n_tokens", "n_known", "base_score", "score"]
-ROWS = "doc_id long, row long, held_out boolean, key long, context int, n_tokens long, n_known long, base_score double, score double"
+def _with_counts(pairs: DataFrame, counts: DataFrame, end: str) -> DataFrame:
+    """pairs with the counts of a word without a place; those whose word has one don't go through the join."""
+    side = counts.select(F.col("key").alias(end), F.col("n").alias(f"{end}_n"), F.col("train").alias(f"{end}_train"))
+    none = F.lit(None).cast("long")
+    there = pairs.where(F.col(end).isNull()).withColumn(f"{end}_n", none).withColumn(f"{end}_train", none)
+    return pairs.where(F.col(end).isNotNull()).join(side, end, "left").unionByName(there)
 
 
 def _u64(keys: pa.ChunkedArray) -> np.ndarray:
@@ -182,42 +251,36 @@ def score(docs: DataFrame, fold: Column, head: int = HEAD) -> DataFrame:
     as empty: one token. Repeated rows are documents of their own. Without training documents every token has
     probability 1 / (V + 1) = 1.
     """
-    spark, sc = docs.sparkSession, docs.sparkSession.sparkContext
+    sc = docs.sparkSession.sparkContext
     rows = docs.select("doc_id", "text", fold.cast("int").alias("fold"))
-    counts = rows.mapInArrow(_counted(lambda tokens: tokens), "key long, train long, held long").groupBy("key").agg(F.sum("train").alias("train"), F.sum("held").alias("held"))
+    counts = rows.mapInArrow(_counted, "key long, train long, held long").groupBy("key").agg(F.sum("train").alias("train"), F.sum("held").alias("held"))
     counts = materialize(counts.withColumn("n", F.col("train") + F.col("held")))
-    sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-    top = most_frequent(counts, "n", head).select("key", "n").toArrow()
-    keys, n_of = _u64(top.column("key")), top.column("n").to_numpy()
-    best = np.lexsort((keys, -n_of, keys != END_HASH))[: CLASSES - 1]
-    class_keys, class_counts = keys[best], n_of[best]
-    class_ids = np.arange(END, END + len(best), dtype=np.int32)
-    if not len(best) or class_keys[0] != END_HASH:  # no training text
-        class_keys, class_counts, class_ids = np.array([END_HASH]), np.zeros(1, np.int64), np.array([END], np.int32)
-    rare_total = int(sums.n - class_counts.sum())
-    table = KeyTable(class_keys, class_ids)
-    pair_counts = rows.where("fold <> 2").mapInArrow(_counted(_pairs(table)), "key long, train long, held long").groupBy(F.col("key").cast("int").alias("pair"))
-    pair_counts = pair_counts.agg(F.sum("train").cast("int").alias("train"), F.sum("held").cast("int").alias("held")).toArrow()
-    pair, train, held = (pair_counts.column(c).to_numpy() for c in ("pair", "train", "held"))
-    of_context = np.bincount(pair // CLASSES, train + held, CLASSES)
-    bucket = np.minimum(np.log2(np.maximum(of_context, 1)).astype(int), BUCKETS - 1)
-    own = spark.createDataFrame([(int(k),) for k in class_keys.view(np.int64)], "key long")
-    level = F.floor(F.log2(F.greatest("train", F.lit(1))) * 16)
-    rare = counts.join(F.broadcast(own), "key", "left_anti").groupBy((F.when(F.col("train") > 0, level).otherwise(-1)).alias("level"))
-    rare = [(r.k, r.m) for r in rare.agg(F.avg("train").alias("k"), F.sum("held").alias("m")).orderBy("level").collect()] or [(0.0, 0.0)]
-    weights = _learned(pair, train, held, bucket, rare, float(train.sum()), sums.v) if sums.n else np.tile(np.array([[1.0], [0.0], [0.0]]), BUCKETS)
-    joint = np.bincount(pair // CLASSES, np.where(pair % CLASSES == RARE, train + held, 0), CLASSES)
-    shared = sc.broadcast((keys, n_of)), sc.broadcast((class_keys, class_ids)), sc.broadcast((pair, train + held))
-    scored = rows.mapInArrow(_scorer(*shared, of_context, bucket, weights, sums.n, sums.v, rare_total, len(keys) == sums.v), ROWS)
-    scored = materialize(scored)
-    mixed = weights[:, bucket]
-    line = [(int(u), float(mixed[0][u] / (sums.v + 1)), float((mixed[1][u] * rare_total / max(sums.n, 1) + mixed[2][u] * joint[u] / max(of_context[u], 1)) / max(rare_total, 1))) for u in range(CLASSES)]
-    line = spark.createDataFrame(line, "context int, floor double, slope double")
-    away = scored.where("key is not null").select("row", "key", "context").join(F.broadcast(line), "context")
-    c = F.coalesce("n", F.lit(0))
-    away = away.join(counts.select("key", "n"), "key", "left").groupBy("row").agg(
-        F.count_if(c > 0).alias("more_known"), F.sum(F.log10((c + 1) / F.lit(float(sums.n + sums.v + 1)))).alias("more_base"), F.sum(F.log10(F.col("floor") + F.col("slope") * c)).alias("more_score")
+    sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("train"), F.lit(0)).alias("train"), F.count(F.lit(1)).alias("v")).first()
+    top = most_frequent(counts, "n", head).select("key", "n", "train").toArrow()
+    keys, n_of, train_of = _u64(top.column("key")), top.column("n").to_numpy(), top.column("train").to_numpy()
+    order = np.lexsort((keys, -n_of))
+    words = sc.broadcast((keys[order], n_of[order], train_of[order]))
+    pairs = rows.mapInArrow(_pair_counts(words), PAIRS).groupBy("pair").agg(F.max("v").alias("v"), F.max("w").alias("w"), F.max("place").alias("place"), F.sum("train").alias("train"), F.sum("held").alias("held"))
+    pairs = materialize(pairs)
+    is_hashed = F.col("pair") >= int(HASHED)
+    away = materialize(_with_counts(_with_counts(pairs.where(is_hashed), counts, "v"), counts, "w"))
+    none = F.lit(None).cast("long")
+    placed = pairs.where(~is_hashed).select("*", *[none.alias(c) for c in ("v_n", "v_train", "w_n", "w_train")])
+    pairs = placed.unionByName(away)
+    held = pairs.where("held > 0").mapInArrow(_levels(words, sums.train), "b int, x int, y int, weight double, bigram double, unigram double")
+    held = held.groupBy("b", "x", "y").agg(*[F.sum(c).alias(c) for c in ("weight", "bigram", "unigram")]).orderBy("b", "x", "y").toArrow()
+    b, weight, bigram, unigram = (held.column(c).to_numpy() for c in ("b", "weight", "bigram", "unigram"))
+    weights = _learned(b, weight, bigram / weight, unigram / weight, sums.v) if sums.n else np.tile(np.array([[1.0], [0.0], [0.0]]), BUCKETS)
+    in_block = (F.shiftright("pair", 32) < BLOCK) & (F.col("pair").bitwiseAND(0xFFFFFFFF) < BLOCK)
+    near = placed.where(in_block).select("pair", (F.col("train") + F.col("held")).alias("n")).toArrow()
+    block = sc.broadcast((near.column("pair").to_numpy(), near.column("n").to_numpy()))
+    scores = pairs.where(is_hashed | ~in_block).mapInArrow(_pair_scores(words, weights, sums.n, sums.v), "pair long, log_p double, more_known long, more_base double")
+    found = rows.mapInArrow(_scorer(words, block, weights, sums.n, sums.v), "pair long, row long, a long, b double").join(scores, "pair", "left")
+    kind = F.when(F.col("pair") < 0, (-1 - F.col("pair")) % 4)
+    of = lambda k, c: F.max(F.when(kind == k, F.col(c)))
+    more = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    texts = found.groupBy("row").agg(
+        of(0, "a").alias("doc_id"), of(1, "a").alias("n_tokens"), of(2, "a").alias("known"), more("more_known").alias("more_known"), (of(1, "b") + more("more_base")).alias("base_score"), (of(0, "b") + more("log_p")).alias("score")
     )
-    texts = scored.where("key is null").join(away, "row", "left")
-    more = lambda a, b: (F.col(a) + F.coalesce(b, F.lit(0))).alias(a)
-    return texts.select("doc_id", "held_out", "n_tokens", more("n_known", "more_known"), F.lit(sums.n).cast("long").alias("train_tokens"), more("base_score", "more_base"), more("score", "more_score"))
+    known = F.shiftright("known", 1) + F.col("more_known")
+    return texts.select("doc_id", (F.col("known") % 2 == 1).alias("held_out"), "n_tokens", known.alias("n_known"), F.lit(sums.n).cast("long").alias("train_tokens"), "base_score", "score")

@@ -59,3 +59,14 @@ def test_empty_and_untrained(spark):
     assert lm.score(docs(spark, []), fold()).collect() == []
     row = lm.score(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), F.lit(lm.TEST)).first()
     assert (row.n_tokens, row.n_known, row.train_tokens, row.base_score, row.score) == (3, 0, 0, 0.0, 0.0)
+
+
+@pytest.mark.parametrize("head", [lm.HEAD, 3000])  # 3000: words of some pairs have to be joined
+def test_rare_words_keep_their_bigrams(spark, head):
+    """Each of 3,000 equally rare words is always followed by one other: the pair is as likely after more frequent words' classes are full."""
+    words = [f"r{k}" for k in range(3000)]
+    texts = [(10 * k + c, f"{w} {w}next") for k, w in enumerate(words) for c in range(3)]
+    texts += [(50_000, "r7 r7next"), (50_001, "r7 r8next")]
+    is_test = F.when(F.col("doc_id") >= 50_000, lm.TEST).when(F.col("doc_id") % 10 == 0, lm.HELD_OUT).otherwise(lm.TRAIN)
+    score = {r.doc_id: r.score for r in lm.score(spark.createDataFrame(texts, "doc_id long, text string"), is_test, head=head).collect()}
+    assert score[50_000] > score[50_001] + 2
