@@ -33,6 +33,20 @@ PATTERN = re.compile(
 KINDS = ("email", "iban", "ip", "date", "phone", "ssn", "card")
 
 
+#: Each kind by itself; the numbers of back references start anew.
+ALONE = {m[1]: re.compile(m[0].replace(r"\8", r"\2").replace(r"\9", r"\3")) for m in re.finditer(r"\(\?P<(\w+)>.*?\)(?=\|\(\?P<|$)", PATTERN.pattern)}
+#: Characters of an IBAN by country; others are taken at any length.
+IBAN_LENGTHS = {
+    c: int(n)
+    for n, cs in (x.split(":") for x in (
+        "15:NO 16:BE 18:DK,FI,FO,GL,NL,SD,FK 19:MK,SI 20:AT,BA,EE,KZ,LT,LU,MN,XK 21:CH,CR,HR,LI,LV 22:BG,BH,DE,GB,GE,IE,ME,RS,VA "
+        "23:AE,GI,IL,IQ,OM,SO,TL 24:AD,CZ,ES,MD,PK,RO,SA,SE,SK,TN,VG 25:LY,PT,ST 26:IS,TR 27:BI,DJ,FR,GR,IT,MC,MR,SM "
+        "28:AL,AZ,BY,CY,DO,GT,HU,LB,NI,PL,SV 29:BR,EG,PS,QA,UA 30:JO,KW,MU,YE 31:MT,SC 32:LC 33:RU"
+    ).split())
+    for c in cs.split(",")
+}
+
+
 def permute(value: int, size: int, key: bytes, tweak: bytes, back: bool = False) -> int:
     """A keyed permutation of 0..size-1, or its inverse: a balanced Feistel network on the next square, walked until it lands inside."""
     side = isqrt(size - 1) + 1
@@ -146,19 +160,64 @@ def pseudonym(kind: str, text: str, key: bytes, back: bool = False) -> str | Non
     return None
 
 
+def _phone_ends(text: str, start: int, ends: list[int], key: bytes) -> list[int]:
+    """The ends to try first: where a +1 or +7 number is complete, else where a value of another kind starts behind a whole phone."""
+    whole = [e for e in ends if ALONE["phone"].fullmatch(text, start, e) and 8 <= len(_digits(text[start:e])) <= 15]
+    complete = [e for e in whole if re.match(r"\+[17](?!\d)", text[start:e]) and len(_digits(text[start:e])) == 11]
+    if complete:
+        return complete
+    for e in reversed(whole):
+        if e < ends[0]:
+            for kind in KINDS:
+                m = ALONE[kind].match(text, e + 1)
+                if m and pseudonym(kind, m[0], key) is not None:
+                    return [e]
+    return whole
+
+
+def _ends(kind: str, text: str, start: int, end: int, key: bytes) -> list[int]:
+    """Where a value of the kind may end that matches from start to end."""
+    if kind not in ("iban", "phone"):
+        return [end]
+    ends = [end, *(k for k in range(end - 1, start, -1) if text[k] in " .-" and text[k - 1].isalnum())]
+    if kind == "phone":
+        return _phone_ends(text, start, ends, key)
+    length = IBAN_LENGTHS.get(text[start : start + 2])
+    return [e for e in ends if length in (None, e - start - text.count(" ", start, e))]
+
+
+def _value(text: str, start: int, key: bytes, back: bool) -> tuple[str, int, str] | None:
+    """(kind, end, replacement) of the first valid value that starts here: earlier kinds first, then longer ones."""
+    for kind in KINDS:
+        m = ALONE[kind].match(text, start)
+        for end in _ends(kind, text, start, m.end(), key) if m else ():
+            new = pseudonym(kind, text[start:end], key, back)
+            if new is not None:
+                return kind, end, new
+    return None
+
+
 def replaced(text: str, key: bytes, back: bool = False) -> tuple[str, dict[str, int]]:
-    """The text with every valid value replaced, and how many of each kind."""
-    found: dict[str, int] = {}
+    """The text with every valid value replaced, and how many of each kind. What isn't valid is searched again from its next word on.
 
-    def one(m: re.Match) -> str:
-        kind = next(k for k in KINDS if m[k] is not None)
-        new = pseudonym(kind, m[0], key, back)
-        if new is None:
-            return m[0]
+    No card of several words starts there behind a digit: it would be put together from the groups of an invalid number.
+    """
+    found: dict[str, int] = {}
+    out, done, at, invalid = [], 0, 0, 0
+    while m := PATTERN.search(text, at):
+        value = _value(text, m.start(), key, back)
+        if value and value[0] == "card" and m.start() < invalid and text[m.start() - 2].isdigit() and " " in text[m.start() : value[1]]:
+            value = None
+        if value is None:
+            invalid = max(invalid, m.end())
+            blank = text.find(" ", m.start(), m.end())
+            at = m.end() if blank < 0 else blank + 1
+            continue
+        kind, at, new = value
+        out += text[done : m.start()], new
+        done = at
         found[kind] = found.get(kind, 0) + 1
-        return new
-
-    return PATTERN.sub(one, text), found
+    return "".join((*out, text[done:])), found
 
 
 def pseudonymize(docs: DataFrame, key: bytes) -> DataFrame:

@@ -1,3 +1,5 @@
+import pytest
+
 from quire.llm import pseudonyms as ps
 from tests.llm.cases import docs
 
@@ -47,3 +49,25 @@ def test_table(spark):
 def test_long_digit_runs_are_linear():
     text = "1" * 200_000 + " a" * 1000 + "x" * 100_000 + "@"
     assert ps.replaced(text, KEY) == (text, {})
+
+
+PHONE, OTHER_PHONE = "+1 (826) 555-4081", "+44 20 7946 0958"
+
+
+@pytest.mark.parametrize("first", [PHONE, OTHER_PHONE, "GB82 WEST 1234 5698 7654 32", "BE68 5390 0754 7034", "AT61 1904 3002 3457 3201"])
+@pytest.mark.parametrize("second", ["190.137.223.204", "43.17.2.9", "2021-03-04", "31/12/1999", "123-45-6789", "4952-9359-0025-3052", "BE68 5390 0754 7034", "843-555-7672", PHONE])
+def test_adjacent_values_are_replaced_as_if_alone(first, second):
+    new, found = ps.replaced(f"{first} {second}", KEY)
+    assert new == f"{ps.replaced(first, KEY)[0]} {ps.replaced(second, KEY)[0]}" and sum(found.values()) == 2
+    assert ps.replaced(new, KEY, back=True)[0] == f"{first} {second}"
+
+
+@pytest.mark.parametrize("tail", ["ABCD", "12", "X1", "2024", "A"])
+@pytest.mark.parametrize("value", ["BE68 5390 0754 7034", "AT61 1904 3002 3457 3201", PHONE])
+def test_what_follows_a_value_stays(value, tail):
+    assert ps.replaced(f"{value} {tail}", KEY)[0] == f"{ps.replaced(value, KEY)[0]} {tail}" != f"{value} {tail}"
+
+
+def test_words_after_an_invalid_value_are_searched():
+    new, found = ps.replaced("XX00 ABCD ABCD 4952935900253052 4952 9359 0025 3053 2021-03-04", KEY)
+    assert found == {"card": 1, "date": 1} and new.startswith("XX00 ABCD ABCD ")
