@@ -21,29 +21,30 @@ def _columns(docs: DataFrame) -> DataFrame:
     return docs.select(*COLUMNS)
 
 
-def _one_of_each(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """The documents of other ids than these; of several with one id, one of the longest (then greatest) text. No null ids."""
-    several = materialize(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"))
-    kept = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti")
-    if several.limit(1).count() == 0:
-        return kept
-    some = kept.join(several, "doc_id", "left_semi").groupBy("doc_id").agg(F.max(F.struct("n_chars", "text", "lang", "source")).alias("d"))
-    return kept.join(several, "doc_id", "left_anti").unionByName(some.select("doc_id", "d.*"))
+def _rows(docs: DataFrame) -> DataFrame:
+    """The documents with a key of each row, written so that it stays: ids may be null or repeated."""
+    return materialize(_columns(docs).withColumn("row_key", F.monotonically_increasing_id()))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that have an id and that no rule rejects. The verdict is part of the scan: no join, no shuffle."""
+    """Documents that no rule rejects. The verdict is part of the scan: no join, no shuffle."""
     docs = _columns(docs)
-    return quality.judged(docs, carry=COLUMNS).where("kept and doc_id is not null").select(*COLUMNS)
+    return quality.judged(docs, carry=COLUMNS).where("kept").select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group of near duplicates (five-word shingles, similarity 0.8)."""
-    docs = _columns(docs)
-    found = neardup.near_duplicates(docs, width=5, percent=80)
-    first = F.bool_or(F.col("doc_id") == F.col("component_id"))
-    gone = materialize(found.where("doc_id is not null").groupBy("doc_id").agg(first.alias("first")).where("not first").select("doc_id"))
-    return _one_of_each(docs, gone).select(*COLUMNS)
+    """The document of the smallest id (null last) of each group of near duplicates (five-word shingles, similarity 0.8); of several
+    with that id the longest."""
+    rows = _rows(docs)
+    found = neardup.near_duplicates(rows.select(F.col("row_key").alias("doc_id"), "text"), width=5, percent=80)
+    found = materialize(found.select(F.col("doc_id").alias("row_key"), "component_id"))
+    several = found.groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    found = found.join(several, "component_id").select("row_key", "component_id")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", -F.coalesce("n_chars", F.lit(0)), F.xxhash64("text", "lang", "source"), "row_key")
+    ranked = materialize(rows.select("row_key", order.alias("rank")).join(found, "row_key"))
+    first = ranked.groupBy("component_id").agg(F.min("rank").alias("first"))
+    gone = materialize(ranked.join(first, "component_id").where("row_key <> first.row_key").select("row_key"))
+    return rows.join(gone, "row_key", "left_anti").select(*COLUMNS)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,9 +55,9 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix sends it."""
-    docs = _columns(docs)
-    sent = materialize(mixing.mix(docs).where("copies > 0").select("doc_id", "copies"))
-    return docs.join(sent, "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
+    rows = _rows(docs)
+    sent = materialize(mixing.mix(rows, carry=["row_key"]).where("copies > 0").select("row_key", "copies"))
+    return rows.join(sent, "row_key").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -45,16 +45,16 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = (1, 2, 3), max_epo
     return w.select("skey", "source_size", "weight", target.alias("target"))
 
 
-def _ledger(docs: DataFrame, weights: Sequence[int], max_epochs: int, seed: str, shards: int) -> DataFrame:
+def _ledger(docs: DataFrame, weights: Sequence[int], max_epochs: int, seed: str, shards: int, carry: Sequence[str] = ()) -> DataFrame:
     """One narrow row a document: its size, its source's size and target, and the words its source has sent when it ends."""
     row = docs.select(
-        "doc_id", "source",
+        "doc_id", "source", *carry,
         F.coalesce(F.size(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))), F.lit(0)).cast("long").alias("size"),
         F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary")).alias("key"),
     )
     digits = max(1, (shards - 1).bit_length() + 3 >> 2)  # the shard is a prefix of the key: 16 ** digits of them
     row = materialize(row.select(
-        "doc_id", "source", "size", "key",
+        "doc_id", "source", "size", "key", *carry,
         F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")).alias("skey"),
         F.substring("key", 1, digits).alias("shard"),
     ))
@@ -64,9 +64,9 @@ def _ledger(docs: DataFrame, weights: Sequence[int], max_epochs: int, seed: str,
     base = per_shard.select("skey", "shard", F.coalesce(F.sum("in_shard").over(earlier), F.lit(0)).alias("before"))
     base = base.join(source_targets(sizes, weights, max_epochs), "skey")
     within = Window.partitionBy("skey", "shard").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, 0)
-    sent = row.select("doc_id", "skey", "shard", "key", "size", F.sum("size").over(within).alias("within"))
+    sent = row.select("doc_id", "skey", "shard", "key", "size", *carry, F.sum("size").over(within).alias("within"))
     return sent.join(base, ["skey", "shard"]).select(
-        "doc_id", "skey", "key", "size", "source_size", "target", (F.col("before") + F.col("within")).alias("sent")
+        "doc_id", "skey", "key", "size", *carry, "source_size", "target", (F.col("before") + F.col("within")).alias("sent")
     )
 
 
@@ -107,15 +107,16 @@ def _cut(ledger: DataFrame, budget: int, max_epochs: int, slots: int = 4096):
     return tuple(top) if top is not None else (low - 1e-9, "", "", 0, 0)
 
 
-def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), max_epochs: int = 3, seed: str = "mix", shards: int = 4096) -> DataFrame:
+def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), max_epochs: int = 3, seed: str = "mix", shards: int = 4096, carry: Sequence[str] = ()) -> DataFrame:
     """How often the mix sends each document.
 
     docs: doc_id, text, source; other columns are not looked at. One row per row of docs:
     doc_id, size (words), source_size, target (of its source), copies (0 to max_epochs), taken (size * copies).
     The budget is the sum of all sizes. Null or empty texts have size 0 and are never sent; null sources form one source,
     the last; repeated rows each count; equal keys are ordered by size. Reruns give the same rows. No rows in, none out.
+    carry: columns of docs, of other names than those here, that are passed on.
     """
-    ledger = materialize(_ledger(docs, weights, max_epochs, seed, shards))
+    ledger = materialize(_ledger(docs, weights, max_epochs, seed, shards, carry))
     budget = ledger.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first().n
     cut = _cut(ledger, budget, max_epochs) if budget else (0.0, "", "", 0, 0)
     cut = F.struct(*[F.lit(v).cast(t) for v, t in zip(cut, ("double", "string", "string", "long", "int"), strict=True)])
@@ -123,4 +124,4 @@ def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), max_epochs: int = 3
         (F.when((F.col("size") > 0) & (F.col("target") > 0) & (F.struct(F.when(F.col("target") > 0, _finish(F.lit(e))).alias("col1"), F.col("skey").alias("col2"), F.col("key").alias("col3"), F.col("size").alias("col4"), F.lit(e).alias("col5")) <= cut), 1).otherwise(0) for e in range(max_epochs)),
         start=F.lit(0),
     )
-    return ledger.select("doc_id", "skey", "key", "size", "source_size", "target", sent.cast("int").alias("copies")).withColumn("taken", F.col("size") * F.col("copies"))
+    return ledger.select("doc_id", "skey", "key", "size", *carry, "source_size", "target", sent.cast("int").alias("copies")).withColumn("taken", F.col("size") * F.col("copies"))

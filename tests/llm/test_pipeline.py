@@ -5,9 +5,9 @@ import corpus_pipeline as cp
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from quire.llm import pseudonyms, quality
+from quire.llm import mixing, pseudonyms, quality
 from tests.llm import test_mixing, test_near_duplicates, test_quality
-from tests.llm.cases import clashing, docs
+from tests.llm.cases import TEXTS, clashing, docs
 
 
 def brute(spark, rows):
@@ -46,3 +46,23 @@ def test_stages_keep_the_columns_and_take_awkward_rows(spark, sf):
             assert out.columns == list(cp.COLUMNS) and out.dtypes == table.dtypes
             out.collect()
     assert cp.STAGES[-1][1](spark, docs(spark, []), sf).collect() == []
+
+
+#: One id with unlike texts, the longer one a near copy of document 1; no id, twice.
+AWKWARD = [*TEXTS, (20, TEXTS[0][1] + " z", "en", "a", 999), (20, "a text of its own that is unlike all others", "en", "a", 44), (None, "another one without any id", "en", "a", 26)]
+
+
+def test_stages_take_each_row_once(spark, sf):
+    given = Counter(AWKWARD)
+    rules = Counter(tuple(r) for r in cp.quality_rules(spark, docs(spark, AWKWARD), sf).collect())
+    assert rules == Counter(r for r in given.elements() if not test_quality.brute(r[1])[-1])
+    group = test_near_duplicates.brute([(k, r[1]) for k, r in enumerate(AWKWARD)], 5)
+    groups = {}
+    for k, _, c in group:
+        groups.setdefault(c, []).append(AWKWARD[k])
+    want = Counter(min(g, key=lambda r: (r[0] is None, r[0] or 0, -(r[4] or 0))) for g in groups.values())
+    assert Counter(tuple(r) for r in cp.near_duplicates(spark, docs(spark, AWKWARD), sf).collect()) == want
+    repeated = [r for r in AWKWARD for _ in range(2)]
+    mixed = [tuple(r) for r in cp.source_mix(spark, docs(spark, repeated), sf).collect()]
+    sent = mixing.mix(docs(spark, repeated)).groupBy("doc_id").sum("copies").collect()
+    assert Counter(r[0] for r in mixed) == Counter({d: n for d, n in sent if n}) and any(r[0] is None for r in mixed)
