@@ -3,17 +3,18 @@
 A document's shingle set is reduced to `bands * rows` MinHash samples. Documents that agree on all samples of a band are
 candidates; the parity bitmap of all (position, sample) pairs, the odd sketch, tells by the population count of an XOR how
 similar two candidates are, precisely so for high similarities, and clears away all but likely pairs. These are confirmed on
-the full sets, so a reported link is exact.
+the full sets (of 64-bit shingle hashes), so a reported link is exact.
 
 Documents of one set form a class, and only classes are compared. Within a bucket no more pairs are looked at than are needed
 to tell which classes hang together:
 
 1. every member is compared with the bucket's first member and with its last;
 2. in buckets that still hold several components, every member outside the largest is compared with PIVOTS of that one;
-3. in buckets that hold several components even then, members are compared with all of a component of `small` or more classes in
-   blocks inside tasks, which report a member's first link only; members of small components are compared in pairs across
-   components, never within one. In a bucket with more than `small` of these members the two must agree on a second band as
-   well, which splits members that share one passage only.
+3. in buckets that hold several components even then, every member outside the largest is compared with all others.
+
+The last two passes deal a bucket's members to blocks of bounded size and compare them inside tasks. What leaves a task is a
+spanning forest of its links, so neither the rows nor a group grow with the square of a bucket, however many of its members
+are alike without being linked. No step depends on how large a bucket is.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.textscan import hashed, mix, pair_hash
@@ -33,9 +34,10 @@ from quire.session import materialize
 BANDS, ROWS = 64, 8
 SKETCH_WORDS = 8  # the odd sketch has 64 bits a word
 PERCENT = 80
-SMALL = 48
 PIVOTS = 16
-BLOCK = 256
+BLOCK = 512  # classes of a block's side, about
+BLOCK_SHINGLES = 1 << 20  # and shingles of all of them
+CELLS = 1 << 22  # cells of a matrix in a task
 #: How far below the wanted similarity an estimate may lie. The estimate's standard deviation is about 0.03 there.
 MARGIN = 0.18
 
@@ -176,81 +178,119 @@ def _ordered(x: str, y: str) -> list:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
-def _open(shared: DataFrame, parts: DataFrame) -> DataFrame:
-    """(v, key, n, part) of the buckets whose members are not all of one component yet."""
-    bucket = Window.partitionBy("key")
-    named = shared.select("v", "key", "n").join(parts.withColumnRenamed("id", "v"), "v", "left").select("v", "key", "n", F.coalesce("component", "v").alias("part"))
-    return materialize(named.select("*", F.min("part").over(bucket).alias("p0"), F.max("part").over(bucket).alias("p1")).where("p0 <> p1 and n > 2").select("v", "key", "n", "part"))
-
-
-def _to_pivots(still: DataFrame, pivots: int = PIVOTS) -> DataFrame:
-    """Pairs of each bucket's largest component, of which `pivots` members stand for it, with the bucket's other members."""
-    own, bucket = Window.partitionBy("key", "part"), Window.partitionBy("key")
-    ranked = still.select("v", "key", "part", F.count(F.lit(1)).over(own).alias("size"), F.row_number().over(own.orderBy(F.xxhash64("v", "key"))).alias("rank"))
-    ranked = ranked.select("v", "key", "rank", (F.struct("size", "part") == F.max(F.struct("size", "part")).over(bucket)).alias("largest"))
-    chosen = ranked.where(F.col("largest") & (F.col("rank") <= pivots)).select(F.col("v").alias("pivot"), "key")
-    return materialize(ranked.where(~F.col("largest")).select("v", "key").join(chosen, "key").select(*_ordered("v", "pivot")).distinct())
-
-
-def _first_links(percent: int):
-    """Of a group of members of one component and queries: each query with the first member that it is linked to, the likeliest tried first."""
+def _counts(sets: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many elements each of the sets x shares with each of the sets y: a product of membership matrices, of a range of elements at a time."""
+    of = np.concatenate([sets[k] for k in (*x, *y)])
+    own = np.repeat(np.arange(len(x) + len(y)), [len(sets[k]) for k in (*x, *y)])
+    elements, code, n = np.unique(of, return_inverse=True, return_counts=True)
+    code, own = code[n[code] > 1], own[n[code] > 1]  # what only one set has is shared by none
+    _, code = np.unique(code, return_inverse=True)
+    out, width = np.zeros((len(x), len(y))), max(1, CELLS // (len(x) + len(y)))
+    order = np.argsort(code, kind="stable")
+    code, own = code[order], own[order]
+    for lo in range(0, int(code[-1]) + 1 if len(code) else 0, width):
+        part = slice(*np.searchsorted(code, (lo, lo + width)))
+        has = np.zeros((len(x) + len(y), width), np.float32)
+        has[own[part], code[part] - lo] = 1
+        out += has[: len(x)] @ has[len(x) :].T
+    return out
+
+
+def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """Which of the links (a, b) between n vertices make up a spanning forest of them."""
+    above, keep, left = np.arange(n), [], np.arange(len(a))
+
+    def root(v: int) -> int:
+        while above[v] != v:
+            above[v] = above[above[v]]
+            v = above[v]
+        return v
+
+    while len(left):
+        _, first = np.unique(a[left], return_index=True)
+        for k in left[first].tolist():
+            u, v = root(a[k]), root(b[k])
+            if u != v:
+                above[max(u, v)] = min(u, v)
+                keep.append(k)
+        roots = np.array([root(v) for v in range(n)])
+        a, b = roots[a], roots[b]
+        left = left[a[left] != b[left]]
+    return np.array(keep, np.int64)
+
+
+def _joined(percent: int):
+    """Of one block (part, query, member, n_shingles, odd, shingles): links between parts, a spanning forest of all between queries and members."""
 
     def run(group: pa.Table) -> pa.Table:
-        ids, own = group.column("v").to_numpy(), group.column("query").to_numpy(zero_copy_only=False)
+        parts, part = np.unique(group.column("part").to_numpy(), return_inverse=True)
+        query, member = (np.flatnonzero(group.column(c).to_numpy(zero_copy_only=False)) for c in ("query", "member"))
         n = group.column("n_shingles").to_numpy()
-        odd = group.column("odd").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(ids), SKETCH_WORDS)
+        odd = group.column("odd").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(n), SKETCH_WORDS)
         sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("shingles")]
-        members, a, b = np.flatnonzero(~own), [], []
-        for x in np.flatnonzero(own).tolist():
-            bits = np.bitwise_count(odd[members] ^ odd[x]).sum(1)
-            fits = (bits <= _most_bits(percent)) & (100 * np.minimum(n[members], n[x]) >= percent * np.maximum(n[members], n[x]))
-            order = np.argsort(bits[fits], kind="stable")
-            for y in members[fits][order].tolist():
-                common = _common(sets[x], sets[y])
-                if 100 * common >= percent * (n[x] + n[y] - common):
-                    a.append(min(ids[x], ids[y]))
-                    b.append(max(ids[x], ids[y]))
-                    break
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for lo in range(0, len(query), 64):
+            some = query[lo : lo + 64]
+            bits = np.bitwise_count(odd[some, None] ^ odd[member]).sum(2, dtype=np.int64)
+            fits = 100 * np.minimum(n[some, None], n[member]) >= percent * np.maximum(n[some, None], n[member])
+            fits &= (bits <= _most_bits(percent)) & (part[some, None] != part[member])
+            rows, columns = np.flatnonzero(fits.any(1)), np.flatnonzero(fits.any(0))
+            if len(rows):
+                x, y = some[rows], member[columns]
+                common = _counts(sets, x, y)
+                i, j = np.nonzero(fits[np.ix_(rows, columns)] & (100 * common >= percent * (n[x, None] + n[y] - common)))
+                found = np.unique(part[x[i]] * len(parts) + part[y[j]])
+                a.append(found // len(parts))
+                b.append(found % len(parts))
+        a, b = np.concatenate(a), np.concatenate(b)
+        keep = _forest(a, b, len(parts))
+        return pa.table({"a": pa.array(parts[a[keep]]), "b": pa.array(parts[b[keep]])})
 
     return run
 
 
-def _to_components(still: DataFrame, parts: DataFrame, large: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (one a query and block) between members of buckets and the large components that share a bucket with them.
+def _open(members: DataFrame) -> DataFrame:
+    """(v, key, n_shingles, part, main) of the buckets whose members are not all of one component; main: the part of most of them."""
+    members = members.select("v", "key", "n_shingles", "part")
+    sizes = members.groupBy("key", "part").agg(F.count(F.lit(1)).alias("size"))
+    keys = sizes.groupBy("key").agg(F.max(F.struct("size", "part")).alias("most"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    return materialize(members.join(keys.select("key", F.col("most.part").alias("main")), "key").select("v", "key", "n_shingles", "part", "main"))
+
 
-    All of a component's members are compared, in blocks of at most about BLOCK queries and BLOCK members, so no group grows with the
-    component, and no pair leaves a task unless it is a link.
+def _blocks(still: DataFrame, pivots: int | None) -> DataFrame:
+    """(v, part, key, i, j, query, member): where each class is compared, as one that asks or is asked, or both.
+
+    Members outside a bucket's main part ask. With pivots only so many members of the main part are asked, else all members are.
     """
-    sizes = large.select(F.col("component").alias("into"), F.col("size"))
-    here = still.select("key", F.col("part").alias("into")).join(sizes, "into").select("key", "into", "size").distinct()
-    asks = still.select("v", "key", "part").join(here, "key").where("part <> into").select("v", "part", "into", "size").distinct()
-    other = large.select(F.col("component").alias("part"), F.lit(True).alias("also"))
-    asks = materialize(asks.join(other, "part", "left").where("also is null or part < into").select("v", "into", "size"))
-    slots = lambda n: F.ceil(n / BLOCK).cast("int")
-    place = lambda n: F.pmod(F.xxhash64("v"), n).cast("int")
-    asked = asks.groupBy("into").agg(F.count(F.lit(1)).alias("asks"), F.first("size").alias("size")).select("into", slots(F.col("asks")).alias("rows"), slots(F.col("size")).alias("columns"))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    queries = asks.select("v", "into").join(asked, "into").select("v", "into", F.lit(True).alias("query"), place(F.col("rows")).alias("i"), every("columns").alias("j"))
-    members = parts.select(F.col("id").alias("v"), F.col("component").alias("into")).join(asked, "into").select("v", "into", F.lit(False).alias("query"), every("rows").alias("i"), place(F.col("columns")).alias("j"))
-    both = queries.unionByName(members).join(classes.select("v", "n_shingles", "odd"), "v").join(sets, "v")
-    return both.groupBy("into", "i", "j").applyInArrow(_first_links(percent), "a long, b long")
-
-
-def _across(still: DataFrame, large: DataFrame, classes: DataFrame, small: int) -> DataFrame:
-    """Pairs of different components, none of them large, that share a bucket, and a second band if it holds more than `small` of such members."""
-    rest, bucket = still.join(large.select(F.col("component").alias("part")), "part", "left_anti"), Window.partitionBy("key")
-    rest = rest.select("v", "key", "part", F.count(F.lit(1)).over(bucket).alias("n"), F.min("part").over(bucket).alias("p0"), F.max("part").over(bucket).alias("p1"))
-    still = materialize(rest.where("p0 <> p1").select("v", "key", "n", "part"))
-    big = still.where(F.col("n") > small)
-    again = big.select("v", "key", "part").join(classes.select("v", "bands"), "v")
-    again = again.select("v", "part", "key", F.explode("bands").alias("second")).where("second <> key").select("v", "part", F.xxhash64(F.least("key", "second"), F.greatest("key", "second")).alias("key"))
-    members = still.where(F.col("n") <= small).select("v", "part", "key").union(again.distinct())
-    x, y = members.select(F.col("v").alias("x"), F.col("part").alias("px"), "key"), members.select(F.col("v").alias("y"), F.col("part").alias("py"), "key")
-    return x.join(y, "key").where("x < y and px <> py").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
-
-
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT, small: int = SMALL) -> DataFrame:
+    asks = F.col("part") != F.col("main")
+    if pivots is None:
+        rows = still.select("*", asks.alias("query"), F.lit(True).alias("member"))
+    else:
+        slot = F.pmod(F.xxhash64("v", "key"), F.lit(pivots))
+        chosen = still.where(~asks).groupBy("key", slot.alias("slot")).agg(F.min(F.struct("v", "n_shingles", "part", "main")).alias("x")).select("x.v", "key", "x.n_shingles", "x.part", "x.main")
+        rows = still.where(asks).select("*", F.lit(True).alias("query"), F.lit(False).alias("member"))
+        rows = rows.unionByName(chosen.select("*", F.lit(False).alias("query"), F.lit(True).alias("member")))
+    slots = lambda c: F.ceil(F.greatest(F.count_if(c) / BLOCK, F.sum(F.when(F.col(c), F.col("n_shingles"))) / BLOCK_SHINGLES, F.lit(1))).cast("int")
+    rows = rows.join(rows.groupBy("key").agg(slots("query").alias("rows"), slots("member").alias("columns")), "key")
+    own = lambda n, salt: F.pmod(F.xxhash64("v", F.lit(salt)), F.col(n)).cast("int")
+    rows = rows.withColumns({"own_i": own("rows", 1), "own_j": own("columns", 2)})
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    place = lambda i, j, q, m: F.struct(i.alias("i"), j.alias("j"), q.alias("query"), m.alias("member"))
+    i, j, yes, no = F.col("own_i"), F.col("own_j"), F.lit(True), F.lit(False)
+    asking = F.transform(every("columns"), lambda x: place(i, x, yes, F.col("member") & (x == j)))
+    asked = F.transform(every("rows"), lambda x: place(x, j, F.col("query") & (x == i), yes))
+    cells = F.when(~F.col("member"), asking).when(~F.col("query"), asked)
+    cells = cells.otherwise(F.concat(asking, F.filter(asked, lambda x: x["i"] != i)))
+    return rows.select("v", "part", "key", F.inline(cells))
+
+
+def _united(members: DataFrame, links: DataFrame) -> DataFrame:
+    """members with the parts that hang together by links between parts."""
+    parts = connected_components(links, "a", "b")
+    return members.join(parts.withColumnRenamed("id", "part"), "part", "left").withColumn("part", F.coalesce("component", "part")).drop("component")
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id), one row per row of docs (doc_id, text; other columns are not looked at).
 
     Two documents are linked if 100 * intersection >= percent * union of their sets of shingles of `width` words.
@@ -262,30 +302,25 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT, sma
     own = sketch.where("digest is not null")
     by_set = materialize(own.groupBy("digest").agg(F.min("row").alias("v"), F.min("doc_id").alias("least_id")))
     classes = materialize(by_set.join(own.select(F.col("row").alias("v"), "doc_id", "n_shingles", "bands", "odd"), "v"))
-    bucket = Window.partitionBy("key")
-    shared = classes.select("v", F.explode("bands").alias("key")).select("v", "key", F.count(F.lit(1)).over(bucket).alias("n"), F.min("v").over(bucket).alias("pivot"), F.max("v").over(bucket).alias("other"))
-    shared = materialize(shared.where("n > 1"))
-    wanted = shared.select("v").distinct()
-    lookup = classes.select("v", "doc_id", "digest").join(wanted, "v")
+    every = classes.select("v", "n_shingles", F.explode("bands").alias("key"))
+    several = every.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("pivot"), F.max("v").alias("other")).where("n > 1").drop("n")
+    shared = materialize(every.join(several, "key"))
+    lookup = classes.select("v", "doc_id", "digest").join(shared.select("v").distinct(), "v")
     sets = docs.select("doc_id", "text").join(lookup, docs["doc_id"].eqNullSafe(lookup["doc_id"])).select("text", "digest", "v").mapInArrow(_with_sets(width), "v long, shingles binary")
     repeated = sketch.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
     sets = materialize(sets.dropDuplicates(["v"]) if repeated else sets)  # only a repeated id can give a class its set twice
     star = shared.where("v <> pivot").select(*_ordered("v", "pivot")).union(shared.where("v <> other").select(*_ordered("v", "other"))).distinct()
-    links = materialize(_links(star, classes, sets, percent))
-    parts = connected_components(links, "a", "b")
-    still = _open(shared, parts)
-    undecided = materialize(sets.join(materialize(still.select("v").distinct()), "v", "left_semi"))
-    pivots = _to_pivots(still).join(star, ["a", "b"], "left_anti")
-    links = links.union(materialize(_links(pivots, classes, undecided, percent)))
-    parts = connected_components(links, "a", "b")
-    still = _open(still, parts)
-    large = materialize(parts.groupBy("component").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= small))
-    blocks = _to_components(still, parts, large, classes, sets, percent)
-    across = _across(still, large, classes, small).join(star.union(pivots), ["a", "b"], "left_anti")
-    more = materialize(blocks.union(_links(across, classes, undecided, percent)))
-    if more.limit(1).count():
-        parts = connected_components(links.union(more), "a", "b")
-    named = by_set.join(parts.withColumnRenamed("id", "v"), "v", "left").select("digest", "least_id", F.coalesce("component", "v").alias("part"))
+    parts = connected_components(materialize(_links(star, classes, sets, percent)), "a", "b").select(F.col("id").alias("v"), F.col("component").alias("part"))
+    still = _open(shared.join(parts, "v", "left").select("v", "key", "n_shingles", F.coalesce("part", "v").alias("part")))
+    detail = materialize(classes.select("v", "n_shingles", "odd").join(sets, "v").join(still.select("v").distinct(), "v", "left_semi"))
+    for pivots in (PIVOTS, None):
+        blocks = _blocks(still, pivots).join(detail, "v")
+        more = materialize(blocks.groupBy("key", "i", "j").applyInArrow(_joined(percent), "a long, b long"))
+        if more.limit(1).count():
+            parts = materialize(_united(parts.unionByName(still.select("v", "part").distinct()).distinct(), more))
+            still = _united(still.select("v", "key", "n_shingles", "part"), more)
+        still = _open(still) if pivots else still
+    named = by_set.join(parts, "v", "left").select("digest", "least_id", F.coalesce("part", "v").alias("part"))
     lowest = named.groupBy("part").agg(F.min("least_id").alias("component_id"))
     named = named.join(lowest, "part").select("digest", "component_id")
     rows = sketch.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")

@@ -1,6 +1,8 @@
 import random
 from collections import defaultdict
 
+import numpy as np
+
 from quire.llm import neardup
 from tests.llm.cases import clashing, docs, lowered
 
@@ -47,10 +49,10 @@ def test_empty_table(spark):
     assert got(neardup.near_duplicates(docs(spark, []))) == []
 
 
-def test_groups_of_edited_copies(spark):
+def test_groups_of_edited_copies(spark, monkeypatch):
     rng = random.Random(4)
     rows, k = [], 0
-    for group in range(12):
+    for group in range(9):
         base = [rng.choice("abcdefghijklmnop") + str(rng.randrange(90)) for _ in range(rng.randrange(20, 160))]
         for _ in range(rng.choice((1, 3, 80))):
             text = list(base)
@@ -59,11 +61,63 @@ def test_groups_of_edited_copies(spark):
             rows.append((k, " ".join(text)))
             k += 7
     table = spark.createDataFrame(rows, "doc_id long, text string")
-    for small in (2, 48):  # small: buckets are split by a second band
-        assert got(neardup.near_duplicates(table, 2, small=small)) == brute(rows, 2)
+    monkeypatch.setattr(neardup, "BLOCK", 8)  # buckets of many blocks
+    monkeypatch.setattr(neardup, "CELLS", 64)
+    assert got(neardup.near_duplicates(table, 2)) == brute(rows, 2)
 
 
 def test_against_brute_force_on_documents(spark, sf):
     table = spark.read.parquet(f"{sf}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in table.collect()]
     assert got(neardup.near_duplicates(table, 2)) == brute(rows, 2)
+
+
+def below(n, seed=5):
+    """Copies of one text of 150 words, of which about a tenth is changed: most pairs share bands, few are linked."""
+    rng = random.Random(seed)
+    base = [f"b{rng.randrange(10**6)}" for _ in range(150)]
+    return [(k, " ".join(w if rng.random() > 0.07 else f"e{rng.randrange(10**6)}" for w in base)) for k in range(n)]
+
+
+def test_copies_just_below(spark, monkeypatch):
+    """What leaves tasks grows with the number of such copies, not with the number of their pairs."""
+    sent, blocks = [], neardup._blocks
+    monkeypatch.setattr(neardup, "_blocks", lambda *a: sent.append(blocks(*a)) or sent[-1])
+    rows = below(150)
+    assert got(neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2)) == brute(rows, 2)
+    small = sum(x.count() for x in sent)
+    sent.clear()
+    neardup.near_duplicates(spark.createDataFrame(below(900), "doc_id long, text string"), 2).count()
+    assert sum(x.count() for x in sent) < 2 * 6 * small  # in blocks of BLOCK members each is sent a few times
+
+
+def test_the_sketch_leaves_links_in():
+    """Sketches of sets at a similarity of 0.80 to 0.82 pass: MARGIN is six deviations of the estimate."""
+    rng = np.random.default_rng(3)
+    for k in range(400):
+        n = int(rng.integers(200, 3000))
+        common = int(np.ceil(n * (0.8 + 0.02 * rng.random())))
+        both = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        x, y = both[: n - (n - common) // 2], np.concatenate((both[:common], both[n - (n - common) // 2 :]))
+        odd = [neardup._odd_sketch(neardup._minhash(np.sort(s))).view(np.uint64) for s in (x, y)]
+        assert np.bitwise_count(odd[0] ^ odd[1]).sum() <= neardup._most_bits(80), k
+
+
+def test_forest():
+    rng = np.random.default_rng(1)
+    for _ in range(50):
+        n, m = int(rng.integers(1, 30)), int(rng.integers(0, 60))
+        a, b = rng.integers(0, n, m), rng.integers(0, n, m)
+        keep = neardup._forest(a, b, n)
+        groups = lambda x, y: len({min(c) for c in _closure(n, x, y)})
+        assert len(keep) == n - groups(a, b) == n - groups(a[keep], b[keep])
+
+
+def _closure(n, a, b):
+    of = {v: {v} for v in range(n)}
+    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+        if of[x] is not of[y]:
+            of[x] |= of[y]
+            for v in of[x]:
+                of[v] = of[x]
+    return of.values()
