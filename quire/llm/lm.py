@@ -5,9 +5,13 @@ the context was seen (a bucket per octave), and each bucket's weights are learne
 out from the estimates (a seventh of the documents).
 
 Unigram and bigram counts are exact for every word; the end of a text is a word as well, and the context of a first word. Neither
-table has a bound. The counts of the most frequent words, at most HEAD of them, are broadcast, and so are those of the pairs of
-the BLOCK most frequent ones. Occurrences of all other pairs are joined with the table of pairs. Each of these has a word outside
-the block, so no more than one in BLOCK tokens is of one pair and the join needs no salt.
+table has a bound. The counts of the most frequent words, at most HEAD of them, are broadcast, and so are those of the most
+frequent pairs of these, at most TOP. Occurrences of all other pairs are joined with the table of pairs. No more than about one in
+TOP tokens is of one of these (one in HEAD, with a word that has no place), so the join needs no salt.
+
+Most pairs occur once. So a text's score is first added up as if each pair that isn't broadcast had been seen once (by texts that
+are not held out, which have it themselves) or never (by held-out texts); the join only brings what pairs that were seen more often
+add to that.
 
 A pair is named by the places of its two words among the most frequent, or, if one is not there, by a hash (with HASHED set).
 """
@@ -25,7 +29,7 @@ from quire.llm.lookup import KeyTable, Tally, most_frequent
 from quire.llm.textscan import hashed, mix, pair_hash
 from quire.session import materialize
 
-BLOCK = 2048
+TOP = 1 << 20
 HEAD = 1 << 19
 HASHED = np.uint64(1 << 62)
 BUCKETS = 48
@@ -83,7 +87,7 @@ def _named(table: KeyTable, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def _pair_counts(words):
-    """Counts of pairs in training and held-out texts, 0 for those of others. Of hashed pairs also the words that have no place (v, w)
+    """Counts of pairs in training, held-out and other texts. Of hashed pairs also the words that have no place (v, w)
     and the place of the one that has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,7 +102,7 @@ def _pair_counts(words):
             del order
             first = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
             keys = pair[first]
-            count = [pa.array(np.add.reduceat(fold == k, first, dtype=np.int64)) for k in (TRAIN, HELD_OUT)]
+            count = [pa.array(np.add.reduceat(fold == k, first, dtype=np.int64)) for k in (TRAIN, HELD_OUT, TEST)]
             v, w, place = np.zeros(len(keys), np.uint64), np.zeros(len(keys), np.uint64), np.full(len(keys), -1, np.int32)
             if hashes:
                 pair, *values = (np.concatenate(x) for x in zip(*hashes, strict=True))
@@ -107,7 +111,7 @@ def _pair_counts(words):
                 for column, x in zip((v, w, place), values, strict=True):
                     column[keys >= HASHED] = x[at]
             column = lambda x: pa.array(x.view(np.int64), mask=x == 0)
-            out = pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), column(v), column(w), pa.array(place), *count], names=["pair", "v", "w", "place", "train", "held"])
+            out = pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), column(v), column(w), pa.array(place), *count], names=["pair", "v", "w", "place", "train", "held", "test"])
             for lo in range(0, len(keys), 1 << 16):
                 yield out.slice(lo, 1 << 16)
 
@@ -128,7 +132,7 @@ def _pair_counts(words):
     return run
 
 
-PAIRS = "pair long, v long, w long, place int, train long, held long"
+PAIRS = "pair long, v long, w long, place int, train long, held long, test long"
 
 
 def _counts_of(words, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -181,48 +185,62 @@ def _probability(weights: np.ndarray, context: np.ndarray, word: np.ndarray, pai
 
 
 def _pair_scores(words, weights: np.ndarray, n: int, vocabulary: int):
-    """Each pair's log10 probability, and for words without a place whether they are known and their base score."""
+    """What each pair adds to the log10 probability of texts that are counted and of others; for words without a place also whether they
+    are known and their base score."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             context, _, word, _ = _counts_of(words, batch)
+            pair = batch.column("pair").to_numpy()
             seen = batch.column("train").to_numpy() + batch.column("held").to_numpy()
             placed = batch.column("w").is_null().to_numpy(zero_copy_only=False)
             known, base = (word > 0).astype(np.int64), np.log10((word + 1) / (n + vocabulary + 1))
-            p = _probability(weights, context, word, seen, n, vocabulary)
-            yield pa.RecordBatch.from_arrays([batch.column("pair"), pa.array(np.log10(p)), pa.array(known, mask=placed), pa.array(base, mask=placed)], names=["pair", "log_p", "more_known", "more_base"])
+            log_p = lambda k: np.log10(_probability(weights, context, word, k, n, vocabulary))
+            p, supposed = log_p(seen), pair < int(HASHED)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(pair), *(pa.array(p - np.where(supposed, log_p(k), 0)) for k in (1, 0)), pa.array(known, mask=placed), pa.array(base, mask=placed)],
+                names=["pair", "own", "other", "more_known", "more_base"],
+            )
 
     return run
 
 
-def _scorer(words, block, weights: np.ndarray, n: int, vocabulary: int):
-    """Rows of tokens to be joined (pair >= 0), and three rows a text (pair < 0) of what is known of it in the task."""
+def _pair_key(pair: np.ndarray) -> np.ndarray:
+    return mix(pair + np.uint64(1))
+
+
+def _scorer(words, top, weights: np.ndarray, n: int, vocabulary: int):
+    """Rows of tokens to be joined (pair >= 0), and three rows a text (pair < 0) of what is known of it in the task.
+
+    row is odd for held-out texts.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         keys, n_of, _ = words.value
         table = KeyTable(keys, np.arange(len(keys), dtype=np.int32))
-        bigrams = np.zeros((BLOCK, BLOCK), np.int64)
-        bigrams[block.value[0] >> 32, block.value[0] & 0xFFFFFFFF] = block.value[1]
+        frequent = KeyTable(_pair_key(top.value[0].view(np.uint64)), top.value[1])
         n_of = np.append(n_of, 0).astype(float)  # place -1
         row = TaskContext.get().partitionId() << 32
         for batch, lo, hi, tokens, starts, fold in _batches(batches):
             pair, _, context, to = _named(table, tokens)
-            here = (context >= 0) & (context < BLOCK) & (to >= 0) & (to < BLOCK)
+            length = np.diff(np.append(starts, len(tokens)))
+            other, placed = np.repeat(fold == TEST, length), pair < HASHED
+            seen = frequent.get(_pair_key(pair))
+            there = seen >= 0
+            seen = np.where(there, seen, ~other)
             log_p, log_base = np.zeros(len(tokens)), np.zeros(len(tokens))
-            log_p[here] = np.log10(_probability(weights, n_of[context[here]], n_of[to[here]], bigrams[context[here], to[here]], n, vocabulary))
+            log_p[placed] = np.log10(_probability(weights, n_of[context[placed]], n_of[to[placed]], seen[placed], n, vocabulary))
             placed = to >= 0
             log_base[placed] = np.log10((n_of[to[placed]] + 1) / (n + vocabulary + 1))
-            length = np.diff(np.append(starts, len(tokens)))
             add = lambda x: np.add.reduceat(x, starts)
-            rows = np.arange(row, row + hi - lo)
+            rows = 2 * np.arange(row, row + hi - lo) + (fold == TEST)
             row += hi - lo
-            known = add(placed.astype(np.int64)) * 2 + (fold == TEST)
             ids = batch.column("doc_id")[lo:hi]
-            for kind, a, b in ((0, ids, add(log_p)), (1, pa.array(length), add(log_base)), (2, pa.array(known), np.zeros(hi - lo))):
+            for kind, a, b in ((0, ids, add(log_p)), (1, pa.array(length), add(log_base)), (2, pa.array(add(placed.astype(np.int64))), np.zeros(hi - lo))):
                 yield pa.RecordBatch.from_arrays([pa.array(-1 - (rows * 4 + kind)), pa.array(rows), a, pa.array(b)], names=["pair", "row", "a", "b"])
-            left = np.flatnonzero(~here)
+            left = np.flatnonzero(~there)
             if len(left):
                 at = np.repeat(rows, length)[left]
                 yield pa.RecordBatch.from_arrays([pa.array(pair[left].view(np.int64)), pa.array(at), pa.nulls(len(left), pa.int64()), pa.nulls(len(left), pa.float64())], names=["pair", "row", "a", "b"])
@@ -260,7 +278,7 @@ def score(docs: DataFrame, fold: Column, head: int = HEAD) -> DataFrame:
     keys, n_of, train_of = _u64(top.column("key")), top.column("n").to_numpy(), top.column("train").to_numpy()
     order = np.lexsort((keys, -n_of))
     words = sc.broadcast((keys[order], n_of[order], train_of[order]))
-    pairs = rows.mapInArrow(_pair_counts(words), PAIRS).groupBy("pair").agg(F.max("v").alias("v"), F.max("w").alias("w"), F.max("place").alias("place"), F.sum("train").alias("train"), F.sum("held").alias("held"))
+    pairs = rows.mapInArrow(_pair_counts(words), PAIRS).groupBy("pair").agg(F.max("v").alias("v"), F.max("w").alias("w"), F.max("place").alias("place"), F.sum("train").alias("train"), F.sum("held").alias("held"), F.sum("test").alias("test"))
     pairs = materialize(pairs)
     is_hashed = F.col("pair") >= int(HASHED)
     away = materialize(_with_counts(_with_counts(pairs.where(is_hashed), counts, "v"), counts, "w"))
@@ -271,16 +289,19 @@ def score(docs: DataFrame, fold: Column, head: int = HEAD) -> DataFrame:
     held = held.groupBy("b", "x", "y").agg(*[F.sum(c).alias(c) for c in ("weight", "bigram", "unigram")]).orderBy("b", "x", "y").toArrow()
     b, weight, bigram, unigram = (held.column(c).to_numpy() for c in ("b", "weight", "bigram", "unigram"))
     weights = _learned(b, weight, bigram / weight, unigram / weight, sums.v) if sums.n else np.tile(np.array([[1.0], [0.0], [0.0]]), BUCKETS)
-    in_block = (F.shiftright("pair", 32) < BLOCK) & (F.col("pair").bitwiseAND(0xFFFFFFFF) < BLOCK)
-    near = placed.where(in_block).select("pair", (F.col("train") + F.col("held")).alias("n")).toArrow()
-    block = sc.broadcast((near.column("pair").to_numpy(), near.column("n").to_numpy()))
-    scores = pairs.where(is_hashed | ~in_block).mapInArrow(_pair_scores(words, weights, sums.n, sums.v), "pair long, log_p double, more_known long, more_base double")
-    found = rows.mapInArrow(_scorer(words, block, weights, sums.n, sums.v), "pair long, row long, a long, b double").join(scores, "pair", "left")
+    seen = F.col("train") + F.col("held")
+    frequent = most_frequent(placed.select("pair", seen.alias("n")), "n", TOP).toArrow()
+    top = sc.broadcast((frequent.column("pair").to_numpy(), frequent.column("n").to_numpy()))
+    add = is_hashed | (seen > 1) | ((seen == 1) & (F.col("test") > 0))
+    scores = pairs.where(add).mapInArrow(_pair_scores(words, weights, sums.n, sums.v), "pair long, own double, other double, more_known long, more_base double")
+    found = rows.mapInArrow(_scorer(words, top, weights, sums.n, sums.v), "pair long, row long, a long, b double").join(scores, "pair", "left")
+    log_p = F.when(F.col("row") % 2 == 1, F.col("other")).otherwise(F.col("own"))
+    found = found.select("pair", "row", "a", "b", log_p.alias("log_p"), "more_known", "more_base")
     kind = F.when(F.col("pair") < 0, (-1 - F.col("pair")) % 4)
     of = lambda k, c: F.max(F.when(kind == k, F.col(c)))
     more = lambda c: F.coalesce(F.sum(c), F.lit(0))
     texts = found.groupBy("row").agg(
         of(0, "a").alias("doc_id"), of(1, "a").alias("n_tokens"), of(2, "a").alias("known"), more("more_known").alias("more_known"), (of(1, "b") + more("more_base")).alias("base_score"), (of(0, "b") + more("log_p")).alias("score")
     )
-    known = F.shiftright("known", 1) + F.col("more_known")
-    return texts.select("doc_id", (F.col("known") % 2 == 1).alias("held_out"), "n_tokens", known.alias("n_known"), F.lit(sums.n).cast("long").alias("train_tokens"), "base_score", "score")
+    known = F.col("known") + F.col("more_known")
+    return texts.select("doc_id", (F.col("row") % 2 == 1).alias("held_out"), "n_tokens", known.alias("n_known"), F.lit(sums.n).cast("long").alias("train_tokens"), "base_score", "score")
