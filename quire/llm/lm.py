@@ -13,11 +13,14 @@ Most pairs occur once. So a text's score is first added up as if each pair that
 are not held out, which have it themselves) or never (by held-out texts); the join only brings what pairs that were seen more often
 add to that.
 
-A pair is named by the places of its two words among the most frequent, or, if one is not there, by a hash (with HASHED set).
+A pair is named by the places of its two words among the most frequent, or, if one is not there, by a hash (with HASHED set). In the
+table of pairs it is (hi, lo): (name, 0) if both words have a place; the hash of the one that has none, and 2 * place + 1 or + 2 for a
+word before or after it that has one; or both words' hashes.
 """
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -73,6 +76,10 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from rows()
 
 
+def _hashed(before: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    return (pair_hash(before, tokens) | HASHED) & np.uint64((1 << 63) - 1)
+
+
 def _named(table: KeyTable, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(pair, context, place of the context, place of the token) of each token; a place is -1 for words not in the table."""
     before = np.empty_like(tokens)
@@ -82,13 +89,12 @@ def _named(table: KeyTable, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     context[0], context[1:] = table.get(END_HASH[None])[0], to[:-1]
     pair = (context.astype(np.uint64) << np.uint64(32)) | to.astype(np.uint64)
     away = np.flatnonzero((context < 0) | (to < 0))
-    pair[away] = (pair_hash(before[away], tokens[away]) | HASHED) & np.uint64((1 << 63) - 1)
+    pair[away] = _hashed(before[away], tokens[away])
     return pair, before, context, to
 
 
 def _pair_counts(words):
-    """Counts of pairs in training, held-out and other texts. Of hashed pairs also the words that have no place (v, w)
-    and the place of the one that has."""
+    """Counts of pairs in training, held-out and other texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = KeyTable(words.value[0], np.arange(len(words.value[0]), dtype=np.int32))
@@ -110,10 +116,11 @@ def _pair_counts(words):
                 _, at = np.unique(pair, return_index=True)
                 for column, x in zip((v, w, place), values, strict=True):
                     column[keys >= HASHED] = x[at]
-            column = lambda x: pa.array(x.view(np.int64), mask=x == 0)
-            out = pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), column(v), column(w), pa.array(place), *count], names=["pair", "v", "w", "place", "train", "held", "test"])
-            for lo in range(0, len(keys), 1 << 16):
-                yield out.slice(lo, 1 << 16)
+            hi = np.where(keys < HASHED, keys, np.where(v != 0, v, w))
+            lo = np.where((v != 0) & (w != 0), w.view(np.int64), np.where(v != 0, 2 * place.astype(np.int64) + 2, np.where(w != 0, 2 * place.astype(np.int64) + 1, 0)))
+            out = pa.RecordBatch.from_arrays([pa.array(hi.view(np.int64)), pa.array(lo), *count], names=["hi", "lo", "train", "held", "test"])
+            for at in range(0, len(keys), 1 << 16):
+                yield out.slice(at, 1 << 16)
 
         for _, _, _, tokens, starts, fold in _batches(batches):
             pair, before, context, to = _named(table, tokens)
@@ -132,22 +139,47 @@ def _pair_counts(words):
     return run
 
 
-PAIRS = "pair long, v long, w long, place int, train long, held long, test long"
+PAIRS = "hi long, lo long, train long, held long, test long"
+
+
+def _words_of(pairs: DataFrame) -> DataFrame:
+    """pairs with the hashes of the words that have no place (v before, w after), null for those that have one."""
+    two = ~F.col("lo").between(0, 2 * HEAD + 2)
+    v = F.when(two | ((F.col("lo") > 0) & (F.col("lo") % 2 == 0)), F.col("hi"))
+    return pairs.withColumns({"v": v, "w": F.when(two, F.col("lo")).when(F.col("lo") % 2 == 1, F.col("hi"))})
+
+
+def _ends(batch: pa.RecordBatch) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of the words before and after in each pair: whether it has a place, the place (or 0), the hash (or 0)."""
+    hi, lo = (batch.column(c).to_numpy() for c in ("hi", "lo"))
+    out = []
+    for column, both in (("v", hi >> 32), ("w", hi & 0xFFFFFFFF)):
+        has = batch.column(column).is_null().to_numpy(zero_copy_only=False)
+        place = np.where(has, np.where(lo == 0, both, (lo - 1) >> 1), 0)
+        out.append((has, place, batch.column(column).fill_null(0).to_numpy().view(np.uint64)))
+    return out
 
 
 def _counts_of(words, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(count of context, of it in training, count of word, of it in training) of each pair."""
     _, n_of, train_of = words.value
-    pair = batch.column("pair").to_numpy()
     out = [batch.column(c).fill_null(0).to_numpy(zero_copy_only=False).astype(float) for c in ("v_n", "v_train", "w_n", "w_train")]
-    is_hashed, place = pair >= int(HASHED), batch.column("place").to_numpy()
-    has = [~is_hashed | batch.column(c).is_null().to_numpy(zero_copy_only=False) for c in ("v", "w")]
-    at = [np.where(is_hashed, place, pair >> 32), np.where(is_hashed, place, pair & 0xFFFFFFFF)]
-    for k in (0, 1):
-        out[2 * k][has[k]], out[2 * k + 1][has[k]] = n_of[at[k][has[k]]], train_of[at[k][has[k]]]
+    for k, (has, place, _) in enumerate(_ends(batch)):
+        out[2 * k][has], out[2 * k + 1][has] = n_of[place[has]], train_of[place[has]]
     return tuple(out)
 
 
+def _names(words, batch: pa.RecordBatch) -> np.ndarray:
+    """The pairs' names, as `_named` has them."""
+    keys, lo = words.value[0], batch.column("lo").to_numpy()
+    hashes = []
+    for has, place, word in _ends(batch):
+        word = word.copy()
+        word[has] = keys[place[has]]
+        hashes.append(word)
+    return np.where(lo == 0, batch.column("hi").to_numpy().view(np.uint64), _hashed(*hashes))
+
+
 def _bucket(n: np.ndarray) -> np.ndarray:
     return np.minimum(np.log2(np.maximum(n, 1)).astype(int), BUCKETS - 1)
 
@@ -191,14 +223,14 @@ def _pair_scores(words, weights: np.ndarray, n: int, vocabulary: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             context, _, word, _ = _counts_of(words, batch)
-            pair = batch.column("pair").to_numpy()
+            pair = _names(words, batch)
             seen = batch.column("train").to_numpy() + batch.column("held").to_numpy()
             placed = batch.column("w").is_null().to_numpy(zero_copy_only=False)
             known, base = (word > 0).astype(np.int64), np.log10((word + 1) / (n + vocabulary + 1))
             log_p = lambda k: np.log10(_probability(weights, context, word, k, n, vocabulary))
-            p, supposed = log_p(seen), pair < int(HASHED)
+            p, supposed = log_p(seen), pair < HASHED
             yield pa.RecordBatch.from_arrays(
-                [pa.array(pair), *(pa.array(p - np.where(supposed, log_p(k), 0)) for k in (1, 0)), pa.array(known, mask=placed), pa.array(base, mask=placed)],
+                [pa.array(pair.view(np.int64)), *(pa.array(p - np.where(supposed, log_p(k), 0)) for k in (1, 0)), pa.array(known, mask=placed), pa.array(base, mask=placed)],
                 names=["pair", "own", "other", "more_known", "more_base"],
             )
 
@@ -260,6 +292,12 @@ def _u64(keys: pa.ChunkedArray) -> np.ndarray:
     return keys.to_numpy().view(np.uint64)
 
 
+def _let_go(sc) -> None:
+    """Has the driver collect its garbage, as Spark keeps the shuffle files of finished steps until then."""
+    gc.collect()
+    sc._jvm.System.gc()
+
+
 def score(docs: DataFrame, fold: Column, head: int = HEAD) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score, one row per row of docs (doc_id long, text).
 
@@ -273,15 +311,18 @@ def score(docs: DataFrame, fold: Column, head: int = HEAD) -> DataFrame:
     rows = docs.select("doc_id", "text", fold.cast("int").alias("fold"))
     counts = rows.mapInArrow(_counted, "key long, train long, held long").groupBy("key").agg(F.sum("train").alias("train"), F.sum("held").alias("held"))
     counts = materialize(counts.withColumn("n", F.col("train") + F.col("held")))
+    _let_go(sc)
     sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("train"), F.lit(0)).alias("train"), F.count(F.lit(1)).alias("v")).first()
     top = most_frequent(counts, "n", head).select("key", "n", "train").toArrow()
     keys, n_of, train_of = _u64(top.column("key")), top.column("n").to_numpy(), top.column("train").to_numpy()
     order = np.lexsort((keys, -n_of))
     words = sc.broadcast((keys[order], n_of[order], train_of[order]))
-    pairs = rows.mapInArrow(_pair_counts(words), PAIRS).groupBy("pair").agg(F.max("v").alias("v"), F.max("w").alias("w"), F.max("place").alias("place"), F.sum("train").alias("train"), F.sum("held").alias("held"), F.sum("test").alias("test"))
-    pairs = materialize(pairs)
-    is_hashed = F.col("pair") >= int(HASHED)
+    # Tasks have combined what they can: a second, hashed combination before the shuffle would only take memory.
+    pairs = rows.mapInArrow(_pair_counts(words), PAIRS).repartition("hi", "lo").groupBy("hi", "lo").agg(*[F.sum(c).alias(c) for c in ("train", "held", "test")])
+    pairs = _words_of(materialize(pairs))
+    is_hashed = F.col("lo") != 0
     away = materialize(_with_counts(_with_counts(pairs.where(is_hashed), counts, "v"), counts, "w"))
+    _let_go(sc)
     none = F.lit(None).cast("long")
     placed = pairs.where(~is_hashed).select("*", *[none.alias(c) for c in ("v_n", "v_train", "w_n", "w_train")])
     pairs = placed.unionByName(away)
@@ -290,18 +331,19 @@ def score(docs: DataFrame, fold: Column, head: int = HEAD) -> DataFrame:
     b, weight, bigram, unigram = (held.column(c).to_numpy() for c in ("b", "weight", "bigram", "unigram"))
     weights = _learned(b, weight, bigram / weight, unigram / weight, sums.v) if sums.n else np.tile(np.array([[1.0], [0.0], [0.0]]), BUCKETS)
     seen = F.col("train") + F.col("held")
-    frequent = most_frequent(placed.select("pair", seen.alias("n")), "n", TOP).toArrow()
+    frequent = most_frequent(placed.select(F.col("hi").alias("pair"), seen.alias("n")), "n", TOP).toArrow()
     top = sc.broadcast((frequent.column("pair").to_numpy(), frequent.column("n").to_numpy()))
+    _let_go(sc)
     add = is_hashed | (seen > 1) | ((seen == 1) & (F.col("test") > 0))
     scores = pairs.where(add).mapInArrow(_pair_scores(words, weights, sums.n, sums.v), "pair long, own double, other double, more_known long, more_base double")
-    found = rows.mapInArrow(_scorer(words, top, weights, sums.n, sums.v), "pair long, row long, a long, b double").join(scores, "pair", "left")
-    log_p = F.when(F.col("row") % 2 == 1, F.col("other")).otherwise(F.col("own"))
-    found = found.select("pair", "row", "a", "b", log_p.alias("log_p"), "more_known", "more_base")
     kind = F.when(F.col("pair") < 0, (-1 - F.col("pair")) % 4)
     of = lambda k, c: F.max(F.when(kind == k, F.col(c)))
-    more = lambda c: F.coalesce(F.sum(c), F.lit(0))
-    texts = found.groupBy("row").agg(
-        of(0, "a").alias("doc_id"), of(1, "a").alias("n_tokens"), of(2, "a").alias("known"), more("more_known").alias("more_known"), (of(1, "b") + more("more_base")).alias("base_score"), (of(0, "b") + more("log_p")).alias("score")
-    )
+    log_p = F.when(F.col("row") % 2 == 1, F.col("other")).otherwise(F.col("own"))
+    sums_of = [of(0, "a").alias("doc_id"), of(1, "a").alias("n_tokens"), of(2, "a").alias("known"), of(0, "b").alias("log_p"), of(1, "b").alias("base")]
+    sums_of += [F.sum(log_p).alias("more_p"), F.sum("more_known").alias("more_known"), F.sum("more_base").alias("more_base")]
+    found = rows.mapInArrow(_scorer(words, top, weights, sums.n, sums.v), "pair long, row long, a long, b double").join(scores, "pair", "left")
+    more = lambda c: F.coalesce(c, F.lit(0))
+    texts = found.groupBy("row").agg(*sums_of)
+    texts = texts.withColumns({"more_known": more("more_known"), "base_score": F.col("base") + more("more_base"), "score": F.col("log_p") + more("more_p")})
     known = F.col("known") + F.col("more_known")
     return texts.select("doc_id", (F.col("row") % 2 == 1).alias("held_out"), "n_tokens", known.alias("n_known"), F.lit(sums.n).cast("long").alias("train_tokens"), "base_score", "score")
