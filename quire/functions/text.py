@@ -54,9 +54,12 @@ def citation_id(authors: Column, title: Column, year: Column) -> Column:
 
 
 def contains_term(haystack: Column, needle: Column, least: int = 1) -> Column:
-    """Whether needle stands in haystack between word boundaries; both normalised. Needles shorter than `least` never do."""
-    padded = lambda c: F.concat(F.lit(" "), F.regexp_replace(c, "(?U)[^\\w]+", " "), F.lit(" "))
-    return (F.length(needle) >= least) & F.contains(padded(haystack), padded(needle))
+    """Whether needle stands in haystack, character by character, with no word character before or after it; both normalised.
+
+    Needles shorter than `least` never do. Null where either is. The pattern is only compiled for rows that hold the needle at all.
+    """
+    quoted = F.concat(F.lit("(?U)(?<!\\w)\\Q"), F.replace(needle, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E(?!\\w)"))
+    return F.when((F.length(needle) >= least) & F.contains(haystack, needle), F.regexp_like(haystack, quoted)).otherwise(F.contains(haystack, needle) & F.lit(False))
 
 
 def truncate(text: Column, budget: int, suffix: str = "\n…") -> Column:
@@ -78,13 +81,18 @@ def chunks(text: Column, size: int = 500, overlap: int = 100) -> Column:
     return F.transform(F.sequence(F.lit(0), last, F.lit(step)), lambda s: F.struct(s.alias("start"), F.substring(text, s + 1, F.lit(size)).alias("piece")))
 
 
-def expand_page_list(text: Column) -> Column:
-    """Page numbers of a list like "12, 15-17": numbers and ranges (either way round), sorted and distinct."""
+def expand_page_list(text: Column, last_page: int = 20_000) -> Column:
+    """Page numbers of a list like "12, 15-17": numbers and ranges (either way round), sorted and distinct.
+
+    No book has pages after last_page: such numbers, of any length, are left out, and ranges end there.
+    """
     tokens = F.filter(F.split(text, "[,.\\s]+"), lambda t: t.rlike("^\\d+([-–—]\\d+)?$"))
+    number = lambda t, pattern: F.coalesce(F.regexp_extract(t, pattern, 1).try_cast("int"), F.lit(2**31 - 1))
 
     def pages(token: Column) -> Column:
-        a, b = F.regexp_extract(token, "^(\\d+)", 1).cast("int"), F.regexp_extract(token, "(\\d+)$", 1).cast("int")
-        return F.sequence(F.least(a, b), F.greatest(a, b))
+        a, b = number(token, "^(\\d+)"), number(token, "(\\d+)$")
+        low, high = F.least(a, b), F.least(F.greatest(a, b), F.lit(last_page))
+        return F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
 
     return F.array_sort(F.array_distinct(F.flatten(F.transform(tokens, pages))))
 

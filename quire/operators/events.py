@@ -48,10 +48,20 @@ def evicted(jobs: DataFrame, now: str, ttl_seconds: int, cap: int) -> DataFrame:
 
 
 def first_in_window(requests: DataFrame, seconds: int) -> DataFrame:
-    """(key, ts, event_id) of requests that come more than `seconds` after the request of their key before them."""
+    """(key, ts, event_id) of accepted requests: those that come more than `seconds` after the last accepted one of their key.
+
+    Suppressed requests don't extend the time. Requests of a key with no gap of `seconds` between them are one stretch; the first
+    of a stretch is always accepted, so stretches are folded on their own and a busy key is as many arrays as it has pauses.
+    """
     w = Window.partitionBy("key").orderBy("ts", "event_id")
-    gap = F.col("ts").cast("timestamp").cast("long") - F.lag("ts").over(w).cast("timestamp").cast("long")
-    return requests.withColumn("gap", gap).where(F.col("gap").isNull() | (F.col("gap") > seconds)).select("key", "ts", "event_id")
+    at = F.col("ts").cast("timestamp").cast("long")
+    timed = requests.select("key", "ts", "event_id", at.alias("at")).withColumn("new", F.coalesce(F.col("at") - F.lag("at").over(w) > seconds, F.lit(True)))
+    timed = timed.withColumn("stretch", F.sum(F.col("new").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    every = timed.groupBy("key", "stretch").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "at"))).alias("all"))
+    first = F.get("all", F.lit(0))
+    accept = lambda got, x: F.when(x["at"] - F.element_at(got, -1)["at"] > seconds, F.concat(got, F.array(x))).otherwise(got)
+    taken = every.select("key", F.explode(F.aggregate("all", F.array(first), accept)).alias("x"))
+    return taken.select("key", "x.ts", "x.event_id")
 
 
 def history(runs: DataFrame, book: str = "", job: str = "", date: str = "", limit: int = 200) -> DataFrame:

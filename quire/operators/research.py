@@ -63,13 +63,21 @@ def candidates(subjects: DataFrame, postings: DataFrame, chapters: DataFrame, re
 
 
 def relevant_pages(pages: DataFrame, terms: DataFrame) -> DataFrame:
-    """Pages (doc_id, text) that hold one of the single-word terms between word boundaries; without terms, all pages.
+    """doc_id of the pages (doc_id, text) that hold one of the terms (of two letters or more) between word boundaries; without terms, all pages.
 
-    Distinct words of pages are joined with terms by equality.
+    Distinct words of pages are joined with the terms' first words by equality; terms of several words, or with other characters, are
+    then looked for in the texts. A term without any word character names no page.
     """
     words = pages.select("doc_id", F.explode(F.array_distinct(F.split(normalize_search(F.col("text")), "(?U)[^\\w]+"))).alias("word"))
-    wanted = terms.select(normalize_search(F.col("term")).alias("word")).where("length(word) >= 2").distinct()
-    return words.join(wanted, "word", "left_semi").select("doc_id").distinct()
+    wanted = terms.select(normalize_search(F.col("term")).alias("term")).where("length(term) >= 2").distinct()
+    if wanted.limit(1).count() == 0:
+        return pages.select("doc_id").distinct()
+    wanted = wanted.select("term", F.get(F.filter(F.split("term", "(?U)[^\\w]+"), lambda w: w != ""), F.lit(0)).alias("word"))
+    whole, more = wanted.where("term = word"), wanted.where("term <> word")
+    found = words.join(whole, "word", "left_semi").select("doc_id")
+    likely = words.join(more, "word").select("doc_id", "term")
+    exact = likely.join(pages.select("doc_id", normalize_search(F.col("text")).alias("text")), "doc_id").where(contains_term(F.col("text"), F.col("term"), 2))
+    return found.union(exact.select("doc_id")).distinct()
 
 
 def catalog_search(subjects: DataFrame, query: str, limit: int = 20) -> DataFrame:

@@ -30,11 +30,21 @@ def resolved(raw: DataFrame, subjects: DataFrame, accept: float = 0.92) -> DataF
 
 
 def allocated_slugs(labels: DataFrame, taken: DataFrame) -> DataFrame:
-    """(label, slug): unique slugs for new labels; of labels that share one, and where it is taken, later ones get -2, -3, ..."""
+    """(label, slug): unique slugs for new labels; of labels that share one, and where it is taken, later ones get -2, -3, ...
+
+    A number is passed over if the slug with it is taken or is what another new label asks for. taken: label, of known subjects.
+    """
     base = labels.select("label", slugify(F.col("label"), default="subject").alias("base")).distinct()
     used = taken.select(slugify(F.col("label"), default="subject").alias("base")).distinct().withColumn("used", F.lit(1))
     n = F.row_number().over(Window.partitionBy("base").orderBy("label"))
-    return base.withColumn("n", n).join(used, "base", "left").select("label", F.when(F.col("n") + F.coalesce("used", F.lit(0)) == 1, F.col("base")).otherwise(F.concat("base", F.lit("-"), (F.col("n") + F.coalesce("used", F.lit(0))).cast("string"))).alias("slug"))
+    shape = "^(.+)-([1-9][0-9]{0,8})$"
+    numbered = used.select("base").union(base.select("base")).where(F.col("base").rlike(shape))
+    numbered = numbered.select(F.regexp_extract("base", shape, 1).alias("base"), F.regexp_extract("base", shape, 2).cast("int").alias("k")).where("k > 1")
+    blocked = numbered.groupBy("base").agg(F.array_sort(F.collect_set("k")).alias("blocked"))
+    rows = base.withColumn("n", n).join(used, "base", "left").join(blocked, "base", "left")
+    place = F.col("n") + F.coalesce("used", F.lit(0))
+    free = F.aggregate(F.coalesce("blocked", F.array().cast("array<int>")), place, lambda k, b: F.when(b <= k, k + 1).otherwise(k))
+    return rows.select("label", F.when(place == 1, F.col("base")).otherwise(F.concat("base", F.lit("-"), free.cast("string"))).alias("slug"))
 
 
 def suggestion_clusters(pairs: DataFrame, dismissed: DataFrame, names: DataFrame) -> DataFrame:

@@ -17,40 +17,70 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == F.size(b)) & (norm > 0), dot(a, b) / norm).otherwise(0.0)
 
 
-def _pairs_above(threshold: float):
+def _unit(column: pa.ChunkedArray) -> np.ndarray:
+    rows = np.array(column.to_pylist(), float).reshape(len(column), -1)
+    norm = np.linalg.norm(rows, axis=1, keepdims=True)
+    return np.divide(rows, norm, out=np.zeros_like(rows), where=norm > 0)
+
+
+def _product(threshold: float | None, k: int | None, ordered: bool):
+    """Of one block: (a, b, score) of queries a and others b at or above the threshold, or the k best of each query."""
+
     def run(group: pa.Table) -> pa.Table:
-        ids, side = group.column("id").to_numpy(), group.column("side").to_numpy()
-        rows = np.array(group.column("v").to_pylist(), float).reshape(len(ids), -1)
-        norm = np.linalg.norm(rows, axis=1, keepdims=True)
-        rows = np.divide(rows, norm, out=np.zeros_like(rows), where=norm > 0)
-        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        s = rows[left] @ rows[right].T
-        i, j = np.nonzero(s >= threshold)
-        a, b = ids[left[i]], ids[right[j]]
-        keep = a < b
-        return pa.table({"a": a[keep], "b": b[keep], "score": s[i, j][keep]})
+        ids, asks = group.column("id").to_numpy(), group.column("asks").to_numpy(zero_copy_only=False)
+        rows = _unit(group.column("v"))
+        left, right = np.flatnonzero(asks), np.flatnonzero(~asks)
+        right = right[np.argsort(ids[right], kind="stable")]
+        s = np.nan_to_num(rows[left] @ rows[right].T)
+        allowed = ids[left][:, None] < ids[right] if ordered else ids[left][:, None] != ids[right]
+        if threshold is not None:
+            allowed &= s >= threshold
+        if k is not None:
+            best = np.argsort(np.where(allowed, -s, np.inf), axis=1, kind="stable")[:, :k]
+            chosen = np.zeros_like(allowed)
+            np.put_along_axis(chosen, best, True, axis=1)
+            allowed &= chosen
+        i, j = np.nonzero(allowed)
+        return pa.table({"a": ids[left[i]], "b": ids[right[j]], "score": s[i, j]})
 
     return run
 
 
+def _in_blocks(queries: DataFrame, vectors: DataFrame, block: int, threshold: float | None, k: int | None, ordered: bool = False) -> DataFrame:
+    """All queries (id, v) against all vectors (id, v) of their length, in blocks of about `block` by `block`; each is copied once a block of the other side."""
+    known = lambda d: d.select("id", "v", F.size("v").alias("d")).where("v is not null and d > 0")
+    n, m = (max(1, -(-d.count() // block)) for d in (queries, vectors))
+    place = lambda c: F.pmod(F.xxhash64("id"), F.lit(c)).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.lit(c - 1)))
+    left = known(queries).select("id", "v", "d", F.lit(True).alias("asks"), place(n).alias("i"), every(m).alias("j"))
+    right = known(vectors).select("id", "v", "d", F.lit(False).alias("asks"), every(n).alias("i"), place(m).alias("j"))
+    return left.unionByName(right).groupBy("d", "i", "j").applyInArrow(_product(threshold, k, ordered), "a long, b long, score double")
+
+
 def cosine_pairs(vectors: DataFrame, threshold: float, block: int = 1024) -> DataFrame:
-    """(a, b, score) with a < b of all pairs of vectors (id, v of one length) at or above the threshold.
+    """(a, b, score) with a < b of all pairs of vectors (id, v) at or above the threshold, which is above 0.
+
+    An exact self-join in blocks: each pair of blocks is one matrix product in a task, and only pairs above the threshold leave it.
+    Vectors of different lengths, null and empty ones have similarity 0, so only those of one length meet.
+    """
+    return _in_blocks(vectors, vectors, block, threshold, None, ordered=True)
+
+
+def cosine_above(queries: DataFrame, vectors: DataFrame, threshold: float, block: int = 1024) -> DataFrame:
+    """(query, id, score) of the vectors (id, v) at or above the threshold (above 0) for each query (query, q), itself left out."""
+    found = _in_blocks(queries.select(F.col("query").alias("id"), F.col("q").alias("v")), vectors, block, threshold, None)
+    return found.select(F.col("a").alias("query"), F.col("b").alias("id"), "score")
+
+
+def cosine_top_k(queries: DataFrame, vectors: DataFrame, k: int, block: int = 1024) -> DataFrame:
+    """(query, id, score, rank): the k nearest vectors (id, v) of each query (query, q), itself left out, ties by id.
 
-    An exact self-join in blocks: ids are dealt to blocks, each pair of blocks is one matrix product in a task, and only pairs
-    above the threshold leave it. Each vector is copied once per block, so rows grow with n * n / block.
+    Vectors without the query's length are not among them. Each block hands on its k best of a query, so k rows a query and block
+    are ranked at the end.
     """
-    n = max(1, -(-vectors.count() // block))
-    dealt = vectors.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("own"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = dealt.select("id", "v", F.lit(0).alias("side"), F.col("own").alias("i"), every.alias("j"))
-    right = dealt.select("id", "v", F.lit(1).alias("side"), every.alias("i"), F.col("own").alias("j"))
-    return left.unionByName(right).groupBy("i", "j").applyInArrow(_pairs_above(threshold), "a long, b long, score double")
-
-
-def cosine_top_k(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """(query, id, score, rank): the k nearest vectors (id, v) of each query (query, q), itself left out, ties by id. Queries are a stated, small set and are broadcast."""
-    scored = vectors.join(F.broadcast(queries), F.col("id") != F.col("query")).select("query", "id", cosine(F.col("q"), F.col("v")).alias("score"))
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
+    found = _in_blocks(queries.select(F.col("query").alias("id"), F.col("q").alias("v")), vectors, block, None, k)
+    found = found.select(F.col("a").alias("query"), F.col("b").alias("id"), "score")
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
 
 
 def indel_ratio(a: str, b: str) -> float:

@@ -92,10 +92,10 @@ def pages_added(spark, sf):
     return postings.pages_added(p.where("subject % 31 = 1"), p.where("subject % 3 = 0"))
 
 
-@query("postings", "select distinct book, page from postings where subject % 5 = 0 union select distinct book, page from postings where subject % 7 = 0")
+@query("postings", "select distinct book, page from postings where book < 12 union select distinct book, page from postings where book >= 9")
 def page_map_union(spark, sf):
     p = t.postings(spark, sf)
-    return postings.page_map(p.where("subject % 5 = 0"), p.where("subject % 7 = 0"))
+    return postings.page_map(p.where("book < 12"), p.where("book >= 9"))
 
 
 @query("postings", "select subject, count(distinct book) as n_books, count(*) as n_pages from postings group by subject having count(distinct book) >= 2")
@@ -103,9 +103,9 @@ def multibook_subjects(spark, sf):
     return postings.multibook(t.postings(spark, sf), 2)
 
 
-@query("postings", "select book, page from (select book, page, row_number() over (partition by book order by page) as r from (select distinct book, page from postings where subject % 5 = 0)) where r <= 8")
+@query("postings", "select book, page from (select book, page, row_number() over (partition by book order by page) as r from (select distinct book, page from postings)) where r <= 8")
 def page_budget_low(spark, sf):
-    return postings.page_budget(postings.page_map(t.postings(spark, sf).where("subject % 5 = 0")), 8)
+    return postings.page_budget(postings.page_map(t.postings(spark, sf)), 8)
 
 
 @query("subjects postings chapter_starts chapters", f"select * from (with {_FOUND}, {_WIDE} select book, page from (select *, row_number() over (partition by book order by hit desc, page) as r from wide) where r <= 8)")
@@ -228,10 +228,13 @@ def catalog_search(spark, sf):
     return research.catalog_search(t.subjects(spark, sf), "Small")
 
 
-@query("", "select distinct doc_id from (select doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) as w from documents where lang = 'en') where w in ('idiot', 'license', 'token')")
+_TERM = r"(^|[^\p{L}\p{N}_])(idiot|token|apache license|third-party)($|[^\p{L}\p{N}_])"
+
+
+@query("", f"select doc_id from documents where regexp_matches(trim(regexp_replace(lower(text), '[ \\t\\n\\r\\f\\v]+', ' ', 'g')), '{_TERM}')")
 def page_relevance(spark, sf):
-    d = t.table(spark, sf, "documents").where("lang = 'en'")
-    return research.relevant_pages(d, spark.createDataFrame([("Idiot",), ("license",), ("token",), ("a",)], "term string"))
+    terms = spark.createDataFrame([("Idiot",), ("Apache  License",), ("third-party",), ("token",), ("a",)], "term string")
+    return research.relevant_pages(t.table(spark, sf, "documents"), terms)
 
 
 @query("articles", "select doc_id as id from documents where doc_id not in (select id from articles where not no_material)")
@@ -244,11 +247,14 @@ def partition_targets(spark, sf):
     return audits.partitioned(t.table(spark, sf, "documents").select(F.col("doc_id").alias("id")), t.articles(spark, sf))
 
 
-_HTML = "left(html, cast(100 + (page_id * 37) % 900 as int))"
+_HTML = """case page_id % 7 when 2 then regexp_replace(html, '(?i)<html', '<x', 'g') when 4 then regexp_replace(html, '(?i)<body', '<x', 'g') when 6 then '<html> <body>' || page_id else html end"""
 
 
 def _files(spark, sf):
-    html = F.substring(F.col("html"), F.lit(1), (100 + (F.col("page_id") * 37) % 900).cast("int"))
+    """Whole pages, of which some are damaged: a tag is missing, or all but a few letters are."""
+    k, html = F.col("page_id") % 7, F.col("html")
+    broken = lambda tag: F.regexp_replace(html, f"(?i)<{tag}", "<x")
+    html = F.when(k == 2, broken("html")).when(k == 4, broken("body")).when(k == 6, F.concat(F.lit("<html> <body>"), F.col("page_id").cast("string"))).otherwise(html)
     return t.table(spark, sf, "pages").select(F.col("page_id").alias("id"), html.alias("html"))
 
 

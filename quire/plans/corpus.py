@@ -28,11 +28,11 @@ def cosine_topk(spark, sf):
     return similarity.cosine_top_k(v.where("id % 100 = 0").select(F.col("id").alias("query"), F.col("v").alias("q")), v, 10).select("query", "id", F.round("score", 6).alias("score"), "rank")
 
 
-@query("", f"select b.vec_id as id, {_COS} as score from embeddings a join embeddings b on a.vec_id <> b.vec_id where a.vec_id = 7 and list_cosine_similarity(a.embedding::double[], b.embedding::double[]) >= 0.2")
+@query("", f"select a.vec_id as query, b.vec_id as id, {_COS} as score from embeddings a join embeddings b on a.vec_id <> b.vec_id where a.vec_id % 100 = 0 and list_cosine_similarity(a.embedding::double[], b.embedding::double[]) >= 0.2")
 def semantic_threshold(spark, sf):
     v = _vectors(spark, sf)
-    q = v.where("id = 7").select(F.col("id").alias("query"), F.col("v").alias("q"))
-    return v.join(F.broadcast(q), F.col("id") != F.col("query")).select("id", similarity.cosine(F.col("q"), F.col("v")).alias("score")).where("score >= 0.2").select("id", F.round("score", 6).alias("score"))
+    q = v.where("id % 100 = 0").select(F.col("id").alias("query"), F.col("v").alias("q"))
+    return similarity.cosine_above(q, v, 0.2).select("query", "id", F.round("score", 6).alias("score"))
 
 
 _REACH = """recursive e as (select a.vec_id as x, b.vec_id as y from embeddings a join embeddings b on a.vec_id <> b.vec_id where list_cosine_similarity(a.embedding::double[], b.embedding::double[]) >= 0.4),
@@ -80,12 +80,18 @@ def resolve_cascade(spark, sf):
     return resolve.resolved(raw, t.subjects(spark, sf))
 
 
-@query("", """select label, case when n + used = 1 then base else base || '-' || cast(n + used as varchar) end as slug from (select label, base, row_number() over (partition by base order by label) as n,
-    case when base in (select replace(lower(p_name), ' ', '-') from part where p_partkey % 2 = 0) then 1 else 0 end as used from (
-    select distinct label, replace(replace(lower(label), '!', ''), ' ', '-') as base from (select p_name as label from part union select p_name || '!' from part where p_partkey % 3 = 0)))""")
+_LABELS = "select p_name as label from part union select p_name || '!' from part where p_partkey % 3 = 0 union select p_name || ' 2' from part where p_partkey % 4 = 1 union select p_name || ' 3' from part where p_partkey % 5 = 1"
+
+
+@query("", f"""with l as (select label, replace(replace(lower(label), '!', ''), ' ', '-') as base from ({_LABELS})),
+    k as (select distinct replace(lower(p_name), ' ', '-') as base from part where p_partkey % 2 = 0), used as (select base from l union select base from k),
+    n as (select label, base, row_number() over (partition by base order by label) + (base in (select base from k))::int as n from l),
+    free as (select base, x, row_number() over (partition by base order by x) + 1 as n from (select base, unnest(range(2, count(*) + 20)) as x from l group by base) where base || '-' || x not in (select base from used))
+    select label, case when n.n = 1 then n.base else n.base || '-' || x end as slug from n left join free on n.base = free.base and n.n = free.n""")
 def slug_allocation(spark, sf):
     p = t.table(spark, sf, "part")
-    new = p.select(F.col("p_name").alias("label")).union(p.where("p_partkey % 3 = 0").select(F.concat("p_name", F.lit("!"))))
+    more = lambda mark, n: p.where(f"p_partkey % {n} = {n % 3}").select(F.concat("p_name", F.lit(mark)))
+    new = p.select(F.col("p_name").alias("label")).union(more("!", 3)).union(more(" 2", 4)).union(p.where("p_partkey % 5 = 1").select(F.concat("p_name", F.lit(" 3"))))
     return resolve.allocated_slugs(new, p.where("p_partkey % 2 = 0").select(F.col("p_name").alias("label")))
 
 
@@ -194,10 +200,11 @@ def ttl_evict(spark, sf):
     return events.evicted(jobs, str(e.agg(F.max("ts")).first()[0]), 86_400, 40)
 
 
-@query("job_events", "select key, ts, event_id from (select *, epoch(ts)::bigint - lag(epoch(ts)::bigint) over (partition by key order by ts, event_id) as gap from (select event_id, ts, concat(cast(job as varchar), '/', status) as key from job_events)) where gap is null or gap > 3600")
+@query("", f"""with recursive job_events as ({t.SQL["job_events"]}), r as (select event_id, ts, floor(epoch(ts))::bigint as sec, status as key from job_events),
+    a as (select key, min(sec) as sec from r group by key union all select a.key, min(r.sec) from a join r on r.key = a.key and r.sec > a.sec + 86400 group by a.key)
+    select key, arg_min(ts, (ts, event_id)) as ts, arg_min(event_id, (ts, event_id)) as event_id from r join a using (key, sec) group by key, sec""")
 def request_dedup(spark, sf):
-    e = t.job_events(spark, sf)
-    return events.first_in_window(e.select("event_id", "ts", F.concat_ws("/", F.col("job").cast("string"), "status").alias("key")), 3600)
+    return events.first_in_window(t.job_events(spark, sf).select("event_id", "ts", F.col("status").alias("key")), 86_400)
 
 
 @query("", "select conv_id, string_agg(text, chr(10) order by turn) as text, count(*) as n from conversations where role = 'assistant' group by conv_id")

@@ -27,7 +27,6 @@ def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def chapter_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct (book, start_page), with ord, the place in the table of contents."""
     o = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 20).cast("int").alias("book"), "o_orderkey", (1 + (F.col("o_orderkey") * 7 + F.col("o_custkey")) % 60).cast("int").alias("start_page"))
-    o = o.withColumn("rank", F.row_number().over(Window.partitionBy("book").orderBy("o_orderkey"))).where("rank <= 8")
     return o.groupBy("book", "start_page").agg(F.min("o_orderkey").alias("ord"))
 
 
@@ -41,9 +40,11 @@ def time_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, book, page, text: documents numbered within their source."""
+    """doc_id, book, page, text: documents numbered within their source. Only ids are sorted; texts join them."""
     d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", F.substring("source", 4, 10).cast("int").alias("book"), F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).alias("page"), "text")
+    page = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
+    numbered = d.select("doc_id", "source").select("doc_id", F.substring("source", 4, 10).cast("int").alias("book"), page.alias("page"))
+    return numbered.join(d.select("doc_id", "text"), "doc_id")
 
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,8 +65,7 @@ SQL = {
     "subjects": "select p_partkey as id, p_name as label, p_brand as alias from part",
     "postings": "select distinct l_partkey as subject, cast(l_suppkey % 20 as int) as book, cast(1 + l_orderkey % 60 as int) as page from lineitem",
     "chapter_starts": """select book, start_page, min(o_orderkey) as ord from (
-        select cast(o_custkey % 20 as int) as book, o_orderkey, cast(1 + (o_orderkey * 7 + o_custkey) % 60 as int) as start_page,
-        row_number() over (partition by o_custkey % 20 order by o_orderkey) as rn from orders) where rn <= 8 group by book, start_page""",
+        select cast(o_custkey % 20 as int) as book, o_orderkey, cast(1 + (o_orderkey * 7 + o_custkey) % 60 as int) as start_page from orders) group by book, start_page""",
     "chapters": """select book, ord, start_page, cast(coalesce(lead(start_page) over (partition by book order by start_page) - 1, 60) as int) as end_page from chapter_starts""",
     "time_refs": f"""select distinct 'year' as kind, cast(year(l_shipdate) as varchar) as label, cast(l_suppkey % 20 as int) as book, cast(1 + l_orderkey % 60 as int) as page from lineitem
         union select distinct 'date', concat(cast(day(l_shipdate) as varchar), ' ', {_MONTH}, ' ', cast(year(l_shipdate) as varchar)), cast(l_suppkey % 20 as int), cast(1 + l_orderkey % 60 as int) from lineitem where l_orderkey % 7 = 0""",
