@@ -75,10 +75,26 @@ def snippet(text: Column, limit: int = 180) -> Column:
 
 
 def chunks(text: Column, size: int = 500, overlap: int = 100) -> Column:
-    """Overlapping pieces as an array of (start, piece), starts from 0; the last piece may be shorter."""
-    step = size - overlap
-    last = F.greatest(F.lit(0), F.length(text) - overlap - 1)
-    return F.transform(F.sequence(F.lit(0), last, F.lit(step)), lambda s: F.struct(s.alias("start"), F.substring(text, s + 1, F.lit(size)).alias("piece")))
+    """Overlapping pieces as an array of (start, end, piece), without words that are cut at either end.
+
+    A piece begins every size - overlap characters, up to the first that reaches the end. One that starts within a word starts at the
+    next word instead, one that ends within a word ends before it; pieces of nothing but white space are left out.
+    """
+    n, word = F.length(text), "(?U)^\\w"
+    at = lambda k: F.substring(text, k + 1, F.lit(1))
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((n - size) / (size - overlap)) * (size - overlap)).cast("int"), F.lit(size - overlap))
+
+    def cut(start: Column) -> Column:
+        end = F.least(start + size, n)
+        raw = F.substring(text, start + 1, F.lit(size))
+        inside = (start > 0) & at(start).rlike(word) & at(start - 1).rlike(word)
+        head = F.when(inside, F.length(F.regexp_extract(raw, "(?Us)^\\w*[^\\w]*", 0))).otherwise(0)
+        broken = (end < n) & at(end - 1).rlike(word) & at(end).rlike(word)
+        rest = F.substring(text, start + head + 1, F.greatest(F.lit(0), end - start - head))
+        tail = F.when(broken, F.length(F.regexp_extract(rest, "(?U)\\w*$", 0))).otherwise(0)
+        return F.struct((start + head).alias("start"), (end - tail).alias("end"), F.substring(rest, F.lit(1), F.greatest(F.lit(0), F.length(rest) - tail)).alias("piece"))
+
+    return F.filter(F.transform(starts, cut), lambda c: F.trim(F.regexp_replace(c["piece"], "(?U)\\s", "")) != "")
 
 
 def expand_page_list(text: Column, last_page: int = 20_000) -> Column:
@@ -115,3 +131,67 @@ def html_damage(html: Column) -> Column:
 def canonical_pair(a: Column, b: Column) -> Column:
     """The two ids in order, joined by a bar."""
     return F.concat_ws("|", F.least(a, b), F.greatest(a, b))
+
+
+def paragraphs(text: Column) -> Column:
+    """The blocks between blank lines as an array of (index, start, end, text), offsets in characters; empty texts have none."""
+    gaps = F.transform(F.regexp_extract_all(text, F.lit("\\n\\n+"), F.lit(0)), F.length)
+    blocks = F.zip_with(F.split(text, "\\n\\n+"), gaps, lambda p, gap: F.struct(p.alias("text"), F.coalesce(gap, F.lit(0)).alias("gap")))
+    empty = F.array().cast("array<struct<start int, end int, text string>>")
+    begin = F.struct(F.lit(0).alias("at"), empty.alias("all"))
+
+    def step(state: Column, block: Column) -> Column:
+        end = state["at"] + F.length(block["text"])
+        kept = F.array_append(state["all"], F.struct(state["at"].alias("start"), end.alias("end"), block["text"].alias("text")))
+        return F.struct((end + block["gap"]).alias("at"), F.when(block["text"] == "", state["all"]).otherwise(kept).alias("all"))
+
+    found = F.aggregate(blocks, begin, step)["all"]
+    return F.transform(found, lambda p, i: F.struct(i.alias("index"), p["start"].alias("start"), p["end"].alias("end"), p["text"].alias("text")))
+
+
+def paragraph_at(text: Column, offset: Column) -> Column:
+    """The index of the paragraph that holds an offset, the last one for offsets behind its start; null in blank lines between two."""
+    every = paragraphs(text)
+    inside = F.get(F.filter(every, lambda p: (p["start"] <= offset) & (offset < p["end"])), F.lit(0))
+    last = F.get(every, F.size(every) - 1)
+    return F.coalesce(inside["index"], F.when(offset >= last["start"], last["index"]))
+
+
+def updated_paragraphs(text: Column, updates: Column) -> Column:
+    """The text after paragraphs are replaced (updates: a map from index to text); all between them stays."""
+    every = paragraphs(text)
+    between = lambda a, b: F.substring(text, a + 1, F.greatest(F.lit(0), b - a))
+    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    step = lambda s, p: F.struct(p["end"].alias("at"), F.concat(s["out"], between(s["at"], p["start"]), F.coalesce(F.try_element_at(updates, p["index"]), p["text"])).alias("out"))
+    end = F.aggregate(every, begin, step)
+    return F.when(F.size(every) > 0, F.concat(end["out"], between(end["at"], F.length(text)))).otherwise(text)
+
+
+def without_index_links(text: Column) -> Column:
+    """An index text without anchors, and with page links as their numbers."""
+    return F.regexp_replace(F.regexp_replace(text, '<a id="idx-[^"]*"></a>', ""), "\\[(\\d+)\\]\\([^)]+\\)", "$1")
+
+
+def query_fields(query: Column, limit: int = 80) -> Column:
+    """A struct (hash, preview) to log a query by: sha256 of the trimmed text, and its beginning."""
+    flat = F.regexp_replace(query, "^\\s+|\\s+$", "")
+    short = F.concat(F.regexp_replace(F.substring(flat, 1, limit - 1), "\\s+$", ""), F.lit("…"))
+    return F.struct(F.sha2(flat.cast("binary"), 256).alias("hash"), F.when(F.length(flat) > limit, short).otherwise(flat).alias("preview"))
+
+
+def aliases_of(aliases: Column, canonical: Column) -> Column:
+    """Aliases trimmed, in order, without blanks, the canonical label and later ones that differ in case only."""
+    clean = F.filter(F.transform(aliases, lambda a: F.trim(a)), lambda a: (a != "") & (F.lower(a) != F.lower(F.trim(canonical))))
+    return F.aggregate(clean, F.array().cast("array<string>"), lambda got, a: F.when(F.exists(got, lambda g: F.lower(g) == F.lower(a)), got).otherwise(F.array_append(got, a)))
+
+
+def is_yes(value: Column) -> Column:
+    """Whether a value written by hand says yes."""
+    return F.coalesce(F.lower(F.trim(value.cast("string"))).isin("true", "1", "yes", "y", "si", "sì"), F.lit(False))
+
+
+def pair_accepted(score: Column, threshold: Column, arbiter: Column | None = None) -> Column:
+    """Whether two labels are taken as one: 0.92 or more always; below 0.82 by the threshold; between, by the arbiter where there is one, else by the threshold."""
+    by_score = score >= threshold
+    between = by_score if arbiter is None else F.coalesce(arbiter, by_score)
+    return F.when(score >= 0.92, F.lit(True)).when(score < 0.82, by_score).otherwise(between)

@@ -39,7 +39,7 @@ def allocated_slugs(labels: DataFrame, taken: DataFrame) -> DataFrame:
     n = F.row_number().over(Window.partitionBy("base").orderBy("label"))
     shape = "^(.+)-([1-9][0-9]{0,8})$"
     numbered = used.select("base").union(base.select("base")).where(F.col("base").rlike(shape))
-    numbered = numbered.select(F.regexp_extract("base", shape, 1).alias("base"), F.regexp_extract("base", shape, 2).cast("int").alias("k")).where("k > 1")
+    numbered = numbered.select(F.regexp_extract("base", shape, 1).alias("base"), F.regexp_extract("base", shape, 2).try_cast("int").alias("k")).where("k > 1")
     blocked = numbered.groupBy("base").agg(F.array_sort(F.collect_set("k")).alias("blocked"))
     rows = base.withColumn("n", n).join(used, "base", "left").join(blocked, "base", "left")
     place = F.col("n") + F.coalesce("used", F.lit(0))

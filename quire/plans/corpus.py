@@ -213,10 +213,18 @@ def chat_merge(spark, sf):
     return said.select("conv_id", F.array_join(F.transform("t", lambda x: x["text"]), "\n").alias("text"), "n")
 
 
-@query("", "select doc_id, k as start, substr(text, cast(k + 1 as int), 500) as piece from (select doc_id, text, unnest(range(0, greatest(0, length(text) - 101) + 1, 400)) as k from documents)")
+_W = "[\\p{L}\\p{N}_\\p{M}]"
+
+
+@query("", f"""with c as (select doc_id, text, length(text) as n, unnest(range(0, (greatest(0, ceil((length(text) - 500) / 400.0)) * 400)::bigint + 1, 400)) as pos from documents),
+    r as (select *, least(pos + 500, n) as stop, substr(text, pos + 1, 500) as raw from c),
+    h as (select *, case when pos > 0 and regexp_matches(substr(text, pos, 2), '^{_W}{{2}}$') then length(regexp_extract(raw, '^{_W}*[^\\p{{L}}\\p{{N}}_\\p{{M}}]*')) else 0 end as head from r),
+    e as (select *, substr(raw, head + 1) as rest, stop < n and regexp_matches(substr(text, stop, 2), '^{_W}{{2}}$') as broken from h),
+    x as (select doc_id, pos + head as start, case when broken then regexp_replace(rest, '{_W}*$', '') else rest end as piece from e)
+    select doc_id, start, start + length(piece) as stop, piece from x where regexp_matches(piece, '[^\\s]')""")
 def chunking(spark, sf):
     d = t.table(spark, sf, "documents").select("doc_id", F.explode(text.chunks(F.col("text"))).alias("c"))
-    return d.select("doc_id", F.col("c.start").cast("long").alias("start"), "c.piece")
+    return d.select("doc_id", F.col("c.start").cast("long").alias("start"), F.col("c.end").cast("long").alias("stop"), "c.piece")
 
 
 @query("", "select doc_id, case when length(text) > 900 then rtrim(left(text, 898), ' ' || chr(10) || chr(9)) || chr(10) || '…' else text end as cut from documents")

@@ -37,8 +37,55 @@ def test_terms_and_cuts(spark):
     assert not one(spark, text.contains_term(t, F.lit("a"), 2), t="a a")
     assert one(spark, text.truncate(t, 6, "!"), t="ab cd  efgh") == "ab cd!" and one(spark, text.truncate(t, 6), t="abcdef") == "abcdef"
     pieces = one(spark, text.chunks(t, 5, 2), t="abcdefghij")
-    assert [(p.start, p.piece) for p in pieces] == [(0, "abcde"), (3, "defgh"), (6, "ghij")]
-    assert [(p.start, p.piece) for p in one(spark, text.chunks(t), t="")] == [(0, "")]
+    assert [(p.start, p.end, p.piece) for p in pieces] == []  # one word: every piece would cut it
+    pieces = one(spark, text.chunks(t, 10, 4), t="uno due tre quattro, fine")
+    assert [(p.start, p.end, p.piece) for p in pieces] == [(0, 8, "uno due "), (8, 12, "tre "), (12, 21, "quattro, "), (21, 25, "fine")]
+    assert one(spark, text.chunks(t), t="") == [] == one(spark, text.chunks(t), t=" \n ")
+    assert not one(spark, text.contains_term(t, F.lit("rossi bianchi")), t="rossi-bianchi") and one(spark, text.contains_term(t, F.lit("c++ (x)")), t="il c++ (x), no")
+    assert one(spark, text.expand_page_list(t), t="1-2000000000000, 99999999999, 3") == list(range(1, 20_001))
+
+
+def test_paragraphs(spark):
+    t = F.col("t")
+    found = lambda x: [(p["index"], p.start, p.end, p.text) for p in one(spark, text.paragraphs(t), t=x)]
+    assert found("a\nb\n\n\nc") == [(0, 0, 3, "a\nb"), (1, 6, 7, "c")] and found("") == [] and found("\n\nx\n\n") == [(0, 2, 3, "x")]
+    at = lambda k: one(spark, text.paragraph_at(t, F.lit(k)), t="ab\n\ncd")
+    assert [at(k) for k in (0, 2, 4, 99)] == [0, None, 1, 1]
+    updates = F.create_map(F.lit(1), F.lit("new"))
+    assert one(spark, text.updated_paragraphs(t, updates), t="ab\n\ncd\n\n") == "ab\n\nnew\n\n" and one(spark, text.updated_paragraphs(t, updates), t="") == ""
+    assert one(spark, text.is_yes(t), t=" Sì ") and not one(spark, text.is_yes(t), t="no")
+
+
+def test_time_labels(spark):
+    t = F.col("t")
+    found = lambda x: [list(y) for y in one(spark, periods.time_labels(t), t=x)]
+    assert found("nel 1848 e nel 324, p. 123, pp. 12, 99, 3456, 1.234") == [["1848", "324"], []]
+    assert found("dal 44 a.C. al 14 d. C.") == [["14 d.C.", "44 a.C."], []]
+    assert found("12 Marzo 1848 e 1° maggio; 40 marzo 1700") == [["1700", "1848"], ["1 maggio", "12 marzo 1848"]]
+    assert found("il 3 giugno 44 a.C. morì") == [["44", "44 a.C."], ["3 giugno 44"]] and found("") == [[], []]
+    assert one(spark, periods.ranges_in(t), t="100 a.C. – 200 d.C.") == ["100 a.C.–200"]  # an era at the end needs a letter behind it, as elsewhere
+    assert one(spark, periods.standalone_years(t), t="1271-1295, 1300 e 2 marzo 1400") == ["1300"]
+    order = lambda x: one(spark, periods.period_order(t), t=x)
+    assert sorted(["x", "1200", "-3", "1200/02"], key=order) == ["-3", "1200", "1200/02", "x"]
+
+
+def test_vectors_of_any_length(spark):
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.1]), (3, [1.0]), (4, None), (5, []), (6, [0.0, 0.0])]
+    v = spark.createDataFrame(rows, "id long, v array<double>")
+    assert [(r.a, r.b) for r in similarity.cosine_pairs(v, 0.5).collect()] == [(1, 2)]
+    q = v.where("id in (1, 3)").selectExpr("id as query", "v as q")
+    assert [(r["query"], r.id, r["rank"]) for r in similarity.cosine_top_k(q, v, 2).orderBy("query", "rank").collect()] == [(1, 2, 1), (1, 6, 2)]
+
+
+def test_requests_and_slugs(spark):
+    from quire.operators import events
+
+    times = spark.createDataFrame([("k", k, m) for k, m in enumerate((0, 50, 100, 150))], "key string, event_id int, m int")
+    times = times.select("key", "event_id", F.timestamp_seconds(F.col("m") * 60).alias("ts"))
+    assert sorted(r.event_id for r in events.first_in_window(times, 3600).collect()) == [0, 2]
+    labels = spark.createDataFrame([("foo",), ("foo!",), ("foo 2",)], "label string")
+    got = {r.label: r.slug for r in resolve.allocated_slugs(labels, labels.where("label = 'none'")).collect()}
+    assert got == {"foo": "foo", "foo!": "foo-3", "foo 2": "foo-2"}
 
 
 def test_periods(spark):
