@@ -118,18 +118,23 @@ def pseudonym(kind: str, text: str, key: bytes, back: bool = False) -> str | Non
         value = turn("")(int.from_bytes(bytes(parts)), 1 << 32)
         return ".".join(str(b) for b in value.to_bytes(4))
     if kind == "date":
-        a, b, c = (int(p) for p in re.split(r"[-/.]", text))
-        try:  # day first, unless only month first gives a date
-            day = date(a, b, c) if text[4] == "-" else date(c, b, a) if b <= 12 else date(c, a, b)
+        parts = re.split(r"[-/.]", text)
+        a, b, c = map(int, parts)
+        iso, month_first = text[4] == "-", b > 12  # day first, unless only month first gives a date
+        try:
+            day = date(a, b, c) if iso else date(c, a, b) if month_first else date(c, b, a)
         except ValueError:
             return None
         if not 0 <= (day - DAY_ONE).days < DAYS:
             return None
-        new = DAY_ONE + timedelta(turn("")((day - DAY_ONE).days, DAYS))
-        if text[4] == "-":
-            return new.isoformat()
-        mark = "/" if "/" in text else "."
-        return f"{new.day:02d}{mark}{new.month:02d}{mark}{new.year}"
+        while True:  # walked until the new date is read in the same order and has the same number of digits
+            day = DAY_ONE + timedelta(turn("")((day - DAY_ONE).days, DAYS))
+            if iso:
+                return day.isoformat()
+            shown = [str(x).zfill(len(p)) for x, p in zip((day.month, day.day) if month_first else (day.day, day.month), parts)]
+            if [len(x) for x in shown] == [len(p) for p in parts[:2]] and (day.day > 12 or not month_first):
+                mark = "/" if "/" in text else "."
+                return f"{shown[0]}{mark}{shown[1]}{mark}{day.year}"
     digits = _digits(text)
     if kind == "phone":
         country = re.match(r"\+(\d{1,3})(?=[ .(-])", text)

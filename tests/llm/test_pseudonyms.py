@@ -71,3 +71,26 @@ def test_what_follows_a_value_stays(value, tail):
 def test_words_after_an_invalid_value_are_searched():
     new, found = ps.replaced("XX00 ABCD ABCD 4952935900253052 4952 9359 0025 3053 2021-03-04", KEY)
     assert found == {"card": 1, "date": 1} and new.startswith("XX00 ABCD ABCD ")
+
+
+@pytest.mark.parametrize("written", ["{y}-{m:02d}-{d:02d}", "{d:02d}/{m:02d}/{y}", "{d}/{m}/{y}", "{m:02d}/{d:02d}/{y}", "{d}.{m:02d}.{y}", "{m}/{d}/{y}"])
+def test_dates_keep_their_format_and_can_be_undone(written):
+    """All dates of some years in one format: what comes out has as many digits and the same order, none twice, and can be undone."""
+    dates = {written.format(y=y, m=m, d=d) for y in (1900, 2021, 2099) for m in range(1, 13) for d in range(1, 29)}
+    new = {x: ps.pseudonym("date", x, KEY) for x in dates}
+    shape = lambda x: "".join("0" if c.isdigit() else c for c in x)
+    month_first = lambda x: "-" not in x and int(x.replace(".", "/").split("/")[1]) > 12
+    assert len(set(new.values())) == len(dates)
+    for old, pseudonym in new.items():
+        assert shape(old) == shape(pseudonym) and month_first(old) == month_first(pseudonym)
+        assert ps.pseudonym("date", pseudonym, KEY, back=True) == old
+
+
+def test_documents_can_be_undone(spark, sf):
+    """Over all texts: only what was found has changed, and the key gives back the text."""
+    changed = 0
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        new, found = ps.replaced(r.text or "", KEY)
+        changed += sum(found.values())
+        assert ps.replaced(new, KEY, back=True) == (r.text or "", found)
+    assert changed
