@@ -32,6 +32,7 @@ from quire.llm.lookup import most_frequent
 from quire.llm.textscan import buffers, groups_of, mix
 from quire.session import materialize
 
+WORD_BYTES = 64
 LEXICON = 1 << 18
 GROUP = 2 << 20
 MEMO = 100_000
@@ -234,9 +235,12 @@ def _merged(path: str):
 
 
 def build_lexicon(docs: DataFrame, path: str, size: int = LEXICON) -> str:
-    """Compiles the most frequent words of all texts (at most `size`) and hands the file to the executors; its name there."""
+    """Compiles the most frequent words of all texts (at most `size`, of at most WORD_BYTES each) and hands the file to the executors; its name there.
+
+    So what the driver holds is bounded in bytes; longer words are merged where they stand.
+    """
     counts = materialize(docs.select("text").mapInArrow(_count(path), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
-    rows = most_frequent(counts, "n", size).select("word").mapInArrow(_merged(path), "word binary, ids array<int>").orderBy("word").toArrow()
+    rows = most_frequent(counts.where(F.octet_length("word") <= WORD_BYTES), "n", size).select("word").mapInArrow(_merged(path), "word binary, ids array<int>").orderBy("word").toArrow()
     arrays = lexicon.compile_words(rows.column("word").to_pylist())
     names = {v: k for k, v in rules(path).ids.items()}
     ids = rows.column("ids").to_pylist()
