@@ -1,7 +1,13 @@
+import math
+from collections import Counter, defaultdict
+
 import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
 
 from quire.llm import queries, toxicity
-from pyspark.sql import functions as F
+from quire.llm.textscan import hashed
 from tests.llm.cases import clashing, docs
 
 
@@ -38,3 +44,38 @@ def test_the_sample_is_bounded(spark, sf):
     table, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet").selectExpr("doc_id", "toxic as label")
     a = toxicity.train(table, labels, sample=40).collect()
     assert sorted(a) == sorted(toxicity.train(table.repartition(5), labels, sample=40).collect())
+
+
+def one_text(text):
+    """The distinct features of one text."""
+    for _, _, stems, bounds in hashed(pa.array([text or ""]), toxicity.PREFIXES):
+        return set(toxicity.features(stems, bounds)[0].tolist())
+
+
+def test_scores_against_plain_python(spark, sf):
+    """FTRL-proximal coordinate by coordinate, with dictionaries."""
+    table, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet").selectExpr("doc_id", "toxic as label")
+    found = {r.doc_id: one_text(r.text) for r in table.collect()}
+    order = [(r.doc_id, r.label) for r in labels.select("doc_id", "label", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").collect()]
+    times = Counter(f for d, _ in order for f in found[d])
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(f):
+        if f is None:
+            return -z[f] / ((toxicity.BETA + math.sqrt(n[f])) / toxicity.ALPHA)
+        if abs(z[f]) <= toxicity.L1:
+            return 0.0
+        return -(z[f] - math.copysign(toxicity.L1, z[f])) / ((toxicity.BETA + math.sqrt(n[f])) / toxicity.ALPHA + toxicity.L2)
+
+    sigmoid = lambda x: 1 / (1 + math.exp(-min(max(x, -35.0), 35.0)))
+    for _ in range(toxicity.EPOCHS):
+        for d, label in order:
+            own = [*sorted(f for f in found[d] if times[f] > 1), None]
+            w = {f: weight(f) for f in own}
+            g = sigmoid(sum(w.values())) - label
+            for f in own:
+                z[f] += g - (math.sqrt(n[f] + g * g) - math.sqrt(n[f])) / toxicity.ALPHA * w[f]
+                n[f] += g * g
+    want = {d: sigmoid(sum(weight(f) for f in fs if times[f] > 1) + weight(None)) for d, fs in found.items()}
+    got = {r.doc_id: r.score for r in toxicity.score(table, toxicity.train(table, labels), F.lit(False)).collect()}
+    assert got == pytest.approx(want, rel=1e-6)
