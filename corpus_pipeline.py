@@ -22,8 +22,12 @@ def _columns(docs: DataFrame) -> DataFrame:
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    """The documents with a key of each row, written so that it stays: ids may be null or repeated."""
-    return materialize(_columns(docs).withColumn("row_key", F.monotonically_increasing_id()))
+    """The documents with a key of each row, as ids may be null or repeated.
+
+    The key is a row's place in its partition. A stage reads its rows several times, so docs has to be a table that gives the same
+    partitions each time; each stage's input is, as it was written as Parquet (a lost task reads the same part of a file again).
+    """
+    return _columns(docs).withColumn("row_key", F.monotonically_increasing_id())
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
