@@ -7,9 +7,6 @@ forms ever share one, they get different suffixes.
 
 from __future__ import annotations
 
-import unicodedata
-from functools import cache
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,55 +16,17 @@ from quire.session import materialize
 BROADCAST_DIGESTS = 500_000
 
 
-@cache
-def _unicode_tables() -> tuple[str, str, tuple[tuple[str, str], ...], tuple[tuple[str, str], ...]]:
-    """From Python's Unicode data: code points with a one-character compatibility form (two aligned strings), those with a longer form, and base + mark pairs with their composition."""
-    single, longer, pairs = {}, [], []
-    for c in map(chr, range(0x110000)):
-        if 0xD800 <= ord(c) < 0xE000:
-            continue
-        form = unicodedata.normalize("NFKC", c)
-        if form != c and len(form) == 1:
-            single[c] = form
-        elif form != c:
-            longer.append((c, form))
-        parts = unicodedata.decomposition(c).split()
-        if form == c and len(parts) == 2 and "<" not in parts[0]:
-            pairs.append((len(unicodedata.normalize("NFD", c)), chr(int(parts[0], 16)) + chr(int(parts[1], 16)), c))
-    return "".join(single), "".join(single.values()), tuple(longer), tuple((a, c) for _, a, c in sorted(pairs))
-
-
-def _char_class(chars: str) -> str:
-    """A regular expression class of these characters, as ranges."""
-    runs: list[list[int]] = []
-    for p in sorted(map(ord, set(chars))):
-        if runs and p == runs[-1][1] + 1:
-            runs[-1][1] = p
-        else:
-            runs.append([p, p])
-    return "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in runs)
-
-
-def _rewritten(text: Column, table: tuple[tuple[str, str], ...]) -> Column:
-    """Replace each pair's first string by its second, in order."""
-    table_col = F.transform(F.split(F.lit("\x00".join(f"{a}\x01{b}" for a, b in table)), "\x00"), lambda x: F.split(x, "\x01"))
-    return F.aggregate(table_col, text, lambda acc, x: F.replace(acc, x[0], x[1]))
+#: The class of the ICU library, which comes with Spark, whose static compose(text, true) is NFKC.
+NORMALIZER = "com.ibm.icu.text.Normalizer"
 
 
 def canonical(text: Column) -> Column:
     """The form that is compared: NFKC, folded case, single spaces, no outer white space; null counts as empty.
 
-    Texts below U+0130 that no rule touches skip the Unicode rewriting. Marks that stand out of canonical order and conjoining
-    Hangul letters are kept as they stand.
+    Texts of ASCII letters only skip normalisation, which leaves them as they are.
     """
     raw = F.coalesce(text, F.lit(""))
-    source, image, longer, pairs = _unicode_tables()
-    touched = "".join(sorted(c for c in {*source, *(c for c, _ in longer)} if c < "\u0130"))
-    mapped = F.translate(raw, source, image)
-    many = "[" + _char_class("".join(c for c, _ in longer)) + "]"
-    mapped = F.when(mapped.rlike(many), _rewritten(mapped, longer)).otherwise(mapped)
-    mapped = F.when(mapped.rlike("\\p{M}"), _rewritten(mapped, pairs)).otherwise(mapped)
-    form = F.lower(F.when(raw.rlike(f"[{touched}\\x{{130}}-\\x{{10ffff}}]"), mapped).otherwise(raw))
+    form = F.lower(F.java_method(F.lit(NORMALIZER), F.lit("compose"), raw, F.lit(True)))
     form = F.replace(F.replace(form, F.lit("ß"), F.lit("ss")), F.lit("ς"), F.lit("σ"))
     folded = F.when(F.octet_length(raw) == F.length(raw), F.lower(raw)).otherwise(form)
     space = "\\x09-\\x0d\\x1c-\\x1f\\x85\\p{Z}"

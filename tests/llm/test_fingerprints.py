@@ -1,4 +1,5 @@
 import hashlib
+import random
 import unicodedata
 
 from quire.llm import fingerprints as fp
@@ -18,6 +19,24 @@ def test_canonical_form(spark):
         assert r.form == canon(texts[r.k]), texts[r.k]
 
 
+def test_normal_form_of_every_code_point_and_of_marks_in_any_order(spark):
+    known = [c for c in map(chr, range(0x110000)) if unicodedata.category(c) not in ("Cn", "Cs")]
+    draw = random.Random(7)
+    marks = [c for c in known if unicodedata.combining(c)] + [chr(x) for x in range(0x1100, 0x1200)] + list("aeuо가각")
+    texts = ["".join(known[k : k + 50]) for k in range(0, len(known), 50)] + ["x" + c for c in known[::7]]
+    texts += ["".join(draw.choice("aéộ가ガﬁ") + "".join(draw.choices(marks, k=draw.randrange(6))) for _ in range(8)) for _ in range(2000)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k long, text string").select("k", fp.canonical(fp.F.col("text")).alias("form")).collect()
+    wrong = [texts[r.k] for r in rows if r.form != canon(texts[r.k])]
+    assert len(rows) == len(texts) and not wrong, [ascii(t) for t in wrong[:5]]
+
+
+def test_canonically_equal_texts_share_a_fingerprint(spark):
+    texts = ["e\u0301\u0323", "e\u0323\u0301", "\u00e9\u0323", "\u1eb9\u0301", "\u1112\u1161\u11ab", "\ud55c"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    named = {r.doc_id: r.fingerprint for r in fp.fingerprint(rows).collect()}
+    assert len({named[k] for k in range(4)}) == 1 and named[4] == named[5] != named[0]
+
+
 def test_fingerprints_and_groups(spark):
     table = clashing(docs(spark), "form", "digest", "block")
     found = fp.fingerprint(table).collect()
