@@ -81,6 +81,23 @@ def groups(docs: DataFrame) -> DataFrame:
     return fingerprint(docs).groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc_id"))
 
 
+def _before(blocks: DataFrame, parents: tuple[int, ...] = (20, 40)) -> DataFrame:
+    """(block, before): the next smaller of these distinct numbers; the smallest one has the greatest before it.
+
+    A number is looked up among those with which it shares all but its lowest bits, and the first one of such a group in the group
+    before, so a window holds at most 2^20 numbers however sparse they are.
+    """
+    if not parents:
+        return blocks.select("block", F.coalesce(F.lag("block").over(Window.orderBy("block")), F.max("block").over(Window.partitionBy())).alias("before"))
+    of = F.shiftright("block", parents[0]).alias("parent")
+    near = blocks.select("block", of).withColumn("before", F.lag("block").over(Window.partitionBy("parent").orderBy("block")))
+    last = blocks.groupBy(of).agg(F.max("block").alias("last"))
+    rest = tuple(p - parents[0] for p in parents[1:])
+    turn = _before(last.select(F.col("parent").alias("block")), rest).join(last.withColumnRenamed("parent", "before"), "before")
+    near = near.join(turn.select(F.col("block").alias("parent"), "last"), "parent")
+    return near.select("block", F.coalesce("before", "last").alias("before"))
+
+
 def edited_report(docs: DataFrame, block: int = 4096) -> DataFrame:
     """Fingerprints of each document, of its edited text and their likeness.
 
@@ -97,11 +114,7 @@ def edited_report(docs: DataFrame, block: int = 4096) -> DataFrame:
     seen = rows.select(
         "*", F.lead(F.struct("text", "fingerprint")).over(in_order).alias("then"), F.row_number().over(in_order).alias("place")
     )
-    blocks = rows.select("block").distinct()
-    around = blocks.select(
-        "block",
-        F.coalesce(F.lag("block").over(Window.orderBy("block")), F.max("block").over(Window.partitionBy())).alias("before"),
-    )
+    around = _before(rows.select("block").distinct())
     heads = seen.where("place = 1").select("block", F.struct("text", "fingerprint").alias("head")).join(around, "block").select(F.col("before").alias("block"), "head")
     rows = seen.join(heads, "block").select("doc_id", "text", "fingerprint", F.coalesce("then", "head").alias("then"))
     n = F.length("text")

@@ -81,3 +81,11 @@ def test_edited_report(spark, sf):
         for block in (3, 4096):
             assert got(fp.edited_report(clashing(table, "then", "place"), block)) == brute(rows)
     assert got(fp.edited_report(docs(spark, []))) == []
+
+
+def test_blocks_before(spark):
+    draw = random.Random(3)
+    numbers = sorted({*range(-3, 4), *(draw.randrange(-(2**51), 2**51) for _ in range(300)), *(draw.randrange(2**21) for _ in range(300))})
+    for some in (numbers, numbers[:1], []):
+        found = {r.block: r.before for r in fp._before(spark.createDataFrame([(n,) for n in some], "block long")).collect()}
+        assert found == dict(zip(some, some[-1:] + some[:-1]))
