@@ -124,3 +124,20 @@ def subject_terms(query: Column, label: Column, aliases: Column) -> Column:
 def is_interrupted(status: Column, finished: Column) -> Column:
     """Whether a run that never finished was still at work."""
     return finished.isNull() & F.coalesce(status.isin("running", "accepted", "queued"), F.lit(False))
+
+
+def without_fences(markdown: Column) -> Column:
+    """Trimmed text, without the code fence around it if it begins with one."""
+    bare = F.regexp_replace(markdown, r"^\s+|\s+\z", "")
+    inner = F.regexp_replace(F.regexp_replace(bare, r"(?i)^```(?:markdown|md)?\s*", ""), r"\s*```\z", "")
+    return F.when(bare.startswith("```"), F.regexp_replace(inner, r"^\s+|\s+\z", "")).otherwise(bare)
+
+
+def request_key(query: Column, subject: Column, version: Column) -> Column:
+    """A digest of the query without case, the subject and the index's version; a null subject is empty, a null version "missing"."""
+    return F.sha2(F.concat_ws("|", F.lower(F.trim(F.coalesce(query, F.lit("")))), F.coalesce(subject, F.lit("")), F.coalesce(version, F.lit("missing"))), 256)
+
+
+def estimated_chunks(characters: Column, size: int = 400) -> Column:
+    """Chunks that so many characters come to; null and negative count as none."""
+    return F.ceil(F.greatest(F.coalesce(characters, F.lit(0)), F.lit(0)) / size)

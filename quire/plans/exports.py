@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quire.functions import entries
-from quire.operators import exports
+from quire.operators import exports, reading
 from quire.plans.catalogue import query
 from quire.sources import tables as t
 
@@ -153,3 +153,80 @@ def time_index_scrub(spark, sf):
 def interrupted_runs(spark, sf):
     status = F.when(F.col("o_orderstatus") == "O", "running").when(F.col("o_orderstatus") == "P", "queued").otherwise("failed")
     return t.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), entries.is_interrupted(status, F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderdate"))).alias("interrupted"))
+
+
+@query("", "select p_partkey as id, p_name as body, sha256(lower(p_brand) || '|p' || p_partkey || '|missing') as key, ceil(p_partkey / 400)::bigint as chunks from part")
+def request_keys(spark, sf):
+    p, k = _part(spark, sf)
+    body = entries.without_fences(F.when(k == 0, F.concat(F.lit("\n"), "p_name")).otherwise(F.concat(F.lit("```Markdown\n"), "p_name", F.lit("\n```\n"))))
+    key = entries.request_key(F.concat(F.lit(" "), "p_brand"), _text("p", F.col("p_partkey")), F.lit(None))
+    return p.select(F.col("p_partkey").alias("id"), body.alias("body"), key.alias("key"), entries.estimated_chunks(F.col("p_partkey")).alias("chunks"))
+
+
+@query("", """select id, title, score from (select p_partkey as id, p_name as title, p_name || ' su ' || p_type || ' ' || p_brand || ' ' || p_partkey as h, lower(p_name) as t,
+    case when starts_with(t, 'small widget') then 100 else 0 end + case when contains(t, 'small widget') then 50 else 0 end + case when contains(lower(h), 'small widget') then 10 else 0 end as score from part where p_partkey % 9 <> 0)
+    where contains(lower(h), 'small') and contains(lower(h), 'widget') order by score desc, lower(title), id limit 20""")
+def article_search(spark, sf):
+    p, _ = _part(spark, sf)
+    articles = p.select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_name")).alias("title"), _text("su ", F.col("p_type")).alias("snippet"), (F.col("p_partkey") % 9 == 0).alias("no_material"))
+    return reading.article_search(articles, t.subjects(spark, sf), " Small  WIDGET")
+
+
+_N = "n as (select book, cast(max(page) as int) as n from book_pages group by book)"
+
+
+@query("book_pages", f"""select * from (with {_N} select book, original, row_number() over (partition by book order by original) as aligned,
+    case when original % 10 = 1 then 'not_listed' when original % 10 = 2 then 'other_original' end as fault from (select book, unnest(range(1, n + 1)) as original from n) where original % 4 <> 0)""")
+def useful_pages(spark, sf):
+    books = t.pages(spark, sf).groupBy("book").agg(F.max("page").alias("n_pages"))
+    p = books.select("book", F.explode(F.sequence(F.lit(1), "n_pages")).alias("page"))
+    listed = p.where("page % 4 <> 0").select("book", (F.col("page") - F.floor(F.col("page") / 4)).alias("aligned"), F.when(F.col("page") % 10 == 2, 0).otherwise(F.col("page")).alias("original"))
+    return reading.useful_pages(books, p.where("page % 4 = 0"), listed.where("not (original % 10 = 1)"))
+
+
+@query("book_pages", "select book, page + 1 as aligned, case when page % 2 = 1 then page * 10 end as original, case when page % 2 = 0 then 'not_in_book' end as fault from book_pages")
+def chosen_pages(spark, sf):
+    p = t.pages(spark, sf).select("book", "page")
+    chosen = p.select("book", (F.col("page") + 1).alias("aligned"))
+    return reading.chosen_pages(chosen.union(chosen), p.where("page % 2 = 1").select("book", (F.col("page") + 1).alias("aligned"), (F.col("page") * 10).alias("original")))
+
+
+@query("", """select book, line, row_number() over (partition by book order by entry, label, pos) as place from (select o_custkey as book, o_orderkey as pos, o_orderkey % 5 > 0 as entry,
+    case when o_orderkey % 5 = 0 then '' else lower(replace(o_clerk_, '#', 'x')) end as label, case when o_orderkey % 5 = 0 then 'INDICE' else replace(o_clerk_, '#', 'x') || ', 12, 15' end as line from (select *, 'Voce ' || o_orderstatus || o_orderpriority[3:] as o_clerk_ from orders))""")
+def index_order(spark, sf):
+    label = F.concat(F.lit("Voce "), "o_orderstatus", F.substring("o_orderpriority", 3, 100))
+    line = F.when(F.col("o_orderkey") % 5 == 0, " INDICE").otherwise(F.concat(label, F.lit(", 12, 15 ")))
+    return reading.index_order(t.table(spark, sf, "orders").select(F.col("o_custkey").alias("book"), F.col("o_orderkey").alias("pos"), line.alias("line")))
+
+
+@query("", "select p_partkey as book, p_brand || ', Bo' as authors, p_partkey % 3 = 0 as incomplete from part")
+def corpus_nodes(spark, sf):
+    p, _ = _part(spark, sf)
+    books = p.select(F.col("p_partkey").alias("book"), F.array("p_brand", F.lit("Bo")).alias("authors"), F.col("p_name").alias("title"), F.when(F.col("p_partkey") % 3 != 0, F.col("p_size")).alias("year"))
+    return reading.corpus_nodes(books).select("book", "authors", "incomplete")
+
+
+@query("postings", "select subject, arg_min(book, -book) as book, 'T' || max(book) as title from postings where book % 3 <> 0 group by subject")
+def first_metadata(spark, sf):
+    p = t.postings(spark, sf)
+    books = p.select("book").distinct().where("book % 3 <> 0").select("book", (-F.col("book")).alias("ord"), _text("T", F.col("book")).alias("title"))
+    return reading.first_metadata(p, books).select("subject", "book", "title")
+
+
+@query("book_pages", """select e.book, e.total, coalesce(ocr, 0) + coalesce(vision, 0) as done, least(coalesce(ocr, 0), coalesce(vision, 0)) as fewest from (select book, 2 * count(*) as total from book_pages where page % 5 <> 0 group by book) e
+    left join (select book, count(*) filter (doc_id % 2 = 0) as ocr, count(*) filter (doc_id % 3 = 0) as vision from book_pages where page % 5 <> 0 group by book) d on d.book = e.book""")
+def repair_baseline(spark, sf):
+    p = t.pages(spark, sf).select("doc_id", "book", "page")
+    stages = p.where("doc_id % 2 = 0").select("book", "page", F.lit("ocr").alias("stage")).union(p.where("doc_id % 3 = 0").select("book", "page", F.lit("vision")))
+    return reading.repair_baseline(p.where("page % 5 <> 0").select("book", "page"), stages.union(stages), ("ocr", "vision"))
+
+
+@query("job_events", "select job as id from (select job, last(event_id % 2 order by ts, event_id % 2 = 1) as clear from job_events group by job) where clear = 0")
+def pending_reviews(spark, sf):
+    return reading.pending(t.job_events(spark, sf).select(F.col("job").alias("id"), "ts", F.when(F.col("event_id") % 2 == 0, "add").otherwise("clear").alias("action")))
+
+
+@query("", "select c_custkey as id, case when c_custkey % 2 = 1 then 'old' else 'new' end as name from customer")
+def inserted_rows(spark, sf):
+    c = t.table(spark, sf, "customer").select(F.col("c_custkey").alias("id"))
+    return reading.inserted(c.where("id % 2 = 1").withColumn("name", F.lit("old")), c.withColumn("name", F.lit("new")), "id")[0]

@@ -5,7 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from quire.functions import entries
-from quire.operators import exports
+from quire.operators import exports, reading
 from quire.sources import manifests
 
 
@@ -76,3 +76,26 @@ def test_time_index(spark, tmp_path):
     (tmp_path / "odd.json").write_text(json.dumps({"years": 3}))
     rows = sorted((tuple(r) for r in manifests.read_time_index(spark, str(tmp_path / "*.json")).collect()), key=str)
     assert rows == sorted([("year", "63", "a", 9, "x"), ("year", "63", "a", 10, "x"), ("year", "63", None, None, "y"), ("date", "1 marzo 63", None, None, "x")], key=str)
+
+
+def test_fences_keys_and_chunks(spark):
+    assert one(spark, entries.without_fences(F.col("t")), t="```md\n# A\n```b```\n") == "# A\n```b"
+    assert one(spark, entries.request_key(F.col("q"), F.col("s"), F.col("s")), q=" É ", s=None) == one(spark, entries.request_key(F.col("q"), F.lit(""), F.lit("missing")), q="é")
+    assert [one(spark, entries.estimated_chunks(F.col("n").cast("int")), n=n) for n in (None, "0", "1", "400", "401")] == [0, 0, 1, 1, 2]
+
+
+def test_article_search(spark):
+    articles = spark.createDataFrame([(1, "Roma antica", None, None), (2, "", "di Roma", False), (3, "Roma", "", True), (4, None, "antica via di roma", False)], "id int, title string, snippet string, no_material boolean")
+    subjects = spark.createDataFrame([(2, "Lazio", "Latium")], "id int, label string, alias string")
+    rows = [tuple(r) for r in reading.article_search(articles, subjects, "roma ANTICA").collect()]
+    assert rows == [(1, "Roma antica", 160), (4, "4", 0)] and reading.article_search(articles, subjects, " ").count() == 0
+
+
+def test_graph_sets_and_inserts(spark):
+    log = spark.createDataFrame([(1, 1, "add"), (1, 1, "clear"), (2, 1, "clear"), (2, 2, "add")], "id int, ts int, action string")
+    assert [r.id for r in reading.pending(log).collect()] == [2]
+    table, fresh = spark.createDataFrame([(1, "a")], "id int, x string"), spark.createDataFrame([(1, "b"), (2, "c"), (3, "d"), (3, "e"), (None, "f")], "id int, x string")
+    whole, refused = reading.inserted(table, fresh, "id")
+    assert sorted(map(tuple, whole.collect())) == [(1, "a"), (2, "c")] and sorted(r.x for r in refused.collect()) == ["b", "d", "e", "f"]
+    rows = reading.graph_rows(spark.createDataFrame([("b",), ("a",)], "id string"), spark.createDataFrame([("a", "b", 1)], "source string, target string, book int")).collect()
+    assert [(r.kind, r.id) for r in rows] == [("node", "a"), ("node", "b"), ("edge", "a>b>1")]
