@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from quire.functions.text import normalize_label
+
 
 def cosine(a: Column, b: Column) -> Column:
     """Cosine of two arrays, in double; 0 for different lengths, empty arrays and zero norms."""
@@ -120,3 +122,54 @@ def similar_labels(left: DataFrame, right: DataFrame, threshold: float) -> DataF
     others = F.least(F.length("left") - F.aggregate("lc", F.lit(0), lambda s, v: s + v), F.length("right") - F.aggregate("rc", F.lit(0), lambda s, v: s + v))
     pairs = pairs.where(2 * (shared + others) >= threshold * (F.length("left") + F.length("right")))
     return pairs.select("left", "right", ratio("left", "right").alias("score")).where(F.col("score") >= threshold)
+
+
+def _codes(labels: list[str], width: int) -> np.ndarray:
+    out = np.zeros((len(labels), width), np.int32)
+    for i, label in enumerate(labels):
+        out[i, : len(label)] = np.frombuffer(label.encode("utf-32-le"), np.int32)
+    return out
+
+
+def _nearest(k: int):
+    """Of one block: the k best ids of each query, by the best Indel ratio of an id's labels, ties by id."""
+
+    def run(group: pa.Table) -> pa.Table:
+        asks = group.column("asks").to_numpy(zero_copy_only=False)
+        ids, labels = group.column("id").to_numpy(), np.array(group.column("label").to_pylist(), object)
+        order = np.flatnonzero(~asks)
+        order = order[np.argsort(ids[order], kind="stable")]
+        own, first = np.unique(ids[order], return_index=True)
+        length = np.array([len(x) for x in labels[order]], np.int64)
+        codes = _codes(list(labels[order]), int(length.max(initial=0)))
+        out = {"query": [], "id": [], "score": []}
+        for q in np.flatnonzero(asks) if len(order) else ():
+            row = np.zeros((len(order), codes.shape[1] + 1), np.int16 if len(labels[q]) < 1 << 15 else np.int32)
+            for c in labels[q]:
+                row[:, 1:] = np.where(codes == ord(c), row[:, :-1] + 1, row[:, 1:])
+                np.maximum.accumulate(row, axis=1, out=row)
+            both = length + len(labels[q])
+            score = np.maximum.reduceat(np.where(both > 0, 2.0 * row[np.arange(len(order)), length] / np.maximum(both, 1), 1.0), first)
+            best = np.argsort(-score, kind="stable")[:k]
+            for name, values in (("query", np.full(len(best), ids[q])), ("id", own[best]), ("score", score[best])):
+                out[name].append(values)
+        return pa.table({n: pa.array(np.concatenate(v) if v else [], pa.float64() if n == "score" else pa.int64()) for n, v in out.items()})
+
+    return run
+
+
+def lexical_top_k(queries: DataFrame, labels: DataFrame, k: int, block: int = 4096) -> DataFrame:
+    """(query, id, score, rank): the k ids whose labels (id, label) are most like each query's (query, label), by sorted words, ties by id.
+
+    An id may have several labels, the best counts; null labels count as empty, which is like nothing but another empty one. A stated
+    set of queries meets all labels in blocks of ids, and each block hands on its k best of a query.
+    """
+    key = lambda c: token_sorted(normalize_label(F.coalesce(c, F.lit("")))).alias("label")
+    asked, known = queries.select("query", key(F.col("label"))).distinct(), labels.select("id", key(F.col("label"))).distinct()
+    n, m = (max(1, -(-d.count() // size)) for d, size in ((known, block), (asked, block // 16)))
+    place = lambda c, of: F.pmod(F.xxhash64(c), F.lit(of)).cast("int")
+    every = lambda of: F.explode(F.sequence(F.lit(0), F.lit(of - 1)))
+    left = asked.select(F.col("query").cast("long").alias("id"), "label", F.lit(True).alias("asks"), place("query", m).alias("i"), every(n).alias("j"))
+    right = known.select(F.col("id").cast("long").alias("id"), "label", F.lit(False).alias("asks"), place("id", n).alias("j"), every(m).alias("i"))
+    best = left.unionByName(right).groupBy("i", "j").applyInArrow(_nearest(k), "query long, id long, score double")
+    return best.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)

@@ -328,7 +328,7 @@ def history_union(spark, sf):
 
 def _more() -> None:
     """The other modules register their queries as they are imported."""
-    from quire.plans import books, corpus, exports, links, records, streams  # noqa: F401
+    from quire.plans import books, corpus, exports, library, links, records, streams  # noqa: F401
 
 
 _more()
