@@ -134,3 +134,30 @@ def asset_names(spark, sf):
     names, qids, last = library.asset_names(rows)
     of = lambda what, df, key, ref: df.select(F.lit(what).alias("what"), F.col(key).alias("key"), F.col(ref).cast("string").alias("ref"))
     return of("name", names, "key", "ref").unionByName(of("qid", qids, "qid", "ref")).unionByName(of("last", last, "kind", "last"))
+
+
+def _indexed(spark, sf):
+    k = F.col("p_partkey")
+    p = t.table(spark, sf, "part")
+    subjects = p.where("p_partkey % 2 = 0").select(_text("s", k).alias("id"), F.col("p_name").alias("label"), F.array("p_brand").alias("aliases"))
+    old = t.postings(spark, sf).select(_text("s", F.col("subject")).alias("subject"), "book", "page")
+    label = F.when(k % 4 == 0, F.col("p_name")).when(k % 4 == 2, _text("Altro ", k)).otherwise(_text("Nuovo ", k))
+    raw = p.select((k % 5).cast("int").alias("book"), k.alias("raw_id"), label.alias("label"), F.array(F.lit(1), (2 + k % 9).cast("int"), F.lit(1)).alias("pages"))
+    decisions = p.where("p_partkey % 4 <> 1").select(k.alias("raw_id"), F.when(k % 4 == 2, "alias").otherwise("match").alias("decision"), _text("s", k).alias("canonical"))
+    return library.indexed_books(subjects, old, raw, decisions)
+
+
+@query("postings", """select 's' || subject as subject, book, page from postings where book >= 5 union select case when p_partkey % 2 = 0 then 's' || p_partkey else 'nuovo-' || p_partkey end, cast(p_partkey % 5 as int), cast(unnest([1, 2 + p_partkey % 9]) as int) from part""")
+def indexed_postings(spark, sf):
+    return _indexed(spark, sf)[1]
+
+
+@query("", """select case when p_partkey % 2 = 0 then 's' || p_partkey else 'nuovo-' || p_partkey end as id, case when p_partkey % 2 = 0 then p_name else 'Nuovo ' || p_partkey end as label,
+    case when p_partkey % 4 = 2 then p_brand || ';Altro ' || p_partkey when p_partkey % 4 = 0 then p_brand else '' end as aliases from part""")
+def indexed_subjects(spark, sf):
+    return _indexed(spark, sf)[0].withColumn("aliases", F.array_join("aliases", ";"))
+
+
+@query("", "select cast(p_partkey % 5 as int) as book, count(*) filter (p_partkey % 2 = 1) as n_new, count(*) filter (p_partkey % 4 = 0) as n_match, count(*) filter (p_partkey % 4 = 2) as n_alias from part group by all")
+def indexed_counts(spark, sf):
+    return _indexed(spark, sf)[2]
