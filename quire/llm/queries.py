@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import attribution, bpe, chat, fingerprints, lm, mixing, neardup, pseudonyms, quality, toxicity
+from quire.llm import attribution, bpe, chat, fingerprints, lm, mixing, neardup, pseudonyms, quality, simhash, toxicity
 
 
 #: Tokenizer files; public_tokenizers gives their place on each node.
@@ -76,6 +76,10 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_chat": op2_chat,
@@ -87,4 +91,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_bpe": op9_bpe,
     "op10_mix": op10_mix,
+    "op11_simhash": op11_simhash,
 }
