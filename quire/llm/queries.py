@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import attribution, bpe, chat, fingerprints, lm, mixing, neardup, pseudonyms, quality, simhash, toxicity
+from quire.llm import attribution, bpe, chat, fingerprints, interaction, lm, mixing, neardup, pseudonyms, quality, simhash, toxicity
 
 
 #: Tokenizer files; public_tokenizers gives their place on each node.
@@ -80,6 +80,10 @@ def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op12_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interaction.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_chat": op2_chat,
@@ -92,4 +96,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_bpe": op9_bpe,
     "op10_mix": op10_mix,
     "op11_simhash": op11_simhash,
+    "op12_interaction": op12_interaction,
 }

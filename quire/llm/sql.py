@@ -65,4 +65,37 @@ with d as (
 select doc_id, size, source_size, target, cast(coalesce(taken, 0) as bigint) as taken from r left join x using (id)
 """
 
-ORACLE: dict[str, str] = {"op8_quality": OP8, "op10_mix": OP10}
+#: Counts of documents by the set of filters they fail give every step of every order.
+OP12 = rf"""
+with w as (
+  select doc_id, coalesce(lang, '') as part, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '{_WORD}') as words from documents
+), c as (
+  select text, min(doc_id) as least from w group by text
+), f as (
+  select w.doc_id, part, len(words) < 100 as a, 100 * len(list_distinct(words)) < 80 * len(words) as b, 100 * (length(w.text) - length(regexp_replace(w.text, '[A-Z]', '', 'g'))) > 10 * length(w.text) as c,
+    regexp_matches(w.text, '[#$%&*|]') as d, coalesce(w.doc_id > c.least, false) as e
+  from w join c on w.text = c.text
+), l as (
+  select doc_id, max(cast(quality = 1 as int)) as good, max(cast(toxic = 1 as int)) as bad from labels group by doc_id
+), m as (
+  select part, a::int + 2 * b::int + 4 * c::int + 8 * d::int + 16 * e::int as failed, coalesce(good, 0) as good, coalesce(bad, 0) as bad, count(*) as n from f left join l using (doc_id) group by all
+), x(letter, bit) as (
+  values ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)
+), o as (
+  select concat(p.letter, q.letter, r.letter, s.letter, t.letter) as filter_order, [p.bit, q.bit, r.bit, s.bit, t.bit] as bits
+  from x p, x q, x r, x s, x t where p.bit + q.bit + r.bit + s.bit + t.bit = 31 and (p.bit | q.bit | r.bit | s.bit | t.bit) = 31
+), s as (
+  select filter_order, step, bits[step] as bit, coalesce(list_sum(bits[1:step - 1]), 0)::int as before from o, range(1, 6) g(step)
+), z as (
+  select p.part, filter_order, step, bit,
+    coalesce(sum(n) filter ((failed & (before | bit)) = 0), 0) as kept, coalesce(sum(n) filter ((failed & before) = 0 and (failed & bit) > 0), 0) as removed,
+    coalesce(sum(n) filter ((failed & before) > 0 and (failed & bit) > 0), 0) as redundant, coalesce(sum(n) filter (failed = bit), 0) as unique_fails,
+    coalesce(sum(n * good) filter ((failed & before) = 0 and (failed & bit) > 0), 0) as good_lost, coalesce(sum(n * bad) filter ((failed & before) = 0 and (failed & bit) > 0), 0) as toxic_lost
+  from s, (select distinct part from m) p left join m on m.part = p.part group by all
+)
+select part, filter_order, cast(step as int) as step, cast(kept as bigint) as kept, cast(removed as bigint) as removed, cast(redundant as bigint) as redundant, cast(unique_fails as bigint) as unique_fails,
+  cast(good_lost as bigint) as good_lost, cast(toxic_lost as bigint) as toxic_lost, cast(sum(removed) over (partition by part, bit) as bigint) as shapley
+from z
+"""
+
+ORACLE: dict[str, str] = {"op8_quality": OP8, "op10_mix": OP10, "op12_interaction": OP12}
