@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import attribution, bpe, chat, fingerprints, interaction, lm, mixing, neardup, pseudonyms, quality, simhash, toxicity
+from quire.llm import attribution, bpe, chat, fingerprints, interaction, lm, mixing, neardup, pseudonyms, quality, simhash, toxicity, trie
 
 
 #: Tokenizer files; public_tokenizers gives their place on each node.
@@ -84,6 +84,10 @@ def op12_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interaction.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_chat": op2_chat,
@@ -97,4 +101,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_mix": op10_mix,
     "op11_simhash": op11_simhash,
     "op12_interaction": op12_interaction,
+    "op13_trie": op13_trie,
 }

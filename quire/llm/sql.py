@@ -98,4 +98,33 @@ select part, filter_order, cast(step as int) as step, cast(kept as bigint) as ke
 from z
 """
 
-ORACLE: dict[str, str] = {"op8_quality": OP8, "op10_mix": OP10, "op12_interaction": OP12}
+#: Paths are the digests of their turns, one after another, so a node's ancestors are prefixes of its path; crc32 bit by bit.
+OP13 = r"""
+with t as (
+  select conv_id as c, row_number() over (partition by conv_id order by turn nulls first, coalesce(role, '')) as rank, concat(md5(coalesce(role, '')), md5(coalesce(text, ''))) as x, length(coalesce(text, '')) as chars
+  from conversations where conv_id is not null
+), c as (
+  select c, c - c % 100 as head, count(*) as n,
+    xor(list_reduce(list_concat([cast(4294967295 as bigint)], list_transform(string_split(cast(c as varchar), ''), lambda x: cast(ascii(x) as bigint))),
+      lambda crc, b: list_reduce([xor(crc, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda y, z: case when y & 1 = 1 then xor(y >> 1, cast(3988292384 as bigint)) else y >> 1 end)), cast(4294967295 as bigint)) % 6 as h
+  from t group by c
+), r as (
+  select c.c, 0 as part, rank, x, chars from c join t on t.c = c.head and rank <= h
+  union all select c.c, 1, rank, x, chars from c join t on t.c = c.c and rank > h
+), p as (
+  select c, row_number() over w as depth, string_agg(x, '') over w as path, chars from r window w as (partition by c order by part, rank rows unbounded preceding)
+  union all select c, 0, '', 0 from c
+), n as (
+  select path, min(c) as conv_id, any_value(depth) as depth, count(*) as n_convs, any_value(chars) as chars from p group by path
+), k as (
+  select left(path, 64 * (depth - 1)) as path, count(*) as n_children from n where depth > 0 group by all
+), s as (
+  select left(n.path, 64 * d) as path, count(*) filter (k.path is null) as n_leaves, sum((n_convs - 1) * chars) as saved_tokens from n left join k on k.path = n.path, lateral unnest(range(0, depth + 1)) u(d) group by all
+), e as (
+  select path, string_agg(cast(c as varchar), ',' order by c) as ids from (select c, arg_max(path, depth) as path from p group by c) group by path
+)
+select n.conv_id, cast(n.depth as bigint) as depth, q.conv_id as parent_conv_id, n.n_convs, coalesce(n_children, 0) as n_children, n_leaves, cast(saved_tokens as bigint) as saved_tokens, sha256(coalesce(ids, '')) as ends_sha256
+from n left join n q on n.depth > 0 and q.path = left(n.path, 64 * (n.depth - 1)) left join k on k.path = n.path join s on s.path = n.path left join e on e.path = n.path
+"""
+
+ORACLE: dict[str, str] = {"op8_quality": OP8, "op10_mix": OP10, "op12_interaction": OP12, "op13_trie": OP13}
