@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.text import normalize_label
-from quire.operators.similarity import similar_labels
+from quire.operators.labels import best_keys, nearest_scores, similar_labels
+from quire.operators.similarity import token_sorted
+from quire.session import materialize
 
 
 def loaded_pages(candidates: DataFrame, manifest: DataFrame) -> DataFrame:
@@ -88,30 +90,51 @@ def match_counts(decisions: DataFrame) -> DataFrame:
     return decisions.groupBy("book").agg(*[F.count_if(F.col("decision") == d).alias(f"n_{d}") for d in ("new", "match", "alias", "fuzzy")])
 
 
+def _names(rows: DataFrame, label: str) -> DataFrame:
+    """(id, key) of the normalised labels and aliases of rows (id, label column, aliases if there is such a column), blank ones left out."""
+    more = F.coalesce("aliases", F.array().cast("array<string>")) if "aliases" in rows.columns else F.array().cast("array<string>")
+    keys = rows.select("id", F.explode(F.concat(F.array(label), more)).alias("key"))
+    return keys.select("id", normalize_label(F.col("key")).alias("key")).where("key <> ''").distinct()
+
+
 def overlaps(subjects: DataFrame, mine: DataFrame, articles: DataFrame, threshold: float) -> DataFrame:
-    """(id, other, score): subjects (id, label) of a book (mine: id) with other subjects of a similar label that have a complete article."""
+    """(id, other, score): subjects (id, label and, if there is such a column, aliases) of a book (mine: id) with other subjects alike that have a complete article.
+
+    The score is the best plain ratio of any label or alias of one and any of the other. Blank names are like nothing; repeated rows
+    count once; articles (id, no_material) without a subject don't matter.
+    """
     have = subjects.join(articles.where("not no_material").select("id").distinct(), "id", "left_semi")
     own = subjects.join(mine.select("id").distinct(), "id", "left_semi")
-    key = lambda d: d.select(normalize_label(F.col("label")).alias("label"), "id")
-    found = similar_labels(key(own), key(have), threshold)
-    left, right = key(own).select(F.col("label").alias("left"), "id"), key(have).select(F.col("label").alias("right"), F.col("id").alias("other"))
-    return found.join(left, "left").join(right, "right").where("id <> other").select("id", "other", F.round("score", 3).alias("score"))
+    found = best_keys(_names(own, "label"), _names(have, "label"), threshold)
+    return found.where("id <> other").select("id", "other", F.round("score", 3).alias("score"))
 
 
-def registry_matches(entities: DataFrame, registry: DataFrame, threshold: float = 0.82) -> DataFrame:
-    """(slug, ref, method, score) of entities (slug, qid, label) against a registry (ref, qid, name).
+def registry_matches(entities: DataFrame, registry: DataFrame, threshold: float = 0.82, nearest: bool = True) -> DataFrame:
+    """(slug, ref, method, score) of entities (slug, qid, label and, if there is such a column, aliases) against a registry (ref, qid, name).
 
-    The same qid matches first (lowest ref); else the most similar name at or above the threshold (ties: lowest ref); others have a null ref.
+    The same qid matches first (lowest ref), with score 1. Else the name that is most similar to any of the entity's, with the words
+    sorted, counts from the threshold on (ties: lowest ref): "fuzzy". Others are "none" with a null ref and, if `nearest`, the
+    best score there is below the threshold, for which what is left meets the whole registry in blocks; null where a side has no
+    name. Blank qids and names name nothing.
     """
-    by_qid = registry.where("qid is not null").groupBy("qid").agg(F.min("ref").alias("ref"))
+    by_qid = registry.where("trim(qid) <> ''").groupBy("qid").agg(F.min("ref").alias("ref"))
     exact = entities.join(by_qid, "qid", "left")
     done = exact.where("ref is not null").select("slug", "ref", F.lit("qid").alias("method"), F.lit(1.0).alias("score"))
-    rest = exact.where("ref is null").select("slug", normalize_label(F.col("label")).alias("label"))
-    names = registry.select(normalize_label(F.col("name")).alias("right"), "ref").groupBy("right").agg(F.min("ref").alias("ref"))
-    found = similar_labels(rest.select("label"), names.select(F.col("right").alias("label")), threshold).join(names, "right")
-    best = found.groupBy(F.col("left").alias("label")).agg(F.max_by(F.struct("ref", "score"), F.struct("score", -F.col("ref"))).alias("x"))
-    fuzzy = rest.join(best, "label", "left").select("slug", "x.ref", F.when(F.col("x").isNotNull(), "fuzzy").otherwise("none").alias("method"), F.coalesce("x.score", F.lit(0.0)).alias("score"))
-    return done.unionByName(fuzzy)
+    rest = exact.where("ref is null").drop("ref").withColumn("id", F.col("slug"))
+    sorted_ = lambda d: d.select("id", token_sorted(F.col("key")).alias("key")).where("key <> ''").distinct()
+    asked, names = materialize(sorted_(_names(rest, "label"))), materialize(sorted_(_names(registry.withColumn("id", F.col("ref")).drop("aliases"), "name")))
+    by_key = names.groupBy("key").agg(F.min("id").alias("ref"))
+    found = similar_labels(asked.select(F.col("key").alias("label")), by_key.select(F.col("key").alias("label")), threshold).join(by_key.withColumnRenamed("key", "right"), "right")
+    best = found.join(asked.withColumnRenamed("key", "left"), "left").groupBy("id").agg(F.min(F.struct((-F.col("score")).alias("s"), "ref")).alias("x"))
+    best = materialize(best.select(F.col("id").alias("slug"), "x.ref", (-F.col("x.s")).alias("score")))
+    fuzzy = best.select("slug", "ref", F.lit("fuzzy").alias("method"), "score")
+    left = rest.select("slug").join(best.select("slug"), "slug", "left_anti")
+    if nearest:
+        below = nearest_scores(asked.join(left.withColumnRenamed("slug", "id").distinct(), "id", "left_semi"), by_key.select("key")).withColumnRenamed("id", "slug")
+    else:
+        below = left.select("slug", F.lit(None).cast("double").alias("score")).limit(0)
+    none = left.join(below, "slug", "left").select("slug", F.lit(None).cast(registry.schema["ref"].dataType).alias("ref"), F.lit("none").alias("method"), "score")
+    return done.unionByName(rest.select("slug").join(fuzzy, "slug").select(*done.columns)).unionByName(none)
 
 
 def children_of(batches: DataFrame, jobs: DataFrame) -> DataFrame:

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from quire.functions.text import expand_page_list, normalize_label
 from quire.operators.citations import without_orphans
-from quire.operators.resolve import allocated_slugs
 
 #: An entity's id: its type and its number.
 ENTITY = r"^poh_([pom])(\d+)$"
@@ -157,29 +156,3 @@ def read_assets(spark: SparkSession, tables: list[str], articles: str) -> DataFr
     for p in parts:
         named = named.unionByName(p)
     return named
-
-
-def indexed_books(subjects: DataFrame, postings: DataFrame, raw: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(subjects, postings, counts) after the indexes of some books are put in anew.
-
-    subjects: (id, label, aliases array<string>), ids are slugs; postings: (subject, book, page); raw: (book, raw_id, label, pages array<int>),
-    raw_id is unique; decisions: (raw_id, decision, canonical), one a raw_id at most. A decision for a subject that is no longer there, or
-    none at all, makes the label new: labels that read the same become one subject under a free slug. Labels of matched rows become
-    aliases where they differ from the label and the aliases. Old postings of these books go. counts: (book, n_new, n_match, n_alias) of raw rows.
-    """
-    there = subjects.select(F.col("id").alias("canonical"), F.lit(True).alias("there"))
-    rows = raw.join(decisions, "raw_id", "left").join(there, "canonical", "left")
-    rows = rows.withColumn("decision", F.when(F.col("there"), F.col("decision")).otherwise("new")).withColumn("key", normalize_label(F.col("label")))
-    fresh = rows.where("decision = 'new'").groupBy("key").agg(F.min("label").alias("label"))
-    slugs = allocated_slugs(fresh, subjects.select(F.col("id").alias("label")))
-    named = fresh.join(slugs, "label").select("key", "label", "slug")
-    placed = rows.join(named.select("key", "slug"), "key", "left").withColumn("subject", F.when(F.col("decision") == "new", F.col("slug")).otherwise(F.col("canonical")))
-    kept = postings.join(raw.select("book").distinct(), "book", "left_anti").select("subject", "book", "page")
-    added = placed.select("subject", "book", F.explode("pages").alias("page")).where("page is not null")
-    more = placed.where("decision <> 'new'").groupBy(F.col("subject").alias("id")).agg(F.array_sort(F.collect_set("label")).alias("more"))
-    none = F.array().cast("array<string>")
-    joined = F.concat(F.coalesce("aliases", none), F.coalesce("more", none))
-    old = subjects.join(more, "id", "left").select("id", "label", F.filter(F.array_distinct(joined), lambda a: a != F.col("label")).alias("aliases"))
-    count = lambda *d: F.count(F.when(F.col("decision").isin(*d), 1))
-    counts = placed.groupBy("book").agg(count("new").alias("n_new"), count("match").alias("n_match"), count("alias", "fuzzy").alias("n_alias"))
-    return old.unionByName(named.select(F.col("slug").alias("id"), "label", none.alias("aliases"))), kept.unionByName(added).distinct(), counts

@@ -6,27 +6,47 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.text import normalize_label, slugify
-from quire.operators.similarity import similar_labels, token_sorted
+from quire.operators.labels import similar_labels
+from quire.operators.similarity import token_sorted
 
 
-def resolved(raw: DataFrame, subjects: DataFrame, accept: float = 0.92) -> DataFrame:
-    """(raw_id, decision, canonical): "match" by normalised label, else "alias" by alias, else "fuzzy" by token-sorted similarity of `accept` or more (best score, then lowest id), else "new" with null.
+def subject_keys(subjects: DataFrame, order: str = "id") -> DataFrame:
+    """(id, key, place, is_alias): normalised labels and aliases of subjects (id, label, and alias or aliases array), but for blank ones."""
+    aliases = F.col("aliases") if "aliases" in subjects.columns else F.array("alias")
+    none = F.array().cast("array<string>")
+    said = F.concat(F.array(F.struct(F.col("label").alias("text"), F.lit(False).alias("is_alias"))), F.transform(F.coalesce(aliases, none), lambda a: F.struct(a.alias("text"), F.lit(True).alias("is_alias"))))
+    rows = subjects.select("id", F.col(order).alias("place"), F.explode(said).alias("x"))
+    return rows.where("trim(x.text) <> ''").select("id", normalize_label(F.col("x.text")).alias("key"), "place", "x.is_alias")
 
-    raw: raw_id, label; subjects: id, label, alias. All decisions are taken against the same snapshot of subjects, so each
-    stage is one join over what the stages before have left.
+
+def exact_subjects(keys: DataFrame) -> DataFrame:
+    """(key, canonical, is_alias): of each key of `subject_keys` the first subject in order that has it as label or alias, and whether only as an alias."""
+    return keys.groupBy("key").agg(F.min(F.struct("place", "id", "is_alias")).alias("x")).select("key", F.col("x.id").alias("canonical"), "x.is_alias")
+
+
+def resolved(raw: DataFrame, subjects: DataFrame, accept: float = 0.9, order: str = "id") -> DataFrame:
+    """(raw_id, decision, method, canonical), a row per row of raw.
+
+    raw: raw_id, label and, if there is such a column, alias_of; subjects: id, label, alias or aliases. The first subject in `order`
+    that has the label as its own or as an alias is taken: "match" in the first case, "alias" in the second. Else the subject whose
+    label or alias is most similar by sorted words, from `accept` on, is a "match" too (ties: lowest id). Else the label is "new",
+    with a null canonical. A row with alias_of is an "alias" of the subject that has that name exactly, or "new". method: label,
+    alias, fuzzy or new. All decisions are taken against the same snapshot, so each stage is one join over what the stages before
+    have left. Null labels are new; null labels and aliases of subjects match nothing; repeated raw rows are decided alike.
     """
-    keyed = raw.select("raw_id", normalize_label(F.col("label")).alias("k"))
-    by = lambda c: subjects.select(normalize_label(F.col(c)).alias("k"), "id").groupBy("k").agg(F.min("id").alias("canonical"))
-    label = keyed.join(by("label"), "k", "left")
-    match = label.where("canonical is not null").select("raw_id", F.lit("match").alias("decision"), "canonical")
-    rest = label.where("canonical is null").select("raw_id", "k").join(by("alias"), "k", "left")
-    alias = rest.where("canonical is not null").select("raw_id", F.lit("alias").alias("decision"), "canonical")
-    rest = rest.where("canonical is null").select("raw_id", token_sorted(F.col("k")).alias("k"))
-    known = subjects.select(token_sorted(normalize_label(F.col("label"))).alias("label"), "id").groupBy("label").agg(F.min("id").alias("id"))
-    scored = similar_labels(rest.select(F.col("k").alias("label")), known, accept).join(known, F.col("right") == F.col("label"))
-    best = scored.groupBy("left").agg(F.max_by("id", F.struct("score", -F.col("id"))).alias("canonical"))
-    last = rest.join(best, rest["k"] == best["left"], "left").select("raw_id", F.when(F.col("canonical").isNotNull(), "fuzzy").otherwise("new").alias("decision"), "canonical")
-    return match.unionByName(alias).unionByName(last)
+    of = F.col("alias_of") if "alias_of" in raw.columns else F.lit(None).cast("string")
+    keyed = raw.select("raw_id", normalize_label(F.coalesce(of, "label")).alias("key"), of.isNotNull().alias("refers"))
+    keys = subject_keys(subjects, order)
+    exact = keyed.join(exact_subjects(keys), "key", "left")
+    found = F.col("canonical").isNotNull()
+    as_alias = F.col("refers") | F.col("is_alias")
+    done = exact.where(found | F.col("refers")).select("raw_id", F.when(~found, "new").when(as_alias, "alias").otherwise("match").alias("decision"), F.when(~found, "new").when(as_alias, "alias").otherwise("label").alias("method"), "canonical")
+    rest = exact.where(~(found | F.col("refers"))).select("raw_id", token_sorted(F.col("key")).alias("key"))
+    known = keys.groupBy(token_sorted(F.col("key")).alias("right")).agg(F.min("id").alias("id"))
+    scored = similar_labels(rest.select(F.col("key").alias("label")), known.select(F.col("right").alias("label")), accept).join(known, "right")
+    best = scored.groupBy(F.col("left").alias("key")).agg(F.min(F.struct((-F.col("score")).alias("s"), "id")).alias("x")).select("key", F.col("x.id").alias("canonical"))
+    fuzzy = rest.join(best, "key", "left")
+    return done.unionByName(fuzzy.select("raw_id", F.when(found, "match").otherwise("new").alias("decision"), F.when(found, "fuzzy").otherwise("new").alias("method"), "canonical"))
 
 
 def allocated_slugs(labels: DataFrame, taken: DataFrame) -> DataFrame:

@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from quire.functions.text import normalize_label
+from quire.operators.labels import similar_labels  # noqa: F401
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -97,33 +96,10 @@ def indel_ratio(a: str, b: str) -> float:
     return 2.0 * float(row[-1]) / (len(a) + len(b))
 
 
-@F.pandas_udf(DoubleType())
-def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([indel_ratio(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype=float)
-
-
 def token_sorted(label: Column) -> Column:
     return F.array_join(F.array_sort(F.filter(F.split(label, "\\s+"), lambda t: t != "")), " ")
 
 
-def similar_labels(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
-    """(left, right, score) of distinct labels with an Indel ratio at or above the threshold.
-
-    Labels are compared only within reach of the length bound 2 min / (a + b) >= threshold (an equality join on lengths) and when the
-    multiset of their characters allows it; both bounds are exact. Only distinct labels are scored.
-    """
-    counts = lambda c: F.transform(F.sequence(F.lit(97), F.lit(122)), lambda k: F.length(c) - F.length(F.replace(c, F.char(k))))
-    x = left.select(F.col("label").alias("left")).distinct().withColumn("lc", counts(F.col("left")))
-    y = right.select(F.col("label").alias("right")).distinct().withColumn("rc", counts(F.col("right")))
-    low, high = threshold / (2 - threshold), (2 - threshold) / threshold
-    reach = F.sequence(F.ceil(F.length("left") * low - 1e-9).cast("int"), F.floor(F.length("left") * high + 1e-9).cast("int"))
-    pairs = x.withColumn("n", F.explode(reach)).join(y.withColumn("n", F.length("right")), "n")
-    shared = F.aggregate(F.zip_with("lc", "rc", lambda p, q: F.least(p, q)), F.lit(0), lambda s, v: s + v)
-    others = F.least(F.length("left") - F.aggregate("lc", F.lit(0), lambda s, v: s + v), F.length("right") - F.aggregate("rc", F.lit(0), lambda s, v: s + v))
-    pairs = pairs.where(2 * (shared + others) >= threshold * (F.length("left") + F.length("right")))
-    return pairs.select("left", "right", ratio("left", "right").alias("score")).where(F.col("score") >= threshold)
-
-
 def _codes(labels: list[str], width: int) -> np.ndarray:
     out = np.zeros((len(labels), width), np.int32)
     for i, label in enumerate(labels):

@@ -142,16 +142,3 @@ def test_empty_tables(spark):
     new = spark.createDataFrame([], "slug string, ref string, name string, qid string, score double")
     said = spark.createDataFrame([("s", "poh_p2"), ("t", "x")], "slug string, ref string")
     assert [tuple(r) for r in library.registered(old, new, said).collect()] == [("s", "poh_p2", "p", "", None, "resolved", None)]
-
-
-def test_books_are_indexed_anew(spark):
-    subjects = spark.createDataFrame([("roma", "Roma", None), ("via", "Via", ["Strada"])], "id string, label string, aliases array<string>")
-    postings = spark.createDataFrame([("roma", 1, 9), ("roma", 2, 8)], "subject string, book int, page int")
-    raw = spark.createDataFrame([(1, 1, "ROMA", [3, 3]), (1, 2, "Roma!", [4]), (1, 3, " roma!", None), (1, 4, "Strada", [5]), (1, 5, "Persa", [6, None])], "book int, raw_id int, label string, pages array<int>")
-    decisions = spark.createDataFrame([(1, "match", "roma"), (4, "alias", "via"), (5, "match", "andata")], "raw_id int, decision string, canonical string")
-    s, p, n = library.indexed_books(subjects, postings, raw, decisions)
-    assert {r["id"]: r.aliases for r in s.collect()} == {"roma": ["ROMA"], "via": ["Strada"], "roma-2": [], "persa": []}
-    assert {tuple(r) for r in p.collect()} == {("roma", 2, 8), ("roma", 1, 3), ("roma-2", 1, 4), ("via", 1, 5), ("persa", 1, 6)}
-    assert [tuple(r) for r in n.collect()] == [(1, 3, 1, 1)]
-    s, p, n = library.indexed_books(subjects, postings, raw.limit(0), decisions)
-    assert (s.count(), p.count(), n.count()) == (2, 2, 0)

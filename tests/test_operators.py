@@ -3,7 +3,8 @@ import random
 from pyspark.sql import functions as F
 
 from quire.functions import periods, text
-from quire.operators import articles, graph, parsers, postings, research, resolve, similarity
+from quire.operators import articles, graph, parsers, postings, research, similarity
+from quire.operators import labels as sim_labels
 
 
 def one(spark, column, **values):
@@ -139,6 +140,43 @@ def test_label_similarity_against_brute_force(spark):
         assert got == {(a, b): round(lcs_ratio(a, b), 9) for a in labels for b in labels if lcs_ratio(a, b) >= least}
 
 
+def test_grams_find_all_similar_labels(spark):
+    """Edited copies of a few names, with repeated letters, blanks, empty and long labels, at thresholds of each gram size."""
+    rng = random.Random(8)
+    names = ["Aleksandra Brandt-Olsson", "aaaa bbbb aaaa", "Castel del Monte", "via", "", "é" * 70 + "fin", "x" * 300]
+    labels = set(names)
+    for _ in range(260):
+        text = list(rng.choice(names))
+        for _ in range(rng.randrange(1, 4)):
+            at = rng.randrange(len(text) + 1)
+            text[at : at + rng.randrange(2)] = rng.choice(["", "a", "b ", "é"])
+        labels.add("".join(text))
+    labels = sorted(labels)
+    table = spark.createDataFrame([(x,) for x in [*labels, None, labels[0]]], "label string")
+    every = {(a, b): lcs_ratio(a, b) for a in labels for b in labels if min(len(a), len(b)) >= 0.3 * max(len(a), len(b))}
+    for least in (0.6, 0.82, 0.9, 1.0):
+        got = {(r.left, r.right): round(r.score, 9) for r in sim_labels.similar_labels(table, table, least).collect()}
+        assert got == {k: round(v, 9) for k, v in every.items() if v >= least}
+
+
+def test_candidates_do_not_follow_the_square(spark):
+    """Labels of one length and alphabet: four times the labels give about four times the candidates a label."""
+    per_label = []
+    for n in (500, 2000):
+        rng = random.Random(n)
+        labels = {"".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(20)) for _ in range(n)}
+        table = spark.createDataFrame([(x,) for x in sorted(labels)], "label string")
+        per_label.append(sim_labels.candidates(table, table, 0.9).count() / n)
+    assert per_label[1] < 3 and per_label[0] < 3, per_label  # all with all would be 500 and 2,000
+
+
+def test_lcs_in_words_and_ints():
+    rng = random.Random(4)
+    pairs = [("".join(rng.choice("abc") for _ in range(rng.choice((0, 1, 5, 63, 64, 65, 130)))), "".join(rng.choice("abc") for _ in range(rng.choice((0, 2, 64, 70, 257))))) for _ in range(80)]
+    got = sim_labels.ratios([a for a, _ in pairs], [b for _, b in pairs])
+    assert all(abs(x - lcs_ratio(a, b)) < 1e-12 for x, (a, b) in zip(got, pairs, strict=True))
+
+
 def test_components_on_long_paths(spark):
     edges = [(k, k + 1) for k in range(1, 30)] + [(100, 101), (101, 100), (7, 7), (500, 500), (None, 3)]
     got = {r.id: r.component for r in graph.connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
@@ -146,13 +184,6 @@ def test_components_on_long_paths(spark):
     assert graph.connected_components(spark.createDataFrame([], "src long, dst long")).collect() == []
 
 
-def test_resolution_stages(spark):
-    subjects = spark.createDataFrame([(1, "Marco Polo", "Il Milione"), (2, "Venezia", ""), (3, "Kublai Khan", "")], "id long, label string, alias string")
-    raw = spark.createDataFrame([(1, "marco  polo."), (2, "il milione"), (3, "Polo Marco"), (4, "Kublai Kan"), (5, "Genova")], "raw_id int, label string")
-    got = {r.raw_id: (r.decision, r.canonical) for r in resolve.resolved(raw, subjects).collect()}
-    assert got == {1: ("match", 1), 2: ("alias", 1), 3: ("fuzzy", 1), 4: ("fuzzy", 3), 5: ("new", None)}
-
-
 def test_sections_and_links(spark):
     body = "# T\nuno [a](source:1/2) e [b](subject:9)\n## Cronologia\n| x |\n## Fine\nok"
     assert one(spark, articles.without_section(F.col("t"), "Cronologia"), t=body).endswith("subject:9)\n## Fine\nok")
