@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from collections.abc import Iterator
 from functools import cache
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 @cache
@@ -46,9 +50,22 @@ def slugify(title: Column, length: int = 32, default: str = "book") -> Column:
     return F.coalesce(F.nullif(F.regexp_replace(F.substring(words, 1, length), "-+$", ""), F.lit("")), F.lit(default))
 
 
+@F.pandas_udf(StringType())
+def _nfc(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
+
+
+def composed(text: Column) -> Column:
+    """Letters and their marks in composed form (NFC); ASCII texts are in it already and stay in the JVM."""
+    return F.when(text.rlike("[^\\x00-\\x7F]"), _nfc(text)).otherwise(text)
+
+
 def citation_id(authors: Column, title: Column, year: Column) -> Column:
-    """A digest of authors, title and year without case, spaces and punctuation; "unknown" stands for what is missing."""
-    part = lambda c: F.coalesce(F.nullif(F.regexp_replace(F.lower(c), "(?U)[^\\w]+", ""), F.lit("")), F.lit("unknown"))
+    """A digest of authors, title and year without case, spaces and punctuation; "unknown" stands for what is missing.
+
+    Letters count in their composed form, so an accent typed as a mark of its own makes no other id.
+    """
+    part = lambda c: F.coalesce(F.nullif(F.regexp_replace(F.lower(composed(c)), "(?U)[^\\w]+", ""), F.lit("")), F.lit("unknown"))
     digits = F.coalesce(F.nullif(F.regexp_extract(year, "\\d{4}", 0), F.lit("")), F.nullif(F.regexp_extract(year, "\\d{3}", 0), F.lit("")), F.lit("unknown"))
     return F.sha2(F.concat(part(authors), part(title), digits).cast("binary"), 256)
 
@@ -74,27 +91,43 @@ def snippet(text: Column, limit: int = 180) -> Column:
     return F.when(F.length(flat) > limit, F.concat(F.rtrim(F.substring(flat, 1, limit - 1)), F.lit("…"))).otherwise(flat)
 
 
+def _is_word(c: str) -> bool:
+    return c == "_" or c.isalnum() or unicodedata.category(c)[0] == "M"
+
+
+def _chunked(text: str, size: int, overlap: int) -> list[dict]:
+    out, n, start = [], len(text), 0
+    while True:
+        end = min(start + size, n)
+        lo, hi = start, end
+        if start and start < n and _is_word(text[start]) and _is_word(text[start - 1]):
+            while lo < end and _is_word(text[lo]):
+                lo += 1
+            while lo < end and not _is_word(text[lo]):
+                lo += 1
+        if end < n and _is_word(text[end - 1]) and _is_word(text[end]):
+            while hi > lo and _is_word(text[hi - 1]):
+                hi -= 1
+        if piece := text[lo:hi].strip():
+            out.append({"start": lo, "end": hi, "piece": text[lo:hi]})
+        if end == n:
+            return out
+        start += size - overlap
+
+
 def chunks(text: Column, size: int = 500, overlap: int = 100) -> Column:
-    """Overlapping pieces as an array of (start, end, piece), without words that are cut at either end.
+    """Overlapping pieces as an array of (start, end, piece), without words that are cut at either end; null for null.
 
     A piece begins every size - overlap characters, up to the first that reaches the end. One that starts within a word starts at the
-    next word instead, one that ends within a word ends before it; pieces of nothing but white space are left out.
+    next word instead, one that ends within a word ends before it; pieces of nothing but white space are left out. A text is cut by
+    position once, in time that follows its length (SQL's substrings count from its start each time).
     """
-    n, word = F.length(text), "(?U)^\\w"
-    at = lambda k: F.substring(text, k + 1, F.lit(1))
-    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((n - size) / (size - overlap)) * (size - overlap)).cast("int"), F.lit(size - overlap))
 
-    def cut(start: Column) -> Column:
-        end = F.least(start + size, n)
-        raw = F.substring(text, start + 1, F.lit(size))
-        inside = (start > 0) & at(start).rlike(word) & at(start - 1).rlike(word)
-        head = F.when(inside, F.length(F.regexp_extract(raw, "(?Us)^\\w*[^\\w]*", 0))).otherwise(0)
-        broken = (end < n) & at(end - 1).rlike(word) & at(end).rlike(word)
-        rest = F.substring(text, start + head + 1, F.greatest(F.lit(0), end - start - head))
-        tail = F.when(broken, F.length(F.regexp_extract(rest, "(?U)\\w*$", 0))).otherwise(0)
-        return F.struct((start + head).alias("start"), (end - tail).alias("end"), F.substring(rest, F.lit(1), F.greatest(F.lit(0), F.length(rest) - tail)).alias("piece"))
+    @F.pandas_udf("array<struct<start: int, end: int, piece: string>>")
+    def cut(texts: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else _chunked(t, size, overlap) for t in texts], dtype=object)
 
-    return F.filter(F.transform(starts, cut), lambda c: F.trim(F.regexp_replace(c["piece"], "(?U)\\s", "")) != "")
+    return cut(text)
 
 
 def expand_page_list(text: Column, last_page: int = 20_000) -> Column:
@@ -133,20 +166,23 @@ def canonical_pair(a: Column, b: Column) -> Column:
     return F.concat_ws("|", F.least(a, b), F.greatest(a, b))
 
 
+def _blocks(text: str) -> Iterator[tuple[int, int]]:
+    at = 0
+    for gap in [*re.finditer("\n\n+", text), None]:
+        end = gap.start() if gap else len(text)
+        if end > at:
+            yield at, end
+        at = gap.end() if gap else end
+
+
 def paragraphs(text: Column) -> Column:
-    """The blocks between blank lines as an array of (index, start, end, text), offsets in characters; empty texts have none."""
-    gaps = F.transform(F.regexp_extract_all(text, F.lit("\\n\\n+"), F.lit(0)), F.length)
-    blocks = F.zip_with(F.split(text, "\\n\\n+"), gaps, lambda p, gap: F.struct(p.alias("text"), F.coalesce(gap, F.lit(0)).alias("gap")))
-    empty = F.array().cast("array<struct<start int, end int, text string>>")
-    begin = F.struct(F.lit(0).alias("at"), empty.alias("all"))
+    """The blocks between blank lines as an array of (index, start, end, text), offsets in characters; empty texts have none, null gives null."""
 
-    def step(state: Column, block: Column) -> Column:
-        end = state["at"] + F.length(block["text"])
-        kept = F.array_append(state["all"], F.struct(state["at"].alias("start"), end.alias("end"), block["text"].alias("text")))
-        return F.struct((end + block["gap"]).alias("at"), F.when(block["text"] == "", state["all"]).otherwise(kept).alias("all"))
+    @F.pandas_udf("array<struct<index: int, start: int, end: int, text: string>>")
+    def cut(texts: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else [{"index": k, "start": a, "end": b, "text": t[a:b]} for k, (a, b) in enumerate(_blocks(t))] for t in texts], dtype=object)
 
-    found = F.aggregate(blocks, begin, step)["all"]
-    return F.transform(found, lambda p, i: F.struct(i.alias("index"), p["start"].alias("start"), p["end"].alias("end"), p["text"].alias("text")))
+    return cut(text)
 
 
 def paragraph_at(text: Column, offset: Column) -> Column:
@@ -158,13 +194,22 @@ def paragraph_at(text: Column, offset: Column) -> Column:
 
 
 def updated_paragraphs(text: Column, updates: Column) -> Column:
-    """The text after paragraphs are replaced (updates: a map from index to text); all between them stays."""
-    every = paragraphs(text)
-    between = lambda a, b: F.substring(text, a + 1, F.greatest(F.lit(0), b - a))
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    step = lambda s, p: F.struct(p["end"].alias("at"), F.concat(s["out"], between(s["at"], p["start"]), F.coalesce(F.try_element_at(updates, p["index"]), p["text"])).alias("out"))
-    end = F.aggregate(every, begin, step)
-    return F.when(F.size(every) > 0, F.concat(end["out"], between(end["at"], F.length(text)))).otherwise(text)
+    """The text after paragraphs are replaced (updates: a map from index to text, null for none); all between them stays. Null for null."""
+
+    @F.pandas_udf("string")
+    def put(texts: pd.Series, maps: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else _updated(t, dict(m) if m is not None else {}) for t, m in zip(texts, maps, strict=True)], dtype=object)
+
+    return put(text, updates)
+
+
+def _updated(text: str, updates: dict) -> str:
+    parts, at = [], 0
+    for k, (a, b) in enumerate(_blocks(text)):
+        new = updates.get(k)
+        parts += [text[at:a], text[a:b] if new is None else new]
+        at = b
+    return "".join([*parts, text[at:]])
 
 
 def without_index_links(text: Column) -> Column:

@@ -165,18 +165,9 @@ def found_nodes(nodes: DataFrame, authors: str = "", title: str = "", year: str
     return nodes.where(F.contains(F.coalesce(F.col("year").cast("string"), F.lit("")), F.lit(digits))) if digits else nodes
 
 
-def chronology(articles: DataFrame, header: str = "## Cronologia") -> DataFrame:
-    """(id, period, event, place) of the table below the header in each article (id, markdown): rows with a valid period, in order of time.
+def chronology(articles: DataFrame) -> DataFrame:
+    """(id, period, event, sources, place) of the chronology of each article (id, markdown), by `chronology_of`; place counts from 1."""
+    from quire.operators.postprocess import chronology_of
 
-    A section ends where the next header of its level begins; head and rule rows of the table are no entries. place counts from 1.
-    """
-    from quire.functions.periods import is_period, period_order
-
-    at = F.locate(header, "markdown")
-    section = F.split(F.expr(f"substring(markdown, locate('{header}', markdown) + {len(header)})"), "\n## ", 2)[0]
-    lines = articles.where(at > 0).select("id", F.posexplode(F.split(section, "\\r?\\n")).alias("line_no", "line")).where(F.trim("line").rlike("^\\|.*\\|$"))
-    cells = F.transform(F.split(F.regexp_replace(F.trim("line"), "^\\|+|\\|+$", ""), "\\|"), lambda c: F.trim(c))
-    rows = lines.select("id", "line_no", cells.alias("cells")).where(F.size("cells") > 1)
-    rows = rows.select("id", "line_no", F.col("cells")[0].alias("period"), F.col("cells")[1].alias("event")).where(is_period(F.col("period")))
-    inside = F.array_sort(F.collect_list(F.struct(period_order(F.col("period")).alias("o"), "line_no", "period", "event")))
-    return rows.groupBy("id").agg(inside.alias("all")).select("id", F.posexplode("all").alias("k", "x")).select("id", "x.period", "x.event", (F.col("k") + 1).alias("place"))
+    rows = articles.select("id", F.posexplode(chronology_of(F.coalesce("markdown", F.lit("")))["rows"]).alias("k", "x"))
+    return rows.select("id", "x.period", "x.event", "x.sources", (F.col("k") + 1).alias("place"))

@@ -100,14 +100,30 @@ def overall_progress(events: DataFrame) -> DataFrame:
     return rows.withColumn("percent", F.when(F.col("total") > 0, F.least(F.lit(100).cast("long"), F.floor(100 * F.coalesce("done", F.lit(0)) / F.col("total")))))
 
 
-def time_ranges(subjects: DataFrame, postings: DataFrame, refs: DataFrame) -> DataFrame:
-    """(id, label): the subject's stored time_range (id, time_range), else the first label by `ord` among the refs (book, page, ord, label) of its pages.
+def time_ranges(subjects: DataFrame, years: DataFrame, named: DataFrame) -> DataFrame:
+    """(id, label): the time of subjects (id, label, time_range), the first that there is of the following.
 
-    Refs are brought down to one a page before they meet the postings, so the join adds no rows. A blank stored range counts as none.
+    Its stored range; the first year label, by `ord`, that names the subject (named: label, ord, subject, from its list of subjects or
+    those of its pages); the first (years: label, ord) that is part of the subject's label, or that the subject's label is part of,
+    whatever the case. Else null. Blank stored ranges and blank labels count as none. Parts are found by equality: a label is
+    taken apart into its pieces of the lengths that the other side has, so no label meets all others.
     """
-    first = refs.groupBy("book", "page").agg(F.min(F.struct("ord", "label")).alias("ref"))
-    near = postings.join(first, ["book", "page"]).groupBy(F.col("subject").alias("id")).agg(F.min("ref").alias("ref"))
-    return subjects.join(near, "id", "left").select("id", F.coalesce(F.nullif(F.trim("time_range"), F.lit("")), "ref.label").alias("label"))
+    stored = F.nullif(F.trim("time_range"), F.lit(""))
+    direct = named.where("subject is not null").groupBy(F.col("subject").alias("id")).agg(F.min(F.struct("ord", "label")).alias("direct"))
+    rows = subjects.join(direct, "id", "left")
+    open_ = rows.where(stored.isNull() & F.col("direct").isNull() & (F.trim("label") != "")).select(F.lower("label").alias("own")).distinct()
+    keys = years.where("trim(label) <> ''").groupBy(F.lower("label").alias("key")).agg(F.min(F.struct("ord", "label")).alias("year"))
+
+    def pieces(d: DataFrame, text: str, other: DataFrame, key: str) -> DataFrame:
+        """d with every piece of its text that is as long as some text of the other side; the lengths are few, as labels are short."""
+        lengths = sorted(r.n for r in other.select(F.length(key).alias("n")).distinct().collect())  # as many as the longest label has characters, at most
+        fits = d.select("*", F.explode(F.filter(F.lit(lengths).cast("array<int>"), lambda n: n <= F.length(text))).alias("n"))
+        return fits.select(*d.columns, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - F.col("n") + 1), lambda k: F.substring(F.col(text), k, F.col("n"))))).alias("piece"))
+
+    inside = pieces(open_, "own", keys, "key").join(keys.withColumnRenamed("key", "piece"), "piece").select("own", "year")
+    around = pieces(keys, "key", open_, "own").select("year", F.col("piece").alias("own")).join(open_, "own").select("own", "year")
+    near = inside.unionByName(around).groupBy("own").agg(F.min("year").alias("near"))
+    return rows.join(near, F.lower("label") == F.col("own"), "left").select("id", F.coalesce(stored, "direct.label", "near.label").alias("label"))
 
 
 def timeline_candidates(refs: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.text import contains_term, normalize_search
 from quire.operators import postings as po
+from quire.operators.reading import all_words_in
 
 
 def subject_lookup(subjects: DataFrame, query: str, exact_ids: tuple[int, ...] = ()) -> DataFrame:
@@ -80,8 +81,18 @@ def relevant_pages(pages: DataFrame, terms: DataFrame) -> DataFrame:
     return found.union(exact.select("doc_id")).distinct()
 
 
-def catalog_search(subjects: DataFrame, query: str, limit: int = 20) -> DataFrame:
-    """(id, label, score): 100 for a label that begins with the query, 50 for one that holds it, 10 for one whose alias holds it (all that apply add up); best first, ties by label and id."""
-    q, label, alias = normalize_search(F.lit(query)), normalize_search(F.col("label")), normalize_search(F.col("alias"))
-    score = F.when(F.startswith(label, q), 100).otherwise(0) + F.when(F.contains(label, q), 50).otherwise(0) + F.when(F.contains(F.concat(label, F.lit(" "), alias), q), 10).otherwise(0)
-    return subjects.select("id", "label", score.alias("score")).where("score > 0").orderBy(F.desc("score"), F.lower("label"), "id").limit(limit)
+def catalog_search(subjects: DataFrame, query: str, limit: int = 20, articles: DataFrame | None = None) -> DataFrame:
+    """(id, label, score) of subjects (id, label, alias) that hold the query, or all its words of two characters or more, in label, alias or id.
+
+    Scores add up: 100 for a label that begins with the query, 50 for one that holds it, 10 if any field does; best first, ties by
+    label and id. Subjects whose article (id, no_material) says that there is no material are left out. A blank query finds nothing;
+    null labels and aliases read as empty.
+    """
+    q = normalize_search(F.lit(query))
+    if articles is not None:
+        subjects = subjects.join(articles.where("no_material").select("id").distinct(), "id", "left_anti")
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    rows = subjects.select("id", "label", normalize_search(text("label")).alias("_t"), normalize_search(F.concat_ws(" ", text("label"), text("alias"), text("id"))).alias("_h"))
+    score = F.when(F.startswith("_t", q), 100).otherwise(0) + F.when(F.contains("_t", q), 50).otherwise(0) + F.when(F.contains("_h", q), 10).otherwise(0)
+    found = rows.where((q != "") & (F.contains("_h", q) | all_words_in(F.col("_h"), q)))
+    return found.select("id", "label", score.alias("score")).orderBy(F.desc("score"), F.lower("label"), "id").limit(limit)

@@ -52,21 +52,22 @@ _PERIOD = "case o_orderkey % 4 when 0 then '-' || (o_orderkey % 700 + 1) when 1
 _ARTICLE = """(select id, list({'p': p, 'e': e} order by e) as rows from (select o_custkey as id, """ + _PERIOD + """ as p, 'evento ' || o_orderkey as e from orders) group by id)"""
 
 
-@query("", f"""select id, p as period, e as event, row_number() over (partition by id order by y, m, d, p, e) as place from (
-    select o_custkey as id, {_PERIOD} as p, 'evento ' || o_orderkey as e, case o_orderkey % 4 when 0 then -(o_orderkey % 700 + 1) else o_orderkey % 1900 + 1 end as y,
-    case o_orderkey % 4 when 0 then 0 when 1 then o_orderkey % 9 + 1 else 12 end as m, case o_orderkey % 4 when 2 then 10 + o_orderkey % 10 else 0 end as d from orders where o_orderkey % 4 <> 3)""")
+@query("", f"""select id, p as period, e as event, case when k % 3 = 0 then '' else 'source:ab' || k % 7 || ':aligned:' || k % 90 end as sources, row_number() over (partition by id order by y, m, d, p, e) as place from (
+    select o_custkey as id, o_orderkey as k, {_PERIOD} as p, 'evento ' || o_orderkey as e, case o_orderkey % 4 when 0 then -(o_orderkey % 700 + 1) else o_orderkey % 1900 + 1 end as y,
+    case o_orderkey % 4 when 0 then 0 when 1 then o_orderkey % 9 + 1 else 12 end as m, case o_orderkey % 4 when 2 then 10 + o_orderkey % 10 else 0 end as d from orders where o_orderkey % 4 <> 3) where id % 10 <> 9""")
 def chronology_rows(spark, sf):
+    """Tables with periods that aren't, rows of two cells, sources that aren't, and a table before; articles with another head have no chronology."""
     k = F.col("o_orderkey")
     s = lambda c: c.cast("string")
     period = F.when(k % 4 == 0, F.concat(F.lit("-"), s(k % 700 + 1))).when(k % 4 == 1, F.concat(s(k % 1900 + 1), F.lit("/0"), s(k % 9 + 1)))
     period = period.when(k % 4 == 2, F.concat(s(k % 1900 + 1), F.lit("/12/1"), s(k % 10))).otherwise(F.concat(F.lit("circa "), s(k % 50)))
-    row = F.concat(F.lit("| "), period, F.lit(" | evento "), s(k), F.lit(" |"))
+    cited = F.when(k % 3 == 0, "[g](source:xyz)").otherwise(F.concat(F.lit("[f](source:ab"), s(k % 7), F.lit(":aligned:"), s(k % 90), F.lit("), [g](poh:x)")))
+    row = F.concat(F.lit("| "), period, F.lit(" | evento "), s(k), F.lit(" | "), cited, F.lit(" |"))
     rows = t.table(spark, sf, "orders").select(F.col("o_custkey").alias("id"), F.struct(F.concat(F.lit("evento "), s(k)).alias("e"), row.alias("row")).alias("x"))
     text_of = F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["row"]), "\n")
-    head, tail = "# T\n\n| 1200 | altrove |\n\n## Cronologia\n\n| Periodo | Evento |\n|---|:---:|\n", "\n\n## Annotazioni\n\n| 1300 | dopo |\n"
-    articles = rows.groupBy("id").agg(F.concat(F.lit(head), text_of, F.lit(tail)).alias("markdown"))
-    return books.chronology(articles).select("id", "period", "event", F.col("place").cast("long").alias("place"))
-
+    head = F.concat(F.lit("# T\n\n| 1200 | altrove | x |\n\n## Cronologia\n\n| Periodo | Evento "), F.when(F.col("id") % 10 == 9, "|\n|---|:---:|\n").otherwise("| Fonti |\n|---|:---:|---|\n"))
+    articles = rows.groupBy("id").agg(text_of.alias("rows")).select("id", F.concat(head, "rows", F.lit("\n\n| 1300 | dopo |\nfine")).alias("markdown"))
+    return books.chronology(articles).select("id", "period", "event", F.array_join("sources", ",").alias("sources"), F.col("place").cast("long").alias("place"))
 
 @query("", """with p as (select doc_id, regexp_replace(text, '\\n\\n+', chr(1), 'g') as x from documents), q as (select doc_id, string_split(x, chr(1)) as parts from p)
     select doc_id, row_number() over (partition by doc_id order by i) - 1 as pos, part as paragraph from (select doc_id, generate_subscripts(parts, 1) as i, unnest(parts) as part from q) where part <> ''""")
@@ -199,16 +200,21 @@ def subject_overlaps(spark, sf):
     return books.overlaps(s, s.where("id % 20 = 1"), t.articles(spark, sf), 0.86)
 
 
-@query("", """select 'c' || c_custkey as slug, case when c_custkey % 3 = 0 then c_custkey when c_custkey % 3 = 1 then (select min(p_partkey) from part where p_name = 'small widget') end as ref,
-    case c_custkey % 3 when 0 then 'qid' when 1 then 'fuzzy' else 'none' end as method, case when c_custkey % 3 < 2 then 1.0 else 0.0 end::double as score from customer
-    where c_custkey in (select p_partkey from part) and exists (select 1 from part where p_name = 'small widget')""")
+@query("", """with c as (select *, c_custkey % 6 in (0, 3) and c_custkey in (select p_partkey from part) as by_qid, c_custkey % 6 in (1, 2, 4) as by_name from customer)
+    select 'c' || c_custkey as slug, case when by_qid then c_custkey when by_name then (select min(p_partkey) from part where p_name = (select min(p_name) from part)) end as ref,
+    case when by_qid then 'qid' when by_name then 'fuzzy' else 'none' end as method, case when by_qid or by_name then 1.0 else 0.0 end::double as score from c""")
 def registry_matches(spark, sf):
+    """By qid, by name and by alias with the words in another order; others have no letter in common with any name and keep that score."""
     p = t.table(spark, sf, "part")
     registry = p.select(F.col("p_partkey").alias("ref"), F.concat(F.lit("Q"), F.col("p_partkey").cast("string")).alias("qid"), F.col("p_name").alias("name"))
-    c = t.table(spark, sf, "customer").join(p.select(F.col("p_partkey").alias("c_custkey")), "c_custkey", "left_semi")
-    k = F.col("c_custkey") % 3
-    label = F.when(k == 1, "Small  Widget.").otherwise("zzzzzzzzzzzzzzzzzzzzzzzz")
-    return books.registry_matches(c.select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("slug"), F.when(k == 0, F.concat(F.lit("Q"), F.col("c_custkey").cast("string"))).alias("qid"), label.alias("label")), registry)
+    words = p.agg(F.min("p_name")).first()[0].split()
+    swapped = f"{words[1]}  {words[0].upper()}."
+    k = F.col("c_custkey") % 6
+    rows = t.table(spark, sf, "customer").select(
+        F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("slug"), F.when(k.isin(0, 3), F.concat(F.lit("Q"), F.col("c_custkey").cast("string"))).alias("qid"),
+        F.when(k.isin(1, 4), swapped).otherwise("qqqqqqqqqq").alias("label"), F.when(k == 2, F.array(F.lit("qqqqqqq"), F.lit(swapped))).alias("aliases"),
+    )
+    return books.registry_matches(rows, registry)
 
 
 @query("job_events", """select b.batch, b.request, j.status from (select distinct o_custkey as batch, o_orderkey % 200 as request from orders) b

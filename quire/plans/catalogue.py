@@ -222,10 +222,20 @@ def exact_alias_match(spark, sf):
     return keys.join(first, "k").groupBy("id").agg(F.min("canonical").alias("canonical"))
 
 
-@query("subjects", """select id, label, score from (select id, label, case when starts_with(lower(label), 'small') then 100 else 0 end + case when contains(lower(label), 'small') then 50 else 0 end
-    + case when contains(lower(label) || ' ' || lower(alias), 'small') then 10 else 0 end as score from subjects) where score > 0 order by score desc, lower(label), id limit 20""")
+_HAYSTACK = "lower(label || ' ' || alias || ' ' || id)"
+_LISTED = "id not in (select id from articles where no_material)"
+_SCORE = "case when starts_with(lower(label), '{0}') then 100 else 0 end + case when contains(lower(label), '{0}') then 50 else 0 end + case when contains({1}, '{0}') then 10 else 0 end as score"
+
+
+@query("subjects articles", f"""select id, label, {_SCORE.format('small', _HAYSTACK)} from subjects where contains({_HAYSTACK}, 'small') and {_LISTED} order by score desc, lower(label), id limit 20""")
 def catalog_search(spark, sf):
-    return research.catalog_search(t.subjects(spark, sf), "Small")
+    return research.catalog_search(t.subjects(spark, sf), "Small", articles=t.articles(spark, sf))
+
+
+@query("subjects articles", f"""select id, label, {_SCORE.format('brand#12 small', _HAYSTACK)} from subjects where contains({_HAYSTACK}, 'brand#12') and contains({_HAYSTACK}, 'small') and {_LISTED} order by score desc, lower(label), id limit 50""")
+def catalog_words(spark, sf):
+    """Words that stand apart, in another order than in the label."""
+    return research.catalog_search(t.subjects(spark, sf), " Brand#12  SMALL", 50, t.articles(spark, sf))
 
 
 _TERM = r"(^|[^\p{L}\p{N}_])(idiot|token|apache license|third-party)($|[^\p{L}\p{N}_])"
@@ -269,8 +279,9 @@ def html_damage(spark, sf):
 _ISSUES = f"""f as (select page_id as id, {_DAMAGE} as damage from pages), s as (select doc_id as id from documents where doc_id % 4 <> 1),
     j as (select coalesce(s.id, a.id, f.id) as id, s.id is not null as known, a.id is not null as listed, coalesce(a.no_material, false) as nm, f.id is not null as filed, f.damage
     from s full join articles a on s.id = a.id full join f on f.id = coalesce(s.id, a.id)),
-    issues as (select id, 'unknown_subject' as issue from j where listed and not known union all select id, 'no_material' from j where listed and nm union all select id, 'orphan_catalog' from j where listed and not filed
-    union all select id, 'orphan_file' from j where filed and not listed union all select id, 'damaged_' || damage from j where damage is not null)"""
+    issues as (select id, 'damaged' as issue, 'no_file' as detail from j where known and listed and not filed union all select id, 'damaged', damage from j where known and filed and damage is not null
+    union all select id, 'orphan_catalog', null from j where known and filed and not listed union all select id, 'no_material', null from j where known and filed and nm
+    union all select id, 'unknown_subject', null from j where listed and not known union all select id, 'orphan_file', null from j where filed and not known and not listed)"""
 
 
 def _issues(spark, sf):

@@ -70,14 +70,21 @@ def similar_labels(spark, sf):
     return similarity.similar_labels(s, s, 0.8).where("left < right").select("left", "right", F.round("score", 6).alias("score"))
 
 
-@query("", """select c_custkey as raw_id, case when k in (select lower(p_name) from part) then 'match' when k in (select lower(p_brand) from part) then 'alias' else 'new' end as decision,
-    coalesce((select min(p_partkey) from part where lower(p_name) = k), (select min(p_partkey) from part where lower(p_brand) = k)) as canonical
-    from (select c_custkey, case when c_custkey % 4 = 0 then (select min(lower(p_name)) from part) when c_custkey % 4 = 1 then (select min(lower(p_brand)) from part) else 'zz ' || lower(c_name) end as k from customer)""")
+@query("", """with s as (select p_partkey as id, case when p_partkey = (select max(p_partkey) from part) then 'conflict name' else p_name end as label,
+    case when p_partkey = (select min(p_partkey) from part) then 'Conflict Name' else p_brand end as alias from part),
+    a as (select min(lower(p_name)) as name, min(lower(p_brand)) as brand from part)
+    select c_custkey as raw_id, case c_custkey % 6 when 1 then 'alias' when 4 then 'new' when 5 then 'alias' else 'match' end as decision,
+    case c_custkey % 6 when 0 then 'label' when 1 then 'alias' when 4 then 'new' when 5 then 'alias' else 'fuzzy' end as method,
+    case c_custkey % 6 when 1 then (select min(id) from s, a where lower(alias) = brand) when 4 then null when 5 then (select min(id) from s) else (select min(id) from s, a where lower(label) = name) end as canonical from customer""")
 def resolve_cascade(spark, sf):
-    least = t.subjects(spark, sf).agg(F.min(F.lower("label")).alias("a"), F.min(F.lower("alias")).alias("b"))
-    k = F.col("c_custkey") % 4
-    raw = t.table(spark, sf, "customer").join(F.broadcast(least)).select(F.col("c_custkey").alias("raw_id"), F.when(k == 0, F.initcap("a")).when(k == 1, F.upper("b")).otherwise(F.concat(F.lit("ZZ "), "c_name")).alias("label"))
-    return resolve.resolved(raw, t.subjects(spark, sf))
+    """Labels, aliases, words in another order, a letter too many, unknown names, and a name that one subject has as alias and a later one as label."""
+    s = t.subjects(spark, sf)
+    ends = s.agg(F.min("id"), F.max("id"), F.min(F.lower("label")), F.min(F.lower("alias"))).first()
+    least, most, name, brand = ends
+    s = s.withColumns({"label": F.when(F.col("id") == most, "conflict name").otherwise(F.col("label")), "alias": F.when(F.col("id") == least, "Conflict Name").otherwise(F.col("alias"))})
+    k = F.col("c_custkey") % 6
+    label = F.when(k == 0, name.title()).when(k == 1, brand.upper()).when(k == 2, " ".join(reversed(name.split()))).when(k == 3, name + "x").when(k == 4, F.concat(F.lit("ZZ "), "c_name")).otherwise("CONFLICT  name.")
+    return resolve.resolved(t.table(spark, sf, "customer").select(F.col("c_custkey").alias("raw_id"), label.alias("label")), s)
 
 
 _LABELS = "select p_name as label from part union select p_name || '!' from part where p_partkey % 3 = 0 union select p_name || ' 2' from part where p_partkey % 4 = 1 union select p_name || ' 3' from part where p_partkey % 5 = 1"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quire.functions import entries
-from quire.operators import exports, reading
+from quire.operators import exports, postprocess, reading
 from quire.plans.catalogue import query
 from quire.sources import tables as t
 
@@ -131,11 +131,16 @@ def overall_progress(spark, sf):
     return exports.overall_progress(t.job_events(spark, sf).select("job", "ts", "event_id", F.when(k % 3 == 0, k % 50 + 1).alias("total"), F.when(k % 3 == 1, k % 40).alias("done")))
 
 
-@query("subjects postings time_refs", """select s.id, case when s.id % 10 = 0 then 'stored' else x.label end as label from subjects s left join (select subject, min(label) as label from postings join (select book, page, label from time_refs where kind = 'year') using (book, page) group by subject) x on x.subject = s.id""")
+@query("", """with y as (select distinct cast(year(l_shipdate) as varchar) as label from lineitem), n as (select l_partkey as id, min(cast(year(l_shipdate) as varchar)) as label from lineitem where l_orderkey % 5 = 0 and l_partkey % 3 = 0 group by 1),
+    s as (select p_partkey as id, case p_partkey % 4 when 1 then p_name || ' NEL 1996' when 2 then '99' || p_partkey % 10 else p_name end as name from part)
+    select s.id, case when s.id % 10 = 0 then 'stored' else coalesce(n.label, (select min(y.label) from y where contains(lower(s.name), y.label) or contains(y.label, lower(s.name)))) end as label from s left join n on n.id = s.id""")
 def time_ranges(spark, sf):
-    refs = t.time_refs(spark, sf).where("kind = 'year'").select("book", "page", F.col("label").alias("ord"), "label")
-    s = t.subjects(spark, sf).select("id", F.when(F.col("id") % 10 == 0, " stored").otherwise(" ").alias("time_range"))
-    return exports.time_ranges(s, t.postings(spark, sf), refs)
+    """Stored ranges, years that name the subject, years within its label, and labels that are part of a year."""
+    k = F.col("id") % 4
+    s = t.subjects(spark, sf).select("id", F.when(F.col("id") % 10 == 0, " stored").otherwise(" ").alias("time_range"), F.when(k == 1, F.concat("label", F.lit(" NEL 1996"))).when(k == 2, F.concat(F.lit("99"), (F.col("id") % 10).cast("string"))).otherwise(F.col("label")).alias("label"))
+    line = t.table(spark, sf, "lineitem").select(F.year("l_shipdate").cast("string").alias("label"), "l_orderkey", F.col("l_partkey").alias("subject"))
+    years = line.select("label", F.col("label").alias("ord")).distinct()
+    return exports.time_ranges(s, years, line.where("l_orderkey % 5 = 0 and subject % 3 = 0").select("label", F.col("label").alias("ord"), "subject"))
 
 
 @query("time_refs", """select kind, label, book, array_to_string(list_sort(list(page)), ',') as pages, case kind when 'year' then 2 else 3 end as place from time_refs group by kind, label, book""")
@@ -230,3 +235,24 @@ def pending_reviews(spark, sf):
 def inserted_rows(spark, sf):
     c = t.table(spark, sf, "customer").select(F.col("c_custkey").alias("id"))
     return reading.inserted(c.where("id % 2 = 1").withColumn("name", F.lit("old")), c.withColumn("name", F.lit("new")), "id")[0]
+
+
+_CITED = "case when (doc_id % 7 + doc_id % 5) % 2 = 0 then '[{0}](source:{1}' || doc_id % 7 || ':aligned:' || doc_id % 5 || ')' else '*[[fonte non verificabile]]*' end"
+
+
+@query("", f"""select doc_id as id, '# ' || source || chr(10) || chr(10) || coalesce(text, '') || ' ' || {_CITED.format('uno', 'AB')} || case when doc_id % 3 < 2 then ' [due](poh:s' || doc_id % 3 || ')' else ' due' end || ' [tre](poh:unknown-x)' || chr(10) || chr(10)
+    || '## Cronologia' || chr(10) || chr(10) || '| Periodo | Evento | Fonti |' || chr(10) || '|---------|--------|-------|' || chr(10) || '| -36 | y |  |' || chr(10) || '| 1400 | x | ' || {_CITED.format('f', 'ab')} || ' |' || chr(10) || chr(10) || chr(10) || 'fine'
+    || case when (doc_id % 7 + doc_id % 5) % 2 = 0 then chr(10) || chr(10) || '## Fonti' || chr(10) || chr(10) || '- [' || case when doc_id % 7 % 2 = 0 then 'Libro ' || doc_id % 7 else 'ab' || doc_id % 7 || '…' end || ', p. ' || doc_id % 5 || '](source:ab' || doc_id % 7 || ':aligned:' || doc_id % 5 || ')' else '' end || chr(10) as markdown,
+    cast((doc_id % 7 + doc_id % 5) % 2 = 0 as int) as n_citations, case when doc_id % 3 < 2 then 2 else 1 end as n_references, '-36;1400' as periods, 2 * ((doc_id % 7 + doc_id % 5) % 2) as bad_sources, cast(doc_id % 3 = 2 as bigint) as bad_subjects from documents""")
+def article_postprocess(spark, sf):
+    """Whole texts with links that are and aren't valid, notes and a chronology out of order."""
+    k = F.col("doc_id")
+    n = lambda m: (k % m).cast("string")
+    link = lambda label, book: F.concat(F.lit(f"[{label}](source:{book}"), n(7), F.lit(":aligned:"), n(5), F.lit(")"))
+    head = F.concat(F.lit("# "), "source", F.lit("\n\n"), F.coalesce("text", F.lit("")), F.lit(" "), link("uno", "AB"), F.lit(" [due](poh:s"), n(3), F.lit(") [tre](poh:unknown-x)\n\n## Annotazioni\n\nnota [x](nota)\n\n"))
+    table = F.concat(F.lit("## Cronologia\n\n| Periodo | Evento | Fonti |\n|---|---|---|\n| 1400 | x | "), link("f", "ab"), F.lit(" |\n| -36 | y |  |\n| mai | z | |\n\nfine"))
+    articles = t.table(spark, sf, "documents").select(k.alias("id"), F.concat(head, table).alias("markdown"))
+    pages = spark.range(35).where("(id % 7 + id % 5) % 2 = 0").select(_text("ab", F.col("id") % 7).alias("book"), (F.col("id") % 5).cast("int").alias("page"))
+    titles = spark.range(0, 7, 2).select(_text("ab", F.col("id")).alias("book"), _text("Libro ", F.col("id")).alias("title"))
+    out = postprocess.postprocessed(articles, pages, titles, spark.range(2).select(_text("s", F.col("id")).alias("id")))
+    return out.select("id", "markdown", F.size("citations").alias("n_citations"), F.size("references").alias("n_references"), F.array_join(F.transform("timeline", lambda r: r["period"]), ";").alias("periods"), "bad_sources", "bad_subjects")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quire.functions import markup
-from quire.operators import library, similarity
+from quire.operators import indexing, library, similarity
 from quire.plans.catalogue import query
 from quire.sources import tables as t
 
@@ -137,27 +137,34 @@ def asset_names(spark, sf):
 
 
 def _indexed(spark, sf):
+    """Lines that name subjects and aliases, refer to them, find what earlier lines made, and are new."""
     k = F.col("p_partkey")
     p = t.table(spark, sf, "part")
-    subjects = p.where("p_partkey % 2 = 0").select(_text("s", k).alias("id"), F.col("p_name").alias("label"), F.array("p_brand").alias("aliases"))
-    old = t.postings(spark, sf).select(_text("s", F.col("subject")).alias("subject"), "book", "page")
-    label = F.when(k % 4 == 0, F.col("p_name")).when(k % 4 == 2, _text("Altro ", k)).otherwise(_text("Nuovo ", k))
-    raw = p.select((k % 5).cast("int").alias("book"), k.alias("raw_id"), label.alias("label"), F.array(F.lit(1), (2 + k % 9).cast("int"), F.lit(1)).alias("pages"))
-    decisions = p.where("p_partkey % 4 <> 1").select(k.alias("raw_id"), F.when(k % 4 == 2, "alias").otherwise("match").alias("decision"), _text("s", k).alias("canonical"))
-    return library.indexed_books(subjects, old, raw, decisions)
+    own, text = F.concat("p_name", F.lit(" "), k.cast("string")), lambda word, n: _text(word, n)
+    subjects = p.where("p_partkey % 2 = 0").select(_text("s", k).alias("id"), own.alias("label"), F.array(F.concat("p_brand", F.lit(" "), k.cast("string"))).alias("aliases"))
+    old = t.postings(spark, sf).where("subject % 2 = 0").select(_text("s", F.col("subject")).alias("subject"), "book", "page")
+    m = k % 8
+    label = F.when(m == 0, F.upper(own)).when(m.isin(2, 6), F.concat("p_brand", F.lit(" "), k.cast("string"))).when(m == 4, text("Altro ", k)).when(m == 5, text("ALTRO ", k - 1)).when(m == 3, text("Detto ", k))
+    label = label.when(m == 7, F.concat(text("Nuovo ", k - 6), F.lit("!"))).otherwise(text("Nuovo ", k))
+    refers = F.when(m == 4, own).when(m == 3, text("Nuovo ", k - 2))
+    raw = p.select((k % 5).cast("int").alias("book"), k.alias("raw_id"), label.alias("label"), refers.alias("alias_of"), F.array(F.lit(1), (2 + k % 9).cast("int"), F.lit(1)).alias("pages"))
+    return indexing.indexed_books(subjects, old, raw)
 
 
-@query("postings", """select 's' || subject as subject, book, page from postings where book >= 5 union select case when p_partkey % 2 = 0 then 's' || p_partkey else 'nuovo-' || p_partkey end, cast(p_partkey % 5 as int), cast(unnest([1, 2 + p_partkey % 9]) as int) from part""")
+_SUBJECT = "case p_partkey % 8 when 1 then 'nuovo-' || p_partkey when 3 then 'nuovo-' || (p_partkey - 2) when 5 then 's' || (p_partkey - 1) when 7 then 'nuovo-' || (p_partkey - 6) else 's' || p_partkey end"
+
+
+@query("postings", f"""select 's' || subject as subject, book, page from postings where subject % 2 = 0 union select {_SUBJECT}, cast(p_partkey % 5 as int), cast(unnest([1, 2 + p_partkey % 9]) as int) from part""")
 def indexed_postings(spark, sf):
     return _indexed(spark, sf)[1]
 
 
-@query("", """select case when p_partkey % 2 = 0 then 's' || p_partkey else 'nuovo-' || p_partkey end as id, case when p_partkey % 2 = 0 then p_name else 'Nuovo ' || p_partkey end as label,
-    case when p_partkey % 4 = 2 then p_brand || ';Altro ' || p_partkey when p_partkey % 4 = 0 then p_brand else '' end as aliases from part""")
+@query("", """select case when p_partkey % 2 = 0 then 's' else 'nuovo-' end || p_partkey as id, case when p_partkey % 2 = 0 then p_name || ' ' || p_partkey else 'Nuovo ' || p_partkey end as label,
+    case when p_partkey % 8 = 4 then 'Altro ' || p_partkey || ';' else '' end || case when p_partkey % 2 = 0 then p_brand || ' ' || p_partkey else '' end as aliases from part where p_partkey % 2 = 0 or p_partkey % 8 = 1""")
 def indexed_subjects(spark, sf):
     return _indexed(spark, sf)[0].withColumn("aliases", F.array_join("aliases", ";"))
 
 
-@query("", "select cast(p_partkey % 5 as int) as book, count(*) filter (p_partkey % 2 = 1) as n_new, count(*) filter (p_partkey % 4 = 0) as n_match, count(*) filter (p_partkey % 4 = 2) as n_alias from part group by all")
+@query("", "select cast(p_partkey % 5 as int) as book, count(*) filter (p_partkey % 8 = 1) as n_new, count(*) filter (p_partkey % 8 in (0, 3, 5, 7)) as n_match, count(*) filter (p_partkey % 8 in (2, 4, 6)) as n_alias from part group by all")
 def indexed_counts(spark, sf):
     return _indexed(spark, sf)[2]
