@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,21 +50,37 @@ def evicted(jobs: DataFrame, now: str, ttl_seconds: int, cap: int) -> DataFrame:
     return done.join(kept.withColumn("recent", F.lit(True)), "job", "left").where((age > ttl_seconds) | F.col("recent").isNull()).select("job")
 
 
+def _accepted(seconds: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, registered = None, None
+        for batch in batches:
+            keep = []
+            for key, stretch, at, ok in zip(*(batch.column(c).to_pylist() for c in ("key", "stretch", "at", "ok")), strict=True):
+                if (key, stretch) != now:
+                    now, registered = (key, stretch), None
+                taken = registered is None or at - registered > seconds
+                if taken and ok:
+                    registered = at
+                keep.append(taken)
+            yield batch.filter(pa.array(keep, pa.bool_())).select(["key", "ts", "event_id"])
+
+    return run
+
+
 def first_in_window(requests: DataFrame, seconds: int) -> DataFrame:
-    """(key, ts, event_id) of accepted requests: those that come more than `seconds` after the last accepted one of their key.
+    """(key, ts, event_id) of accepted requests (key, ts, event_id and, if there is such a column, ok): those that don't come within `seconds` of the last accepted one of their key that went well.
 
-    Suppressed requests don't extend the time. Requests of a key with no gap of `seconds` between them are one stretch; the first
-    of a stretch is always accepted, so stretches are folded on their own and a busy key is as many arrays as it has pauses.
+    Suppressed requests don't extend the time, and one that failed (ok false or null) suppresses nothing. Requests of a key with
+    no gap of `seconds` between them are one stretch; the first of a stretch is always accepted, so a busy key is as many groups as it
+    has pauses, and of a group only the time of the last registered request is kept.
     """
     w = Window.partitionBy("key").orderBy("ts", "event_id")
     at = F.col("ts").cast("timestamp").cast("long")
-    timed = requests.select("key", "ts", "event_id", at.alias("at")).withColumn("new", F.coalesce(F.col("at") - F.lag("at").over(w) > seconds, F.lit(True)))
-    timed = timed.withColumn("stretch", F.sum(F.col("new").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    every = timed.groupBy("key", "stretch").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "at"))).alias("all"))
-    first = F.get("all", F.lit(0))
-    accept = lambda got, x: F.when(x["at"] - F.element_at(got, -1)["at"] > seconds, F.concat(got, F.array(x))).otherwise(got)
-    taken = every.select("key", F.explode(F.aggregate("all", F.array(first), accept)).alias("x"))
-    return taken.select("key", "x.ts", "x.event_id")
+    ok = F.coalesce("ok", F.lit(False)) if "ok" in requests.columns else F.lit(True)
+    timed = requests.select("key", "ts", "event_id", at.alias("at"), ok.alias("ok")).withColumn("new", F.coalesce(F.col("at") - F.lag("at").over(w) > seconds, F.lit(True)))
+    timed = timed.withColumn("stretch", F.sum(F.col("new").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("new")
+    shape = ", ".join(f"{c} {timed.schema[c].dataType.simpleString()}" for c in ("key", "ts", "event_id"))
+    return timed.repartition("key", "stretch").sortWithinPartitions("key", "stretch", "ts", "event_id").mapInArrow(_accepted(seconds), shape)
 
 
 def history(runs: DataFrame, book: str = "", job: str = "", date: str = "", limit: int = 200) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quire.functions import text
-from quire.operators import citations, events, graph, postings, resolve, similarity
+from quire.operators import citations, events, graph, phases, postings, resolve, similarity
 from quire.plans.catalogue import query
 from quire.sources import tables as t
 
@@ -214,6 +214,29 @@ def request_dedup(spark, sf):
     return events.first_in_window(t.job_events(spark, sf).select("event_id", "ts", F.col("status").alias("key")), 86_400)
 
 
+@query("", f"""with recursive job_events as ({t.SQL["job_events"]}), r as (select event_id, floor(epoch(ts))::bigint as sec, status as key, event_id % 3 <> 0 as ok, row_number() over (partition by status order by ts, event_id) as n from job_events),
+    a as (select key, n, sec, ok, event_id from r where n = 1 union all
+    select a.key, min(r.n), arg_min(r.sec, r.n), arg_min(r.ok, r.n), arg_min(r.event_id, r.n) from a join r on r.key = a.key and r.n > a.n and (not a.ok or r.sec > a.sec + 86400) group by a.key)
+    select key, event_id from a""")
+def request_dedup_ok(spark, sf):
+    """Requests that failed suppress nothing."""
+    e = t.job_events(spark, sf).select("event_id", "ts", F.col("status").alias("key"), (F.col("event_id") % 3 != 0).alias("ok"))
+    return events.first_in_window(e, 86_400).select("key", "event_id")
+
+
+@query("", """with e as (select o_custkey as job, o_orderkey as seq, 'stage' || o_orderkey % 3 as phase, o_orderkey % 7 as k from orders)
+    select cast(job as varchar) as job, phase, case when last(k order by seq) = 6 then 'done' else 'active' end as status, cast(count(*) filter (k < 6) as bigint) as done_or_more, max(5000) as total from e group by job, phase having count(*) filter (k = 6) = 0
+    union all select cast(job as varchar), phase, 'done', 5000, 5000 from e group by job, phase having last(k order by seq) = 6""")
+def phase_states(spark, sf):
+    """Phases of many steps that end or not; those completed before their last event are left out, as no SQL of a line tells them."""
+    k = F.col("o_orderkey") % 7
+    none = F.lit(None).cast("long")
+    e = t.table(spark, sf, "orders").select(F.col("o_custkey").alias("job"), F.concat(F.lit("stage"), (F.col("o_orderkey") % 3).cast("string")).alias("phase"), F.col("o_orderkey").alias("seq"), F.when(k == 6, "completed").otherwise("page_progress").alias("status"),
+        F.lit(5000).alias("page_total"), none.alias("done"), none.alias("rendered"), F.lit(None).cast("string").alias("detail"))
+    ended = e.groupBy(F.col("job").cast("string").alias("job"), "phase").agg(F.count_if(F.col("status") == "completed").alias("ends"), F.max_by("status", "seq").alias("last")).where("ends = 0 or last = 'completed'").select("job", "phase")
+    return phases.phase_states(e).join(ended, ["job", "phase"]).select("job", "phase", "status", F.col("done").alias("done_or_more"), "total")
+
+
 @query("", "select conv_id, string_agg(text, chr(10) order by turn) as text, count(*) as n from conversations where role = 'assistant' group by conv_id")
 def chat_merge(spark, sf):
     said = t.table(spark, sf, "conversations").where("role = 'assistant'").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("t"), F.count(F.lit(1)).alias("n"))
