@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from quire.functions.text import contains_term, normalize_search
 from quire.operators import postings as po
+from quire.operators.matcher import term_matches
 from quire.operators.reading import all_words_in
+from quire.session import materialize
 
 
 def subject_lookup(subjects: DataFrame, query: str, exact_ids: tuple[int, ...] = ()) -> DataFrame:
@@ -54,31 +56,38 @@ def time_pages(labels: DataFrame, refs: DataFrame) -> DataFrame:
 def candidates(subjects: DataFrame, postings: DataFrame, chapters: DataFrame, refs: DataFrame, query: str, labels: DataFrame, max_books: int = 5, max_pages: int = 8) -> DataFrame:
     """(book, page): the budgeted pages for a query. Subject pages are widened to short chapters and trimmed, hits first; pages of the named times are added, and the whole is trimmed again, lowest pages first."""
     found = postings.join(subject_lookup(subjects, query).select(F.col("id").alias("subject")), "subject", "left_semi")
-    top = po.book_budget(found, max_books).select("book")
-    kept = po.page_map(found).join(F.broadcast(top), "book", "left_semi")
-    widened = po.page_budget(expand_chapters(kept, chapters), max_pages, hits_first=True)
+    kept = materialize(po.page_map(found))  # the subjects' pages, read several times
+    top = F.broadcast(po.book_budget(kept, max_books).select("book"))
+    kept = kept.join(top, "book", "left_semi")
+    near = chapters.join(top, "book", "left_semi")
+    widened = po.page_budget(expand_chapters(kept, near), max_pages, hits_first=True)
     timed = time_pages(labels, refs).select("book", "page")
-    everything = po.page_map(widened, timed, kept)
+    everything = materialize(po.page_map(widened, timed, kept))
     top = po.book_budget(everything, max_books).select("book")
     return po.page_budget(everything.join(F.broadcast(top), "book", "left_semi"), max_pages)
 
 
 def relevant_pages(pages: DataFrame, terms: DataFrame) -> DataFrame:
-    """doc_id of the pages (doc_id, text) that hold one of the terms (of two letters or more) between word boundaries; without terms, all pages.
+    """doc_id of the pages (doc_id, text) that hold one of the terms (term, of two letters or more) between word boundaries; without terms, all pages.
 
-    Distinct words of pages are joined with the terms' first words by equality; terms of several words, or with other characters, are
-    then looked for in the texts. A term without any word character names no page.
+    All terms are looked for in one pass over each text. Null texts hold nothing.
     """
-    words = pages.select("doc_id", F.explode(F.array_distinct(F.split(normalize_search(F.col("text")), "(?U)[^\\w]+"))).alias("word"))
     wanted = terms.select(normalize_search(F.col("term")).alias("term")).where("length(term) >= 2").distinct()
     if wanted.limit(1).count() == 0:
         return pages.select("doc_id").distinct()
-    wanted = wanted.select("term", F.get(F.filter(F.split("term", "(?U)[^\\w]+"), lambda w: w != ""), F.lit(0)).alias("word"))
-    whole, more = wanted.where("term = word"), wanted.where("term <> word")
-    found = words.join(whole, "word", "left_semi").select("doc_id")
-    likely = words.join(more, "word").select("doc_id", "term")
-    exact = likely.join(pages.select("doc_id", normalize_search(F.col("text")).alias("text")), "doc_id").where(contains_term(F.col("text"), F.col("term"), 2))
-    return found.union(exact.select("doc_id")).distinct()
+    found = term_matches(pages.select(F.col("doc_id").alias("id"), normalize_search(F.col("text")).alias("text")), wanted)
+    return found.select(F.col("id").alias("doc_id")).distinct()
+
+
+def subjects_named(queries: DataFrame, subjects: DataFrame) -> DataFrame:
+    """(query, id, method): the subjects (id, label, alias) that each of many queries (query, text) names by label or alias, as `subject_lookup` does for one.
+
+    Labels and aliases are looked for in all queries at once. A label counts before an alias. Blank names, null texts name nothing.
+    """
+    name = lambda c, method: subjects.select("id", normalize_search(F.col(c)).alias("term"), F.lit(method).alias("method"))
+    names = name("label", "label").unionByName(name("alias", "alias")).where("term <> ''")
+    found = term_matches(queries.select(F.col("query").alias("id"), normalize_search(F.col("text")).alias("text")), names).withColumnRenamed("id", "query")
+    return found.join(names, "term").groupBy("query", "id").agg(F.max("method").alias("method"))
 
 
 def catalog_search(subjects: DataFrame, query: str, limit: int = 20, articles: DataFrame | None = None) -> DataFrame:
