@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.functions.periods import range_ends, standalone_years, time_labels, year_of_date
 from quire.functions.text import contains_term, normalize_search
 from quire.operators import postings as po
 from quire.operators.matcher import term_matches
@@ -53,6 +54,45 @@ def time_pages(labels: DataFrame, refs: DataFrame) -> DataFrame:
     return direct.union(missing.join(years, "fallback").select("label", "book", "page", F.lit(True).alias("fell_back")))
 
 
+def asked_times(queries: DataFrame) -> DataFrame:
+    """(query, kind, label, part, key_kind, key, fallback): what is to be looked up for the times that texts (query, text) name.
+
+    A range is looked up by its start and its end, whose fallback is the start; years that are neither ends of ranges nor part of dates
+    by themselves; dates by themselves, with the year they end in as fallback. Null texts name nothing.
+    """
+    none, text = F.lit(None).cast("string"), F.coalesce("text", F.lit(""))
+    row = lambda kind, label, part, key_kind, key, fallback: F.struct(F.lit(kind).alias("kind"), label.alias("label"), F.lit(part).alias("part"), F.lit(key_kind).alias("key_kind"), key.alias("key"), fallback.alias("fallback"))
+    span = lambda r: F.concat(r["start"], F.lit("–"), r["end"])
+    ends = F.flatten(F.transform(range_ends(text), lambda r: F.array(row("range", span(r), "start", "year", r["start"], none), row("range", span(r), "end", "year", r["end"], F.nullif(r["start"], r["end"])))))
+    years = F.transform(standalone_years(text), lambda y: row("year", y, "whole", "year", y, none))
+    dates = F.transform(time_labels(text)["dates"], lambda d: row("date", d, "whole", "date", d, year_of_date(d)))
+    return queries.select("query", F.explode(F.concat(ends, years, dates)).alias("x")).select("query", "x.*").distinct()
+
+
+def time_lookup(queries: DataFrame, refs: DataFrame) -> DataFrame:
+    """(query, kind, label, book, page, fallbacks): the pages of the times that texts (query, text) name, from refs (kind, label, book, page).
+
+    What has no pages takes those of its fallback among the years. kind and label are of the range, year or date as named;
+    fallbacks is how many of a label's lookups fell back (a range has two). A label without pages is not there.
+    """
+    refs = refs.select("kind", "label", "book", "page").distinct()
+    pieces = materialize(asked_times(queries))
+    own = ["query", "kind", "label", "part"]
+    direct = pieces.join(refs.select(F.col("kind").alias("key_kind"), F.col("label").alias("key"), "book", "page"), ["key_kind", "key"]).select(*own, "book", "page", F.lit(0).alias("back"))
+    have = refs.select(F.col("kind").alias("key_kind"), F.col("label").alias("key")).distinct()
+    years = refs.where("kind = 'year'").select(F.col("label").alias("fallback"), "book", "page")
+    back = pieces.where("fallback is not null").join(have, ["key_kind", "key"], "left_anti").join(years, "fallback").select(*own, "book", "page", F.lit(1).alias("back"))
+    rows = direct.unionByName(back)
+    fell = rows.groupBy(*own).agg(F.max("back").alias("back")).groupBy("query", "kind", "label").agg(F.sum("back").alias("fallbacks"))
+    return rows.select("query", "kind", "label", "book", "page").distinct().join(fell, ["query", "kind", "label"])
+
+
+def time_counts(found: DataFrame) -> DataFrame:
+    """(query, matched, fallbacks, n_pages) of `time_lookup`: labels with pages, lookups that fell back, distinct pages."""
+    labels = found.select("query", "kind", "label", "fallbacks").distinct().groupBy("query").agg(F.count(F.lit(1)).alias("matched"), F.sum("fallbacks").alias("fallbacks"))
+    return labels.join(found.groupBy("query").agg(F.count_distinct("book", "page").alias("n_pages")), "query")
+
+
 def candidates(subjects: DataFrame, postings: DataFrame, chapters: DataFrame, refs: DataFrame, query: str, labels: DataFrame, max_books: int = 5, max_pages: int = 8) -> DataFrame:
     """(book, page): the budgeted pages for a query. Subject pages are widened to short chapters and trimmed, hits first; pages of the named times are added, and the whole is trimmed again, lowest pages first."""
     found = postings.join(subject_lookup(subjects, query).select(F.col("id").alias("subject")), "subject", "left_semi")

@@ -18,18 +18,18 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == F.size(b)) & (norm > 0), dot(a, b) / norm).otherwise(0.0)
 
 
-def _unit(column: pa.ChunkedArray) -> np.ndarray:
+def unit_rows(column: pa.ChunkedArray) -> np.ndarray:
     rows = np.array(column.to_pylist(), float).reshape(len(column), -1)
     norm = np.linalg.norm(rows, axis=1, keepdims=True)
     return np.divide(rows, norm, out=np.zeros_like(rows), where=norm > 0)
 
 
-def _product(threshold: float | None, k: int | None, ordered: bool):
+def block_product(threshold: float | None, k: int | None, ordered: bool):
     """Of one block: (a, b, score) of queries a and others b at or above the threshold, or the k best of each query."""
 
     def run(group: pa.Table) -> pa.Table:
         ids, asks = group.column("id").to_numpy(), group.column("asks").to_numpy(zero_copy_only=False)
-        rows = _unit(group.column("v"))
+        rows = unit_rows(group.column("v"))
         left, right = np.flatnonzero(asks), np.flatnonzero(~asks)
         right = right[np.argsort(ids[right], kind="stable")]
         s = np.nan_to_num(rows[left] @ rows[right].T)
@@ -55,7 +55,7 @@ def _in_blocks(queries: DataFrame, vectors: DataFrame, block: int, threshold: fl
     every = lambda c: F.explode(F.sequence(F.lit(0), F.lit(c - 1)))
     left = known(queries).select("id", "v", "d", F.lit(True).alias("asks"), place(n).alias("i"), every(m).alias("j"))
     right = known(vectors).select("id", "v", "d", F.lit(False).alias("asks"), every(n).alias("i"), place(m).alias("j"))
-    return left.unionByName(right).groupBy("d", "i", "j").applyInArrow(_product(threshold, k, ordered), "a long, b long, score double")
+    return left.unionByName(right).groupBy("d", "i", "j").applyInArrow(block_product(threshold, k, ordered), "a long, b long, score double")
 
 
 def cosine_pairs(vectors: DataFrame, threshold: float, block: int = 1024) -> DataFrame:
@@ -67,10 +67,11 @@ def cosine_pairs(vectors: DataFrame, threshold: float, block: int = 1024) -> Dat
     return _in_blocks(vectors, vectors, block, threshold, None, ordered=True)
 
 
-def cosine_above(queries: DataFrame, vectors: DataFrame, threshold: float, block: int = 1024) -> DataFrame:
-    """(query, id, score) of the vectors (id, v) at or above the threshold (above 0) for each query (query, q), itself left out."""
+def cosine_above(queries: DataFrame, vectors: DataFrame, threshold: float, block: int = 1024, known: DataFrame | None = None) -> DataFrame:
+    """(query, id, score) of the vectors (id, v) at or above the threshold (above 0) for each query (query, q), itself and what is known of it already (query, id) left out."""
     found = _in_blocks(queries.select(F.col("query").alias("id"), F.col("q").alias("v")), vectors, block, threshold, None)
-    return found.select(F.col("a").alias("query"), F.col("b").alias("id"), "score")
+    found = found.select(F.col("a").alias("query"), F.col("b").alias("id"), "score")
+    return found if known is None else found.join(known.select("query", "id").distinct(), ["query", "id"], "left_anti")
 
 
 def cosine_top_k(queries: DataFrame, vectors: DataFrame, k: int, block: int = 1024) -> DataFrame:

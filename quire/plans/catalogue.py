@@ -56,6 +56,16 @@ def time_lookup_fallback(spark, sf):
     return research.time_pages(_labels(spark), t.time_refs(spark, sf))
 
 
+@query("time_refs", """select * from (with q as (select c_custkey as query, c_custkey % 4 as k from customer), y as (select label, count(distinct (book, page)) as n from time_refs where kind = 'year' group by label)
+    select query, cast(1 as bigint) as matched, cast(case when k in (1, 3) then 1 else 0 end as bigint) as fallbacks, y.n as n_pages from q join y on y.label = case when k = 2 then '1997' else '1996' end)""")
+def time_lookup(spark, sf):
+    """Ranges whose start or end is unknown, years with and without pages, a date that falls back on its year; all named within a text."""
+    k = F.col("c_custkey") % 4
+    text_of = F.when(k == 0, "Dal 1650 - 1996, in breve").when(k == 1, "tra 1996–1650, al contrario").when(k == 2, "Nel 1997 e nel 1650, p. 1996").otherwise("il 31 febbraio 1996 non venne")
+    queries = t.table(spark, sf, "customer").select(F.col("c_custkey").alias("query"), text_of.alias("text"))
+    return research.time_counts(research.time_lookup(queries, t.time_refs(spark, sf)))
+
+
 _WIDE = """top1 as (select book from found group by book order by count(distinct page) desc, book limit 5), kept as (select * from found where book in (select book from top1)),
     inch as (select k.book, k.page, first(c.start_page order by c.ord) as s, first(c.end_page order by c.ord) as e from kept k join chapters c on k.book = c.book and k.page between c.start_page and c.end_page group by k.book, k.page),
     wide as (select book, page, max(hit) as hit from (select book, page, 1 as hit from kept union all select book, unnest(range(s, e + 1))::int, 0 from inch where e - s + 1 < 6) group by book, page)"""
