@@ -12,6 +12,7 @@ TAILS = (
     ("curators", r",\s*a cura di\s+(.+)$"), ("editor", r",\s*(?:a\s+)?ed\.?\s+(?:di\s+)?(.+)$"), ("volumes", r",\s*(\d+\s*voll\.?)$"), ("volume", r",\s*vol\.?\s*(\d+(?:-\d+)?)$"),
     ("pages", r",\s*pp\.?\s*(.+)$"), ("translator", r",\s*trad\.?\s+(?:di\s+)?(.+)$"), ("introduction_by", r",\s*introd\.?\s+(?:di\s+)?(.+)$"),
 )
+# What stands between author and title, the form of a place, and what an article's body may not keep.
 SEPARATORS = (", ", " — ", " - ")
 PLACE = r"^[A-Za-zÀ-ÿ][A-Za-zÀ-ÿ\s'.-]{0,47}$"
 EMBED, TAG, WEB_LINK, TABLE_ROW = r"(?i)\[\[\s*(?:File|Immagine)\s*:[^\]]*\]\]", r"</?[a-zA-Z][^>]*>", r"(?i)\[([^\]]+)\]\((https?://[^)]+)\)", r"^\s*\|.*\|\s*$"

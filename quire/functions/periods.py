@@ -21,6 +21,7 @@ def dates_in(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(shape), F.lit(1)), lambda d: F.lower(F.replace(d, F.lit("°"))))))
 
 
+#: How eras are written, and what page marks look like (in the patterns of `years_in` and `time_labels`).
 _ERA = "(?:a|d)\\.\\s*C\\."
 _MONTH = "(?:" + "|".join(MONTHS) + ")"
 #: A day of a month, with a year or not; the era only counts where a letter follows it at once.

@@ -31,6 +31,12 @@ def test_recall_against_exact_search(spark):
     assert vectors.recall(exact.limit(0), exact) == 0 and vectors.recall(exact, exact.limit(0)) == 1
 
 
+def test_recall_of_the_query(spark, sf):
+    from quire.plans import catalogue
+
+    assert vectors.recall(catalogue.QUERIES["near_topk"](spark, sf), catalogue.QUERIES["cosine_topk"](spark, sf)) >= 0.9
+
+
 def test_thresholds_leave_out_what_is_known(spark, monkeypatch):
     monkeypatch.setattr(vectors, "BLOCK", 16)  # cells of several blocks
     every = table(spark, clustered(400)).cache()
