@@ -166,8 +166,9 @@ def found_nodes(nodes: DataFrame, authors: str = "", title: str = "", year: str
 
 
 def chronology(articles: DataFrame) -> DataFrame:
-    """(id, period, event, sources, place) of the chronology of each article (id, markdown), by `chronology_of`; place counts from 1."""
-    from quire.operators.postprocess import chronology_of
+    """(id, period, event, sources, place) of the chronology of each article (id, markdown), by `with_chronology`; place counts from 1."""
+    from quire.operators.postprocess import with_chronology
 
-    rows = articles.select("id", F.posexplode(chronology_of(F.coalesce("markdown", F.lit("")))["rows"]).alias("k", "x"))
+    rows = with_chronology(articles.select("id", F.coalesce("markdown", F.lit("")).alias("markdown")), "markdown")
+    rows = rows.select("id", F.posexplode("done.rows").alias("k", "x"))
     return rows.select("id", "x.period", "x.event", "x.sources", (F.col("k") + 1).alias("place"))

@@ -60,29 +60,32 @@ def is_rule(cells: Column) -> Column:
     return (F.size(cells) == 3) & F.forall(cells, lambda c: F.replace(c, F.lit(" "), F.lit("")).rlike("^:?-{3,}:?$"))
 
 
-def chronology_of(markdown: Column) -> Column:
-    """A struct (text, rows) of a text with its chronology in order.
+def with_chronology(texts: DataFrame, column: str) -> DataFrame:
+    """texts with `done`, a struct (text, rows) of the text in that column with its chronology in order.
 
     All table rows behind the heading count. The first has to be the head (period, event, sources), the second is passed over; of the
     others those with three cells and a valid period are kept, in order of time. Other lines follow the table. Without heading, head
     or second row the text stays as it is and there are no rows. rows: period, event, sources (the source links of the third cell).
+
+    Each step is a column of its own, so that a text is cut into lines once, not once for each use of them.
     """
-    there, before, behind = _around(markdown, CHRONOLOGY)
-    lines = F.split(F.regexp_replace(behind, r"\R\z", ""), r"\R", -1)
-    lines = F.when(_strip(F.get(lines, F.lit(0))) == "", F.slice(lines, 2, F.size(lines))).otherwise(lines)
+    names, there_before_behind = texts.columns, _around(F.col(column), CHRONOLOGY)
     in_table = lambda x: F.startswith(_strip(x), F.lit("|"))
-    table, rest = F.filter(lines, in_table), F.filter(lines, lambda x: ~in_table(x))
-    head = table_cells(F.get(table, F.lit(0)))
-    valid = there & (F.size(table) > 1) & F.coalesce(head == F.lit(HEAD), F.lit(False))
-    rows = F.transform(F.slice(table, 3, F.greatest(F.size(table), F.lit(1))), table_cells)
-    rows = F.filter(rows, lambda c: F.coalesce((F.size(c) == 3) & ~is_rule(c) & is_period(F.get(c, F.lit(0))), F.lit(False)))
-    placed = F.array_sort(F.transform(rows, lambda c, i: F.struct(period_order(c[0]).alias("o"), i.alias("i"), c.alias("c"))))
-    shown = F.transform(placed, lambda r: F.concat(F.lit("| "), F.array_join(r["c"], " | "), F.lit(" |")))
-    rebuilt = F.array_join(F.concat(F.array(F.lit(CHRONOLOGY), F.lit(""), F.lit("| " + " | ".join(HEAD) + " |"), F.lit(RULE)), shown, rest), "\n")
+    d = texts.withColumns(dict(zip(("_there", "_before", "_behind"), there_before_behind, strict=True)))
+    d = d.withColumn("_lines", F.split(F.regexp_replace("_behind", r"\R\z", ""), r"\R", -1))
+    d = d.withColumn("_lines", F.when(_strip(F.get("_lines", F.lit(0))) == "", F.slice("_lines", 2, F.size("_lines"))).otherwise(F.col("_lines")))
+    d = d.withColumns({"_table": F.filter("_lines", in_table), "_rest": F.filter("_lines", lambda x: ~in_table(x))})
+    head = F.coalesce(table_cells(F.get("_table", F.lit(0))) == F.lit(HEAD), F.lit(False))
+    d = d.withColumns({"_valid": F.col("_there") & (F.size("_table") > 1) & head, "_cells": F.transform(F.slice("_table", 3, F.greatest(F.size("_table"), F.lit(1))), table_cells)})
+    kept = F.filter("_cells", lambda c: F.coalesce((F.size(c) == 3) & ~is_rule(c) & is_period(F.get(c, F.lit(0))), F.lit(False)))
+    d = d.withColumn("_placed", F.array_sort(F.transform(kept, lambda c, i: F.struct(period_order(c[0]).alias("o"), i.alias("i"), c.alias("c")))))
+    shown = F.transform("_placed", lambda r: F.concat(F.lit("| "), F.array_join(r["c"], " | "), F.lit(" |")))
+    rebuilt = F.array_join(F.concat(F.array(F.lit(CHRONOLOGY), F.lit(""), F.lit("| " + " | ".join(HEAD) + " |"), F.lit(RULE)), shown, "_rest"), "\n")
     links = lambda cell: F.filter(F.regexp_extract_all(cell, F.lit(SOURCE_LINK), F.lit(1)), lambda u: F.trim(u).rlike(SOURCE))
-    out = F.transform(placed, lambda r: F.struct(r["c"][0].alias("period"), r["c"][1].alias("event"), links(r["c"][2]).alias("sources")))
+    out = F.transform("_placed", lambda r: F.struct(r["c"][0].alias("period"), r["c"][1].alias("event"), links(r["c"][2]).alias("sources")))
     none = F.array().cast(TIMELINE)
-    return F.struct(F.when(valid, F.concat(_rstrip(before), F.lit("\n\n"), rebuilt)).otherwise(markdown).alias("text"), F.when(valid, out).otherwise(none).alias("rows"))
+    text = F.when(F.col("_valid"), F.concat(_rstrip(F.col("_before")), F.lit("\n\n"), rebuilt)).otherwise(F.col(column))
+    return d.select(*names, F.struct(text.alias("text"), F.when(F.col("_valid"), out).otherwise(none).alias("rows")).alias("done"))
 
 
 def article_links(articles: DataFrame) -> DataFrame:
@@ -112,7 +115,7 @@ def postprocessed(articles: DataFrame, pages: DataFrame, titles: DataFrame, subj
     Links to pages that aren't there become a note, links to unknown subjects their label. The section of notes goes, the chronology is
     put in order, and the cited pages are listed at the end, in place of what was listed. citations: (book, page, label), a row a
     page, by book and page, with the label of its first link; references: (subject, n, label), most linked first; timeline as in
-    `chronology_of`; bad_*: how many links were not valid. pages: book, page; titles: book, title, for books without one the
+    `with_chronology`; bad_*: how many links were not valid. pages: book, page; titles: book, title, for books without one the
     beginning of their id stands; subjects: id. A null text reads as empty; ids are unique.
     """
     articles = articles.select("id", F.coalesce("markdown", F.lit("")).alias("markdown"))
@@ -130,10 +133,12 @@ def postprocessed(articles: DataFrame, pages: DataFrame, titles: DataFrame, subj
     put = checked.groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", new.alias("new")))), lambda x: x["new"]).alias("put"), F.count_if(source & ~F.col("valid")).alias("bad_sources"), F.count_if(~source & ~F.col("valid")).alias("bad_subjects"))
     rows = articles.join(put, "id", "left").join(cited, "id", "left").join(linked, "id", "left")
     text = F.array_join(F.transform(F.split("markdown", ANY_LINK, -1), lambda p, i: F.concat(p, F.coalesce(F.get("put", i), F.lit("")))), "")
-    rows = rows.withColumn("done", chronology_of(without_notes(text)))
+    rows = rows.withColumn("_linked", text)
+    rows = with_chronology(rows.withColumn("_plain", without_notes(F.col("_linked"))), "_plain")
     lines = F.transform("cited", lambda c: F.concat(F.lit("- ["), c["title"], F.lit(", p. "), c["page"].cast("string"), F.lit("](source:"), c["book"], F.lit(":aligned:"), c["page"].cast("string"), F.lit(")")))
     listed = F.concat(without_sources(F.col("done.text")), F.lit(f"\n\n{SOURCES}\n\n"), F.array_join(lines, "\n"))
-    final = F.concat(_strip(F.when(F.size("cited") > 0, listed).otherwise(F.col("done.text"))), F.lit("\n"))
+    rows = rows.withColumn("_final", F.when(F.size("cited") > 0, listed).otherwise(F.col("done.text")))
+    final = F.concat(_strip(F.col("_final")), F.lit("\n"))
     none = lambda c, kind: F.coalesce(F.col(c), F.array().cast(kind))
     citations = F.transform(none("cited", "array<struct<book: string, page: int, label: string, title: string>>"), lambda c: F.struct(c["book"].alias("book"), c["page"].alias("page"), c["label"].alias("label")))
     count = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
