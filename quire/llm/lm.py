@@ -336,14 +336,20 @@ def score(docs: DataFrame, fold: Column, head: int = HEAD) -> DataFrame:
     _let_go(sc)
     add = is_hashed | (seen > 1) | ((seen == 1) & (F.col("test") > 0))
     scores = pairs.where(add).mapInArrow(_pair_scores(words, weights, sums.n, sums.v), "pair long, own double, other double, more_known long, more_base double")
-    kind = F.when(F.col("pair") < 0, (-1 - F.col("pair")) % 4)
-    of = lambda k, c: F.max(F.when(kind == k, F.col(c)))
-    log_p = F.when(F.col("row") % 2 == 1, F.col("other")).otherwise(F.col("own"))
-    sums_of = [of(0, "a").alias("doc_id"), of(1, "a").alias("n_tokens"), of(2, "a").alias("known"), of(0, "b").alias("log_p"), of(1, "b").alias("base")]
-    sums_of += [F.sum(log_p).alias("more_p"), F.sum("more_known").alias("more_known"), F.sum("more_base").alias("more_base")]
+    # Most occurrences are of pairs that add nothing: they end at the join, and only what is added goes on to the texts.
     found = rows.mapInArrow(_scorer(words, top, weights, sums.n, sums.v), "pair long, row long, a long, b double").join(scores, "pair", "left")
-    more = lambda c: F.coalesce(c, F.lit(0))
-    texts = found.groupBy("row").agg(*sums_of)
-    texts = texts.withColumns({"more_known": more("more_known"), "base_score": F.col("base") + more("more_base"), "score": F.col("log_p") + more("more_p")})
-    known = F.col("known") + F.col("more_known")
-    return texts.select("doc_id", (F.col("row") % 2 == 1).alias("held_out"), "n_tokens", known.alias("n_known"), F.lit(sums.n).cast("long").alias("train_tokens"), "base_score", "score")
+    is_text = F.col("pair") < 0
+    kind = (-1 - F.col("pair")) % 4
+    of = lambda k, c, other: F.when(~is_text, other).when(kind == k, F.col(c))
+    log_p = F.when(F.col("row") % 2 == 1, F.col("other")).otherwise(F.col("own"))
+    none = F.lit(None)
+    parts = found.where(is_text | F.col("own").isNotNull()).select(
+        "row",
+        of(0, "a", none).alias("doc_id"),
+        of(1, "a", none).alias("n_tokens"),
+        of(2, "a", F.col("more_known")).alias("n_known"),
+        of(1, "b", F.col("more_base")).alias("base_score"),
+        of(0, "b", log_p).alias("score"),
+    )
+    texts = parts.groupBy("row").agg(*[F.max(c).alias(c) for c in ("doc_id", "n_tokens")], *[F.sum(c).alias(c) for c in ("n_known", "base_score", "score")])
+    return texts.select("doc_id", (F.col("row") % 2 == 1).alias("held_out"), "n_tokens", "n_known", F.lit(sums.n).cast("long").alias("train_tokens"), "base_score", "score")
