@@ -33,7 +33,8 @@ from quire.llm.textscan import hashed, mix, pair_hash
 from quire.session import materialize
 
 TOP = 1 << 20
-HEAD = 1 << 19
+PLACE_BITS = 19  # a pair of places is then five bytes together, which shuffles pack better than two words of four
+HEAD = 1 << PLACE_BITS
 HASHED = np.uint64(1 << 62)
 BUCKETS = 48
 PAIRS_AT_ONCE = 1_000_000
@@ -87,7 +88,7 @@ def _named(table: KeyTable, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     to = table.get(tokens)
     context = np.empty_like(to)
     context[0], context[1:] = table.get(END_HASH[None])[0], to[:-1]
-    pair = (context.astype(np.uint64) << np.uint64(32)) | to.astype(np.uint64)
+    pair = (context.astype(np.uint64) << np.uint64(PLACE_BITS)) | to.astype(np.uint64)
     away = np.flatnonzero((context < 0) | (to < 0))
     pair[away] = _hashed(before[away], tokens[away])
     return pair, before, context, to
@@ -153,7 +154,7 @@ def _ends(batch: pa.RecordBatch) -> list[tuple[np.ndarray, np.ndarray, np.ndarra
     """Of the words before and after in each pair: whether it has a place, the place (or 0), the hash (or 0)."""
     hi, lo = (batch.column(c).to_numpy() for c in ("hi", "lo"))
     out = []
-    for column, both in (("v", hi >> 32), ("w", hi & 0xFFFFFFFF)):
+    for column, both in (("v", hi >> PLACE_BITS), ("w", hi & (HEAD - 1))):
         has = batch.column(column).is_null().to_numpy(zero_copy_only=False)
         place = np.where(has, np.where(lo == 0, both, (lo - 1) >> 1), 0)
         out.append((has, place, batch.column(column).fill_null(0).to_numpy().view(np.uint64)))
@@ -217,7 +218,7 @@ def _probability(weights: np.ndarray, context: np.ndarray, word: np.ndarray, pai
 
 
 def _pair_scores(words, weights: np.ndarray, n: int, vocabulary: int):
-    """What each pair adds to the log10 probability of texts that are counted and of others; for words without a place also whether they
+    """What each pair adds to the log10 probability of texts that are counted and of others (0 where none has the pair); for words without a place also whether they
     are known and their base score."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,8 +230,9 @@ def _pair_scores(words, weights: np.ndarray, n: int, vocabulary: int):
             known, base = (word > 0).astype(np.int64), np.log10((word + 1) / (n + vocabulary + 1))
             log_p = lambda k: np.log10(_probability(weights, context, word, k, n, vocabulary))
             p, supposed = log_p(seen), pair < HASHED
+            own, other = (np.where(asked, p - np.where(supposed, log_p(k), 0), 0) for k, asked in ((1, seen > 0), (0, batch.column("test").to_numpy() > 0)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(pair.view(np.int64)), *(pa.array(p - np.where(supposed, log_p(k), 0)) for k in (1, 0)), pa.array(known, mask=placed), pa.array(base, mask=placed)],
+                [pa.array(pair.view(np.int64)), pa.array(own), pa.array(other), pa.array(known, mask=placed), pa.array(base, mask=placed)],
                 names=["pair", "own", "other", "more_known", "more_base"],
             )
 
@@ -319,7 +321,9 @@ def score(docs: DataFrame, fold: Column, head: int = HEAD) -> DataFrame:
     words = sc.broadcast((keys[order], n_of[order], train_of[order]))
     # Tasks have combined what they can: a second, hashed combination before the shuffle would only take memory.
     pairs = rows.mapInArrow(_pair_counts(words), PAIRS).repartition("hi", "lo").groupBy("hi", "lo").agg(*[F.sum(c).alias(c) for c in ("train", "held", "test")])
-    pairs = _words_of(materialize(pairs))
+    # Two frequent words seen together once, in training, need no row: that is what a text's score supposes, and no weight is learned from it.
+    pairs = _words_of(materialize(pairs.where("not (lo = 0 and train = 1 and held = 0 and test = 0)")))
+    _let_go(sc)
     is_hashed = F.col("lo") != 0
     away = materialize(_with_counts(_with_counts(pairs.where(is_hashed), counts, "v"), counts, "w"))
     _let_go(sc)
