@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quire.functions.answers import candidates
 from quire.functions.text import is_yes
 
 #: Characters that mark blocks while text is put together; a text's own are dropped.
@@ -97,12 +98,8 @@ def linked_mentions(text: Column, subjects: Column) -> Column:
 def same_answer(content: Column) -> Column:
     """struct(same, reason) of the first JSON object with "same" in an answer: the whole, what its fence holds, or objects in its prose; else null.
 
-    Objects in prose may hold objects that hold none.
+    Objects in prose may hold objects, however deep.
     """
-    bare = F.regexp_replace(content, r"^\s+|\s+\z", "")
-    inner = F.regexp_replace(F.regexp_replace(bare, r"(?i)^```(?:json)?\s*", ""), r"\s*```\z", "")
-    prose = F.regexp_extract_all(bare, F.lit(r'(?i)\{\s*"same"\s*:(?:[^{}]|\{[^{}]*\})*\}'), F.lit(0))
-    fenced = F.regexp_extract(bare, r"(?is)```(?:json)?\s*(\{.*?\})\s*```", 1)
-    read = F.transform(F.concat(F.array(bare, inner, fenced), prose), lambda c: F.from_json(c, "same string, reason string"))
+    read = F.transform(candidates(content, "same"), lambda c: F.from_json(c, "same string, reason string"))
     first = F.get(F.filter(read, lambda r: r["same"].isNotNull()), F.lit(0))
     return F.when(first.isNotNull(), F.struct(is_yes(first["same"]).alias("same"), F.coalesce(F.trim(first["reason"]), F.lit("")).alias("reason")))

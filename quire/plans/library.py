@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quire.functions import markup
+from quire.functions import answers, markup
 from quire.operators import indexing, library, similarity
 from quire.plans.catalogue import query
 from quire.sources import tables as t
@@ -40,6 +40,24 @@ def same_answers(spark, sf):
     return r.select("id", "r.same", "r.reason")
 
 
+@query("", """select p_partkey as id, case when p_partkey % 3 <> 2 then '18' || p_size || ',' || p_brand end as years, case when p_partkey % 3 <> 2 then '2 gennaio ' || p_size end as dates from part""")
+def time_answers(spark, sf):
+    k = F.col("p_partkey") % 3
+    inner = _text('{"years": ["', F.col("p_brand"), '", "18', F.col("p_size"), '", 7, " ", "', F.col("p_brand"), '"], "nota": {"a": {"b": {}}}, "dates": ["2  GENNAIO ', F.col("p_size"), '", null]}')
+    said = F.when(k == 0, _text("Ecco {così}: ", inner, " e poi {")).when(k == 1, _text("```json\n", inner, "\n```")).otherwise('{"years": "1900", "dates": []}')
+    r = t.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), answers.time_answer(said).alias("r"))
+    return r.select("id", F.array_join("r.years", ",").alias("years"), F.array_join("r.dates", ",").alias("dates"))
+
+
+@query("", """select p_partkey as id, 1 as n_pages, p_brand || ':point:[' || p_size || ',2.5];bbox:bbox:[0]' as elements, 2 as n_dropped from part where p_size > 1
+    union all select p_partkey, 0, '', 2 from part where p_size <= 1""")
+def page_annotations(spark, sf):
+    raw = _text('[{"page": ', F.when(F.col("p_size") > 1, F.col("p_size")).otherwise(0), ', "elements": [{"type": " Point", "name": " ', F.col("p_brand"), ' ", "coords": [', F.col("p_size"), ', 2.5]}, {"type": "bbox", "coords": [0]}, {"type": "circle", "coords": [1]}]}, 5]')
+    r = t.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), answers.annotations(raw).alias("r"))
+    shown = F.transform(F.flatten("r.pages.elements"), lambda e: F.concat_ws(":", e["name"], e["type"], e["coords"]))
+    return r.select("id", F.size("r.pages").alias("n_pages"), F.array_join(shown, ";").alias("elements"), "r.n_dropped")
+
+
 @query("book_pages", """select book, page, case when page = 1 then '# ' || case when book % 2 = 0 then 'Libro ' || book else cast(book as varchar) end || chr(10) || chr(10) || '_A' || book || case when book % 3 = 0 then ' — ' || (1800 + book) else '' end || '_' || chr(10) || chr(10)
     else chr(10) || chr(10) || '---' || chr(10) || '<!-- page ' || page || ', printed ' || (page + 4) || ' -->' || chr(10) || chr(10) end || coalesce(text, '') as piece from book_pages""")
 def book_pieces(spark, sf):
