@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from quire.functions import answers, markup
-from quire.operators import indexing, library, similarity
+from quire.operators import indexing, library, remembered, similarity
 from quire.plans.catalogue import query
+from quire.session import shared_dir
 from quire.sources import tables as t
 
 
@@ -186,3 +189,12 @@ def indexed_subjects(spark, sf):
 @query("", "select cast(p_partkey % 5 as int) as book, count(*) filter (p_partkey % 8 = 1) as n_new, count(*) filter (p_partkey % 8 in (0, 3, 5, 7)) as n_match, count(*) filter (p_partkey % 8 in (2, 4, 6)) as n_alias from part group by all")
 def indexed_counts(spark, sf):
     return _indexed(spark, sf)[2]
+
+
+@query("", """select p_partkey as id, lower(p_name) as label, p_name not in (select p_name from part where p_size <= 25) as fresh from part""")
+def remembered_labels(spark, sf):
+    rows = t.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("text"), "p_size")
+    root = f"{shared_dir(spark)}/quire/remembered-{uuid.uuid4().hex}"
+    run = lambda df: remembered.remembered(df, root, {"kind": "label"}, lambda x: x.select("digest", F.lower("text").alias("label")))
+    run(rows.where("p_size <= 25"))
+    return run(rows).select("id", "label", "fresh")
