@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from quire.functions import answers, markup
+from quire.functions import answers, leaks, markup
 from quire.operators import indexing, library, remembered, similarity
 from quire.plans.catalogue import query
 from quire.session import shared_dir
@@ -198,3 +198,13 @@ def remembered_labels(spark, sf):
     run = lambda df: remembered.remembered(df, root, {"kind": "label"}, lambda x: x.select("digest", F.lower("text").alias("label")))
     run(rows.where("p_size <= 25"))
     return run(rows).select("id", "label", "fresh")
+
+
+@query("", """select p_partkey as id, case p_partkey % 3 when 0 then p_name || chr(10) || '# ' || p_brand else p_name end as text, p_partkey % 3 <> 0 as from_source, p_partkey % 3 = 1 as leaked, length(trim(p_name)) as characters from part""")
+def settled_pages(spark, sf):
+    k, name, brand = F.col("p_partkey") % 3, F.col("p_name"), F.col("p_brand")
+    refined = F.when(k == 0, _text(name, "\n## Operator notes\nbrevi ", brand, "\n\n# ", brand)).when(k == 1, _text("<operator_notes>", name, "\n</operator_notes> ", brand)).otherwise("\n")
+    notes = _text("Scrivi la pagina del libro ", brand, " con cura.")
+    source = _text(name, "\n", notes)
+    p = t.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), leaks.settled_page(refined, source, notes).alias("r"), leaks.has_leak(refined, notes).alias("leaked"), leaks.meaningful_length(_text("<!-- x -->\n\n ", name)).alias("characters"))
+    return p.select("id", "r.text", "r.from_source", "leaked", "characters")
