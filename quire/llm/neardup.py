@@ -12,14 +12,18 @@ to tell which classes hang together:
 2. in buckets that still hold several components, every member outside the largest is compared with PIVOTS of that one;
 3. in buckets that hold several components even then, every member outside the largest is compared with all others.
 
-The last two passes deal a bucket's members to blocks of bounded size and compare them inside tasks. What leaves a task is a
-spanning forest of its links, so neither the rows nor a group grow with the square of a bucket, however many of its members
-are alike without being linked. No step depends on how large a bucket is.
+The last two passes compare sizes and odd sketches first. Members are dealt by ranges of set size, of which only neighbouring
+ones can be linked, and in a range by blocks of at most SKETCHES members; a block sends on the members for which its sketches
+allow a link, in cells of bounded size, and only these get their full sets. What leaves a cell is a spanning forest of its
+links. So up to SKETCHES members of a bucket and size range are sent once or twice without their sets, beyond that once
+for each SKETCHES members more; sets are sent for members whose sketch allows an unconfirmed link, once for each BLOCK such partners
+(where all members lie just below the wanted similarity to each other, each must meet all, and that is their number by BLOCK).
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +39,8 @@ BANDS, ROWS = 64, 8
 SKETCH_WORDS = 8  # the odd sketch has 64 bits a word
 PERCENT = 80
 PIVOTS = 16
-BLOCK = 512  # classes of a block's side, about
+SKETCHES = 8192  # classes of a side of a block of sketches, about
+BLOCK = 2048  # classes of a side of a cell of full sets
 BLOCK_SHINGLES = 1 << 20  # and shingles of all of them
 CELLS = 1 << 22  # cells of a matrix in a task
 #: How far below the wanted similarity an estimate may lie. The estimate's standard deviation is about 0.03 there.
@@ -219,21 +224,74 @@ def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     return np.array(keep, np.int64)
 
 
+def _fits(some: np.ndarray, member: np.ndarray, n: np.ndarray, odd: np.ndarray, part: np.ndarray, percent: int) -> np.ndarray:
+    """Which of the pairs (some, member) are of different parts and may be linked, by sizes and sketches."""
+    fits = 100 * np.minimum(n[some, None], n[member]) >= percent * np.maximum(n[some, None], n[member])
+    fits &= part[some, None] != part[member]
+    bits = np.zeros(fits.shape, np.uint16)
+    for word in range(SKETCH_WORDS):
+        bits += np.bitwise_count(odd[some, None, word] ^ odd[member, word])
+    return fits & (bits <= _most_bits(percent))
+
+
+def _columns(group: pa.Table) -> tuple[np.ndarray, ...]:
+    query, member = (np.flatnonzero(group.column(c).to_numpy(zero_copy_only=False)) for c in ("query", "member"))
+    n, part = group.column("n_shingles").to_numpy(), group.column("part").to_numpy()
+    odd = group.column("odd").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(n), SKETCH_WORDS)
+    return query, member, n, odd, part
+
+
+def _runs(rows: np.ndarray, n: np.ndarray, most: int, shingles: int) -> list[np.ndarray]:
+    """rows in runs of at most so many rows and, but for a single larger one, so many shingles."""
+    out, lo, total = [], 0, 0
+    for k, size in enumerate(n[rows].tolist()):
+        if k > lo and (k - lo == most or total + size > shingles):
+            out.append(rows[lo:k])
+            lo, total = k, 0
+        total += size
+    return [*out, rows[lo:]] if len(rows) else out
+
+
+def _allowed(percent: int):
+    """Of one block of sketches: the members that may be linked, in cells of bounded size that hold every such pair."""
+
+    def run(group: pa.Table) -> pa.Table:
+        query, member, n, odd, part = _columns(group)
+        query, member = query[np.argsort(n[query], kind="stable")], member[np.argsort(n[member], kind="stable")]
+        packed, any_of = [], np.zeros(len(member), bool)
+        for lo in range(0, len(query), 64):
+            fits = _fits(query[lo : lo + 64], member, n, odd, part, percent)
+            any_of |= fits.any(0)
+            packed.append(np.packbits(fits, axis=1))
+        packed = np.concatenate(packed) if packed else np.zeros((0, 0), np.uint8)
+        busy = packed.any(1)
+        at, out = np.full(len(n), -1), []
+        at[query] = np.arange(len(query))
+        cell = 0
+        for some in _runs(query[busy], n, BLOCK, BLOCK_SHINGLES):
+            asked = member[np.unpackbits(np.bitwise_or.reduce(packed[at[some]], axis=0), count=len(member)).astype(bool)]
+            for other in _runs(asked, n, BLOCK, BLOCK_SHINGLES):
+                rows = np.union1d(some, other)
+                out.append((np.full(len(rows), cell), rows, np.isin(rows, some), np.isin(rows, other)))
+                cell += 1
+        cells, rows, asks, is_asked = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, bool))
+        kept = group.select(["key", "bin", "i", "j", "v", "part", "n_shingles", "odd"]).take(pa.array(rows))
+        return kept.append_column("cell", pa.array(cells, pa.int32())).append_column("query", pa.array(asks)).append_column("member", pa.array(is_asked))
+
+    return run
+
+
 def _joined(percent: int):
-    """Of one block (part, query, member, n_shingles, odd, shingles): links between parts, a spanning forest of all between queries and members."""
+    """Of one cell (part, query, member, n_shingles, odd, shingles): links between parts, a spanning forest of all between queries and members."""
 
     def run(group: pa.Table) -> pa.Table:
-        parts, part = np.unique(group.column("part").to_numpy(), return_inverse=True)
-        query, member = (np.flatnonzero(group.column(c).to_numpy(zero_copy_only=False)) for c in ("query", "member"))
-        n = group.column("n_shingles").to_numpy()
-        odd = group.column("odd").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(n), SKETCH_WORDS)
+        query, member, n, odd, part = _columns(group)
+        parts, part = np.unique(part, return_inverse=True)
         sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("shingles")]
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for lo in range(0, len(query), 64):
             some = query[lo : lo + 64]
-            bits = np.bitwise_count(odd[some, None] ^ odd[member]).sum(2, dtype=np.int64)
-            fits = 100 * np.minimum(n[some, None], n[member]) >= percent * np.maximum(n[some, None], n[member])
-            fits &= (bits <= _most_bits(percent)) & (part[some, None] != part[member])
+            fits = _fits(some, member, n, odd, part, percent)
             rows, columns = np.flatnonzero(fits.any(1)), np.flatnonzero(fits.any(0))
             if len(rows):
                 x, y = some[rows], member[columns]
@@ -257,10 +315,11 @@ def _open(members: DataFrame) -> DataFrame:
     return materialize(members.join(keys.select("key", F.col("most.part").alias("main")), "key").select("v", "key", "n_shingles", "part", "main"))
 
 
-def _blocks(still: DataFrame, pivots: int | None) -> DataFrame:
-    """(v, part, key, i, j, query, member): where each class is compared, as one that asks or is asked, or both.
+def _blocks(still: DataFrame, pivots: int | None, percent: int) -> DataFrame:
+    """(v, part, n_shingles, key, bin, i, j, query, member): where each class is compared, as one that asks or is asked, or both.
 
     Members outside a bucket's main part ask. With pivots only so many members of the main part are asked, else all members are.
+    A bin is a range of set sizes as wide as linked sets may lie apart, so a class is asked in its own and asks there and in both beside it.
     """
     asks = F.col("part") != F.col("main")
     if pivots is None:
@@ -270,18 +329,31 @@ def _blocks(still: DataFrame, pivots: int | None) -> DataFrame:
         chosen = still.where(~asks).groupBy("key", slot.alias("slot")).agg(F.min(F.struct("v", "n_shingles", "part", "main")).alias("x")).select("x.v", "key", "x.n_shingles", "x.part", "x.main")
         rows = still.where(asks).select("*", F.lit(True).alias("query"), F.lit(False).alias("member"))
         rows = rows.unionByName(chosen.select("*", F.lit(False).alias("query"), F.lit(True).alias("member")))
-    slots = lambda c: F.ceil(F.greatest(F.count_if(c) / BLOCK, F.sum(F.when(F.col(c), F.col("n_shingles"))) / BLOCK_SHINGLES, F.lit(1))).cast("int")
-    rows = rows.join(rows.groupBy("key").agg(slots("query").alias("rows"), slots("member").alias("columns")), "key")
+    width = max(math.log(100 / percent), 0.01) * (1 + 1e-9)
+    own_bin = F.floor(F.log("n_shingles") / width).cast("int")
+    yes, no = F.lit(True), F.lit(False)
+    place = lambda d: F.struct((own_bin + d).alias("bin"), F.col("query"), (F.col("member") if d == 0 else no).alias("member"))
+    places = F.filter(F.array(*(place(d) for d in (-1, 0, 1))), lambda x: x["query"] | x["member"])
+    rows = rows.select("v", "part", "n_shingles", "key", F.inline(places))
+    slots = lambda c: F.greatest(F.ceil(F.count_if(c) / SKETCHES), F.lit(1)).cast("int")
+    counts = rows.groupBy("key", "bin").agg(slots("query").alias("rows"), slots("member").alias("columns"), F.bool_or("query").alias("q"), F.bool_or("member").alias("m")).where("q and m").drop("q", "m")
+    rows = rows.join(counts, ["key", "bin"])
     own = lambda n, salt: F.pmod(F.xxhash64("v", F.lit(salt)), F.col(n)).cast("int")
     rows = rows.withColumns({"own_i": own("rows", 1), "own_j": own("columns", 2)})
     every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    place = lambda i, j, q, m: F.struct(i.alias("i"), j.alias("j"), q.alias("query"), m.alias("member"))
-    i, j, yes, no = F.col("own_i"), F.col("own_j"), F.lit(True), F.lit(False)
-    asking = F.transform(every("columns"), lambda x: place(i, x, yes, F.col("member") & (x == j)))
-    asked = F.transform(every("rows"), lambda x: place(x, j, F.col("query") & (x == i), yes))
+    cell = lambda i, j, q, m: F.struct(i.alias("i"), j.alias("j"), q.alias("query"), m.alias("member"))
+    i, j = F.col("own_i"), F.col("own_j")
+    asking = F.transform(every("columns"), lambda x: cell(i, x, yes, F.col("member") & (x == j)))
+    asked = F.transform(every("rows"), lambda x: cell(x, j, F.col("query") & (x == i), yes))
     cells = F.when(~F.col("member"), asking).when(~F.col("query"), asked)
     cells = cells.otherwise(F.concat(asking, F.filter(asked, lambda x: x["i"] != i)))
-    return rows.select("v", "part", "key", F.inline(cells))
+    return rows.select("v", "part", "n_shingles", "key", "bin", F.inline(cells))
+
+
+def _cells(blocks: DataFrame, detail: DataFrame, percent: int) -> DataFrame:
+    """The members of blocks whose sketches allow a link, in cells (key, bin, i, j, cell), without their sets."""
+    schema = "key long, bin int, i int, j int, v long, part long, n_shingles long, odd array<long>, cell int, query boolean, member boolean"
+    return blocks.join(detail.select("v", "odd"), "v").groupBy("key", "bin", "i", "j").applyInArrow(_allowed(percent), schema)
 
 
 def _united(members: DataFrame, links: DataFrame) -> DataFrame:
@@ -312,10 +384,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT) ->
     star = shared.where("v <> pivot").select(*_ordered("v", "pivot")).union(shared.where("v <> other").select(*_ordered("v", "other"))).distinct()
     parts = connected_components(materialize(_links(star, classes, sets, percent)), "a", "b").select(F.col("id").alias("v"), F.col("component").alias("part"))
     still = _open(shared.join(parts, "v", "left").select("v", "key", "n_shingles", F.coalesce("part", "v").alias("part")))
-    detail = materialize(classes.select("v", "n_shingles", "odd").join(sets, "v").join(still.select("v").distinct(), "v", "left_semi"))
+    detail = materialize(classes.select("v", "odd").join(sets, "v").join(still.select("v").distinct(), "v", "left_semi"))
     for pivots in (PIVOTS, None):
-        blocks = _blocks(still, pivots).join(detail, "v")
-        more = materialize(blocks.groupBy("key", "i", "j").applyInArrow(_joined(percent), "a long, b long"))
+        cells = materialize(_cells(_blocks(still, pivots, percent), detail, percent)).join(detail.select("v", "shingles"), "v")
+        more = materialize(cells.groupBy("key", "bin", "i", "j", "cell").applyInArrow(_joined(percent), "a long, b long"))
         if more.limit(1).count():
             parts = materialize(_united(parts.unionByName(still.select("v", "part").distinct()).distinct(), more))
             still = _united(still.select("v", "key", "n_shingles", "part"), more)

@@ -61,7 +61,8 @@ def test_groups_of_edited_copies(spark, monkeypatch):
             rows.append((k, " ".join(text)))
             k += 7
     table = spark.createDataFrame(rows, "doc_id long, text string")
-    monkeypatch.setattr(neardup, "BLOCK", 8)  # buckets of many blocks
+    monkeypatch.setattr(neardup, "SKETCHES", 16)  # buckets of many blocks
+    monkeypatch.setattr(neardup, "BLOCK", 8)  # and these of many cells
     monkeypatch.setattr(neardup, "CELLS", 64)
     assert got(neardup.near_duplicates(table, 2)) == brute(rows, 2)
 
@@ -72,23 +73,50 @@ def test_against_brute_force_on_documents(spark, sf):
     assert got(neardup.near_duplicates(table, 2)) == brute(rows, 2)
 
 
-def below(n, seed=5):
-    """Copies of one text of 150 words, of which about a tenth is changed: most pairs share bands, few are linked."""
+def edited(n, share=0.07, seed=5):
+    """Copies of one text of 150 words, of which some are changed: most pairs share bands, few are linked."""
     rng = random.Random(seed)
     base = [f"b{rng.randrange(10**6)}" for _ in range(150)]
-    return [(k, " ".join(w if rng.random() > 0.07 else f"e{rng.randrange(10**6)}" for w in base)) for k in range(n)]
+    return [(k, " ".join(w if rng.random() > share else f"e{rng.randrange(10**6)}" for w in base)) for k in range(n)]
+
+
+def sent(spark, monkeypatch, rows):
+    """The result, and how many rows blocks and cells were sent in the last pass."""
+    kept, blocks, cells = {}, neardup._blocks, neardup._cells
+    with monkeypatch.context() as m:
+        m.setattr(neardup, "_blocks", lambda *a: kept.setdefault(("blocks", a[1]), blocks(*a)))
+        m.setattr(neardup, "_cells", lambda *a: kept.setdefault(("cells", len(kept)), cells(*a)))
+        out = got(neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2))
+    return out, kept["blocks", None].count(), kept["cells", max(k for name, k in kept if name == "cells")].count()
 
 
 def test_copies_just_below(spark, monkeypatch):
-    """What leaves tasks grows with the number of such copies, not with the number of their pairs."""
-    sent, blocks = [], neardup._blocks
-    monkeypatch.setattr(neardup, "_blocks", lambda *a: sent.append(blocks(*a)) or sent[-1])
-    rows = below(150)
+    """Every pair has to be compared, but rows without sets grow with the copies, not with their pairs."""
+    rows = edited(150)
+    assert sent(spark, monkeypatch, rows)[0] == brute(rows, 2)
+    monkeypatch.setattr(neardup, "SKETCHES", 40)
+    monkeypatch.setattr(neardup, "BLOCK", 30)
+    assert got(neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2)) == brute(rows, 2)
+
+
+def test_rows_of_a_bucket(spark, monkeypatch):
+    """One bucket of 1,024 and of 4,096 members, all unlinked: rows grow with the members, and few sets are sent."""
+    bands, counts = neardup._bands, {}
+    for n in (1024, 4096):
+        with monkeypatch.context() as m:
+            m.setattr(neardup, "_bands", lambda samples: np.concatenate((np.ones(1, np.uint64), bands(samples)[1:])))
+            out, *counts[n] = sent(spark, m, edited(n, 0.4))
+        assert len({c for _, _, c in out}) == n
+    assert 4096 <= counts[4096][0] <= 5 * counts[1024][0]
+    assert counts[4096][1] <= counts[4096][0] / 4
+
+
+def test_sizes_apart(spark):
+    """Sets of very different sizes, at and beside the ratio that still allows a link."""
+    words = [f"w{k}" for k in range(1300)]
+    rows = [(k, " ".join(words[: n + 1])) for k, n in enumerate((1, 2, 4, 5, 8, 10, 64, 80, 81, 100, 125, 126, 512, 640, 799, 800, 1000, 1001, 1250))]
+    rows += [(100 + k, " ".join(words[5 : 6 + n])) for k, n in enumerate((4, 5, 60, 75, 96, 500, 625, 1000, 1200))]
     assert got(neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2)) == brute(rows, 2)
-    small = sum(x.count() for x in sent)
-    sent.clear()
-    neardup.near_duplicates(spark.createDataFrame(below(900), "doc_id long, text string"), 2).count()
-    assert sum(x.count() for x in sent) < 2 * 6 * small  # in blocks of BLOCK members each is sent a few times
 
 
 def test_the_sketch_leaves_links_in():
