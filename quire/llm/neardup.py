@@ -224,10 +224,13 @@ def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     return np.array(keep, np.int64)
 
 
-def _fits(some: np.ndarray, member: np.ndarray, n: np.ndarray, odd: np.ndarray, part: np.ndarray, percent: int) -> np.ndarray:
-    """Which of the pairs (some, member) are of different parts and may be linked, by sizes and sketches."""
+def _fits(some: np.ndarray, member: np.ndarray, n: np.ndarray, odd: np.ndarray, part: np.ndarray, twice: np.ndarray, percent: int) -> np.ndarray:
+    """Which of the pairs (some, member) are of different parts and may be linked, by sizes and sketches.
+
+    Two that both ask would meet twice; only the lower by size and row asks the other then (twice: places in that order, or above all for members that don't ask).
+    """
     fits = 100 * np.minimum(n[some, None], n[member]) >= percent * np.maximum(n[some, None], n[member])
-    fits &= part[some, None] != part[member]
+    fits &= (part[some, None] != part[member]) & (twice[member] > twice[some, None])
     bits = np.zeros(fits.shape, np.uint16)
     for word in range(SKETCH_WORDS):
         bits += np.bitwise_count(odd[some, None, word] ^ odd[member, word])
@@ -238,7 +241,9 @@ def _columns(group: pa.Table) -> tuple[np.ndarray, ...]:
     query, member = (np.flatnonzero(group.column(c).to_numpy(zero_copy_only=False)) for c in ("query", "member"))
     n, part = group.column("n_shingles").to_numpy(), group.column("part").to_numpy()
     odd = group.column("odd").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(n), SKETCH_WORDS)
-    return query, member, n, odd, part
+    place = np.argsort(np.lexsort((group.column("v").to_numpy(), n)), kind="stable")
+    twice = np.where(group.column("asks").to_numpy(zero_copy_only=False), place, len(n))
+    return query, member, n, odd, part, twice
 
 
 def _runs(rows: np.ndarray, n: np.ndarray, most: int, shingles: int) -> list[np.ndarray]:
@@ -256,11 +261,11 @@ def _allowed(percent: int):
     """Of one block of sketches: the members that may be linked, in cells of bounded size that hold every such pair."""
 
     def run(group: pa.Table) -> pa.Table:
-        query, member, n, odd, part = _columns(group)
+        query, member, n, odd, part, twice = _columns(group)
         query, member = query[np.argsort(n[query], kind="stable")], member[np.argsort(n[member], kind="stable")]
         packed, any_of = [], np.zeros(len(member), bool)
         for lo in range(0, len(query), 64):
-            fits = _fits(query[lo : lo + 64], member, n, odd, part, percent)
+            fits = _fits(query[lo : lo + 64], member, n, odd, part, twice, percent)
             any_of |= fits.any(0)
             packed.append(np.packbits(fits, axis=1))
         packed = np.concatenate(packed) if packed else np.zeros((0, 0), np.uint8)
@@ -275,7 +280,7 @@ def _allowed(percent: int):
                 out.append((np.full(len(rows), cell), rows, np.isin(rows, some), np.isin(rows, other)))
                 cell += 1
         cells, rows, asks, is_asked = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, bool))
-        kept = group.select(["key", "bin", "i", "j", "v", "part", "n_shingles", "odd"]).take(pa.array(rows))
+        kept = group.select(["key", "bin", "i", "j", "v", "part", "n_shingles", "asks", "odd"]).take(pa.array(rows))
         return kept.append_column("cell", pa.array(cells, pa.int32())).append_column("query", pa.array(asks)).append_column("member", pa.array(is_asked))
 
     return run
@@ -285,18 +290,23 @@ def _joined(percent: int):
     """Of one cell (part, query, member, n_shingles, odd, shingles): links between parts, a spanning forest of all between queries and members."""
 
     def run(group: pa.Table) -> pa.Table:
-        query, member, n, odd, part = _columns(group)
+        query, member, n, odd, part, twice = _columns(group)
         parts, part = np.unique(part, return_inverse=True)
         sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("shingles")]
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for lo in range(0, len(query), 64):
             some = query[lo : lo + 64]
-            fits = _fits(some, member, n, odd, part, percent)
+            fits = _fits(some, member, n, odd, part, twice, percent)
             rows, columns = np.flatnonzero(fits.any(1)), np.flatnonzero(fits.any(0))
             if len(rows):
                 x, y = some[rows], member[columns]
-                common = _counts(sets, x, y)
-                i, j = np.nonzero(fits[np.ix_(rows, columns)] & (100 * common >= percent * (n[x, None] + n[y] - common)))
+                i, j = np.nonzero(fits[np.ix_(rows, columns)])
+                if len(i) <= 4 * (len(x) + len(y)):  # few pairs are merged one by one, many counted in a product
+                    common = np.array([_common(sets[q], sets[m]) for q, m in zip(x[i].tolist(), y[j].tolist(), strict=True)])
+                else:
+                    common = _counts(sets, x, y)[i, j]
+                linked = 100 * common >= percent * (n[x[i]] + n[y[j]] - common)
+                i, j = i[linked], j[linked]
                 found = np.unique(part[x[i]] * len(parts) + part[y[j]])
                 a.append(found // len(parts))
                 b.append(found % len(parts))
@@ -316,7 +326,7 @@ def _open(members: DataFrame) -> DataFrame:
 
 
 def _blocks(still: DataFrame, pivots: int | None, percent: int) -> DataFrame:
-    """(v, part, n_shingles, key, bin, i, j, query, member): where each class is compared, as one that asks or is asked, or both.
+    """(v, part, n_shingles, key, asks, bin, i, j, query, member): where each class is compared, as one that asks or is asked, or both.
 
     Members outside a bucket's main part ask. With pivots only so many members of the main part are asked, else all members are.
     A bin is a range of set sizes as wide as linked sets may lie apart, so a class is asked in its own and asks there and in both beside it.
@@ -334,7 +344,7 @@ def _blocks(still: DataFrame, pivots: int | None, percent: int) -> DataFrame:
     yes, no = F.lit(True), F.lit(False)
     place = lambda d: F.struct((own_bin + d).alias("bin"), F.col("query"), (F.col("member") if d == 0 else no).alias("member"))
     places = F.filter(F.array(*(place(d) for d in (-1, 0, 1))), lambda x: x["query"] | x["member"])
-    rows = rows.select("v", "part", "n_shingles", "key", F.inline(places))
+    rows = rows.select("v", "part", "n_shingles", "key", asks.alias("asks"), F.inline(places))
     slots = lambda c: F.greatest(F.ceil(F.count_if(c) / SKETCHES), F.lit(1)).cast("int")
     counts = rows.groupBy("key", "bin").agg(slots("query").alias("rows"), slots("member").alias("columns"), F.bool_or("query").alias("q"), F.bool_or("member").alias("m")).where("q and m").drop("q", "m")
     rows = rows.join(counts, ["key", "bin"])
@@ -347,12 +357,12 @@ def _blocks(still: DataFrame, pivots: int | None, percent: int) -> DataFrame:
     asked = F.transform(every("rows"), lambda x: cell(x, j, F.col("query") & (x == i), yes))
     cells = F.when(~F.col("member"), asking).when(~F.col("query"), asked)
     cells = cells.otherwise(F.concat(asking, F.filter(asked, lambda x: x["i"] != i)))
-    return rows.select("v", "part", "n_shingles", "key", "bin", F.inline(cells))
+    return rows.select("v", "part", "n_shingles", "key", "asks", "bin", F.inline(cells))
 
 
 def _cells(blocks: DataFrame, detail: DataFrame, percent: int) -> DataFrame:
     """The members of blocks whose sketches allow a link, in cells (key, bin, i, j, cell), without their sets."""
-    schema = "key long, bin int, i int, j int, v long, part long, n_shingles long, odd array<long>, cell int, query boolean, member boolean"
+    schema = "key long, bin int, i int, j int, v long, part long, n_shingles long, asks boolean, odd array<long>, cell int, query boolean, member boolean"
     return blocks.join(detail.select("v", "odd"), "v").groupBy("key", "bin", "i", "j").applyInArrow(_allowed(percent), schema)
 
 
