@@ -4,12 +4,17 @@ Two labels whose Indel ratio is t or more (2 LCS / (m + n)) differ by at most (1
 takes at most q of a label's padded q-grams, an insertion q - 1, so they share at least `_least_shared` grams. If all grams are
 put in one order, two such labels share one among each other's first few, its prefix; only prefixes are indexed and joined. The
 order is a matter of speed only: common grams, counted over all labels, come last, so that prefixes hold rare ones.
+
+Short labels of which many hold the same few characters, such as numbers, have no rare grams. Where two labels are so short that they
+differ by EDITS insertions and deletions at most, they are joined by what is left of each without as many characters: two labels have a
+common subsequence of some length if and only if they have such a rest in common, so that join brings no pair that is not similar.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -21,6 +26,8 @@ from pyspark.sql.types import DoubleType
 from quire.session import materialize
 
 COMMON = 8192  # grams whose frequency is told to the tasks; all others count as rare
+EDITS = 2  # labels that differ by no more are joined by their rests
+SHORT = 48  # but only of so many characters together, as a label has a rest for each choice of characters left out
 _WORD = 64  # labels of at most so many characters are scored in machine words
 
 
@@ -137,13 +144,57 @@ def _prefixes(q: int, threshold: float, common: dict[str, int]):
     return run
 
 
+def _edits(total: np.ndarray, threshold: float) -> np.ndarray:
+    """How many insertions and deletions labels of so many characters together differ by at most."""
+    return np.floor((1 - threshold) * total + 1e-9).astype(np.int64)
+
+
+def _rests_needed(own: list[int], other: list[int], threshold: float) -> tuple[dict[int, list[int]], set[int]]:
+    """(rests, long) for labels of the lengths in own: how many characters to leave out of each for its short partners among the other lengths, and which have others."""
+    rests, long, others = {}, set(), np.array(sorted(other), np.int64)
+    for m in own:
+        n = others[np.searchsorted(others, m * threshold / (2 - threshold) - 1e-6) : np.searchsorted(others, m * (2 - threshold) / threshold + 1e-6, "right")]
+        most = _edits(m + n, threshold)
+        short = (m + n <= SHORT) & (most <= EDITS)
+        if not short.all():
+            long.add(m)
+        outs = {i for k, d in zip(n[short].tolist(), most[short].tolist(), strict=True) for i in range(max(0, m - k), m + 1) if 2 * i - m + k <= d}
+        if outs:
+            rests[m] = sorted(outs)
+    return rests, long
+
+
+def _rests(needed: dict[int, list[int]]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of, rest = [], []
+            for label in batch.column("label").to_pylist():
+                mine = {"".join(c) for i in needed.get(len(label), ()) for c in combinations(label, len(label) - i)}
+                of += [label] * len(mine)
+                rest += mine
+            yield pa.RecordBatch.from_arrays([pa.array(of, pa.string()), pa.array(rest, pa.string())], names=["label", "rest"])
+
+    return run
+
+
 def candidates(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
     """(left, right): distinct pairs of labels (label) that may have an Indel ratio of `threshold` or more; all that have are among them.
 
-    Filters: a common gram of both prefixes, lengths, and the grams that can still be shared behind that one, if it is the first.
+    Short pairs have a rest in common. Filters of others: a common gram of both prefixes, lengths, and the grams that can still be shared
+    behind that one, if it is the first.
     """
     q = _gram_size(threshold)
-    sides = [d.select("label").where("label is not null").distinct() for d in (left, right)]
+    sides = [materialize(d.select("label").where("label is not null").distinct()) for d in (left, right)]
+    lengths = [[r.n for r in d.select(F.length("label").alias("n")).distinct().collect()] for d in sides]
+    needs = [_rests_needed(*lengths[::step], threshold) for step in (1, -1)]
+    u, v = (d.where(F.length("label").isin(sorted(rests))).mapInArrow(_rests(rests), "label string, rest string") for d, (rests, _) in zip(sides, needs, strict=True))
+    u, v = (d.select(F.col("label").alias(name), F.xxhash64("rest").alias("rest"), F.length("rest").alias("k")) for d, name in ((u, "left"), (v, "right")))
+    total = F.length("left") + F.length("right")
+    most = F.floor((1 - threshold) * total + 1e-9)
+    pairs = u.join(v, ["rest", "k"]).where((total <= SHORT) & (most <= EDITS) & (total - 2 * F.col("k") <= most)).select("left", "right").distinct()
+    if not (needs[0][1] and needs[1][1]):
+        return pairs
+    sides = [d.where(F.length("label").isin(sorted(long))) for d, (_, long) in zip(sides, needs, strict=True)]
     counts = sides[0].union(sides[1]).mapInArrow(_counted(q), "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     common = {r.gram: r.n for r in counts.orderBy(F.desc("n"), "gram").limit(COMMON).collect()}
     x, y = (d.mapInArrow(_prefixes(q, threshold, common), "label string, n int, gram string, place int") for d in sides)
@@ -151,11 +202,10 @@ def candidates(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame
     y = y.select(F.col("label").alias("right"), "n", "gram", F.col("place").alias("j"))
     reach = F.greatest("m", "n") * threshold <= F.least("m", "n") * (2 - threshold) + 1e-9
     behind = F.least(F.col("m") - F.col("i"), F.col("n") - F.col("j")) + (q - 1)  # grams from this one on, itself included
-    pairs = x.join(y, "gram").where(reach & (behind + 1e-9 >= _least_shared(F.col("m") + F.col("n"), threshold, q))).select("left", "right").distinct()
-    if q > 1:
-        return pairs
-    empty = sides[0].where("label = ''").select(F.col("label").alias("left")).join(sides[1].where("label = ''").select(F.col("label").alias("right")), F.col("left") == F.col("right"))
-    return pairs.union(empty)
+    both = F.col("m") + F.col("n")
+    long = (both > SHORT) | (F.floor((1 - threshold) * both + 1e-9) > EDITS)
+    found = x.join(y, "gram").where(long & reach & (behind + 1e-9 >= _least_shared(both, threshold, q))).select("left", "right").distinct()
+    return pairs.unionByName(found)
 
 
 def similar_labels(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:

@@ -170,6 +170,13 @@ def test_candidates_do_not_follow_the_square(spark):
     assert per_label[0] < 500 / 100 and per_label[1] < 2000 / 100, per_label  # all with all would be 500 and 2,000 a label; measured: 1.1 and 10.6
 
 
+def test_numbered_labels_meet_only_similar_ones(spark):
+    """Numbers share grams with many others: a join by grams looks at all labels with some of the same digits."""
+    left = spark.createDataFrame([(f"{n} nuovo",) for n in range(10_000, 12_000)] + [("10001 brnd#7",)], "label string")
+    right = spark.createDataFrame([(f"{n} brand#7",) for n in range(10_000, 12_000)], "label string")
+    assert [tuple(r) for r in sim_labels.candidates(left, right, 0.9).collect()] == [("10001 brnd#7", "10001 brand#7")]
+
+
 def test_lcs_in_words_and_ints():
     rng = random.Random(4)
     pairs = [("".join(rng.choice("abc") for _ in range(rng.choice((0, 1, 5, 63, 64, 65, 130)))), "".join(rng.choice("abc") for _ in range(rng.choice((0, 2, 64, 70, 257))))) for _ in range(80)]
