@@ -22,3 +22,15 @@ def test_labels_come_from_the_text(spark):
     counts = {r["query"]: (r.matched, r.fallbacks, r.n_pages) for r in research.time_counts(found).collect()}
     assert counts == {0: (2, 1, 3), 1: (1, 0, 1), 2: (2, 1, 3), 3: (1, 0, 1), 7: (1, 0, 1)}
     assert run(spark).count() == 0
+
+
+def test_same_times_are_looked_up_once(spark, monkeypatch):
+    texts = ["Dal 1848 - 1851 e poi nel 1900", "Nel 1900 e dal 1848 - 1851", "Il 12 marzo 1848 e il 13 marzo 1848", None, "nel 44 a.C."] * 20
+    queries = spark.createDataFrame(list(enumerate(texts)), "query int, text string")
+    refs = spark.createDataFrame(REFS, "kind string, label string, book int, page int")
+    want = sorted(map(tuple, research.time_counts(research.time_lookup(queries, refs)).collect()))
+    looked, inner = [], research._looked_up
+    monkeypatch.setattr(research, "_looked_up", lambda pieces, refs: looked.append(pieces.count()) or inner(pieces, refs))
+    got = research.time_lookup_counts(queries, refs)
+    assert sorted(map(tuple, got.collect())) == want and len(want) == 80
+    assert looked == [3 + 2 + 1]  # of the three sets of times that are asked for
