@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quire.functions import text
 from quire.operators import citations, events, graph, phases, postings, resolve, similarity, vectors
 from quire.plans.catalogue import query
+from quire.session import materialize
 from quire.sources import tables as t
 
 _COS = "round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6)"
@@ -18,7 +19,7 @@ def _vectors(spark, sf):
 
 @query("", f"select a.vec_id as a, b.vec_id as b, {_COS} as score from embeddings a join embeddings b on a.vec_id < b.vec_id where list_cosine_similarity(a.embedding::double[], b.embedding::double[]) >= 0.4")
 def dedup_pairs(spark, sf):
-    return similarity.cosine_pairs(_vectors(spark, sf), 0.4, block=128).select("a", "b", F.round("score", 6).alias("score"))
+    return similarity.cosine_pairs(_vectors(spark, sf), 0.4).select("a", "b", F.round("score", 6).alias("score"))
 
 
 @query("", f"""select query, id, score, rank from (select a.vec_id as query, b.vec_id as id, {_COS} as score, row_number() over (partition by a.vec_id order by list_cosine_similarity(a.embedding::double[], b.embedding::double[]) desc, b.vec_id) as rank
@@ -60,7 +61,7 @@ def components(spark, sf):
     s as (select p2.component, round(max(list_cosine_similarity(u.embedding::double[], v.embedding::double[])), 4) as score from e2 join p2 on e2.x = p2.id join embeddings u on u.vec_id = e2.x join embeddings v on v.vec_id = e2.y group by p2.component)
     select component, count(*) as members, any_value(score) as score, first(id order by -label, id) as target from p2 join s using (component) join embeddings on vec_id = id where component not in (select component from h) group by component""")
 def clusters(spark, sf):
-    pairs = similarity.cosine_pairs(_vectors(spark, sf), 0.4)
+    pairs = materialize(similarity.cosine_pairs(_vectors(spark, sf), 0.4))  # read several times
     names = t.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.lit("").alias("label"), F.col("label").alias("n_books"))
     return resolve.suggestion_clusters(pairs, pairs.where("(a + b) % 17 = 0").select("a", "b"), names)
 

@@ -69,3 +69,27 @@ def test_paragraphs_take_each_subject_once(spark):
     chunks = spark.createDataFrame([(9, 0, 0, [1.0, 0.1]), (9, 0, 1, [1.0, 0.0]), (9, 1, 2, [0.0, 3.0]), (9, 2, 3, None)], "article int, paragraph int, chunk int, v array<double>")
     got = {(r.article, r.paragraph, r.subject): round(r.score, 6) for r in vectors.linked_chunks(chunks, vectors.in_cells(subjects, cells), cells, 1, 1).collect()}
     assert got == {(9, 0, 1): 1.0, (9, 1, 2): 1.0}
+
+
+def test_pairs_in_packed_blocks(spark, monkeypatch):
+    """Some lengths are missing in some blocks; each pair of blocks meets in one group, a block in a row or few, not a row a vector."""
+    rows = [(k, v) for k, v in clustered(300, d=8)] + [(1000 + k, v) for k, v in clustered(5, seed=2, d=3)] + [(2000, [0] * 8), (2001, None), (2002, [])]
+    unit = lambda v: np.array(v, float) / np.linalg.norm(v)
+    ok = [(k, unit(v)) for k, v in rows if v is not None and np.any(v)]
+    want = {(a, b): round(float(u @ v), 9) for a, u in ok for b, v in ok if a < b and len(u) == len(v) and u @ v >= 0.6}
+    every, seen = table(spark, rows), spark.sparkContext.accumulator(0)
+    inner = similarity._pairs_of_blocks
+
+    def counted(threshold):
+        run = inner(threshold)
+
+        def f(group):
+            seen.add(group.num_rows)
+            return run(group)
+
+        return f
+
+    monkeypatch.setattr(similarity, "_pairs_of_blocks", counted)
+    got = similarity.cosine_pairs(every, 0.6, block=64).collect()
+    assert {(r.a, r.b): round(r.score, 9) for r in got} == want and len(got) == len(want) > 100
+    assert 15 <= seen.value <= 100  # 5 blocks, of two lengths; a row a vector and block would make more than 1,500
