@@ -29,3 +29,15 @@ def test_relevance_and_names(spark):
     queries = spark.createDataFrame([(7, "l'ARCO di Tito"), (8, "porta"), (9, "archi"), (10, None)], "query int, text string")
     got = {(r["query"], r["id"]): r.method for r in research.subjects_named(queries, subjects).collect()}
     assert got == {(7, 1): "alias", (7, 2): "label", (7, 3): "label", (8, 1): "label", (8, 2): "alias"}
+
+
+def test_classes_of_queries_and_subjects_keep_all_links(spark):
+    queries = spark.createDataFrame([(k, ["The Blue Ring, of B#1", "the  blue ring, of b#1", "b#2 only", None][k % 4]) for k in range(80)], "query long, text string")
+    subjects = spark.createDataFrame([(k, ["Blue ring", "blue  RING", "Old plate"][k % 3], ["B#1", "b#2", None][k // 3 % 3]) for k in range(90)], "id long, label string, alias string")
+    want = {(r["query"], r.id): r.method for r in research.subjects_named(queries, subjects).collect()}
+    rows = research.subjects_named_by_class(queries, subjects).collect()
+    of = lambda what: {r["item"]: r["class"] for r in rows if r.what == what}
+    named = {(r["item"], r["class"]): r.method for r in rows if r.what == "named"}
+    q, s = of("query"), of("subject")
+    assert {(a, b): named[q[a], s[b]] for a in q for b in s if (q[a], s[b]) in named} == want and len(want) > 2000
+    assert len(q) == 80 and len(s) == 90 and len(named) <= 12
