@@ -142,3 +142,25 @@ def test_empty_tables(spark):
     new = spark.createDataFrame([], "slug string, ref string, name string, qid string, score double")
     said = spark.createDataFrame([("s", "poh_p2"), ("t", "x")], "slug string, ref string")
     assert [tuple(r) for r in library.registered(old, new, said).collect()] == [("s", "poh_p2", "p", "", None, "resolved", None)]
+
+
+def test_lexical_top_k_scores_repeated_labels_once(spark, monkeypatch):
+    seen, inner = spark.sparkContext.accumulator(0), similarity._nearest
+
+    def counted(k):
+        run = inner(k)
+
+        def f(group):
+            seen.add(group.num_rows)
+            return run(group)
+
+        return f
+
+    monkeypatch.setattr(similarity, "_nearest", counted)
+    known = spark.createDataFrame([(k, ["Blue ring", "Old plate", "ring blue"][k % 3]) for k in range(900)], "id long, label string")
+    asked = spark.createDataFrame([(k, "blue rings" if k % 2 else "plate") for k in range(40)], "query long, label string")
+    got = {}
+    for r in similarity.lexical_top_k(asked, known, 5).collect():
+        got.setdefault(r["query"], []).append((r["rank"], r.id))
+    assert {k: sorted(v) for k, v in got.items()} == {k: list(enumerate([0, 2, 3, 5, 6] if k % 2 else [1, 4, 7, 10, 13], 1)) for k in range(40)}
+    assert seen.value <= 2 + 2 * 5
