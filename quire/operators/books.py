@@ -109,6 +109,28 @@ def overlaps(subjects: DataFrame, mine: DataFrame, articles: DataFrame, threshol
     return found.where("id <> other").select("id", "other", F.round("score", 3).alias("score"))
 
 
+def overlap_classes(subjects: DataFrame, mine: DataFrame, articles: DataFrame, threshold: float) -> DataFrame:
+    """(what, id, other, score): what `overlaps` gives, without a row for each pair of many subjects of the same names.
+
+    "mine" rows tell the class (other) of each subject of the book that has a name, "known" rows that of each one with an article: the
+    lowest id of them with the same names. "pair" rows are scored pairs of a class of the book's and a class of the others; a subject is
+    never its own partner, so a class of one alone has no pair with itself.
+    """
+    have = subjects.join(articles.where("not no_material").select("id").distinct(), "id", "left_semi")
+    own = subjects.join(mine.select("id").distinct(), "id", "left_semi")
+    sides = []
+    for rows in (own, have):
+        named = materialize(_names(rows, "label").groupBy("id").agg(F.array_sort(F.collect_set("key")).alias("keys")))
+        classes = materialize(named.groupBy("keys").agg(F.min("id").alias("class"), F.count(F.lit(1)).alias("n")))
+        sides.append((named.join(classes, "keys").select("id", "class"), classes, classes.select(F.col("class").alias("id"), F.explode("keys").alias("key"))))
+    (mine_of, mine_by, x), (known_of, known_by, y) = sides
+    sizes = lambda by, name, n: by.select(F.col("class").alias(name), F.col("n").alias(n))
+    found = best_keys(x, y, threshold).join(sizes(mine_by, "id", "m"), "id").join(sizes(known_by, "other", "n"), "other")
+    pairs = found.where("not (id = other and m = 1 and n = 1)").select(F.lit("pair").alias("what"), "id", "other", F.round("score", 3).alias("score"))
+    of = lambda what, rows: rows.select(F.lit(what).alias("what"), "id", F.col("class").alias("other"), F.lit(None).cast("double").alias("score"))
+    return pairs.unionByName(of("mine", mine_of)).unionByName(of("known", known_of))
+
+
 def registry_matches(entities: DataFrame, registry: DataFrame, threshold: float = 0.82, nearest: bool = True) -> DataFrame:
     """(slug, ref, method, score) of entities (slug, qid, label and, if there is such a column, aliases) against a registry (ref, qid, name).
 

@@ -148,6 +148,20 @@ def test_registry_by_words_and_aliases(spark):
     assert {r.method for r in books.registry_matches(table, known.limit(0)).collect()} == {"none"} and books.registry_matches(table.limit(0), known).count() == 0
 
 
+def test_overlap_classes_keep_all_pairs(spark):
+    names = ["Giardino Grande", "giardino  grande", "Giardino Grandi", "Torre", "Porta Vecchia", None]
+    rows = [(k, names[k % 6], ["Torri"] if k % 4 == 0 else None) for k in range(120)] + [(200, "Solo", None)]
+    subjects = spark.createDataFrame(rows, "id int, label string, aliases array<string>")
+    mine, articles = subjects.where("id % 5 = 0").select("id"), subjects.selectExpr("id", "id % 4 = 1 as no_material")
+    want = {(r["id"], r.other): r.score for r in books.overlaps(subjects, mine, articles, 0.86).collect()}
+    got = books.overlap_classes(subjects, mine, articles, 0.86).collect()
+    of = lambda what: {r["id"]: r.other for r in got if r.what == what}
+    pairs = {(r["id"], r.other): r.score for r in got if r.what == "pair"}
+    x, y = of("mine"), of("known")
+    assert {(a, b): pairs[x[a], y[b]] for a in x for b in y if a != b and (x[a], y[b]) in pairs} == want and len(want) > 300
+    assert 200 in x and not any(200 in p for p in pairs) and len(pairs) < 80
+
+
 def test_overlaps_by_any_name(spark):
     """Labels and aliases of both sides, plain ratio, against all pairs."""
     rng = random.Random(6)
