@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from quire.llm.lookup import KeyTable, Tally, most_frequent
 from quire.llm.textscan import hashed, mix, pair_hash
-from quire.session import materialize
+from quire.session import discard, materialize, shared_files
 
 TOP = 1 << 20
 PLACE_BITS = 19  # a pair of places is then five bytes together, which shuffles pack better than two words of four
@@ -322,13 +322,17 @@ def score(docs: DataFrame, fold: Column, head: int = HEAD) -> DataFrame:
     # Tasks have combined what they can: a second, hashed combination before the shuffle would only take memory.
     pairs = rows.mapInArrow(_pair_counts(words), PAIRS).repartition("hi", "lo").groupBy("hi", "lo").agg(*[F.sum(c).alias(c) for c in ("train", "held", "test")])
     # Two frequent words seen together once, in training, need no row: that is what a text's score supposes, and no weight is learned from it.
-    pairs = _words_of(materialize(pairs.where("not (lo = 0 and train = 1 and held = 0 and test = 0)")))
+    # The others' rows go once they have their words' counts.
+    pairs = pairs.where("not (lo = 0 and train = 1 and held = 0 and test = 0)").withColumn("hashed", F.col("lo") != 0)
+    path = shared_files(pairs, by="hashed")
+    pairs = _words_of(docs.sparkSession.read.schema(pairs.schema).parquet(path))
     _let_go(sc)
     is_hashed = F.col("lo") != 0
-    away = materialize(_with_counts(_with_counts(pairs.where(is_hashed), counts, "v"), counts, "w"))
+    away = materialize(_with_counts(_with_counts(pairs.where("hashed").drop("hashed"), counts, "v"), counts, "w"))
+    discard(docs.sparkSession, f"{path}/hashed=true")
     _let_go(sc)
     none = F.lit(None).cast("long")
-    placed = pairs.where(~is_hashed).select("*", *[none.alias(c) for c in ("v_n", "v_train", "w_n", "w_train")])
+    placed = pairs.where("not hashed").drop("hashed").select("*", *[none.alias(c) for c in ("v_n", "v_train", "w_n", "w_train")])
     pairs = placed.unionByName(away)
     held = pairs.where("held > 0").mapInArrow(_levels(words, sums.train), "b int, x int, y int, weight double, bigram double, unigram double")
     held = held.groupBy("b", "x", "y").agg(*[F.sum(c).alias(c) for c in ("weight", "bigram", "unigram")]).orderBy("b", "x", "y").toArrow()
