@@ -1,4 +1,5 @@
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -170,6 +171,17 @@ def test_candidates_do_not_follow_the_square(spark):
     assert per_label[0] < 500 / 100 and per_label[1] < 2000 / 100, per_label  # all with all would be 500 and 2,000 a label; measured: 1.1 and 10.6
 
 
+def test_paragraphs_are_cut_in_pieces_of_a_batch(spark):
+    texts = [None if k % 7 == 0 else "" if k % 7 == 1 else "\n\nà b\n\n\n" + "c\nd" * (k % 3) + "\n\n" for k in range(600)]
+    want = [None if t is None else [p for p in re.split("\n\n+", t) if p] for t in texts]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", text.paragraphs(F.col("t")).alias("p")).orderBy("k")
+    rows = df.collect()
+    assert [None if r.p is None else [x.text for x in r.p] for r in rows] == want
+    assert all(texts[r.k][x.start : x.end] == x.text for r in rows for x in r.p or []) and all([x["index"] for x in r.p or []] == list(range(len(r.p or []))) for r in rows)
+    pieces = [text._cut(texts[at : at + 256]).to_pylist() for at in range(0, 600, 256)]
+    assert [None if p is None else [x["text"] for x in p] for piece in pieces for p in piece] == want
+
+
 def test_numbered_labels_meet_only_similar_ones(spark):
     """Numbers share grams with many others: a join by grams looks at all labels with some of the same digits."""
     left = spark.createDataFrame([(f"{n} nuovo",) for n in range(10_000, 12_000)] + [("10001 brnd#7",)], "label string")
