@@ -309,7 +309,8 @@ def score(docs: DataFrame, fold: Column, head: int = HEAD) -> DataFrame:
     as empty: one token. Repeated rows are documents of their own. Without training documents every token has
     probability 1 / (V + 1) = 1.
     """
-    sc = docs.sparkSession.sparkContext
+    spark, sc = docs.sparkSession, docs.sparkSession.sparkContext
+    read = lambda df, path: spark.read.schema(df.schema).parquet(path)
     rows = docs.select("doc_id", "text", fold.cast("int").alias("fold"))
     counts = rows.mapInArrow(_counted, "key long, train long, held long").groupBy("key").agg(F.sum("train").alias("train"), F.sum("held").alias("held"))
     counts = materialize(counts.withColumn("n", F.col("train") + F.col("held")))
@@ -322,14 +323,17 @@ def score(docs: DataFrame, fold: Column, head: int = HEAD) -> DataFrame:
     # Tasks have combined what they can: a second, hashed combination before the shuffle would only take memory.
     pairs = rows.mapInArrow(_pair_counts(words), PAIRS).repartition("hi", "lo").groupBy("hi", "lo").agg(*[F.sum(c).alias(c) for c in ("train", "held", "test")])
     # Two frequent words seen together once, in training, need no row: that is what a text's score supposes, and no weight is learned from it.
-    # The others' rows go once they have their words' counts.
+    # The others' rows go once they have their words' counts, and all pairs once they have their scores. Names of pairs have
+    # three zero bytes of eight, which zstd packs and Snappy does not.
     pairs = pairs.where("not (lo = 0 and train = 1 and held = 0 and test = 0)").withColumn("hashed", F.col("lo") != 0)
-    path = shared_files(pairs, by="hashed")
-    pairs = _words_of(docs.sparkSession.read.schema(pairs.schema).parquet(path))
+    path = shared_files(pairs, by="hashed", codec="zstd")
+    pairs = _words_of(read(pairs, path))
     _let_go(sc)
     is_hashed = F.col("lo") != 0
-    away = materialize(_with_counts(_with_counts(pairs.where("hashed").drop("hashed"), counts, "v"), counts, "w"))
-    discard(docs.sparkSession, f"{path}/hashed=true")
+    away = _with_counts(_with_counts(pairs.where("hashed").drop("hashed"), counts, "v"), counts, "w")
+    away_path = shared_files(away, codec="zstd")
+    away = read(away, away_path)
+    discard(spark, f"{path}/hashed=true")
     _let_go(sc)
     none = F.lit(None).cast("long")
     placed = pairs.where("not hashed").drop("hashed").select("*", *[none.alias(c) for c in ("v_n", "v_train", "w_n", "w_train")])
@@ -344,6 +348,11 @@ def score(docs: DataFrame, fold: Column, head: int = HEAD) -> DataFrame:
     _let_go(sc)
     add = is_hashed | (seen > 1) | ((seen == 1) & (F.col("test") > 0))
     scores = pairs.where(add).mapInArrow(_pair_scores(words, weights, sums.n, sums.v), "pair long, own double, other double, more_known long, more_base double")
+    scores_path = shared_files(scores, codec="zstd")
+    scores = read(scores, scores_path)
+    for done in (path, away_path):
+        discard(spark, done)
+    _let_go(sc)
     # Most occurrences are of pairs that add nothing: they end at the join, and only what is added goes on to the texts.
     found = rows.mapInArrow(_scorer(words, top, weights, sums.n, sums.v), "pair long, row long, a long, b double").join(scores, "pair", "left")
     is_text = F.col("pair") < 0

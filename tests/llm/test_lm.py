@@ -1,11 +1,13 @@
 import math
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from quire.llm import lm, queries
+from quire.session import shared_dir
 from tests.llm.cases import clashing, docs, lowered
 
 
@@ -77,6 +79,17 @@ def test_scores_are_the_models(spark, sf, monkeypatch, head, top):
         assert sum(probability(context, w) for w in [*one, "never seen"]) == pytest.approx(1)
 
 
+@pytest.mark.parametrize("head", [lm.HEAD, 60])
+def test_pairs_go_once_they_are_scored(spark, sf, head):
+    """The last join holds its own rows on disk: no table of pairs is left beside them."""
+    there = lambda: {p for p in Path(shared_dir(spark), "quire").glob("*") if any(p.rglob("*.parquet"))}
+    before = there()
+    found = lm.score(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), fold(), head=head)
+    left = there() - before
+    assert left and not any({"hi", "lo"} & set(spark.read.parquet(str(p)).columns) for p in left)
+    assert found.count() == spark.read.parquet(f"{sf}/documents.parquet").count()
+
+
 @pytest.mark.parametrize("head", [lm.HEAD, 60])  # 60: most words' counts are joined
 def test_counts_and_base_scores(spark, sf, head):
     table = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").union(docs(spark).select("doc_id", "text"))
