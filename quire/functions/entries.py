@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quire.functions.text import normalize_label
+from quire.functions.text import normalize_label, once
 
 # What may follow a title, in the order in which it is looked for, and the name it gets.
 TAILS = (
@@ -109,9 +109,12 @@ def says_no_material(markdown: Column, opening: int = 4000) -> Column:
 
 def note_signatures(notes: Column, least: int = 25) -> Column:
     """Distinct paragraphs (spaces collapsed), then lines, of at least so many characters, in order; null gives none."""
-    raw = F.coalesce(notes, F.lit(""))
-    parts = F.transform(F.split(raw, "\n\n"), lambda x: F.trim(F.regexp_replace(x, r"\s+", " ")))
-    return F.array_distinct(F.filter(F.concat(parts, F.transform(F.split(raw, r"\r\n|\r|\n"), lambda x: F.trim(x))), lambda x: F.length(x) >= least))
+
+    def of(raw: Column) -> Column:
+        parts = F.transform(F.split(raw, "\n\n"), lambda x: F.trim(F.regexp_replace(x, r"\s+", " ")))
+        return F.array_distinct(F.filter(F.concat(parts, F.transform(F.split(raw, r"\r\n|\r|\n"), lambda x: F.trim(x))), lambda x: F.length(x) >= least))
+
+    return once(F.coalesce(notes, F.lit("")), of)
 
 
 def subject_terms(query: Column, label: Column, aliases: Column) -> Column:
