@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quire.functions.periods import MONTHS
+from quire.functions.text import once
 
 SPACES = r"(?U)\s+"
 #: The kinds of elements that a page's annotations may hold.
@@ -40,10 +41,12 @@ def candidates(content: Column, key: str) -> Column:
     def in_prose(texts: pd.Series) -> pd.Series:
         return texts.map(lambda x: balanced_objects(x, key))
 
+    def whole(bare: Column) -> Column:
+        inner = F.regexp_replace(F.regexp_replace(bare, r"(?i)^```(?:json)?\s*", ""), r"\s*```\z", "")
+        return F.array(bare, inner, F.regexp_extract(bare, r"(?is)```(?:json)?\s*(\{.*?\})\s*```", 1))
+
     bare = F.regexp_replace(content, r"(?U)^\s+|\s+\z", "")
-    inner = F.regexp_replace(F.regexp_replace(bare, r"(?i)^```(?:json)?\s*", ""), r"\s*```\z", "")
-    fenced = F.regexp_extract(bare, r"(?is)```(?:json)?\s*(\{.*?\})\s*```", 1)
-    return F.array_distinct(F.filter(F.concat(F.array(bare, inner, fenced), in_prose(bare)), lambda c: c != ""))
+    return F.array_distinct(F.filter(F.concat(once(bare, whole), in_prose(bare)), lambda c: c != ""))
 
 
 def _list(json: Column, name: str) -> Column:
@@ -56,11 +59,14 @@ def _is(json: Column, kind: str) -> Column:
 
 def _named(label: Column) -> Column:
     """A label with single spaces, and the first month there is in it written as months are."""
-    bare = F.trim(F.regexp_replace(label, SPACES, " "))
-    out = bare
-    for month in reversed(MONTHS):
-        out = F.when(F.lower(bare).contains(month.lower()), F.regexp_replace(bare, f"(?iu){month}", month)).otherwise(out)
-    return out
+
+    def named(said: Column) -> Column:
+        out = said["bare"]
+        for month in reversed(MONTHS):
+            out = F.when(said["lower"].contains(month.lower()), F.regexp_replace(said["bare"], f"(?iu){month}", month)).otherwise(out)
+        return out
+
+    return once(F.trim(F.regexp_replace(label, SPACES, " ")), lambda bare: once(F.struct(bare.alias("bare"), F.lower(bare).alias("lower")), named))
 
 
 def _labels(values: Column) -> Column:
@@ -73,10 +79,10 @@ def time_answer(content: Column) -> Column:
 
     Labels that are not strings, or blank, are left out. Null answers give null.
     """
-    read = F.transform(candidates(content, "years"), lambda c: F.try_parse_json(c))
-    both = F.transform(F.filter(read, lambda v: _list(v, "$.years").isNotNull() & _list(v, "$.dates").isNotNull()), lambda v: F.struct(_list(v, "$.years").alias("years"), _list(v, "$.dates").alias("dates")))
-    first = F.get(both, F.lit(0))
-    return F.when(first.isNotNull(), F.struct(_labels(first["years"]).alias("years"), _labels(first["dates"]).alias("dates")))
+    of = lambda v: F.struct(_list(v, "$.years").alias("years"), _list(v, "$.dates").alias("dates"))
+    read = F.transform(candidates(content, "years"), lambda c: once(F.try_parse_json(c), of))
+    first = F.get(F.filter(read, lambda r: r["years"].isNotNull() & r["dates"].isNotNull()), F.lit(0))
+    return once(first, lambda r: F.when(r.isNotNull(), F.struct(_labels(r["years"]).alias("years"), _labels(r["dates"]).alias("dates"))))
 
 
 def with_answer(found: Column, answer: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quire.functions.answers import candidates
-from quire.functions.text import is_yes
+from quire.functions.text import is_yes, once
 
 #: Characters that mark blocks while text is put together; a text's own are dropped.
 BLOCK, OPEN, CLOSE, BREAK = "\x01", "\x02", "\x03", "\x04"
@@ -102,4 +102,4 @@ def same_answer(content: Column) -> Column:
     """
     read = F.transform(candidates(content, "same"), lambda c: F.from_json(c, "same string, reason string"))
     first = F.get(F.filter(read, lambda r: r["same"].isNotNull()), F.lit(0))
-    return F.when(first.isNotNull(), F.struct(is_yes(first["same"]).alias("same"), F.coalesce(F.trim(first["reason"]), F.lit("")).alias("reason")))
+    return once(first, lambda r: F.when(r.isNotNull(), F.struct(is_yes(r["same"]).alias("same"), F.coalesce(F.trim(r["reason"]), F.lit("")).alias("reason"))))
