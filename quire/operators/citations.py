@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+EDGES = 1 << 18  # edges that a task groups
+
 
 def merged_edges(edges: DataFrame) -> DataFrame:
     """(source, target, book, pages, n_refs): one edge per triple, its pages sorted and distinct, its mentions counted."""
@@ -25,8 +27,13 @@ def without_orphans(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def rewired(edges: DataFrame, mapping: DataFrame) -> DataFrame:
-    """(source, target, book, page): ends renamed by (old, new); of edges that fall together, the first by page is kept."""
-    of = lambda end: mapping.select(F.col("old").alias(end), F.col("new").alias(f"new_{end}"))
+    """(source, target, book, page): ends renamed by (old, new); of edges that fall together, the first by page is kept.
+
+    Tasks of the joins hold their share of the mapping, not of the edges; those of the last grouping about EDGES edges each, of which there
+    are more where there are more edges.
+    """
+    of = lambda end: mapping.select(F.col("old").alias(end), F.col("new").alias(f"new_{end}")).hint("shuffle_hash")
+    tasks = 1 + edges.count() // EDGES
     e = edges.join(of("source"), "source", "left").join(of("target"), "target", "left")
     e = e.select(F.coalesce("new_source", "source").alias("source"), F.coalesce("new_target", "target").alias("target"), "book", "page")
-    return e.groupBy("source", "target", "book").agg(F.min("page").alias("page"))
+    return e.repartition(tasks, "source", "target", "book").groupBy("source", "target", "book").agg(F.min("page").alias("page"))
