@@ -3,6 +3,9 @@
 A line may create a subject, or an alias of one, that a later line then finds. Lines are not folded one by one: every line's outcome
 is worked out from the outcomes of all lines in the round before, and rounds go on until none changes. As an outcome depends on earlier
 lines only, the first lines are right after one round, those that hang on them after two, and so on; most batches take two.
+
+Both sides of all joins grow with the index or the batch. They are read from files so small, packed, that Spark would pass one side whole
+through the driver to broadcast it; the hints keep them to sorted merges.
 """
 
 from __future__ import annotations
@@ -20,8 +23,8 @@ def free_slugs(bases: DataFrame, taken: DataFrame) -> DataFrame:
     bases = bases.select("base").distinct()
     number = F.regexp_extract("id", "^(.+)-([1-9][0-9]{0,8})$", 2).try_cast("int")
     stems = taken.select(F.regexp_extract("id", "^(.+)-([1-9][0-9]{0,8})$", 1).alias("base"), number.alias("k")).where("k > 1")
-    used = stems.join(bases, "base", "left_semi").groupBy("base").agg(F.array_sort(F.collect_set("k")).alias("used"))
-    rows = bases.join(taken.select(F.col("id").alias("base"), F.lit(True).alias("there")).distinct(), "base", "left").join(used, "base", "left")
+    used = stems.join(bases.hint("merge"), "base", "left_semi").groupBy("base").agg(F.array_sort(F.collect_set("k")).alias("used"))
+    rows = bases.join(taken.select(F.col("id").alias("base"), F.lit(True).alias("there")).distinct().hint("merge"), "base", "left").join(used.hint("merge"), "base", "left")
     free = F.aggregate(F.coalesce("used", F.array().cast("array<int>")), F.lit(2), lambda n, k: F.when(k == n, n + 1).otherwise(n))
     return rows.select("base", F.when(F.col("there"), F.concat("base", F.lit("-"), free.cast("string"))).otherwise(F.col("base")).alias("slug"))
 
@@ -37,7 +40,7 @@ def _rank(new: bool, name: Column, at: Column, slug: Column) -> Column:
 
 def _earlier(lines: DataFrame, names: DataFrame) -> DataFrame:
     """(at, hit): for each line the first subject, in order, that got the line's key as an alias from an earlier line."""
-    asked = lines.join(names.select("key").distinct(), "key", "left_semi").select("key", "at", F.lit(0).alias("kind"), F.lit(None).cast(names.schema["rank"].dataType).alias("rank"))
+    asked = lines.join(names.select("key").distinct().hint("merge"), "key", "left_semi").select("key", "at", F.lit(0).alias("kind"), F.lit(None).cast(names.schema["rank"].dataType).alias("rank"))
     told = names.select("key", "at", F.lit(1).alias("kind"), "rank")
     so_far = Window.partitionBy("key").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
     return asked.unionByName(told).withColumn("hit", F.min("rank").over(so_far)).where("kind = 0 and hit is not null").select("at", "hit")
@@ -51,9 +54,9 @@ def _settled(lines: DataFrame, given: DataFrame) -> DataFrame:
     """
     names, before = given, None
     while True:
-        hits = lines.join(_earlier(lines, names), "at", "left")
+        hits = lines.join(_earlier(lines, names).hint("merge"), "at", "left")
         makers = hits.where("hit is null").groupBy("slug").agg(F.min(F.struct("at", "key")).alias("made"))
-        rows = hits.join(makers, "slug", "left")
+        rows = hits.join(makers.hint("merge"), "slug", "left")
         late, makes = F.coalesce(F.col("at") > F.col("made.at"), F.lit(False)), F.coalesce(F.col("at") == F.col("made.at"), F.lit(False))
         action = F.when(makes, "new").when(late & (F.col("key") != F.col("made.key")), "alias").otherwise("match")
         rows = rows.select("at", "own", "refers", action.alias("action"), F.when(late | makes, F.col("slug")).otherwise(F.col("hit.id")).alias("subject"), F.when(late | makes, F.col("made.at")).alias("created"))
@@ -86,24 +89,24 @@ def indexed_books(subjects: DataFrame, postings: DataFrame, raw: DataFrame, deci
         decisions = resolved(raw.select("raw_id", text.alias("label"), of.alias("alias_of")), index, order="place")
     there = index.select(F.col("id").alias("canonical"), "place")
     said = decisions.where("decision <> 'new'").select(F.col("raw_id").alias("at"), "decision", "canonical")
-    lines = materialize(lines.join(said.join(there, "canonical", "left"), "at", "left"))
+    lines = materialize(lines.join(said.join(there.hint("merge"), "canonical", "left").hint("merge"), "at", "left"))
     stands = F.col("place").isNotNull()
     kept = lines.where(stands).select("at", F.col("decision").alias("action"), F.col("canonical").alias("subject"), F.lit(None).cast(lines.schema["at"].dataType).alias("created"))
-    again = lines.where(~stands).select("at", "key", "own", "decision", F.col("alias_of").isNotNull().alias("refers")).join(exact_subjects(subject_keys(index, "place")), "key", "left")
+    again = lines.where(~stands).select("at", "key", "own", "decision", F.col("alias_of").isNotNull().alias("refers")).join(exact_subjects(subject_keys(index, "place")).hint("merge"), "key", "left")
     again = materialize(again)
     found = again.where("canonical is not null")
     known = kept.unionByName(found.select("at", F.coalesce("decision", F.lit("match")).alias("action"), F.col("canonical").alias("subject"), F.lit(None).cast(lines.schema["at"].dataType).alias("created")))
     fresh = again.where("canonical is null").withColumn("base", slugify(F.col("key"), default="subject"))
-    fresh = materialize(fresh.join(free_slugs(fresh, subjects), "base").select("at", "key", "own", "refers", "slug"))
-    aliased = known.where("action = 'alias'").join(lines.select("at", "own"), "at").join(index.select(F.col("id").alias("subject"), F.col("place.k").alias("k")), "subject")
+    fresh = materialize(fresh.join(free_slugs(fresh, subjects).hint("merge"), "base").select("at", "key", "own", "refers", "slug"))
+    aliased = known.where("action = 'alias'").join(lines.select("at", "own").hint("merge"), "at").join(index.select(F.col("id").alias("subject"), F.col("place.k").alias("k")).hint("merge"), "subject")
     given = aliased.select(F.col("own").alias("key"), "at", _rank(False, F.col("k"), F.lit(None).cast(lines.schema["at"].dataType), F.col("subject")).alias("rank"))
     given = materialize(given)
     settled = _settled(fresh, given)
-    final = materialize(known.unionByName(settled).join(lines.select("at", "book", "label", "alias_of", "pages"), "at"))
+    final = materialize(known.unionByName(settled).join(lines.select("at", "book", "label", "alias_of", "pages").hint("merge"), "at"))
     made = final.where("action = 'new'").select(F.col("subject").alias("id"), F.coalesce("alias_of", "label").alias("label"), F.array().cast("array<string>").alias("aliases"))
     names = final.where("action = 'alias' or (action = 'new' and alias_of is not null)").where("trim(label) <> ''")
     names = names.groupBy(F.col("subject").alias("id")).agg(F.collect_set("label").alias("more"))
-    every = subjects.select("id", "label", F.coalesce("aliases", F.array().cast("array<string>")).alias("aliases")).unionByName(made).join(names, "id", "left")
+    every = subjects.select("id", "label", F.coalesce("aliases", F.array().cast("array<string>")).alias("aliases")).unionByName(made).join(names.hint("merge"), "id", "left")
     added = F.filter(F.coalesce("more", F.array().cast("array<string>")), lambda a: F.trim(a) != F.trim("label"))
     both = F.array_distinct(F.concat("aliases", added))
     sorted_ = F.transform(F.array_sort(F.transform(both, lambda a: F.struct(normalize_search(a).alias("k"), a.alias("a")))), lambda x: x["a"])

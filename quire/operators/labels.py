@@ -8,6 +8,8 @@ order is a matter of speed only: common grams, counted over all labels, come las
 Short labels of which many hold the same few characters, such as numbers, have no rare grams. Where two labels are so short that they
 differ by EDITS insertions and deletions at most, they are joined by what is left of each without as many characters: two labels have a
 common subsequence of some length if and only if they have such a rest in common, so that join brings no pair that is not similar.
+
+A label has many grams and rests, which Spark takes for as small as the packed file of labels; the hints keep it from broadcasting them.
 """
 
 from __future__ import annotations
@@ -191,7 +193,7 @@ def candidates(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame
     u, v = (d.select(F.col("label").alias(name), F.xxhash64("rest").alias("rest"), F.length("rest").alias("k")) for d, name in ((u, "left"), (v, "right")))
     total = F.length("left") + F.length("right")
     most = F.floor((1 - threshold) * total + 1e-9)
-    pairs = u.join(v, ["rest", "k"]).where((total <= SHORT) & (most <= EDITS) & (total - 2 * F.col("k") <= most)).select("left", "right").distinct()
+    pairs = u.join(v.hint("merge"), ["rest", "k"]).where((total <= SHORT) & (most <= EDITS) & (total - 2 * F.col("k") <= most)).select("left", "right").distinct()
     if not (needs[0][1] and needs[1][1]):
         return pairs
     sides = [d.where(F.length("label").isin(sorted(long))) for d, (_, long) in zip(sides, needs, strict=True)]
@@ -204,7 +206,7 @@ def candidates(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame
     behind = F.least(F.col("m") - F.col("i"), F.col("n") - F.col("j")) + (q - 1)  # grams from this one on, itself included
     both = F.col("m") + F.col("n")
     long = (both > SHORT) | (F.floor((1 - threshold) * both + 1e-9) > EDITS)
-    found = x.join(y, "gram").where(long & reach & (behind + 1e-9 >= _least_shared(both, threshold, q))).select("left", "right").distinct()
+    found = x.join(y.hint("merge"), "gram").where(long & reach & (behind + 1e-9 >= _least_shared(both, threshold, q))).select("left", "right").distinct()
     return pairs.unionByName(found)
 
 
@@ -222,7 +224,7 @@ def best_keys(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
     found = similar_labels(left.select(F.col("key").alias("label")), right.select(F.col("key").alias("label")), threshold)
     x = left.select("id", F.col("key").alias("left")).distinct()
     y = right.select(F.col("id").alias("other"), F.col("key").alias("right")).distinct()
-    return found.join(x, "left").join(y, "right").groupBy("id", "other").agg(F.max("score").alias("score"))
+    return found.join(x.hint("merge"), "left").join(y.hint("merge"), "right").groupBy("id", "other").agg(F.max("score").alias("score"))
 
 
 def _best_of_block(group: pa.Table) -> pa.Table:
@@ -246,4 +248,4 @@ def nearest_scores(asked: DataFrame, known: DataFrame, block: int = 2048) -> Dat
     left = questions.select("key", F.lit(True).alias("asks"), place(m).alias("i"), every(n).alias("j"))
     right = known.select("key", F.lit(False).alias("asks"), every(m).alias("i"), place(n).alias("j"))
     best = left.unionByName(right).groupBy("i", "j").applyInArrow(_best_of_block, "key string, score double").groupBy("key").agg(F.max("score").alias("score"))
-    return asked.join(best, "key").groupBy("id").agg(F.max("score").alias("score"))
+    return asked.join(best.hint("merge"), "key").groupBy("id").agg(F.max("score").alias("score"))

@@ -1,4 +1,7 @@
-"""Entity resolution of raw labels against known subjects, as a cascade of set-wise stages."""
+"""Entity resolution of raw labels against known subjects, as a cascade of set-wise stages.
+
+Labels and subjects may both be many, so they meet by sorted merges: no side is broadcast, however small its packed file.
+"""
 
 from __future__ import annotations
 
@@ -37,15 +40,15 @@ def resolved(raw: DataFrame, subjects: DataFrame, accept: float = 0.9, order: st
     of = F.col("alias_of") if "alias_of" in raw.columns else F.lit(None).cast("string")
     keyed = raw.select("raw_id", normalize_label(F.coalesce(of, "label")).alias("key"), of.isNotNull().alias("refers"))
     keys = subject_keys(subjects, order)
-    exact = keyed.join(exact_subjects(keys), "key", "left")
+    exact = keyed.join(exact_subjects(keys).hint("merge"), "key", "left")
     found = F.col("canonical").isNotNull()
     as_alias = F.col("refers") | F.col("is_alias")
     done = exact.where(found | F.col("refers")).select("raw_id", F.when(~found, "new").when(as_alias, "alias").otherwise("match").alias("decision"), F.when(~found, "new").when(as_alias, "alias").otherwise("label").alias("method"), "canonical")
     rest = exact.where(~(found | F.col("refers"))).select("raw_id", token_sorted(F.col("key")).alias("key"))
     known = keys.groupBy(token_sorted(F.col("key")).alias("right")).agg(F.min("id").alias("id"))
-    scored = similar_labels(rest.select(F.col("key").alias("label")), known.select(F.col("right").alias("label")), accept).join(known, "right")
+    scored = similar_labels(rest.select(F.col("key").alias("label")), known.select(F.col("right").alias("label")), accept).join(known.hint("merge"), "right")
     best = scored.groupBy(F.col("left").alias("key")).agg(F.min(F.struct((-F.col("score")).alias("s"), "id")).alias("x")).select("key", F.col("x.id").alias("canonical"))
-    fuzzy = rest.join(best, "key", "left")
+    fuzzy = rest.join(best.hint("merge"), "key", "left")
     return done.unionByName(fuzzy.select("raw_id", F.when(found, "match").otherwise("new").alias("decision"), F.when(found, "fuzzy").otherwise("new").alias("method"), "canonical"))
 
 

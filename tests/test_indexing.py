@@ -3,6 +3,7 @@ import re
 import unicodedata
 
 import pytest
+from pyspark.sql import functions as F
 
 from quire.operators import books, indexing, labels, resolve
 
@@ -128,6 +129,31 @@ def test_new_lines_are_looked_up_again(spark):
     assert [x.count() for x in indexing.indexed_books(subjects, postings, raw.limit(0), decisions)] == [2, 1, 0]
 
 
+def joined(frames):
+    """The joins in the plans of frames, as Spark names them."""
+    return {word for df in frames for word in re.findall(r"\w+Join\b|BroadcastExchange", df._jdf.queryExecution().executedPlan().toString())}
+
+
+def test_no_side_of_a_join_is_broadcast(spark, monkeypatch, tmp_path):
+    """Of small packed files, which Spark would broadcast, in all steps and results."""
+    tables = {
+        "subjects": ([(f"s{k}", f"Giardino {k}", [f"Orto {k}"]) for k in range(40)], SUBJECTS),
+        "postings": ([("s1", 1, 9)], "subject string, book int, page int"),
+        "raw": ([(1, k, f"{('Giardino', 'Giardini', 'Ponte')[k % 3]} {k}", f"Via {k - 1}" if k % 4 == 0 else None, [k]) for k in range(40)], RAW),
+    }
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}")
+    made = []
+    for module in (indexing, labels):
+        monkeypatch.setattr(module, "materialize", lambda df, *a, f=module.materialize, **b: made.append(df) or f(df, *a, **b))
+    subjects, postings, raw = (spark.read.parquet(f"{tmp_path}/{name}") for name in tables)
+    result = indexing.indexed_books(subjects, postings, raw)
+    assert joined([*made, *result]) == {"SortMergeJoin"}
+    shared = indexing.materialize(subjects.select("id", "label"))
+    both = shared.select("id", F.col("label").alias("key"))
+    assert joined([resolve.resolved(raw, subjects), labels.best_keys(both, both, 0.9), labels.nearest_scores(both, both)]) == {"SortMergeJoin"}
+
+
 def test_the_first_subject_that_has_a_name_is_taken(spark):
     subjects = spark.createDataFrame([(1, "Laguna", "Venezia"), (2, "Venezia", ""), (3, "Marco Bianchi", "Bianchi il Vecchio"), (4, "", None)], "id long, label string, alias string")
     raw = spark.createDataFrame([(1, "venezia."), (2, "LAGUNA"), (3, "Bianchi Marco"), (4, "il vecchio Bianchii"), (5, "Genova"), (6, None), (7, "")], "raw_id int, label string")
