@@ -1,7 +1,4 @@
-"""Entity resolution of raw labels against known subjects, as a cascade of set-wise stages.
-
-Labels and subjects may both be many, so they meet by sorted merges: no side is broadcast, however small its packed file.
-"""
+"""Entity resolution of raw labels against known subjects, as a cascade of set-wise stages."""
 
 from __future__ import annotations
 
@@ -36,6 +33,7 @@ def resolved(raw: DataFrame, subjects: DataFrame, accept: float = 0.9, order: st
     with a null canonical. A row with alias_of is an "alias" of the subject that has that name exactly, or "new". method: label,
     alias, fuzzy or new. All decisions are taken against the same snapshot, so each stage is one join over what the stages before
     have left. Null labels are new; null labels and aliases of subjects match nothing; repeated raw rows are decided alike.
+    Both tables may be long, so they meet by sorted merges: no side is broadcast, however small its packed file.
     """
     of = F.col("alias_of") if "alias_of" in raw.columns else F.lit(None).cast("string")
     keyed = raw.select("raw_id", normalize_label(F.coalesce(of, "label")).alias("key"), of.isNotNull().alias("refers"))
